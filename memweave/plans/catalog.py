@@ -159,3 +159,233 @@ SELECT project, CASE WHEN status IN ('stored', 'pending') THEN 'stored' ELSE 'sk
   CAST(count(*) AS BIGINT) AS n FROM final GROUP BY ALL""", *GATE_SQL_CTES))
 def q_tally(spark, sf):
     return gate_ops.ingest_tally(gated(spark, sf))
+
+
+# =============================================================================
+# Store listings and look-ups
+# =============================================================================
+from ..functions.text import preview  # noqa: E402
+from ..operators import conflicts as conflict_ops  # noqa: E402
+from ..operators import reports as report_ops  # noqa: E402
+from ..operators import store as store_ops  # noqa: E402
+
+
+@register("memory_listing", S.with_mem(f"""
+SELECT id, {S.preview('summary')} AS summary, type, project, confidence, approved,
+  {S.ts('created_at')} AS created_at, source, {sql_joined('tags')} AS tags
+FROM memc WHERE approved"""))
+def q_listing(spark, sf):
+    out = store_ops.memory_listing(mem(spark, sf))
+    return out.withColumn("tags", joined("tags"))
+
+
+@register("pending_listing", S.with_mem(f"""
+SELECT id, project, type, substr(summary, 1, 60) AS summary, {S.ts('created_at')} AS created_at
+FROM memc WHERE NOT approved"""))
+def q_pending(spark, sf):
+    return store_ops.list_pending(mem(spark, sf)).select(
+        "id", "project", "type", F.substring("summary", 1, 60).alias("summary"),
+        iso_ts("created_at").alias("created_at"))
+
+
+@register("audit_listing", S.with_mem(f"""
+SELECT id, project, type, substr(summary, 1, 60) AS summary, confidence, approved,
+  {S.date('created_at')} AS created_at FROM memc"""))
+def q_audit(spark, sf):
+    return store_ops.audit_listing(mem(spark, sf))
+
+
+@register("get_by_ids", S.with_mem(f"""
+SELECT id, project, type, {S.preview('summary')} AS summary FROM memc
+WHERE id IN (SELECT doc_id FROM labels)"""))
+def q_get_many(spark, sf):
+    ids = tables.read_table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return store_ops.get_many(mem(spark, sf), ids).select("id", "project", "type",
+                                                          preview("summary").alias("summary"))
+
+
+@register("commit_groups", S.with_mem("""
+SELECT commit_sha, id, substr(summary, 1, 100) AS summary,
+  CAST(count(*) OVER (PARTITION BY commit_sha) AS BIGINT) AS group_size
+FROM memc WHERE commit_sha IS NOT NULL"""))
+def q_commit_groups(spark, sf):
+    return store_ops.commit_groups(mem(spark, sf))
+
+
+@register("commits_for_labeled", S.with_mem("""
+SELECT a.id AS memory_id, a.commit_sha, b.id, substr(b.summary, 1, 100) AS summary
+FROM memc a JOIN memc b ON a.commit_sha = b.commit_sha AND a.id <> b.id
+WHERE a.id IN (SELECT doc_id FROM labels WHERE toxic = 1)"""))
+def q_commits_for(spark, sf):
+    ids = (tables.read_table(spark, sf, "labels").filter(F.col("toxic") == 1)
+           .select(F.col("doc_id").alias("id")))
+    return store_ops.commits_for_memory(mem(spark, sf), ids)
+
+
+@register("related_memories", S.with_mem("""
+SELECT l.memory_id, CAST(l.pos - 1 AS INTEGER) AS pos, m.id AS related_id, m.project, m.type,
+  substr(m.summary, 1, 100) AS summary
+FROM (SELECT id AS memory_id, unnest(related_to) AS rid, generate_subscripts(related_to, 1) AS pos FROM memc) l
+JOIN memc m ON m.id = l.rid"""))
+def q_related(spark, sf):
+    return store_ops.related_memories(mem(spark, sf))
+
+
+@register("forget_toxic", S.with_mem("""
+SELECT project, CAST(count(*) AS BIGINT) AS remaining FROM memc
+WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY project"""))
+def q_forget(spark, sf):
+    ids = (tables.read_table(spark, sf, "labels").filter(F.col("toxic") == 1)
+           .select(F.col("doc_id").alias("id")))
+    return (store_ops.forget(mem(spark, sf), ids).groupBy("project")
+            .agg(F.count(F.lit(1)).alias("remaining")))
+
+
+@register("approve_quality", S.with_mem("""
+SELECT project, CAST(count(*) FILTER (WHERE approved OR hit) AS BIGINT) AS approved,
+  CAST(count(*) FILTER (WHERE hit AND NOT approved) AS BIGINT) AS newly_approved
+FROM (SELECT m.*, l.doc_id IS NOT NULL AS hit FROM memc m
+      LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0) l ON m.id = l.doc_id)
+GROUP BY project"""))
+def q_approve(spark, sf):
+    ids = (tables.read_table(spark, sf, "labels").filter((F.col("quality") == 1) & (F.col("toxic") == 0))
+           .select(F.col("doc_id").alias("id")))
+    after, newly = store_ops.approve(mem(spark, sf), ids)
+    a = after.groupBy("project").agg(F.count_if("approved").alias("approved"))
+    n = newly.groupBy("project").agg(F.count(F.lit(1)).alias("newly_approved"))
+    return a.join(n, "project", "left").withColumn(
+        "newly_approved", F.coalesce("newly_approved", F.lit(0).cast("bigint")))
+
+
+def _event_links(spark, sf):
+    ev = tables.read_table(spark, sf, "events")
+    return ev.select(F.col("user_id").alias("memory_id"),
+                     F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 11, "0")).alias("commit_sha"),
+                     F.col("ts").alias("linked_at"), F.col("event_id"))
+
+
+@register("link_commits_from_events", S.with_mem("""
+SELECT m.id, coalesce(l.commit_sha, m.commit_sha) AS commit_sha
+FROM memc m LEFT JOIN (
+  SELECT memory_id, arg_max('e' || lpad(CAST(event_id AS VARCHAR), 11, '0'), (ts, event_id)) AS commit_sha
+  FROM (SELECT user_id AS memory_id, event_id, ts FROM events) GROUP BY memory_id) l ON m.id = l.memory_id"""))
+def q_link_commits(spark, sf):
+    links = _event_links(spark, sf)
+    last = links.groupBy("memory_id").agg(
+        F.max_by("commit_sha", F.struct("linked_at", "event_id")).alias("commit_sha"),
+        F.max("linked_at").alias("linked_at"))
+    return store_ops.link_to_commit(mem(spark, sf), last).select("id", "commit_sha")
+
+
+@register("link_memories_from_sessions", S.with_mem("""
+, pairs AS (SELECT DISTINCT conv_id AS a, conv_id * 7 + 1 AS b FROM conversations),
+ok AS (SELECT a, b FROM pairs WHERE a IN (SELECT id FROM memc) AND b IN (SELECT id FROM memc) AND a <> b),
+both_ AS (SELECT a AS id, b AS other FROM ok UNION SELECT b, a FROM ok),
+adds AS (SELECT id, list_sort(list(DISTINCT other)) AS adds FROM both_ GROUP BY id)
+SELECT m.id, array_to_string(list_transform(
+    CASE WHEN adds.adds IS NULL THEN m.related_to
+         ELSE m.related_to || list_filter(adds.adds, lambda x: NOT list_contains(m.related_to, x)) END,
+    lambda x: CAST(x AS VARCHAR)), '|') AS related_to
+FROM memc m LEFT JOIN adds ON m.id = adds.id"""))
+def q_link_memories(spark, sf):
+    conv = tables.read_table(spark, sf, "conversations")
+    pairs = conv.select(F.col("conv_id").alias("a"), (F.col("conv_id") * 7 + 1).alias("b")).distinct()
+    after, _outcome = store_ops.link_memories(mem(spark, sf), pairs)
+    return after.select("id", joined("related_to").alias("related_to"))
+
+
+# --- reports -----------------------------------------------------------------
+@register("memory_counts", S.with_mem("""
+SELECT project, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE NOT approved) AS BIGINT) AS pending,
+  CAST(count(*) FILTER (WHERE approved) AS BIGINT) AS approved FROM memc GROUP BY ROLLUP (project)"""))
+def q_counts(spark, sf):
+    return report_ops.counts(mem(spark, sf))
+
+
+@register("count_by_type", S.with_mem("""
+SELECT type, CAST(count(*) AS BIGINT) AS n FROM memc WHERE approved GROUP BY type"""))
+def q_count_by_type(spark, sf):
+    return report_ops.count_by_type(mem(spark, sf))
+
+
+@register("project_context", S.with_mem(f"""
+SELECT project, type, id, summary, confidence, source, {S.date('created_at')} AS created_at,
+  CAST(count(*) OVER (PARTITION BY project, type) AS BIGINT) AS type_count,
+  CAST(count(*) OVER (PARTITION BY project) AS BIGINT) AS total
+FROM memc WHERE approved"""))
+def q_project_context(spark, sf):
+    return report_ops.project_context(mem(spark, sf))
+
+
+@register("newest_per_type", S.with_mem("""
+SELECT project, type, id, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY project, type ORDER BY created_at DESC, id) AS rank
+  FROM memc WHERE approved) WHERE rank <= 5"""))
+def q_newest(spark, sf):
+    return report_ops.newest_per_type(mem(spark, sf), 5).select("project", "type", "id", "rank")
+
+
+def _pr_sql() -> str:
+    secs = []
+    for t, h, k in report_ops.PR_SECTIONS:
+        items = (f"(SELECT string_agg('- ' || substr(summary, 1, 100), chr(10) ORDER BY rank) FROM top t2 "
+                 f"WHERE t2.project = p.project AND t2.type = '{t}' AND t2.rank <= {k})")
+        secs.append(f"coalesce('{h}' || chr(10) || {items} || chr(10) || chr(10), '')")
+    ntypes = " + ".join(f"(CASE WHEN EXISTS (SELECT 1 FROM top t3 WHERE t3.project = p.project AND t3.type = '{t}') "
+                        f"THEN 1 ELSE 0 END)" for t, _h, _k in report_ops.PR_SECTIONS)
+    return S.with_mem(f"""
+, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, type ORDER BY created_at DESC, id) AS rank
+          FROM memc WHERE approved AND type IN ('decision', 'fix', 'bug', 'architecture')) WHERE rank <= 5),
+p AS (SELECT project, CAST(count(*) AS BIGINT) AS total_memories FROM memc WHERE approved GROUP BY project)
+SELECT project, '## Summary' || chr(10) || chr(10) || {' || '.join(secs)} || '## Test plan' || chr(10) || chr(10)
+  || '- [ ] ...' || chr(10) || chr(10) || '_Generated from ' || project || ' memory — '
+  || CAST({ntypes} AS VARCHAR) || ' memory types referenced._' AS template,
+  total_memories, CAST({ntypes} AS INTEGER) AS types_referenced
+FROM p""")
+
+
+@register("pr_drafts", _pr_sql())
+def q_pr(spark, sf):
+    return report_ops.pr_drafts(mem(spark, sf))
+
+
+@register("portfolio_lines", S.with_mem(f"""
+, items AS (
+  SELECT project, CASE WHEN type = 'portfolio' THEN 1 ELSE 2 END AS section,
+    -epoch_us(created_at) AS k_time, id AS k_id,
+    '- ' || summary || '  _' || {S.date('created_at')} || '_' AS line
+  FROM memc WHERE approved AND type IN ('portfolio', 'resume')
+  UNION ALL
+  SELECT project, CASE WHEN type = 'decision' THEN 3 ELSE 4 END, -epoch_us(created_at), id,
+    '- ' || substr(summary, 1, 120)
+  FROM (SELECT *, row_number() OVER (PARTITION BY project, type ORDER BY created_at DESC, id) AS rk
+        FROM memc WHERE approved AND type IN ('decision', 'architecture')) WHERE rk <= 5
+), present AS (SELECT DISTINCT project, section FROM items),
+projects AS (SELECT DISTINCT project FROM memc)
+SELECT project, 0 AS section, -{2 ** 62} AS k_time, CAST(NULL AS BIGINT) AS k_id,
+  '# Portfolio — ' || project || chr(10) AS line FROM projects
+UNION ALL
+SELECT project, section, -{2 ** 62}, NULL,
+  CASE section WHEN 1 THEN '## Highlights' WHEN 2 THEN '## Achievements'
+    WHEN 3 THEN '## Key Technical Decisions' ELSE '## Architecture Notes' END || chr(10) FROM present
+UNION ALL SELECT * FROM items
+UNION ALL SELECT project, section, {2 ** 62}, NULL, '' FROM present
+UNION ALL
+SELECT project, 5, pos - 1, NULL, line FROM (
+  SELECT project, unnest(['_No portfolio, resume, decision, or architecture memories found._' || chr(10),
+     'Store some with:' || chr(10), '```', 'memweave remember "..." --type portfolio',
+     'memweave remember "..." --type resume', '```']) AS line,
+     generate_subscripts(['a','b','c','d','e','f'], 1) AS pos
+  FROM projects WHERE project NOT IN (SELECT project FROM present))"""))
+def q_portfolio_lines(spark, sf):
+    out = report_ops.portfolio_lines(mem(spark, sf))
+    return out.select("project", "section", F.col("ord.k_time").alias("k_time"),
+                      F.col("ord.k_id").alias("k_id"), "line")
+
+
+@register("portfolio_summary", S.with_mem("""
+SELECT project, CAST(count(*) AS BIGINT) AS total_memories,
+  CAST(count(*) FILTER (WHERE type IN ('portfolio', 'resume')) AS BIGINT) AS highlight_count
+FROM memc WHERE approved GROUP BY project"""))
+def q_portfolio_summary(spark, sf):
+    return report_ops.portfolio_summary(mem(spark, sf))
