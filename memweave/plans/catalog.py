@@ -389,3 +389,41 @@ SELECT project, CAST(count(*) AS BIGINT) AS total_memories,
 FROM memc WHERE approved GROUP BY project"""))
 def q_portfolio_summary(spark, sf):
     return report_ops.portfolio_summary(mem(spark, sf))
+
+
+# =============================================================================
+# Summaries (T4, C3) and session archive (S3)
+# =============================================================================
+from ..operators import summarize as summ  # noqa: E402
+
+
+@register("document_summaries", f"SELECT doc_id, {S.summary('text')} AS summary FROM documents")
+def q_doc_summaries(spark, sf):
+    docs = tables.read_table(spark, sf, "documents")
+    return docs.select("doc_id", summ.extractive_summary("text").alias("summary"))
+
+
+SESSIONS_SQL = """sessions AS (
+  SELECT conv_id, 'src' || CAST(conv_id % 20 AS VARCHAR) AS project,
+    string_agg(text, chr(10) ORDER BY turn) AS text, CAST(count(*) AS BIGINT) AS turns
+  FROM conversations GROUP BY conv_id)"""
+
+
+def sessions(spark, sf):
+    conv = tables.read_table(spark, sf, "conversations")
+    return (summ.sessions_from_turns(conv)
+            .withColumn("project", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))))
+
+
+@register("session_summaries", S.with_mem(
+    f"SELECT conv_id, project, turns, {S.summary('text')} AS summary FROM sessions", SESSIONS_SQL))
+def q_session_summaries(spark, sf):
+    return summ.summarize_sessions(sessions(spark, sf)).select("conv_id", "project", "turns", "summary")
+
+
+@register("session_archive_rows", S.with_mem("""
+SELECT project, '2024-06-01' AS date, '2024-06-01T00:00:00.000000Z' AS captured_at, text FROM sessions""",
+                                             SESSIONS_SQL))
+def q_archive_rows(spark, sf):
+    fixed = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    return summ.archive_rows(sessions(spark, sf), captured_at=fixed)

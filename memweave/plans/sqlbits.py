@@ -165,3 +165,17 @@ INCOMING = f"""inc AS (
 def with_mem(body: str, *ctes: str) -> str:
     extra = "".join(", " + c for c in ctes)
     return f"WITH {MEM}{extra}\n{body}"
+
+
+def summary(text: str, max_sentences: int = rules.SUMMARY_MAX_SENTENCES) -> str:
+    """T4 in DuckDB: marker split instead of look-behind (RE2 has none)."""
+    st = f"regexp_replace({text}, {q(f'^[{WS}]+|[{WS}]+$')}, '', 'g')"
+    parts = f"string_split(regexp_replace({st}, {q(f'([.!?])[{WS}]+')}, '\\1' || chr(1), 'g'), chr(1))"
+    kw = " + ".join(f"(CASE WHEN contains(lower(s), {q(k)}) THEN 1 ELSE 0 END)"
+                    for k in rules.SUMMARY_KEYWORDS)
+    words = f"len(list_filter(regexp_split_to_array(s, {q(f'[{WS}]+')}), lambda w: w <> ''))"
+    scored = (f"list_transform({parts}, lambda s, i: {{'neg': -(({kw}) + greatest(0, 5 - (i - 1) // 10)), "
+              f"'i': i, 's': s, 'words': {words}}})")
+    top = f"list_slice(list_sort(list_filter({scored}, lambda x: x.words >= 5)), 1, {max_sentences})"
+    return (f"(CASE WHEN len({top}) > 0 THEN array_to_string(list_transform({top}, lambda x: x.s), ' ') "
+            f"ELSE substr({text}, 1, {rules.SUMMARY_FALLBACK_CHARS}) END)")
