@@ -427,3 +427,157 @@ SELECT project, '2024-06-01' AS date, '2024-06-01T00:00:00.000000Z' AS captured_
 def q_archive_rows(spark, sf):
     fixed = F.lit("2024-06-01 00:00:00").cast("timestamp")
     return summ.archive_rows(sessions(spark, sf), captured_at=fixed)
+
+
+# =============================================================================
+# Recall (T1-T3, T5, A6, A7, D1, P8, S9)
+# =============================================================================
+from ..operators import recall as recall_ops  # noqa: E402
+
+RECALL_CTES = ("""idx AS (
+  SELECT m.id, m.summary AS document, m.project, m.type, m.source, m.created_at, m.confidence, m.so_url,
+    m.related_files, m.tags, CAST(e.embedding AS DOUBLE[]) AS emb
+  FROM memc m JOIN embeddings e ON e.vec_id = m.id WHERE m.approved)""", """cent AS (
+  SELECT query_id, list(v ORDER BY pos) AS qv FROM (
+    SELECT CAST(label AS BIGINT) AS query_id, pos, avg(CAST(x AS DOUBLE)) AS v FROM (
+      SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)
+    GROUP BY label, pos) GROUP BY query_id)""", """scored AS (
+  SELECT c.query_id, i.*, list_cosine_similarity(i.emb, c.qv) AS s FROM cent c, idx i)""")
+
+
+def _recall_inputs(spark, sf):
+    m = mem(spark, sf)
+    emb = tables.read_table(spark, sf, "embeddings")
+    return m, recall_ops.vector_index(m, emb), recall_ops.label_centroids(emb)
+
+
+@register("recall_centroids", S.with_mem(f"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, document AS summary, round(s, 4) AS score, source, project, type,
+  {S.ts('created_at')} AS created_at, confidence, {sql_joined('related_files')} AS related_files,
+  {sql_joined('tags')} AS tags
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM scored) WHERE rank <= 5""",
+                                         *RECALL_CTES))
+def q_recall(spark, sf):
+    m, idx, queries = _recall_inputs(spark, sf)
+    r = recall_ops.recall(m, idx, queries, 5)
+    return r.select("query_id", "rank", "id", "summary", "score", "source", "project", "type",
+                    iso_ts("created_at").alias("created_at"), "confidence",
+                    joined("related_files").alias("related_files"), joined("tags").alias("tags"))
+
+
+@register("recall_patterns", S.with_mem(f"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, document AS summary, round(s, 4) AS score, so_url, confidence,
+  project, {S.date('created_at')} AS created_at
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM scored
+      WHERE type = 'pattern') WHERE rank <= 5""", *RECALL_CTES))
+def q_recall_patterns(spark, sf):
+    m, idx, queries = _recall_inputs(spark, sf)
+    return recall_ops.recall_patterns(m, idx, queries, 5)
+
+
+@register("debug_suggest", S.with_mem(f"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, type, document AS summary, round(s, 4) AS score, source, confidence,
+  {S.date('created_at')} AS created_at, CASE WHEN type = 'pattern' THEN so_url END AS so_url
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, type ORDER BY s DESC, id) AS trank
+                       FROM scored WHERE type IN ('bug', 'fix', 'pattern')) WHERE trank <= 5))
+WHERE rank <= 5""", *RECALL_CTES))
+def q_debug(spark, sf):
+    m, idx, queries = _recall_inputs(spark, sf)
+    return recall_ops.debug_suggest(m, idx, queries, 5)
+
+
+@register("vector_index_counts", S.with_mem("""
+SELECT project, type, CAST(count(*) AS BIGINT) AS entries FROM idx GROUP BY ALL""", RECALL_CTES[0]))
+def q_index_counts(spark, sf):
+    _m, idx, _q = _recall_inputs(spark, sf)
+    return idx.groupBy("project", "type").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@register("vector_upsert_approved", S.with_mem("""
+, appr AS (SELECT m.* REPLACE (m.approved OR l.doc_id IS NOT NULL AS approved) FROM memc m
+           LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0) l ON m.id = l.doc_id),
+ix AS (SELECT a.id, a.project, a.type FROM appr a JOIN embeddings e ON e.vec_id = a.id WHERE a.approved)
+SELECT project, CAST(count(*) AS BIGINT) AS entries FROM ix GROUP BY project"""))
+def q_upsert(spark, sf):
+    m = mem(spark, sf)
+    emb = tables.read_table(spark, sf, "embeddings")
+    idx = recall_ops.vector_index(m, emb)
+    ids = (tables.read_table(spark, sf, "labels").filter((F.col("quality") == 1) & (F.col("toxic") == 0))
+           .select(F.col("doc_id").alias("id")))
+    _after, newly = store_ops.approve(m, ids)
+    updates = recall_ops.vector_index(newly.withColumn("approved", F.lit(True)), emb)
+    return (store_ops.upsert_vectors(idx, updates).groupBy("project")
+            .agg(F.count(F.lit(1)).alias("entries")))
+
+
+# =============================================================================
+# Graph (G1-G5, T8) - the oracle enumerates pairs (fine at sf0.01), Spark never does
+# =============================================================================
+from ..operators import graph as graph_ops  # noqa: E402
+
+GRAPH_CTES = ("""nd AS (SELECT project, id, type, summary, source, confidence, created_at, tags, related_to,
+  row_number() OVER (PARTITION BY project ORDER BY created_at DESC, id) AS lrank FROM memc WHERE approved)""",
+              """ex AS (SELECT DISTINCT l.project, least(l.a, l.b) AS u, greatest(l.a, l.b) AS v
+  FROM (SELECT project, id AS a, unnest(related_to) AS b FROM nd) l
+  JOIN nd m ON m.project = l.project AND m.id = l.b WHERE l.a <> l.b)""",
+              """pr AS (SELECT a.project, a.id AS u, b.id AS v,
+    CASE WHEN ex.u IS NOT NULL THEN 'explicit' WHEN list_has_any(a.tags, b.tags) THEN 'shared_tag'
+         WHEN a.type = b.type THEN 'same_type' END AS reason
+  FROM nd a JOIN nd b ON a.project = b.project AND a.id < b.id
+  LEFT JOIN ex ON ex.project = a.project AND ex.u = a.id AND ex.v = b.id)""",
+              """e AS (SELECT * FROM pr WHERE reason IS NOT NULL)""",
+              """adjn AS (SELECT project, u AS a, v AS b, reason FROM e UNION ALL SELECT project, v, u, reason FROM e)""",
+              """deg AS (SELECT n.project, n.id, n.summary, n.lrank, count(x.b) AS degree FROM nd n
+  LEFT JOIN adjn x ON x.project = n.project AND x.a = n.id GROUP BY n.project, n.id, n.summary, n.lrank)""",
+              """top AS (SELECT project, id, degree, substr(summary, 1, 120) AS s FROM (
+  SELECT *, row_number() OVER (PARTITION BY project ORDER BY degree DESC, lrank) AS r FROM deg) WHERE r = 1)""")
+
+GRAPH_SUMMARY_SQL = S.with_mem("""
+, reach AS (SELECT project, id AS src, id AS dst FROM nd
+  UNION SELECT r.project, r.src, j.b FROM reach r JOIN adjn j ON j.project = r.project AND j.a = r.dst),
+lab AS (SELECT project, src, min(dst) AS label FROM reach GROUP BY ALL),
+comp AS (SELECT project, CAST(count(*) AS BIGINT) AS components, CAST(max(c) AS BIGINT) AS largest_component
+         FROM (SELECT project, label, count(*) AS c FROM lab GROUP BY ALL) GROUP BY project),
+ec AS (SELECT project, CAST(count(*) FILTER (WHERE reason = 'explicit') AS BIGINT) AS explicit,
+         CAST(count(*) FILTER (WHERE reason = 'shared_tag') AS BIGINT) AS shared_tag,
+         CAST(count(*) FILTER (WHERE reason = 'same_type') AS BIGINT) AS same_type FROM e GROUP BY project),
+nn AS (SELECT project, CAST(count(*) AS BIGINT) AS nodes FROM nd GROUP BY project)
+SELECT nn.project, nodes, coalesce(explicit, 0) + coalesce(shared_tag, 0) + coalesce(same_type, 0) AS edges,
+  components, largest_component, top.id AS most_connected_id, CAST(top.degree AS BIGINT) AS most_connected_degree,
+  top.s AS most_connected_summary, coalesce(explicit, 0) AS explicit, coalesce(shared_tag, 0) AS shared_tag,
+  coalesce(same_type, 0) AS same_type
+FROM nn JOIN comp USING (project) JOIN top USING (project) LEFT JOIN ec USING (project)""",
+                               *GRAPH_CTES).replace("WITH mem AS", "WITH RECURSIVE mem AS", 1)
+
+
+@register("graph_summary", GRAPH_SUMMARY_SQL)
+def q_graph_summary(spark, sf):
+    return graph_ops.summary(mem(spark, sf))
+
+
+@register("graph_neighbors_hub", S.with_mem("""
+, h1 AS (SELECT t.project, t.id AS start, j.b AS id, 1 AS hop, j.reason FROM top t
+         JOIN adjn j ON j.project = t.project AND j.a = t.id),
+h2 AS (SELECT DISTINCT h.project, h.start, j.b AS id, 2 AS hop, CAST(NULL AS VARCHAR) AS reason FROM h1 h
+       JOIN adjn j ON j.project = h.project AND j.a = h.id
+       WHERE j.b <> h.start AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.project = h.project AND x.start = h.start AND x.id = j.b)),
+tp AS (SELECT n.project, n.id, t.tag, min(n.lrank * 1000 + t.pos) AS k FROM nd n,
+       (SELECT id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos FROM nd) t WHERE t.id = n.id GROUP BY ALL),
+trank AS (SELECT project, tag, min(k) AS k FROM tp GROUP BY ALL),
+ft AS (SELECT h.project, h.start, h.id, arg_min(a.tag, r.k) AS first_tag FROM h1 h
+       JOIN tp a ON a.project = h.project AND a.id = h.start
+       JOIN tp b ON b.project = h.project AND b.id = h.id AND b.tag = a.tag
+       JOIN trank r ON r.project = h.project AND r.tag = a.tag GROUP BY ALL),
+allh AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2)
+SELECT allh.start, allh.id, CAST(allh.hop AS INTEGER) AS hop,
+  CASE WHEN allh.hop > 1 THEN 'indirect' WHEN allh.reason = 'shared_tag' THEN 'shared_tag:' || ft.first_tag
+       ELSE allh.reason END AS connection,
+  CAST(CASE WHEN allh.hop > 1 THEN 0.0 WHEN allh.reason = 'explicit' THEN 1.0 WHEN allh.reason = 'shared_tag' THEN 0.7
+       ELSE 0.4 END AS DOUBLE) AS weight,
+  n.type, n.project, substr(n.summary, 1, 120) AS summary, n.source, n.confidence, strftime(n.created_at, '%Y-%m-%d') AS created_at
+FROM allh JOIN nd n ON n.project = allh.project AND n.id = allh.id
+LEFT JOIN ft ON ft.project = allh.project AND ft.start = allh.start AND ft.id = allh.id""", *GRAPH_CTES))
+def q_graph_neighbors(spark, sf):
+    m = mem(spark, sf)
+    return graph_ops.neighbors(m, graph_ops.most_connected(m), depth=2)
