@@ -581,3 +581,193 @@ LEFT JOIN ft ON ft.project = allh.project AND ft.start = allh.start AND ft.id =
 def q_graph_neighbors(spark, sf):
     m = mem(spark, sf)
     return graph_ops.neighbors(m, graph_ops.most_connected(m), depth=2)
+
+
+# =============================================================================
+# Exports and ingest
+# =============================================================================
+from ..functions.text import parse_json_list, so_canonical_url, so_url_kind_id, strip_html  # noqa: E402
+from ..sources import exports as ex  # noqa: E402
+
+
+def _exports(spark, sf):
+    orders = tables.read_table(spark, sf, "orders")
+    commits = commit_raw = ex.parse_json_column(ex.commits_json_from_orders(orders), "json", ex.COMMIT_SCHEMA)
+    prs = ex.parse_json_column(ex.prs_json_from_orders(orders), "json", ex.PR_SCHEMA)
+    issues = ex.parse_json_column(ex.issues_json_from_orders(orders), "json", ex.ISSUE_SCHEMA)
+    return ex.commit_rows(commit_raw), prs, issues
+
+
+SQL_PROJECT = "'src' || CAST(o_custkey % 20 AS VARCHAR)"
+GH_CTES = (f"""gh AS (
+  SELECT {SQL_PROJECT} AS project, 'fix' AS type, 'github_commit' AS source, sha AS commit_sha, sha AS key,
+    '[' || sha || '] ' || msg || ' — by ' || author || ' on ' || strftime(o_orderdate, '%Y-%m-%d') AS text
+  FROM (SELECT *, substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 12) AS sha,
+          CASE WHEN o_orderkey % 50 = 0 THEN '  ' ELSE 'Fix ' || lower(o_orderpriority) || ' order ' || CAST(o_orderkey AS VARCHAR) END AS msg,
+          CASE WHEN o_custkey % 5 <> 0 THEN 'cust' || CAST(o_custkey AS VARCHAR) ELSE 'unknown' END AS author
+        FROM orders) WHERE trim(msg) <> ''
+  UNION ALL
+  SELECT {SQL_PROJECT}, 'fix', 'github_pr', NULL, CAST(o_orderkey AS VARCHAR),
+    'PR #' || CAST(o_orderkey AS VARCHAR) || ': Merge ' || lower(o_orderpriority)
+      || CASE WHEN length(b) > 0 THEN chr(10) || b ELSE '' END
+  FROM (SELECT *, substr(coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN repeat('body ', CAST(o_orderkey % 150 AS INTEGER)) END, ''), 1, 500) AS b
+        FROM orders WHERE o_orderstatus = 'F')
+  UNION ALL
+  SELECT {SQL_PROJECT}, 'bug', 'github_issue', NULL, CAST(o_orderkey AS VARCHAR),
+    'Issue #' || CAST(o_orderkey AS VARCHAR) || ' (' || CASE WHEN o_orderkey % 2 = 0 THEN 'closed' ELSE 'open' END
+      || '): Problem with ' || lower(o_orderpriority) || CASE WHEN length(b) > 0 THEN chr(10) || b ELSE '' END
+  FROM (SELECT *, substr(coalesce(CASE WHEN o_orderkey % 4 <> 1 THEN 'token = ' || repeat('9', CAST(o_orderkey % 9 AS INTEGER)) END, ''), 1, 500) AS b
+        FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 4 <> 0)
+)""", f"""ghs AS (
+  SELECT *, CASE WHEN len({S.findings('clean_text')}) > 0 THEN 'skipped' ELSE 'stored' END AS status
+  FROM (SELECT *, {S.redact('text')} AS clean_text FROM gh))""")
+
+
+def _ingest(spark, sf):
+    commits, prs, issues = _exports(spark, sf)
+    return ex.repo_ingest(commits, prs, issues)
+
+
+@register("github_ingest", S.with_mem("""
+SELECT project, type, source, commit_sha, key, clean_text, status, CAST(0.8 AS DOUBLE) AS confidence FROM ghs""",
+                                      *GH_CTES))
+def q_github_ingest(spark, sf):
+    return _ingest(spark, sf).select("project", "type", "source", "commit_sha", "key", "clean_text",
+                                     "status", "confidence")
+
+
+@register("github_ingest_tally", S.with_mem("""
+SELECT project, source, status, CAST(count(*) AS BIGINT) AS n FROM ghs GROUP BY ALL""", *GH_CTES))
+def q_github_tally(spark, sf):
+    return _ingest(spark, sf).groupBy("project", "source", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+QA_CTES = (f"""ans AS (
+  SELECT l_orderkey * 8 + l_linenumber AS answer_id, l_partkey AS question_id,
+    {S.strip_html("'<div><p>Ship with flag ' || l_returnflag || ' and status ' || l_linestatus || '.</p>' || chr(10) || '<p>Quantity ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' &amp; discount ' || CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) || '%</p></div>'")} AS answer_body,
+    CAST(l_quantity AS BIGINT) AS score, (l_returnflag = 'A' AND l_linestatus = 'F') AS is_accepted
+  FROM lineitem)""", f"""qs AS (
+  SELECT p_partkey AS question_id, {S.strip_html("'How to use ' || p_name || ' &amp; friends?'")} AS title,
+    substr({S.strip_html("'<p>Type <b>' || p_type || '</b> from ' || p_brand || ' &quot;size&quot; ' || CAST(p_size AS VARCHAR) || '</p>'")}, 1, 500) AS qbody
+  FROM part)""", """top5 AS (
+  SELECT * REPLACE (substr(answer_body, 1, 1000) AS answer_body) FROM (
+    SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, answer_id) AS vote_rank FROM ans)
+  WHERE vote_rank <= 5)""", """best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY (NOT is_accepted), vote_rank) AS br
+                 FROM top5) WHERE br = 1)""")
+
+
+def _qa(spark, sf):
+    return (ex.questions_from_part(tables.read_table(spark, sf, "part")),
+            ex.answers_from_lineitem(tables.read_table(spark, sf, "lineitem")))
+
+
+@register("qa_best_answers", S.with_mem("""
+SELECT question_id, answer_id, answer_body, score, is_accepted FROM best""", *QA_CTES))
+def q_best_answers(spark, sf):
+    _q, a = _qa(spark, sf)
+    return ex.best_answers(a)
+
+
+@register("pages_text", f"SELECT page_id, {S.strip_html('html')} AS text FROM pages")
+def q_pages_text(spark, sf):
+    return tables.read_table(spark, sf, "pages").select("page_id", strip_html("html").alias("text"))
+
+
+REQ_CTE = """req AS (
+  SELECT 'https://stackoverflow.com/questions/' || CAST(p_partkey AS VARCHAR) || '/how-to' AS url,
+    'src' || CAST(p_partkey % 20 AS VARCHAR) AS project FROM part
+  UNION ALL
+  SELECT 'https://stackoverflow.com/a/' || CAST(l_orderkey * 8 + 1 AS VARCHAR), 'src' || CAST(l_orderkey % 20 AS VARCHAR)
+  FROM lineitem WHERE l_linenumber = 1
+  UNION ALL
+  SELECT url, 'src' || CAST(page_id % 20 AS VARCHAR) FROM pages)"""
+URL_SQL = r"""canon AS (
+  SELECT url, project,
+    CASE WHEN a <> '' OR anchor <> '' THEN 'answer' WHEN qn <> '' THEN 'question' END AS kind,
+    CAST(CASE WHEN a <> '' THEN a WHEN anchor <> '' THEN anchor WHEN qn <> '' THEN qn END AS BIGINT) AS num,
+    CASE WHEN lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))
+              IN ('stackoverflow.com', 'www.stackoverflow.com') THEN
+      CASE WHEN a <> '' OR anchor <> '' THEN 'https://stackoverflow.com/a/' || CASE WHEN a <> '' THEN a ELSE anchor END
+           WHEN qn <> '' THEN 'https://stackoverflow.com/questions/' || qn END END AS canonical
+  FROM (SELECT url, project, regexp_extract(url, 'stackoverflow\.com/a/(\d+)', 1) AS a,
+          regexp_extract(url, 'stackoverflow\.com/questions/\d+[^#]*#(\d+)', 1) AS anchor,
+          regexp_extract(url, 'stackoverflow\.com/questions/(\d+)', 1) AS qn FROM req))"""
+
+
+def _requests(spark, sf):
+    part = tables.read_table(spark, sf, "part")
+    li = tables.read_table(spark, sf, "lineitem")
+    pages = tables.read_table(spark, sf, "pages")
+    return (part.select(F.concat(F.lit("https://stackoverflow.com/questions/"), F.col("p_partkey").cast("string"),
+                                 F.lit("/how-to")).alias("url"),
+                        F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("project"))
+            .unionByName(li.filter(F.col("l_linenumber") == 1).select(
+                F.concat(F.lit("https://stackoverflow.com/a/"), (F.col("l_orderkey") * 8 + 1).cast("string")).alias("url"),
+                F.concat(F.lit("src"), (F.col("l_orderkey") % 20).cast("string")).alias("project")))
+            .unionByName(pages.select("url", F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string"))
+                                      .alias("project"))))
+
+
+@register("url_canonical", S.with_mem("SELECT url, project, kind, num, canonical FROM canon", REQ_CTE, URL_SQL))
+def q_url_canonical(spark, sf):
+    r = _requests(spark, sf)
+    k = so_url_kind_id("url")
+    return r.select("url", "project", k["kind"].alias("kind"), k["id"].alias("num"),
+                    so_canonical_url("url").alias("canonical"))
+
+
+PATTERN_SQL = f"""ok AS (
+  SELECT canonical, arg_min(url, url) AS url, arg_min(project, url) AS project, arg_min(kind, url) AS kind,
+    arg_min(num, url) AS num FROM canon WHERE canonical IS NOT NULL GROUP BY canonical),
+stored AS (SELECT DISTINCT so_url AS canonical FROM memc WHERE so_url IS NOT NULL),
+fresh AS (SELECT * FROM ok WHERE canonical NOT IN (SELECT canonical FROM stored)),
+found AS (
+  SELECT f.url, f.project, f.canonical,
+    'Q: ' || coalesce(q.title, '') || chr(10) || 'A (score=' || CAST(a.score AS VARCHAR) || ', accepted='
+      || CASE WHEN a.is_accepted THEN 'True' ELSE 'False' END || '):' || chr(10) || substr(a.answer_body, 1, 600) AS summary
+  FROM fresh f JOIN ans a ON f.kind = 'answer' AND a.answer_id = f.num LEFT JOIN qs q ON q.question_id = a.question_id
+  UNION ALL
+  SELECT f.url, f.project, f.canonical,
+    CASE WHEN b.answer_body IS NOT NULL THEN
+      'Q: ' || q.title || chr(10) || 'A (score=' || CAST(b.score AS VARCHAR) || ', accepted='
+      || CASE WHEN b.is_accepted THEN 'True' ELSE 'False' END || '):' || chr(10) || substr(b.answer_body, 1, 600)
+    ELSE 'Q: ' || q.title || chr(10) || substr(q.qbody, 1, 600) END
+  FROM fresh f JOIN qs q ON f.kind = 'question' AND q.question_id = f.num LEFT JOIN best b ON b.question_id = q.question_id),
+foundc AS (SELECT *, {S.redact('summary')} AS clean_text FROM found),
+allr AS (
+  SELECT url, project, canonical, summary, clean_text,
+    CASE WHEN len({S.findings('clean_text')}) > 0 THEN 'blocked' ELSE 'stored' END AS status FROM foundc
+  UNION ALL SELECT url, project, canonical, NULL, NULL, 'not_found' FROM fresh
+    WHERE canonical NOT IN (SELECT canonical FROM found)
+  UNION ALL SELECT url, project, canonical, NULL, NULL, 'duplicate' FROM ok WHERE canonical IN (SELECT canonical FROM stored)
+  UNION ALL SELECT url, project, canonical, NULL, NULL, 'error' FROM canon WHERE canonical IS NULL)"""
+
+
+@register("pattern_store", S.with_mem("""
+SELECT url, project, canonical, summary, clean_text, status, 'pattern' AS type, 'stackoverflow' AS source,
+  CAST(0.6 AS DOUBLE) AS confidence FROM allr""", *QA_CTES, REQ_CTE, URL_SQL, PATTERN_SQL))
+def q_pattern_store(spark, sf):
+    q, a = _qa(spark, sf)
+    return ex.pattern_store(_requests(spark, sf), q, a, mem(spark, sf))
+
+
+@register("pattern_store_tally", S.with_mem("""
+SELECT project, status, CAST(count(*) AS BIGINT) AS n FROM allr GROUP BY ALL""",
+                                            *QA_CTES, REQ_CTE, URL_SQL, PATTERN_SQL))
+def q_pattern_tally(spark, sf):
+    return q_pattern_store(spark, sf).groupBy("project", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("tags_json_parse", f"""
+SELECT doc_id, array_to_string(CASE WHEN v IS NOT NULL AND json_valid(v) AND json_type(v) = 'ARRAY'
+  THEN CAST(from_json(v, '["VARCHAR"]') AS VARCHAR[]) ELSE []::VARCHAR[] END, '|') AS tags
+FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'not json' WHEN 1 THEN '{{"a": 1}}' WHEN 2 THEN NULL
+  ELSE '["t' || CAST(doc_id % 37 AS VARCHAR) || '", "' || lang || '"]' END AS v FROM documents)""")
+def q_tags_json(spark, sf):
+    d = F.col("doc_id")
+    v = (F.when(d % 6 == 0, F.lit("not json")).when(d % 6 == 1, F.lit('{"a": 1}'))
+         .when(d % 6 == 2, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit('["t'), (d % 37).cast("string"), F.lit('", "'), F.col("lang"), F.lit('"]'))))
+    docs = tables.read_table(spark, sf, "documents")
+    return docs.select("doc_id", F.array_join(parse_json_list(v), "|").alias("tags"))
