@@ -37,26 +37,60 @@ def invalid_type_reason(type_col) -> Column:
                     F.lit("'. Valid types: " + rules.invalid_type_reason_suffix()))
 
 
+# Literal pre-guards: a pattern can only match text containing these strings
+# (lower-cased text for case-insensitive patterns).  Scanning a large text for
+# a literal is far cheaper than running the regex at every position, and most
+# texts contain none of them.
+def _needles(p: str) -> tuple[bool, tuple[str, ...]]:
+    ci = p.startswith("(?i") or "(?i)" in p[:6]
+    table = (("sk-ant-", ("sk-ant-",)), ("sk_live_", ("sk_live_",)), ("sk-", ("sk-",)),
+             ("gh[ps]_", ("gh",)), ("github_pat_", ("github_pat_",)), ("AKIA", ("AKIA",)),
+             ("-----BEGIN", ("-----BEGIN",)), ("bearer", ("bearer",)), ("hf_", ("hf_",)),
+             ("xox", ("xox",)), ("AIza", ("AIza",)), ("aws", ("aws", "secret")),
+             ("authorization", ("authorization", "basic")), ("://", ("://",)),
+             ("API_KEY|SECRET", ("=",)))
+    for key, needles in table:
+        if key in p:
+            return ci, needles
+    return ci, ()
+
+
+def _guard(t: Column, low: Column, p: str) -> Column:
+    ci, needles = _needles(p)
+    cond = None
+    for n in needles:
+        c = (low if ci else t).contains(n)
+        cond = c if cond is None else cond & c
+    return cond
+
+
 # F3 ---------------------------------------------------------------------------
-REDACT_JAVA = tuple((to_java(p), to_java_replacement(r)) for p, r in rules.REDACTIONS)
+REDACT_JAVA = tuple((p, to_java(p), to_java_replacement(r)) for p, r in rules.REDACTIONS)
 
 
 def redact(text) -> Column:
     """All substitutions in order (a later rule may re-mask an earlier placeholder)."""
     out = _c(text)
-    for p, r in REDACT_JAVA:
+    for _raw, p, r in REDACT_JAVA:
+        # each step must reference the previous one once (no guard here: a
+        # when(cond(out), f(out)).otherwise(out) chain doubles per step)
         out = F.regexp_replace(out, F.lit(p), F.lit(r))
     return out
 
 
 # F4 ---------------------------------------------------------------------------
-SCAN_JAVA = tuple((label, to_java(p)) for label, p in rules.SECRET_PATTERNS)
+SCAN_JAVA = tuple((label, p, to_java(p)) for label, p in rules.SECRET_PATTERNS)
 
 
 def scan_findings(text) -> Column:
     t = _c(text)
-    labels = F.array(*[F.when(t.rlike(p), F.lit(label)) for label, p in SCAN_JAVA])
-    return F.filter(labels, lambda x: x.isNotNull())
+    low = F.lower(t)
+    items = []
+    for label, raw, p in SCAN_JAVA:
+        cond = _guard(t, low, raw)
+        hit = t.rlike(p) if cond is None else (cond & t.rlike(p))
+        items.append(F.when(hit, F.lit(label)))
+    return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
 # F5 ---------------------------------------------------------------------------
@@ -74,13 +108,25 @@ RULES_JAVA = tuple((to_java("(?i)" + a), to_java("(?i)" + b), label)
                    for a, b, label in rules.OPPOSITE_RULES)
 
 
+def _rule_words(p: str) -> tuple[str, ...]:
+    """Words every match of a rule side contains (lower case)."""
+    import re as _re
+    return tuple(w.lower() for w in _re.findall(r"[A-Za-z]{2,}", _re.sub(r"\\[bsBS]", " ", p)))
+
+
 def rule_sides(text) -> Column:
     """array<struct<rule int, side string>>: which side of each rule a text names."""
     t = _c(text)
+    low = F.lower(t)
     items = []
-    for i, (pa, pb, _label) in enumerate(RULES_JAVA, start=1):
-        items.append(F.when(t.rlike(pa), F.struct(F.lit(i).alias("rule"), F.lit("a").alias("side"))))
-        items.append(F.when(t.rlike(pb), F.struct(F.lit(i).alias("rule"), F.lit("b").alias("side"))))
+    for i, ((ra, rb, _l), (pa, pb, _label)) in enumerate(zip(rules.OPPOSITE_RULES, RULES_JAVA), start=1):
+        for raw, pat, side in ((ra, pa, "a"), (rb, pb, "b")):
+            cond = None
+            for w in _rule_words(raw):
+                c = low.contains(w)
+                cond = c if cond is None else cond & c
+            hit = cond & t.rlike(pat)
+            items.append(F.when(hit, F.struct(F.lit(i).alias("rule"), F.lit(side).alias("side"))))
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 

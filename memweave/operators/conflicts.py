@@ -38,40 +38,59 @@ def _first_two(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2).drop("_rn")
 
 
+def with_signals(df: DataFrame, text_col: str, when=None) -> DataFrame:
+    """Add ``sides`` (rule flags) and ``tech`` (technology set) computed from text_col.
+
+    ``when`` limits the work to rows that need it (others get empty arrays)."""
+    sides, tech = rule_sides(text_col), tech_set(text_col)
+    if when is not None:
+        sides = F.when(when, sides).otherwise(F.array().cast(sides_type()))
+        tech = F.when(when, tech).otherwise(F.array().cast("array<string>"))
+    return df.withColumn("sides", sides).withColumn("tech", tech)
+
+
+def sides_type() -> str:
+    return "array<struct<rule:int,side:string>>"
+
+
 def detect_conflicts(new: DataFrame, snapshot: DataFrame, *, text_col: str = "text",
-                     exclude_self: bool = True) -> DataFrame:
-    """Return ``new`` plus conflict_with, conflict_rule, conflict_description.
+                     exclude_self: bool = True, materialize: bool = True) -> DataFrame:
+    """Conflicts of ``new`` rows against the approved ``snapshot``.
 
-    new: (id, project, type, <text_col>, ...); snapshot: approved memories
-    (id, project, type, summary, created_at).
+    new: (id, project, type, <text_col>[, sides, tech]); snapshot: (id, project,
+    type, summary, created_at).  Returns (id, conflict_with, conflict_rule,
+    conflict_description) for rows that conflict.  Each side's regex signals are
+    computed once and checkpointed (reused by three branches).
     """
-    ex = (snapshot.select("id", "project", "type", "summary", "created_at")
-          .withColumn("ord", order_key())
-          .withColumn("sides", rule_sides("summary"))
-          .withColumn("tech", tech_set("summary")))
+    ex = (snapshot.select("id", "project", "type", "created_at",
+                          F.substring("summary", 1, 100).alias("_esum"), "summary")
+          .withColumn("ord", order_key()))
+    ex = with_signals(ex, "summary").drop("summary", "created_at")
+    nw = new.select(F.col("id").alias("nid"), "project", "type",
+                    F.substring(text_col, 1, 100).alias("_t100"),
+                    *([F.col("sides"), F.col("tech")] if "sides" in new.columns else [F.col(text_col)]))
+    if "sides" not in new.columns:
+        nw = with_signals(nw, text_col).drop(text_col)
+    nw = nw.withColumnRenamed("tech", "ntech")
+    if materialize:
+        ex = ex.checkpoint()
+        nw = nw.checkpoint()
 
     ex_rules = _first_two(
-        ex.select("project", "type", "ord", F.col("id").alias("eid"),
-                  F.explode("sides").alias("rs"))
+        ex.select("project", "type", "ord", F.col("id").alias("eid"), F.explode("sides").alias("rs"))
         .select("project", "type", "ord", "eid", F.col("rs.rule").alias("rule"),
                 F.col("rs.side").alias("side")),
         ["project", "type", "rule", "side"])
-
     ex_tech = _first_two(
         ex.filter((F.size("tech") > 0) & F.col("type").isin(*rules.TECH_CONFLICT_TYPES))
         .select("project", "type", "ord", F.col("id").alias("eid"), F.col("tech").alias("sig")),
         ["project", "type", "sig"])
 
-    nw = (new.select(F.col("id").alias("nid"), "project", "type", F.col(text_col).alias("_t"))
-          .withColumn("sides", rule_sides("_t"))
-          .withColumn("ntech", tech_set("_t")))
-
     by_rule = (nw.select("nid", "project", "type", F.explode("sides").alias("rs"))
                .select("nid", "project", "type", F.col("rs.rule").alias("rule"),
                        F.when(F.col("rs.side") == "a", "b").otherwise("a").alias("side"))
                .join(ex_rules, ["project", "type", "rule", "side"])
                .select("nid", "ord", "rule", "eid"))
-
     by_tech = (nw.filter((F.size("ntech") > 0) & F.col("type").isin(*rules.TECH_CONFLICT_TYPES))
                .select("nid", "project", "type", "ntech")
                .join(ex_tech, ["project", "type"])
@@ -86,10 +105,9 @@ def detect_conflicts(new: DataFrame, snapshot: DataFrame, *, text_col: str = "te
                .select("nid", F.col("w.eid").alias("conflict_with"),
                        F.col("w.rule").alias("conflict_rule")))
 
-    detail = (winners.join(ex.select(F.col("id").alias("conflict_with"),
-                                     F.col("summary").alias("_esum"),
+    detail = (winners.join(ex.select(F.col("id").alias("conflict_with"), "_esum",
                                      F.col("tech").alias("_etech")), "conflict_with")
-              .join(nw.select("nid", "type", "_t", "ntech"), "nid"))
+              .join(nw.select("nid", "type", "_t100", "ntech"), "nid"))
     desc = F.when(
         F.col("conflict_rule") == TECH_RULE,
         F.concat(F.lit("Possible technology conflict in '"), F.col("type"),
@@ -100,11 +118,10 @@ def detect_conflicts(new: DataFrame, snapshot: DataFrame, *, text_col: str = "te
     ).otherwise(
         F.concat(F.lit("Possible "), rule_label(F.col("conflict_rule")),
                  F.lit(" conflict detected.\n  Existing ["), F.col("conflict_with").cast("string"),
-                 F.lit("]: "), F.substring("_esum", 1, 100),
-                 F.lit("\n  New memory: "), F.substring("_t", 1, 100)))
-    found = detail.select(F.col("nid").alias("id"), "conflict_with", "conflict_rule",
-                          desc.alias("conflict_description"))
-    return new.join(found, "id", "left")
+                 F.lit("]: "), F.col("_esum"),
+                 F.lit("\n  New memory: "), F.col("_t100")))
+    return detail.select(F.col("nid").alias("id"), "conflict_with", "conflict_rule",
+                         desc.alias("conflict_description"))
 
 
 def flag_conflicts(mem: DataFrame, gated: DataFrame):
@@ -115,7 +132,8 @@ def flag_conflicts(mem: DataFrame, gated: DataFrame):
     """
     hits = gated.filter(F.col("status") == "conflict_detected")
     conflicts = hits.select(
-        F.xxhash64("conflict_with", "conflict_description").alias("id"),
+        F.xxhash64("id", "conflict_with", "conflict_description").alias("id"),
+        F.col("id").alias("new_id"),
         F.col("conflict_with").alias("memory_id_a"),
         F.col("conflict_description").alias("description"),
         F.current_timestamp().alias("detected_at"),

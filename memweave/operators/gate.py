@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.text import (confidence_from_source, invalid_type_reason, is_valid_type,
                               redact, scan_findings)
-from .conflicts import detect_conflicts
+from .conflicts import detect_conflicts, with_signals
 
 
 def screen(records: DataFrame, text_col: str = "text") -> DataFrame:
@@ -33,14 +33,15 @@ def gate(records: DataFrame, snapshot: DataFrame, mode: str = "approval_required
     if mode not in rules.APPROVAL_MODES:
         raise ValueError(f"unknown approval mode {mode!r}")
     s = screen(records)
-    ok = s.filter(F.col("valid_type") & (F.size("findings") == 0))
+    passed = F.col("valid_type") & (F.size("findings") == 0)
     if check_conflicts:
+        # one regex pass over the batch; the result feeds both the conflict
+        # branch and the final status, so it is checkpointed once
+        s = with_signals(s, "clean_text", when=passed).checkpoint()
         approved = snapshot.filter(F.col("approved"))
-        checked = detect_conflicts(ok.select("id", "project", "type", "clean_text"), approved,
-                                   text_col="clean_text", exclude_self=exclude_self)
-        hits = checked.filter(F.col("conflict_with").isNotNull()).select(
-            "id", "conflict_with", "conflict_rule", "conflict_description")
-        s = s.join(hits, "id", "left")
+        hits = detect_conflicts(s.filter(passed).select("id", "project", "type", "clean_text", "sides", "tech"),
+                                approved, text_col="clean_text", exclude_self=exclude_self)
+        s = s.drop("sides", "tech").join(hits, "id", "left")
     else:
         s = (s.withColumn("conflict_with", F.lit(None).cast("bigint"))
              .withColumn("conflict_rule", F.lit(None).cast("int"))

@@ -771,3 +771,70 @@ def q_tags_json(spark, sf):
          .otherwise(F.concat(F.lit('["t'), (d % 37).cast("string"), F.lit('", "'), F.col("lang"), F.lit('"]'))))
     docs = tables.read_table(spark, sf, "documents")
     return docs.select("doc_id", F.array_join(parse_json_list(v), "|").alias("tags"))
+
+
+# =============================================================================
+# Conflict log (D13, P5), resolution (D12, D5), status (C6), health
+# =============================================================================
+def _conflicts(spark, sf):
+    m = mem(spark, sf)
+    g = gate_ops.gate(incoming_from_memories(m), m)
+    conflicts, flagged = conflict_ops.flag_conflicts(m, g)
+    return m, conflicts, flagged
+
+
+CONFLICT_SQL = """conf AS (SELECT id AS new_id, conflict_with AS memory_id_a, conflict_description AS description,
+  false AS resolved FROM final WHERE status = 'conflict_detected')"""
+
+
+@register("conflict_log", S.with_mem("SELECT new_id, memory_id_a, description, resolved FROM conf",
+                                     *GATE_SQL_CTES, CONFLICT_SQL))
+def q_conflict_log(spark, sf):
+    _m, c, _f = _conflicts(spark, sf)
+    return store_ops.list_conflicts(c, resolved=False).select("new_id", "memory_id_a", "description", "resolved")
+
+
+@register("conflict_flags", S.with_mem("""
+SELECT project, CAST(count(*) FILTER (WHERE id IN (SELECT memory_id_a FROM conf)) AS BIGINT) AS flagged
+FROM memc GROUP BY project""", *GATE_SQL_CTES, CONFLICT_SQL))
+def q_conflict_flags(spark, sf):
+    _m, _c, flagged = _conflicts(spark, sf)
+    return flagged.groupBy("project").agg(F.count_if("conflict_flag").alias("flagged"))
+
+
+@register("resolve_conflicts", S.with_mem("""
+, dropped AS (SELECT DISTINCT memory_id_a AS id FROM conf WHERE memory_id_a % 2 = 1)
+SELECT project, CAST(count(*) AS BIGINT) AS remaining,
+  CAST(count(*) FILTER (WHERE id IN (SELECT memory_id_a FROM conf)) AS BIGINT) AS flagged
+FROM memc WHERE id NOT IN (SELECT id FROM dropped) GROUP BY project""", *GATE_SQL_CTES, CONFLICT_SQL))
+def q_resolve(spark, sf):
+    _m, c, flagged = _conflicts(spark, sf)
+    decisions = c.select(F.col("id").alias("conflict_id"),
+                         F.when(F.col("memory_id_a") % 2 == 0, F.col("memory_id_a"))
+                         .otherwise(F.col("new_id")).alias("keep"))
+    after, _c2, _dropped = conflict_ops.resolve_conflicts(flagged, c, decisions)
+    return after.groupBy("project").agg(F.count(F.lit(1)).alias("remaining"),
+                                        F.count_if("conflict_flag").alias("flagged"))
+
+
+@register("status_report", S.with_mem("""
+SELECT m.project, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE NOT approved) AS BIGINT) AS pending,
+  CAST(count(*) FILTER (WHERE approved) AS BIGINT) AS approved,
+  CAST(coalesce(any_value(oc.n), 0) AS BIGINT) AS open_conflicts
+FROM memc m LEFT JOIN (SELECT mm.project, count(*) AS n FROM conf JOIN memc mm ON mm.id = conf.memory_id_a
+                       GROUP BY mm.project) oc ON oc.project = m.project
+GROUP BY m.project""", *GATE_SQL_CTES, CONFLICT_SQL))
+def q_status(spark, sf):
+    m, c, _f = _conflicts(spark, sf)
+    return report_ops.status_report(m, c)
+
+
+@register("health_counts", S.with_mem("""
+SELECT CAST((SELECT count(*) FROM memc) AS BIGINT) AS total,
+  CAST((SELECT count(*) FROM memc WHERE NOT approved) AS BIGINT) AS pending,
+  CAST((SELECT count(*) FROM conf) AS BIGINT) AS open_conflicts,
+  CAST((SELECT count(*) FROM idx) AS BIGINT) AS index_entries""", *GATE_SQL_CTES, CONFLICT_SQL, RECALL_CTES[0]))
+def q_health(spark, sf):
+    m, c, _f = _conflicts(spark, sf)
+    idx = recall_ops.vector_index(m, tables.read_table(spark, sf, "embeddings"))
+    return report_ops.health(m, c, idx)
