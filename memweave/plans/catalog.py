@@ -838,3 +838,24 @@ def q_health(spark, sf):
     m, c, _f = _conflicts(spark, sf)
     idx = recall_ops.vector_index(m, tables.read_table(spark, sf, "embeddings"))
     return report_ops.health(m, c, idx)
+
+
+# =============================================================================
+# Streaming (R1, R2): run to completion (availableNow), read the sinks back
+# =============================================================================
+from ..streaming import ingest as stream_ops  # noqa: E402
+
+
+@register("stream_gate_status_counts", S.with_mem("""
+SELECT project, type, status, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 4) AS avg_confidence
+FROM final GROUP BY ALL""", *GATE_SQL_CTES))
+def q_stream_gate(spark, sf):
+    return gate_ops.status_counts(stream_ops.streamed_gate(spark, sf))
+
+
+@register("stream_archive_rows", S.with_mem("""
+SELECT project, '2024-06-01' AS date, '2024-06-01T00:00:00.000000Z' AS captured_at, text FROM sessions""",
+                                            SESSIONS_SQL))
+def q_stream_archive(spark, sf):
+    fixed = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    return stream_ops.streamed_archive(spark, sf, captured_at=fixed).select("project", "date", "captured_at", "text")
