@@ -38,6 +38,6 @@ def test_archive_stream(spark):
     out, ck = ingest.scratch_dir(spark, "test-arch"), ingest.scratch_dir(spark, "test-arch-ck")
     q = ingest.start_archive_stream(stream, out, ck, captured_at=F.lit("2024-06-01 00:00:00").cast("timestamp"))
     q.awaitTermination(300)
-    rows = sorted((r["project"], r["date"], r["text"]) for r in spark.read.json(out).collect())
+    rows = sorted((r["project"], str(r["date"]), r["text"]) for r in spark.read.json(out).collect())
     assert rows == [("p", "2024-06-01", "hello"), ("q", "2024-06-01", "world")]
     assert sorted(os.listdir(out))[:2] == ["_spark_metadata", "project=p"]
