@@ -40,4 +40,5 @@ def test_archive_stream(spark):
     q.awaitTermination(300)
     rows = sorted((r["project"], str(r["date"]), r["text"]) for r in spark.read.json(out).collect())
     assert rows == [("p", "2024-06-01", "hello"), ("q", "2024-06-01", "world")]
-    assert sorted(os.listdir(out))[:2] == ["_spark_metadata", "project=p"]
+    local = out[len("file:"):] if out.startswith("file:") else out
+    assert sorted(os.listdir(local))[:2] == ["_spark_metadata", "project=p"]
