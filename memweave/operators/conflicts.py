@@ -43,9 +43,13 @@ def with_signals(df: DataFrame, text_col: str, when=None) -> DataFrame:
 
     ``when`` limits the work to rows that need it (others get empty arrays)."""
     sides, tech = rule_sides(text_col), tech_set(text_col)
+    # the technology set only feeds the technology rule, which only applies
+    # to a few types: skip the 35-term regex for every other row
+    tech_when = F.col("type").isin(*rules.TECH_CONFLICT_TYPES)
     if when is not None:
         sides = F.when(when, sides).otherwise(F.array().cast(sides_type()))
-        tech = F.when(when, tech).otherwise(F.array().cast("array<string>"))
+        tech_when = tech_when & when
+    tech = F.when(tech_when, tech).otherwise(F.array().cast("array<string>"))
     return df.withColumn("sides", sides).withColumn("tech", tech)
 
 

@@ -19,23 +19,31 @@ from .. import rules
 from ..functions.regex import WS
 
 
-def _keyword_score(sentence):
-    low = F.lower(sentence)
-    return sum(F.when(F.instr(low, kw) > 0, 1).otherwise(0) for kw in rules.SUMMARY_KEYWORDS)
+def _keyword_score(low_sentence):
+    return sum(F.when(F.instr(low_sentence, kw) > 0, 1).otherwise(0) for kw in rules.SUMMARY_KEYWORDS)
 
 
 def extractive_summary(text, max_sentences: int = rules.SUMMARY_MAX_SENTENCES):
     t = F.col(text) if isinstance(text, str) else text
     stripped = F.regexp_replace(t, F.lit(f"(?d)\\A[{WS}]+|[{WS}]+\\z"), F.lit(""))
-    sentences = F.split(stripped, f"(?<=[.!?])[{WS}]+", -1)
+    splitter = f"(?<=[.!?])[{WS}]+"
+    sentences = F.split(stripped, splitter, -1)
+    # lower-case once per text: lambdas get no common-subexpression elimination,
+    # and lower() keeps the split points ([.!?] and whitespace are unchanged)
+    lowered = F.split(F.lower(stripped), splitter, -1)
 
-    def score(s, i):
-        words = F.size(F.filter(F.split(s, f"[{WS}]+", -1), lambda w: w != ""))
+    # ">= 5 whitespace-separated words" as one cached pattern (a split inside
+    # the lambda would compile its regex for every sentence)
+    five_words = f"^[{WS}]*[^{WS}]+(?:[{WS}]+[^{WS}]+){{4}}"
+
+    pairs = F.zip_with(sentences, lowered, lambda s, low: F.struct(s.alias("s"), low.alias("low")))
+
+    def score(p, i):
         pos = F.greatest(F.lit(0), F.lit(5) - F.floor(i / 10).cast("int"))
-        return F.struct((-(_keyword_score(s) + pos)).alias("neg"), i.alias("i"), s.alias("s"),
-                        words.alias("words"))
+        return F.struct((-(_keyword_score(p["low"]) + pos)).alias("neg"), i.alias("i"),
+                        p["s"].alias("s"), p["s"].rlike(five_words).alias("long"))
 
-    kept = F.filter(F.transform(sentences, score), lambda x: x["words"] >= 5)
+    kept = F.filter(F.transform(pairs, score), lambda x: x["long"])
     top = F.slice(F.array_sort(kept), 1, max_sentences)
     joined = F.array_join(F.transform(top, lambda x: x["s"]), " ")
     return F.when(F.size(top) > 0, joined).otherwise(F.substring(t, 1, rules.SUMMARY_FALLBACK_CHARS))
@@ -76,3 +84,41 @@ def archive_rows(sessions: DataFrame, captured_at=None) -> DataFrame:
 def write_archive(rows: DataFrame, path: str) -> None:
     """S3 sink: JSON lines partitioned by project and date, appended."""
     rows.write.mode("append").partitionBy("project", "date").json(path)
+
+
+def summarize_rows(df: DataFrame, id_col: str, text_col: str = "text",
+                   max_sentences: int = rules.SUMMARY_MAX_SENTENCES) -> DataFrame:
+    """T4 for a table of texts: (id_col, summary), same result as ``extractive_summary``.
+
+    Sentences become rows so scoring runs in whole-stage codegen; the top
+    ``max_sentences`` per text are cut with ``row_number()``, planned as a
+    partial per-partition limit before the shuffle (all sentences of a text sit
+    in its input partition), so the shuffle moves at most n + 1 rows per text.
+    A fallback row per text (ordered last) carries the 500-character prefix for
+    texts with no sentence of five words.
+    """
+    from pyspark.sql import Window
+
+    t = F.col(text_col)
+    stripped = F.regexp_replace(t, F.lit(f"(?d)\\A[{WS}]+|[{WS}]+\\z"), F.lit(""))
+    splitter = f"(?<=[.!?])[{WS}]+"
+    five_words = f"^[{WS}]*[^{WS}]+(?:[{WS}]+[^{WS}]+){{4}}"
+    pairs = F.arrays_zip(F.split(stripped, splitter, -1).alias("s"),
+                         F.split(F.lower(stripped), splitter, -1).alias("low"))
+    sents = (df.select(F.col(id_col).alias("_id"), F.posexplode(pairs).alias("i", "p"))
+             .select("_id", "i", F.col("p.s").alias("s"), F.col("p.low").alias("low"))
+             .filter(F.col("s").rlike(five_words))
+             .select("_id", F.lit(False).alias("fb"),
+                     (-(_keyword_score(F.col("low"))
+                        + F.greatest(F.lit(0), F.lit(5) - F.floor(F.col("i") / 10).cast("int")))).alias("neg"),
+                     "i", "s"))
+    fallback = df.select(F.col(id_col).alias("_id"), F.lit(True).alias("fb"), F.lit(0).alias("neg"),
+                         F.lit(0).alias("i"), F.substring(t, 1, rules.SUMMARY_FALLBACK_CHARS).alias("s"))
+    w = Window.partitionBy("_id").orderBy("fb", "neg", "i")
+    top = (sents.unionByName(fallback).withColumn("_rn", F.row_number().over(w))
+           .filter(F.col("_rn") <= max_sentences))
+    agg = top.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("fb", "neg", "i", "s"))).alias("top"))
+    real = F.filter("top", lambda x: ~x["fb"])
+    summary = F.when(F.size(real) > 0, F.array_join(F.transform(real, lambda x: x["s"]), " ")).otherwise(
+        F.element_at(F.col("top"), 1)["s"])
+    return agg.select(F.col("_id").alias(id_col), summary.alias("summary"))

@@ -400,7 +400,7 @@ from ..operators import summarize as summ  # noqa: E402
 @register("document_summaries", f"SELECT doc_id, {S.summary('text')} AS summary FROM documents")
 def q_doc_summaries(spark, sf):
     docs = tables.read_table(spark, sf, "documents")
-    return docs.select("doc_id", summ.extractive_summary("text").alias("summary"))
+    return summ.summarize_rows(docs, "doc_id")
 
 
 SESSIONS_SQL = """sessions AS (
