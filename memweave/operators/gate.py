@@ -26,13 +26,23 @@ def screen(records: DataFrame, text_col: str = "text") -> DataFrame:
             .withColumn("confidence", confidence_from_source("source")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Regex work is CPU-bound per row: when the input has fewer partitions than
+    the cluster has task slots (a few large files), spread it round-robin first.
+    With many input splits (the large-data case) this is a no-op."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def gate(records: DataFrame, snapshot: DataFrame, mode: str = "approval_required",
          check_conflicts: bool = True, exclude_self: bool = True) -> DataFrame:
     """records: (id, project, type, source, text, ...); snapshot: memories table
     (approved rows are the candidates)."""
     if mode not in rules.APPROVAL_MODES:
         raise ValueError(f"unknown approval mode {mode!r}")
-    s = screen(records)
+    s = screen(spread(records))
     passed = F.col("valid_type") & (F.size("findings") == 0)
     if check_conflicts:
         # one regex pass over the batch; the result feeds both the conflict

@@ -418,7 +418,8 @@ def sessions(spark, sf):
 @register("session_summaries", S.with_mem(
     f"SELECT conv_id, project, turns, {S.summary('text')} AS summary FROM sessions", SESSIONS_SQL))
 def q_session_summaries(spark, sf):
-    return summ.summarize_sessions(sessions(spark, sf)).select("conv_id", "project", "turns", "summary")
+    ss = sessions(spark, sf)
+    return ss.select("conv_id", "project", "turns").join(summ.summarize_rows(ss, "conv_id"), "conv_id")
 
 
 @register("session_archive_rows", S.with_mem("""
