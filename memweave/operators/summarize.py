@@ -99,6 +99,9 @@ def summarize_rows(df: DataFrame, id_col: str, text_col: str = "text",
     """
     from pyspark.sql import Window
 
+    from .gate import spread
+
+    df = spread(df)
     t = F.col(text_col)
     stripped = F.regexp_replace(t, F.lit(f"(?d)\\A[{WS}]+|[{WS}]+\\z"), F.lit(""))
     splitter = f"(?<=[.!?])[{WS}]+"
