@@ -1,14 +1,15 @@
 """Spark session helpers.
 
 The library never creates its own storage outside what the session names:
-lineage is cut with ``DataFrame.checkpoint()`` into ``spark.checkpoint.dir``.
-A cluster sets that to a shared folder; only when it is unset (local tests)
-do we point it at a scratch folder.
+lineage is cut with ``DataFrame.checkpoint()`` into ``spark.checkpoint.dir``,
+a folder that the driver and all executors share.  Where it is unset, a scratch folder
+stands in for local masters only; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,19 +39,29 @@ def get_spark(master: str | None = None, app: str = "memweave",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
-    return spark
+    return prepare(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's ``spark.checkpoint.dir``; set a scratch one only if unset."""
+    """The session's shared folder; a scratch one only where it is unset on a local master."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="memweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="memweave-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set the checkpoint folder and let Python workers import this package from where the driver has it."""
+    ensure_checkpoint_dir(spark)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    return spark
