@@ -38,12 +38,12 @@ def text_counts(docs: DataFrame, host: str = "source") -> DataFrame:
                            F.slice("words", 3, F.greatest(n - 2, F.lit(0))).alias("c"))
     d = d.select("doc_id", "host", "word_chars", "n_symbols", n.cast("long").alias("n_words"),
                  (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-                 F.transform(triples, lambda t: F.xxhash64(t["0"], t["1"], t["2"])).alias("h"))
+                 F.transform(triples, lambda t: F.xxhash64(t["a"], t["b"], t["c"])).alias("h"))
     n = F.size("h")
     placed = F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     next_to = F.arrays_zip(F.slice("s", 1, n - 1).alias("l"), F.slice("s", 2, n - 1).alias("r"))
-    twice = F.filter(next_to, lambda p: p["0"]["h"] == p["1"]["h"])
-    starts = F.array_distinct(F.flatten(F.transform(twice, lambda p: F.array(p["0"]["i"], p["1"]["i"]))))
+    twice = F.filter(next_to, lambda p: p["l"]["h"] == p["r"]["h"])
+    starts = F.array_distinct(F.flatten(F.transform(twice, lambda p: F.array(p["l"]["i"], p["r"]["i"]))))
     covered = F.size(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.array(i, i + 1, i + 2)))))
     some = F.size(F.array_distinct("h")) < n
     return (d.withColumn("s", F.when(some, placed)).withColumn("starts", F.when(F.col("s").isNotNull(), starts))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import bpe, host_rules, near_dedup, rff_classifier, token_files
 
 QUERIES = {
     "op3_superminhash_near_dedup": near_dedup.query,
+    "op6_byte_bpe": bpe.query,
+    "op7_host_rules": host_rules.query,
+    "op9_rff_quality": rff_classifier.query,
+    "op10_plane_token_files": token_files.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_host_rules": host_rules.ORACLE}
