@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, host_rules, near_dedup, rff_classifier, token_files
+from . import bpe, host_rules, line_dedup, near_dedup, rff_classifier, source_mix, token_files, xent_difference
 
 QUERIES = {
+    "op1_xent_difference": xent_difference.query,
     "op3_superminhash_near_dedup": near_dedup.query,
+    "op4_line_dedup": line_dedup.query,
     "op6_byte_bpe": bpe.query,
     "op7_host_rules": host_rules.query,
+    "op8_source_mix": source_mix.query,
     "op9_rff_quality": rff_classifier.query,
     "op10_plane_token_files": token_files.query,
 }
 
-ORACLE: dict[str, str] = {"op7_host_rules": host_rules.ORACLE}
+ORACLE: dict[str, str] = {
+    "op1_xent_difference": xent_difference.ORACLE,
+    "op7_host_rules": host_rules.ORACLE,
+}
