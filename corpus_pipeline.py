@@ -10,21 +10,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memweave.llm import near_dedup
+from memweave.llm import bpe, line_dedup, near_dedup, rff_classifier, source_mix
 from memweave.session import ensure_checkpoint_dir, prepare
 from memweave.sources.tables import read_table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose predicted quality label is 1."""
+    prepare(spark)
+    return rff_classifier.accepted(docs, read_table(spark, sf_dir, "labels"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one of smallest doc_id."""
     prepare(spark)
-    found = near_dedup.near_duplicates(docs)
-    gone = found.where("not kept").select("doc_id").distinct()
+    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages go but for their earliest occurrence; every document stays, n_chars follows its text."""
+    prepare(spark)
+    cleaned = line_dedup.clean(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a document stands in it as often as it is taken (0, 1 or 2 times)."""
+    prepare(spark)
+    return source_mix.mix(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and ids of every text of the mix."""
+    import public_tokenizers
+    prepare(spark)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
-    ("near_dedup", near_dedup_stage),
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("substring dedup", line_dedup_stage),
+    ("source mixing", mix_stage),
+    ("byte-level BPE", bpe_stage),
 ]
 
 ORACLE_SQL = None  # MinHash banding, random features and byte-pair merges have no SQL form

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, host_rules, line_dedup, near_dedup, rff_classifier, source_mix, token_files, xent_difference
+from . import (bpe, host_rules, line_dedup, near_dedup, norm_buckets, perspectives, rff_classifier, source_mix,
+               token_files, xent_difference)
 
 QUERIES = {
     "op1_xent_difference": xent_difference.query,
+    "op2_norm_bucketed_topk": norm_buckets.query,
     "op3_superminhash_near_dedup": near_dedup.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_perspective_rotation": perspectives.query,
     "op6_byte_bpe": bpe.query,
     "op7_host_rules": host_rules.query,
     "op8_source_mix": source_mix.query,
@@ -17,5 +20,7 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_xent_difference": xent_difference.ORACLE,
+    "op2_norm_bucketed_topk": norm_buckets.ORACLE,
+    "op5_perspective_rotation": perspectives.ORACLE,
     "op7_host_rules": host_rules.ORACLE,
 }
