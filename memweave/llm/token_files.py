@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +40,8 @@ BLOCK_IDS = 16_384
 SEGMENT_IDS = 1 << 19
 HEADER = struct.Struct("<4sBBHIQQQ")     # magic, planes of 1 or 8 bits, validity, 0, block, ids, docs, blocks
 MAGIC = b"TPLN"
+NO_ID = 0xFFFFFFFF
+NO_ID_BYTES = b"\xff\xff\xff\xff"
 
 
 # ------------------------------------------------------------- file format
@@ -106,6 +109,21 @@ def _encoder(spec: str) -> "_WordEncoder":
     return _WordEncoder(spec)
 
 
+class _Pieces(dict):
+    """A piece of a normalised word -> its ids as bytes; a space -> the mark NO_ID."""
+
+    def __init__(self, tok: Tokenizer, byte_chars: dict):
+        super().__init__()
+        self.model, self.byte_chars = tok.model, byte_chars
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece == " ":
+            return NO_ID_BYTES
+        mapped = piece.encode().decode("latin-1").translate(self.byte_chars)
+        got = self[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return got
+
+
 class _WordEncoder:
     """Encodes texts with a ``tokenizers`` file, each distinct word once while it is remembered.
 
@@ -118,47 +136,46 @@ class _WordEncoder:
 
     def __init__(self, spec: str, bound: int = 500_000):
         self.tok = Tokenizer.from_str(spec)
-        self.bound, self.words, self.pieces = bound, {}, {}
+        self.bound, self.words = bound, {}
         told = json.loads(spec)
         steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or []
         self.split = None
         if ([s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed"
                 and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
                 and self.tok.normalizer and "Regex" in steps[0]["pattern"]):
-            self.split = regex.compile(steps[0]["pattern"]["Regex"])
+            self.split = regex.compile(steps[0]["pattern"]["Regex"] + "| ")
         added = [regex.escape(a["content"]) for a in told.get("added_tokens") or []]
         self.odd = regex.compile("|".join([r"\s", *added]))
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in set(shown)]
-        self.byte_chars = {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(hidden)}}
+        self.pieces = _Pieces(self.tok, {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(hidden)}})
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            mapped = piece.encode().decode("latin-1").translate(self.byte_chars)
-            got = self.pieces[piece] = np.array([t.id for t in self.tok.model.tokenize(mapped)], "<u4").tobytes()
-        return got
-
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.words) > self.bound:
-            self.words.clear()
         if len(self.pieces) > self.bound:
             self.pieces.clear()
-        plain = []
-        for w in new:
-            text = w.decode()
-            if self.split is None or self.odd.search(text):
-                self.words[w] = self._whole(text)
-            else:
-                plain.append((w, text))
-        normal = self.tok.normalizer.normalize_str(" ".join(t for _, t in plain)).split(" ") if plain else []
-        if len(normal) != len(plain):          # a normaliser that makes or drops spaces
-            normal = [self.tok.normalizer.normalize_str(t) for _, t in plain]
-        for (w, _), text in zip(plain, normal):
-            self.words[w] = b"".join(map(self._piece, self.split.findall(text)))
+        plain = b" ".join(new).decode()
+        if self.split is None or self.odd.search(plain.replace(" ", "")):
+            odd = [w for w in new if self.split is None or self.odd.search(w.decode())]
+            self.words.update((w, self._whole(w.decode())) for w in odd)
+            new = list(set(new).difference(odd))
+            plain = b" ".join(new).decode()
+        if not new:
+            return
+        normal = self.tok.normalizer.normalize_str(plain)
+        if normal.count(" ") != len(new) - 1:          # a normaliser that makes or drops spaces
+            normal = " ".join(self.tok.normalizer.normalize_str(w.decode()) for w in new)
+        # all pieces of all words at once; a space stands between two words and becomes the mark NO_ID
+        ids = b"".join(map(self.pieces.__getitem__, self.split.findall(normal)))
+        ends = [*(4 * np.flatnonzero(np.frombuffer(ids, "<u4") == NO_ID)).tolist(), len(ids)]
+        if len(ends) != len(new):
+            raise ValueError("the tokenizer's words can't be told apart")
+        lo = 0
+        for w, hi in zip(new, ends):
+            self.words[w] = ids[lo:hi]
+            lo = hi + 4
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.encode().split() for t in texts]
