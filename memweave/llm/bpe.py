@@ -4,12 +4,15 @@ Method: pre-tokens are exploded with their positions, each distinct word of the
 corpus is encoded once, its ids go back to where the word stands, and the text's
 ids are put together by position.  Positions are kept per *block* (some 16 MB of
 texts): a block holds its distinct words and, for every position, the number
-of the word there.  Only (word, block) rows are shuffled, so that the most
-frequent word costs one row per block and not one per occurrence.  Decoding looks
-up each id in the table of token bytes, which has the fixed size of the vocabulary.
+of the word there.  A block sends its distinct words to the shards of their hashes, packed; a
+shard encodes each word that it gets once, whatever the number of blocks that sent it, and
+replies to each block in the order of its words.  The most frequent word so costs one
+entry per block and not one per occurrence.  Decoding looks up each id in the table of
+token bytes, which has the fixed size of the vocabulary.
 
-The blocks are written once to the shared checkpoint folder; a lost executor
-costs the tasks that it ran and nothing else.
+Blocks are shuffled once and read from that shuffle by both sides.  They depend on the
+order of the input's rows, so the input should be a table (a written one does): a lost
+executor's blocks are then made again as they were.  A reply that does not fit its block raises.
 
 Defined results: a null or empty text has no ids and decodes to no bytes.  Every
 input row gives one output row, also if its doc_id repeats or is null.  Text that
@@ -24,17 +27,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import tiktoken
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut
-
 BLOCK_BYTES = 16 << 20
 MISSED = re.compile(r" (?=\s|\Z)")   # a space that does not open a token: such texts are matched whole
 
@@ -82,6 +83,30 @@ def _unplane(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.T).view("<u4").ravel()
 
 
+def _pack(*parts: bytes) -> bytes:
+    return b"".join([np.array([len(p) for p in parts], "<i8").tobytes(), *parts])
+
+
+def _unpack(b: bytes, n: int) -> list[bytes]:
+    ends = 8 * n + np.append(0, np.cumsum(np.frombuffer(b, "<i8", n)))
+    return [b[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def _words_packed(words: list[bytes]) -> bytes:
+    return _pack(_planes(np.fromiter(map(len, words), np.uint32, len(words))), zstandard.compress(b"".join(words), 3))
+
+
+def _words_of(b: bytes) -> list[bytes]:
+    sizes, data = _unpack(b, 2)
+    data = zstandard.decompress(data)
+    ends = np.append(0, np.cumsum(_unplane(sizes).astype(np.int64))).tolist()
+    return [data[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def _shards(words: list[bytes], n: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh32_intdigest(w) % n for w in words), np.int32, len(words))
+
+
 def _block_row(block: int, doc_ids: list, parts: list[bytes], numbers: dict) -> pa.RecordBatch:
     at = np.frombuffer(b"".join(parts), np.uint32)
     counts = np.bincount(at, minlength=len(numbers))
@@ -89,14 +114,12 @@ def _block_row(block: int, doc_ids: list, parts: list[bytes], numbers: dict) ->
     new = np.empty(len(order), np.uint32)
     new[order] = np.arange(len(order), dtype=np.uint32)
     words = [w.encode() for w in numbers]
-    words = [words[i] for i in order]
-    sizes = np.fromiter(map(len, words), np.uint32, len(words))
     n = np.fromiter((len(p) // 4 for p in parts), np.uint32, len(parts))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([block], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([_planes(n)], pa.binary()),
-         pa.array([_planes(new[at])], pa.binary()), pa.array([zstandard.compress(b"".join(words), 3)], pa.binary()),
-         pa.array([_planes(sizes)], pa.binary())],
-        names=["block", "doc_ids", "n", "at", "words", "sizes"])
+    known = np.array([d is not None for d in doc_ids], np.uint8).tobytes()
+    ids = np.array([d or 0 for d in doc_ids], "<i8").tobytes()
+    payload = _pack(zstandard.compress(known + ids, 3), _planes(n), _planes(new[at]), _words_packed([words[i] for i in order]))
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([payload], pa.binary())],
+                                      names=["block", "payload"])
 
 
 def _blocks(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
@@ -127,24 +150,15 @@ def _blocks(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
         if ids:
             yield _block_row(base + seq, ids, parts, numbers)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "block long, doc_ids array<long>, n binary, at binary, words binary, sizes binary")
+        run, "block long, payload binary")
 
 
-def _words(blocks: DataFrame) -> DataFrame:
-    """(block, at, word): the distinct words of each block."""
-    def run(batches):
-        for batch in batches:
-            for block, words, sizes in zip(*(batch.column(c) for c in ("block", "words", "sizes"))):
-                sizes = _unplane(sizes.as_py())
-                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                data = pa.py_buffer(zstandard.decompress(words.as_py()))
-                col = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), data])
-                for lo in range(0, len(sizes), 50_000):
-                    some = col.slice(lo, 50_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(some), block.as_py(), np.int64)),
-                         pa.array(np.arange(lo, lo + len(some), dtype=np.int32)), some], names=["block", "at", "word"])
-    return blocks.select("block", "words", "sizes").mapInArrow(run, "block long, at int, word binary")
+ROW = "block long, shard int, packed binary"
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "shard": pa.array([r[1] for r in rows], pa.int32()),
+                     "packed": pa.array([r[2] for r in rows], pa.binary())})
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -152,46 +166,67 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BL
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
         table = spark.sparkContext.broadcast(f.read())      # the vocabulary: a file of fixed size
-    blocks = cut(_blocks(docs, pattern, block_bytes))
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _blocks(docs, pattern, block_bytes).repartition("block")
 
-    def encode_words(batches):
+    def send(batches):
+        for batch in batches:
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                words = _words_of(_unpack(payload.as_py(), 4)[3])
+                of = _shards(words, shards)
+                order = np.argsort(of, kind="stable")
+                cuts = np.searchsorted(of[order], np.arange(shards + 1)).tolist()
+                for s, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                    if hi > lo:
+                        yield from _rows([(block, s, _words_packed([words[i] for i in order[lo:hi]]))]).to_batches()
+
+    def encode_words(key, sent):
         enc = _piece_encoder(table.value)
         known: dict[bytes, bytes] = {}
-        for batch in batches:
-            if len(known) > 500_000:
-                known = {}
-            out = []
-            for w in batch.column("word").to_pylist():
-                got = known.get(w)
-                if got is None:
-                    got = known[w] = np.array(enc.encode_ordinary(w.decode()), np.uint32).tobytes()
-                out.append(got)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(out, pa.binary())],
-                                             names=["block", "at", "ids"])
-
-    coded = _words(blocks).repartition("word").mapInArrow(encode_words, "block long, at int, ids binary")
-
-    def assemble(block: pa.Table, words: pa.Table) -> pa.Table:
-        if block.num_rows == 0:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
-        row = {c: block.column(c)[0] for c in ("doc_ids", "n", "at")}
-        words = words.take(pc.sort_indices(words, sort_keys=[("at", "ascending")])).combine_chunks()
-        col = words.column("ids")
-        ids = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-        sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        flat = np.frombuffer(b"".join(ids.to_pylist()), np.int32)
-        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        at, n = _unplane(row["at"].as_py()).astype(np.int64), _unplane(row["n"].as_py()).astype(np.int64)
-        width = sizes[at] if len(at) else np.zeros(0, np.int64)
+        out = []
+        for block, packed in zip(sent.column("block").to_pylist(), sent.column("packed")):
+            got = []
+            for w in _words_of(packed.as_py()):
+                ids = known.get(w)
+                if ids is None:
+                    ids = known[w] = np.array(enc.encode_ordinary(w.decode()), np.uint32).tobytes()
+                got.append(ids)
+            sizes = np.fromiter((len(x) // 4 for x in got), np.uint32, len(got))
+            out.append((block, key[0].as_py(), _pack(_planes(sizes), _planes(np.frombuffer(b"".join(got), np.uint32)))))
+        return _rows(out)
+
+    coded = blocks.mapInArrow(send, ROW).repartition(shards, "shard").groupBy("shard").applyInArrow(encode_words, ROW)
+
+    def assemble(block, replies):
+        if block.num_rows != 1:
+            raise ValueError("a block was lost: the input's rows came in another order when it was made again")
+        doc_ids, n, at, words = _unpack(block.column("payload")[0].as_py(), 4)
+        doc_ids = zstandard.decompress(doc_ids)
+        n, at = _unplane(n).astype(np.int64), _unplane(at).astype(np.int64)
+        valid = np.frombuffer(doc_ids, np.uint8, len(n)).astype(bool)
+        doc_ids = pa.array(np.frombuffer(doc_ids, "<i8", offset=len(n)), mask=~valid)
+        of = _shards(_words_of(words), shards)
+        sizes, flat = np.zeros(len(of), np.int64), []
+        place = np.zeros(len(of), np.int64)
+        held = 0
+        for shard, packed in zip(replies.column("shard").to_pylist(), replies.column("packed")):
+            width, ids = map(_unplane, _unpack(packed.as_py(), 2))
+            mine = np.flatnonzero(of == shard)
+            sizes[mine] = width                        # of another length, were the block another one
+            place[mine] = held + np.append(0, np.cumsum(width.astype(np.int64)))[:-1]
+            held += len(ids)
+            flat.append(ids)
+        if len(of) and len(flat) != len(np.unique(of)):
+            raise ValueError("a reply is missing")
+        flat = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
+        width = sizes[at]
         stop = np.cumsum(width)
-        take = np.repeat(first[at] - (stop - width), width) + np.arange(stop[-1] if len(stop) else 0)
-        ends = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(n)])]
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[take]))
-        return pa.table({"doc_id": pa.array(row["doc_ids"].as_py(), pa.int64()), "ids": lists})
+        take = np.repeat(place[at] - (stop - width), width) + np.arange(stop[-1] if len(stop) else 0)
+        ends = np.append(0, stop)[np.append(0, np.cumsum(n))]
+        return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[take]))})
 
-    return (blocks.select("block", "doc_ids", "n", "at").groupBy("block").cogroup(coded.groupBy("block"))
-            .applyInArrow(assemble, "doc_id long, ids array<int>"))
+    coded = coded.select(F.col("block").alias("of"), "shard", "packed")
+    return blocks.groupBy("block").cogroup(coded.groupBy("of")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
