@@ -11,7 +11,7 @@ partition, then by contracting whole partitions' results against each other.
 
 Nothing lists all pairs of a bucket.  Texts with equal sets are one class from
 the start.  Rounds of stars (each member against one centre of its bucket, a
-new centre per round) link most of a bucket; only members of *different* groups
+new centre per round and band) link most of a bucket; only members of *different* groups
 that remain in one bucket are then compared, by their signatures, tile by tile,
 and what may reach the threshold is verified exactly.
 
@@ -27,13 +27,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, mix64, words_of
 
 BANDS, ROWS = 40, 6            # a pair at 0.8 shares no band with probability (1 - 0.8**6)**40 = 5e-6
-STAR_ROUNDS = 1
+STAR_ROUNDS = 2
 ROUNDS_BY_ID = 3
 TILE = 1024                    # members of one tile when what is left of a bucket is compared
 SLACK = 0.12                   # 4.6 standard deviations of a 240-value estimate at 0.8
@@ -214,6 +214,13 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------------- verification
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[at] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     wide = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("full").alias("fa")), "a")
@@ -223,11 +230,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("fa"), batch.column("fb")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                common = int((large[at] == small).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep.append(_reaches(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(
                 pa.array(keep, pa.bool_()))
     return wide.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
@@ -237,11 +240,12 @@ def _size_ok(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _left_over(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket but of different groups whose signatures may reach the threshold.
+def _left_over(members: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """(a, others): members of one bucket but of different groups whose signatures may reach the threshold.
 
     A bucket is dealt to tiles of about TILE members by a hash of the id, and
     every pair of its tiles is one task-sized group, so no group grows with the bucket.
+    Within it, only members outside its largest group look for others.
     """
     counts = members.groupBy("band").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
     tiled = members.join(counts, "band").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles"))
@@ -249,23 +253,61 @@ def _left_over(members: DataFrame, percent: int) -> DataFrame:
         "band", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "n", "comp",
         "sketch")
 
-    def run(key, pdf):
-        t1, t2 = key[1], key[2]
-        left, right = pdf[pdf["tile"] == t1], pdf[pdf["tile"] == t2]
-        sk = [np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(len(x), -1) if len(x) else None
-              for x in (left, right)]
-        out = []
-        ids, sizes, comps = (right[c].to_numpy() for c in ("id", "n", "comp"))
-        for i in range(len(left) if len(right) else 0):
-            a, n, c = left["id"].iat[i], left["n"].iat[i], left["comp"].iat[i]
-            ok = (comps != c) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-            if t1 == t2:
-                ok &= ids > a
+    def run(key, table):
+        ids, n, comp, tile = (table.column(c).to_numpy() for c in ("id", "n", "comp", "tile"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        groups, sizes = np.unique(comp, return_counts=True)
+        large = groups[np.argmax(sizes)]
+        across = key[1].as_py() != key[2].as_py()
+        a, others = [], []
+        for i in np.flatnonzero(comp != large):
+            ok = (comp != comp[i]) & ((comp == large) | (ids > ids[i]))
+            ok &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+            if across:
+                ok &= tile != tile[i]
             at = np.flatnonzero(ok)
-            at = at[(sk[1][at] == sk[0][i]).mean(axis=1) >= percent / 100 - SLACK]
-            out += [(a, b) if a < b else (b, a) for b in ids[at]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-    return grid.groupBy("band", "t1", "t2").applyInPandas(run, "a long, b long").distinct()
+            at = at[(sketch[at] == sketch[i]).mean(axis=1) >= percent / 100 - SLACK]
+            if len(at):
+                a.append(ids[i])
+                others.append(ids[at])
+        return pa.table({"a": pa.array(a, pa.int64()), "others": pa.array(others, pa.list_(pa.int64()))})
+    return (grid.repartition(partitions, "band", "t1", "t2").groupBy("band", "t1", "t2")
+            .applyInArrow(run, "a long, others array<long>"))
+
+
+def _verify_lists(lists: DataFrame, sets: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """Links (a, b) among (a, others) lists: some members at a time meet each set that they need once."""
+    dealt = lists.withColumn("g", F.pmod(F.xxhash64("a"), F.lit(max(1, partitions * 4))))
+
+    def merged(key, table):
+        a, others = table.column("a").to_numpy(), table.column("others").combine_chunks()
+        others = pa.concat_arrays(others.chunks) if isinstance(others, pa.ChunkedArray) else others
+        width = others.value_lengths().to_numpy(zero_copy_only=False)
+        pairs = np.unique(np.stack([np.repeat(a, width), others.flatten().to_numpy()]), axis=1)
+        first, cuts = np.unique(pairs[0], return_index=True)
+        ends = np.append(cuts, pairs.shape[1]).astype(np.int32)
+        need, g = np.unique(pairs), key[0].as_py()
+        return pa.table({
+            "g": np.full(len(need) + len(first), g, np.int64), "id": np.concatenate([need, first]),
+            "others": pa.concat_arrays([pa.nulls(len(need), pa.list_(pa.int64())),
+                                        pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs[1]))])})
+
+    both = cut(dealt.repartition(partitions, "g").groupBy("g").applyInArrow(merged, "g long, id long, others array<long>"))
+    needed = both.where("others is null").select(F.col("g").alias("of"), F.col("id").alias("doc_id"))
+
+    def links(lists_, sets_):
+        full = {i: np.frombuffer(b.as_buffer(), np.uint64) for i, b in
+                zip(sets_.column("doc_id").to_pylist(), sets_.column("full"))}
+        a, b = [], []
+        for x, ys in zip(lists_.column("id").to_pylist(), lists_.column("others").to_pylist()):
+            for y in ys:
+                if _reaches(full[x], full[y], percent):
+                    a.append(x)
+                    b.append(y)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return (both.where("others is not null").groupBy("g")
+            .cogroup(needed.join(sets, "doc_id").select("of", "doc_id", "full").groupBy("of"))
+            .applyInArrow(links, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -274,6 +316,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     Links are 100 * intersection >= percent * union of the distinct k-word
     shingle sets of the whole texts.
     """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sig = cut(signatures(docs, k, lower))
     one = (sig.where("doc_id is not null and n_shingles > 0").groupBy("doc_id")
            .agg(F.min(F.struct("n_shingles", "hi", "lo")).alias("s")).select("doc_id", "s.*"))
@@ -305,16 +348,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
             break
         if step < STAR_ROUNDS:
             centre = buckets.groupBy("band").agg(
-                F.min(F.struct(F.xxhash64("id", F.lit(step)), F.col("id"), F.col("n").alias("nb"),
+                F.min(F.struct(F.xxhash64("id", "band", F.lit(step)), F.col("id"), F.col("n").alias("nb"),
                                F.col("comp").alias("cb"))).alias("s")).select("band", "s.id", "s.nb", "s.cb")
             pairs = (buckets.join(centre.withColumnRenamed("id", "centre"), "band")
                      .where("comp <> cb").withColumnRenamed("n", "na").where(_size_ok(percent))
                      .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
         else:
             sketch = rep_sig.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
-            pairs = _left_over(buckets.join(sketch, "id"), percent)
+            lists = _left_over(buckets.join(sketch, "id"), percent, partitions)
         grouped = comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
-        comp = connected(_verify(pairs, sets, percent).union(grouped))
+        found = _verify(pairs, sets, percent) if step < STAR_ROUNDS else _verify_lists(lists, sets, percent, partitions)
+        comp = connected(found.union(grouped))
         buckets = buckets.select("band", "id", "n")
     to = member.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select(
         "doc_id", F.coalesce("comp", "rep").alias("of"))
