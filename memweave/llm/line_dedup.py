@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import WORD_CLASS, WordHashes, cut, mix64, with_block
 
@@ -112,7 +113,7 @@ def clean(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                          "doc_id": ranks[row] if len(row) else np.zeros(0, np.int64), "row": row.astype(np.int32),
                          "word": (b.begin[at] - b.doc_start[row]).astype(np.int32), "n": n.astype(np.int64)})
 
-    found = dealt.select("block", "doc_id", "text").groupBy("block").applyInArrow(
+    found = dealt.groupBy("block").applyInArrow(      # all columns, so that both passes share one shuffle
         units, "digest long, block int, doc_id long, row int, word int, n long")
     every = Window.partitionBy("digest")
     repeated = (found.withColumn("all", F.sum("n").over(every))
@@ -146,10 +147,10 @@ def clean(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                          "removed": pa.array([[{"begin": x, "end": y} for x, y in s] for s in spans],
                                              pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))})
 
-    kind = dealt.schema["row"].dataType.simpleString()
+    kind = StructType([dealt.schema["row"], StructField("text", StringType()), StructField("removed", ArrayType(StructType(
+        [StructField("begin", LongType()), StructField("end", LongType())])))])
     out = dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(
-        lambda left, right: remove(left, right),
-        f"row {kind}, text string, removed array<struct<begin: long, end: long>>")
+        lambda left, right: remove(left, right), kind)
     return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], "removed")
 
 
