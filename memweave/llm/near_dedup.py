@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
              .groupBy("id", "na").agg(F.max(F.struct("c", -F.col("centre"))).alias("best"))
              .select("id", "na", (-F.col("best.col2")).alias("centre")))
     pairs = (first.join(size, "centre").where(_size_ok(percent)).select(F.col("centre").alias("a"), F.col("id").alias("b")))
-    comp = connected(_verify(pairs, sets, percent))
+    comp = connected(cut(_verify(pairs, sets, percent)))
     buckets = inside.select("band", "id", "n")
     for step in range(STAR_ROUNDS + 1):
         # buckets whose members are not yet one group
@@ -358,7 +358,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
             lists = _left_over(buckets.join(sketch, "id"), percent, partitions)
         grouped = comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
         found = _verify(pairs, sets, percent) if step < STAR_ROUNDS else _verify_lists(lists, sets, percent, partitions)
-        comp = connected(found.union(grouped))
+        comp = connected(cut(found).union(grouped))      # cut: one Python worker a task at a time
         buckets = buckets.select("band", "id", "n")
     to = member.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select(
         "doc_id", F.coalesce("comp", "rep").alias("of"))
