@@ -28,12 +28,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, mix64
+from .common import WordHashes, mix64
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 WEIGHTS = (0.6, 0.3, 0.1)
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 ONE = np.uint64(1)
@@ -61,13 +63,23 @@ def _grams(tokens: np.ndarray, ends: np.ndarray):
 
 
 def _packed(a: np.ndarray) -> bytes:
-    import zstandard
-    return zstandard.compress(a.tobytes(), 1)
+    """Integers as compressed byte planes."""
+    wide = a.dtype.itemsize
+    return bytes([wide]) + zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, wide).T).tobytes(), 1)
 
 
-def _unpacked(b: bytes, kind) -> np.ndarray:
-    import zstandard
-    return np.frombuffer(zstandard.decompress(b), kind)
+def _unpacked(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    return np.ascontiguousarray(planes.T).view({4: np.uint32, 8: np.uint64}[b[0]]).ravel()
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their distances."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys_of(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(b), dtype=np.uint64)
 
 
 ROW = "block int, shard int, keys binary, target binary, every binary"
@@ -101,7 +113,7 @@ def score(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES) ->
         # keys are sorted: a shard is a range of hashes, thus a slice
         shard = (keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
         cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(keys))
-        return _rows([(key[0].as_py(), int(shard[lo]), _packed(keys[lo:hi]), _packed(hit[lo:hi].astype(np.uint32)),
+        return _rows([(key[0].as_py(), int(shard[lo]), _packed_keys(keys[lo:hi]), _packed(hit[lo:hi].astype(np.uint32)),
                        _packed(every[lo:hi].astype(np.uint32))) for lo, hi in zip(cuts, cuts[1:])])
 
     counted = (dealt.groupBy("block").cogroup(no_text.groupBy("block"))
@@ -109,11 +121,11 @@ def score(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES) ->
 
     def merge(key, table):
         cols = {c: table.column(c).to_pylist() for c in ("block", "keys", "target", "every")}
-        keys = [_unpacked(x, np.uint64) for x in cols["keys"]]
+        keys = [_keys_of(x) for x in cols["keys"]]
         sizes = [len(k) for k in keys]
         flat, at, held = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        sums = [np.bincount(at, weights=np.concatenate([_unpacked(x, np.uint32) for x in cols[c]]).astype(float),
-                            minlength=len(flat)).astype(np.int64) for c in ("target", "every")]
+        sums = [np.bincount(at, weights=np.concatenate([_unpacked(x) for x in cols[c]]).astype(float),
+                            minlength=len(flat)).astype(np.uint64) for c in ("target", "every")]
         odd = (flat & ONE) == ONE
         stats = [int(odd.sum()), int(sums[0][odd].sum()), int(sums[1][odd].sum())]
         out, lo = [], 0
@@ -121,7 +133,7 @@ def score(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES) ->
             mine = at[lo: lo + size]
             there = np.flatnonzero(held[mine] > 1)           # the rest no other block holds
             lo += size
-            out.append((block, key[0].as_py(), _packed(flat[mine[there]]), _packed(sums[0][mine[there]]),
+            out.append((block, key[0].as_py(), _packed_keys(flat[mine[there]]), _packed(sums[0][mine[there]]),
                         _packed(sums[1][mine[there]]), *(stats if not out else (0, 0, 0))))
         cols = list(zip(*out))
         return pa.table({"block": pa.array(cols[0], pa.int32()), "shard": pa.array(cols[1], pa.int32()),
@@ -129,25 +141,29 @@ def score(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES) ->
                          "every": pa.array(cols[4], pa.binary()),
                          **{c: pa.array(cols[5 + k], pa.int64()) for k, c in enumerate(("v", "nt", "nb"))}})
 
-    merged = cut(counted.groupBy("shard").applyInArrow(merge, ROW + ", v long, nt long, nb long"))
-    total = merged.agg(F.sum("v"), F.sum("nt"), F.sum("nb")).first()
-    vocabulary, n_target, n_every = (total[0] or 0) + 1, total[1] or 0, total[2] or 0
+    # neither shuffle is made twice: what both branches read is one exchange
+    merged = counted.groupBy("shard").applyInArrow(merge, ROW + ", v long, nt long, nb long")
+    totals = merged.agg(*[F.sum(c).alias(c) for c in ("v", "nt", "nb")])
+    replies = merged.select("block", "keys", "target", "every", F.lit(None).cast("long").alias("doc_id")).crossJoin(
+        F.broadcast(totals))      # one row
     # the target's doc_ids once more, as rows beside the sums
-    both = merged.select("block", "keys", "target", "every", F.lit(None).cast("long").alias("doc_id")).unionByName(
-        no_text.select("block", *[F.lit(None).cast("binary").alias(c) for c in ("keys", "target", "every")], "doc_id"))
+    both = replies.unionByName(no_text.select("block", "doc_id"), allowMissingColumns=True).select(
+        F.col("block").alias("of"), "keys", "target", "every", "doc_id", "v", "nt", "nb")
 
     def losses(key, docs_, sent):
         if docs_.num_rows == 0:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()),
                              "target_loss": pa.array([], pa.float64()), "background_loss": pa.array([], pa.float64())})
         targets = set(sent.column("doc_id").drop_null().to_pylist())
+        v, n_target, n_every = (pc.max(sent.column(c)).as_py() for c in ("v", "nt", "nb"))
+        vocabulary = v + 1
         ids, sizes, ends, history, keys, u, b, hit, every = _counted(docs_, targets, WordHashes())
         rows = [(x, y, z) for x, y, z in zip(*(sent.column(c).to_pylist() for c in ("keys", "target", "every"))) if x]
         if rows:
-            at = np.searchsorted(keys, np.concatenate([_unpacked(r[0], np.uint64) for r in rows]))
+            at = np.searchsorted(keys, np.concatenate([_keys_of(r[0]) for r in rows]))
             hit, every = hit.astype(np.int64), every.astype(np.int64)
-            hit[at] = np.concatenate([_unpacked(r[1], np.int64) for r in rows])
-            every[at] = np.concatenate([_unpacked(r[2], np.int64) for r in rows])
+            hit[at] = np.concatenate([_unpacked(r[1]) for r in rows])
+            every[at] = np.concatenate([_unpacked(r[2]) for r in rows])
         end = np.searchsorted(keys, mix64(np.array([END])) | ONE)[0]      # a start mark for every end mark
         past = np.where(history == START, end, np.minimum(np.searchsorted(keys, history), len(keys) - 1))
         out = []
@@ -159,7 +175,7 @@ def score(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES) ->
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": sizes, "target_loss": out[0],
                          "background_loss": out[1]})
 
-    return (dealt.groupBy("block").cogroup(both.groupBy("block"))
+    return (dealt.groupBy("block").cogroup(both.groupBy("of"))
             .applyInArrow(losses, "doc_id long, n_tokens long, target_loss double, background_loss double")
             .withColumn("score", F.col("target_loss") - F.col("background_loss")))
 
