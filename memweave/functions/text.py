@@ -1,12 +1,15 @@
-"""Scalar column expressions (F1-F16).  All built-in Spark functions: they stay
-in the JVM and inside whole-stage code generation; no Python per row."""
+"""Scalar column expressions (F1-F15).  All built-in Spark functions but for F7's
+entity table: they stay in the JVM and inside whole-stage code generation."""
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import rules
 from .regex import WS, to_java, to_java_replacement
@@ -68,14 +71,23 @@ def _guard(t: Column, low: Column, p: str) -> Column:
 REDACT_JAVA = tuple((p, to_java(p), to_java_replacement(r)) for p, r in rules.REDACTIONS)
 
 
+#: literals of which a text that any rule changes holds at least one (lower case)
+REDACT_LITERALS = ("sk-", "ghp_", "ghs_", "github_pat_", "akia", "-----begin", "bearer", "hf_", "xox", "sk_live_",
+                   "aiza", "=", "://")
+
+
 def redact(text) -> Column:
-    """All substitutions in order (a later rule may re-mask an earlier placeholder)."""
-    out = _c(text)
+    """All substitutions in order (a later rule may re-mask an earlier placeholder).
+
+    Texts without any literal that a rule needs skip the whole chain; inside the chain
+    each step refers to the previous one once."""
+    t = _c(text)
+    low = F.lower(t)
+    needed = reduce(lambda a, b: a | b, [low.contains(x) for x in REDACT_LITERALS])
+    out = t
     for _raw, p, r in REDACT_JAVA:
-        # each step must reference the previous one once (no guard here: a
-        # when(cond(out), f(out)).otherwise(out) chain doubles per step)
         out = F.regexp_replace(out, F.lit(p), F.lit(r))
-    return out
+    return F.when(needed, out).otherwise(t)
 
 
 # F4 ---------------------------------------------------------------------------
@@ -137,47 +149,41 @@ def rule_label(rule_no) -> Column:
 
 
 # F7 ---------------------------------------------------------------------------
-# the entity table is a parameter; these cover markup seen in exports
-HTML_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
-    ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
-)
-
-
-def strip_html(html) -> Column:
-    """Tags -> space, entities decoded (``&amp;`` last), whitespace collapsed, trimmed."""
-    t = F.regexp_replace(_c(html), F.lit("<[^>]+>"), F.lit(" "))
-    for ent, ch in HTML_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    t = F.replace(t, F.lit("&amp;"), F.lit("&"))
+@F.pandas_udf(StringType())
+def unescape_html(texts: pd.Series) -> pd.Series:
+    """Every named and numeric character reference (Arrow batches; the table is the HTML standard's)."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def strip_html(markup) -> Column:
+    """Tags -> space, entities decoded, whitespace collapsed, trimmed."""
+    t = unescape_html(F.regexp_replace(_c(markup), F.lit("<[^>]+>"), F.lit(" ")))
     t = F.regexp_replace(t, F.lit(f"[{WS}]+"), F.lit(" "))
-    return F.regexp_replace(t, F.lit(f"^ | $"), F.lit(""))
+    return F.regexp_replace(t, F.lit("^ | $"), F.lit(""))
 
 
 # F8 / F9 ----------------------------------------------------------------------
 def so_url_kind_id(url) -> Column:
-    """struct<kind string, id bigint>; NULL when the URL does not parse."""
+    """struct<kind string, id string>; NULL when the URL does not parse.
+
+    The id stays text (without leading zeros), so that no number is too long."""
     u = _c(url)
-    a = F.regexp_extract(u, r"stackoverflow\.com/a/(\d+)", 1)
-    anchor = F.regexp_extract(u, r"stackoverflow\.com/questions/\d+[^#]*#(\d+)", 1)
-    q = F.regexp_extract(u, r"stackoverflow\.com/questions/(\d+)", 1)
-    kind = (F.when(a != "", F.lit("answer")).when(anchor != "", F.lit("answer"))
-            .when(q != "", F.lit("question")))
-    num = F.when(a != "", a).when(anchor != "", anchor).when(q != "", q)
+    found = [(kind, F.regexp_extract(u, p, 1)) for kind, p in rules.SO_URL_PATTERNS]
+    kind = num = None
+    for k, got in found:
+        kind = F.when(got != "", F.lit(k)) if kind is None else kind.when(got != "", F.lit(k))
+        num = F.when(got != "", got) if num is None else num.when(got != "", got)
     return F.when(kind.isNotNull(), F.struct(kind.alias("kind"),
-                                              num.cast("bigint").alias("id")))
+                                              F.regexp_replace(num, "^0+([0-9])", "$1").alias("id")))
 
 
 def so_canonical_url(url) -> Column:
-    host = F.lower(F.try_parse_url(_c(url), F.lit("HOST")))
-    ok = host.isin("stackoverflow.com", "www.stackoverflow.com")
+    """https://<host>/a/<id> or /questions/<id>; NULL for another host or an URL that does not parse."""
+    host = F.lower(F.regexp_extract(_c(url), rules.URL_HOST_PATTERN, 1))
     parsed = so_url_kind_id(url)
-    canon = (F.when(parsed["kind"] == "answer",
-                    F.concat(F.lit("https://stackoverflow.com/a/"), parsed["id"].cast("string")))
-             .when(parsed["kind"] == "question",
-                   F.concat(F.lit("https://stackoverflow.com/questions/"), parsed["id"].cast("string"))))
-    return F.when(ok, canon)
+    path = F.when(parsed["kind"] == "answer", F.lit("a/")).otherwise(F.lit("questions/"))
+    return F.when(host.isin(*rules.SO_HOSTS) & parsed.isNotNull(),
+                  F.concat(F.lit("https://stackoverflow.com/"), path, parsed["id"]))
 
 
 # F10 --------------------------------------------------------------------------
@@ -196,27 +202,5 @@ def preview(text, n: int = rules.PREVIEW_CHARS, ellipsis: bool = True) -> Column
     return F.when(F.length(t) > n, F.concat(cut, F.lit("…"))).otherwise(t)
 
 
-def iso_date(ts) -> Column:
-    return F.date_format(_c(ts), "yyyy-MM-dd")
-
-
 def iso_ts(ts) -> Column:
     return F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss")
-
-
-# F16 --------------------------------------------------------------------------
-def l2_normalize(vec) -> Column:
-    v = _c(vec)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"),
-                              lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / norm)
-
-
-def cosine(a, b) -> Column:
-    """Cosine similarity of two equal-length numeric arrays."""
-    x, y = _c(a), _c(b)
-    dot = F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")),
-                      F.lit(0.0).cast("double"), lambda acc, z: acc + z)
-    nx = F.aggregate(x, F.lit(0.0).cast("double"), lambda acc, z: acc + z.cast("double") * z.cast("double"))
-    ny = F.aggregate(y, F.lit(0.0).cast("double"), lambda acc, z: acc + z.cast("double") * z.cast("double"))
-    return dot / F.sqrt(nx * ny)

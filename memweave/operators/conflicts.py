@@ -5,21 +5,21 @@ same (project, type), newest first; for each candidate, rules 1..11 are tried
 in order, then the technology rule (12).  The first hit wins.  So the winner
 is the lexicographic minimum of (candidate order, rule number).
 
-Set form, no nested loop and no pair blow-up:
-
-* rules: the snapshot is reduced to the two first records per
-  (project, type, rule, side) - two, so a record never matches itself when the
-  incoming batch re-offers stored rows - and joined with the incoming sides;
-* technology: the snapshot is reduced to the two first records per
-  (project, type, technology signature); incoming rows join the signatures of
-  their group and keep the disjoint ones.  Distinct signatures per group are few
-  (subsets of a 35-term lexicon that actually occur), so this theta part stays
-  small even when one group holds a third of all rows.
+Set form, no nested loop and no pair blow-up.  Whether and with what a record
+conflicts depends on its (project, type) and its *signature* alone: the rule
+sides and technologies that its text names.  So
+
+* the snapshot is reduced to its first record per (project, type, rule, side) and per
+  (project, type, technologies), one ``min`` with partial aggregation;
+* incoming rows are reduced to their distinct signatures, which meet the other
+  side's few keys; the theta part (disjoint technologies) compares signatures only;
+* the outcome joins back to the rows on the signature, so that rows need no unique id.
+  Rows without any signature get scattered keys that match nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -33,11 +33,6 @@ def order_key(created_at="created_at", id_col="id"):
     return F.struct((-F.unix_micros(F.col(created_at))).alias("k_time"), F.col(id_col).alias("k_id"))
 
 
-def _first_two(df: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("ord")
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= 2).drop("_rn")
-
-
 def with_signals(df: DataFrame, text_col: str, when=None) -> DataFrame:
     """Add ``sides`` (rule flags) and ``tech`` (technology set) computed from text_col.
 
@@ -57,86 +52,86 @@ def sides_type() -> str:
     return "array<struct<rule:int,side:string>>"
 
 
-def detect_conflicts(new: DataFrame, snapshot: DataFrame, *, text_col: str = "text",
-                     exclude_self: bool = True, materialize: bool = True) -> DataFrame:
-    """Conflicts of ``new`` rows against the approved ``snapshot``.
+_KEYS = ["project", "type", "rule", "side", "tech"]
+
+
+def _first_records(snapshot: DataFrame) -> DataFrame:
+    """The first record (order key, id, preview) per rule side and per technology set."""
+    ex = with_signals(snapshot.select("project", "type", "id", "summary", order_key().alias("ord")), "summary")
+    keys = F.concat(
+        F.transform("sides", lambda x: F.struct(x["rule"].alias("rule"), x["side"].alias("side"),
+                                                F.lit(None).cast("array<string>").alias("tech"))),
+        F.when(F.size("tech") > 0, F.array(F.struct(F.lit(TECH_RULE).alias("rule"), F.lit("t").alias("side"),
+                                                    F.col("tech").alias("tech"))))
+        .otherwise(F.array().cast("array<struct<rule:int,side:string,tech:array<string>>>")))
+    return (ex.select("project", "type", "ord", F.col("id").alias("eid"), F.substring("summary", 1, 100).alias("esum"),
+                      F.col("tech").alias("etech"), F.explode(keys).alias("k"))
+            .groupBy("project", "type", "k.rule", "k.side", "k.tech")
+            .agg(F.min(F.struct("ord", "eid", "esum", "etech")).alias("e")))
 
-    new: (id, project, type, <text_col>[, sides, tech]); snapshot: (id, project,
-    type, summary, created_at).  Returns (id, conflict_with, conflict_rule,
-    conflict_description) for rows that conflict.  Each side's regex signals are
-    computed once and checkpointed (reused by three branches).
+
+def with_conflicts(rows: DataFrame, snapshot: DataFrame, text_col: str = "text", when=None) -> DataFrame:
+    """Every row of ``rows`` (project, type, <text_col>, ...) with conflict_with, conflict_rule and
+    conflict_description (null without a conflict).
+
+    snapshot: approved records (id, project, type, summary, created_at).  ``when`` limits the check to
+    some rows.  Repeated or null ids do no harm: rows are never joined by id.
     """
-    ex = (snapshot.select("id", "project", "type", "created_at",
-                          F.substring("summary", 1, 100).alias("_esum"), "summary")
-          .withColumn("ord", order_key()))
-    ex = with_signals(ex, "summary").drop("summary", "created_at")
-    nw = new.select(F.col("id").alias("nid"), "project", "type",
-                    F.substring(text_col, 1, 100).alias("_t100"),
-                    *([F.col("sides"), F.col("tech")] if "sides" in new.columns else [F.col(text_col)]))
-    if "sides" not in new.columns:
-        nw = with_signals(nw, text_col).drop(text_col)
-    nw = nw.withColumnRenamed("tech", "ntech")
-    if materialize:
-        ex = ex.checkpoint()
-        nw = nw.checkpoint()
-
-    ex_rules = _first_two(
-        ex.select("project", "type", "ord", F.col("id").alias("eid"), F.explode("sides").alias("rs"))
-        .select("project", "type", "ord", "eid", F.col("rs.rule").alias("rule"),
-                F.col("rs.side").alias("side")),
-        ["project", "type", "rule", "side"])
-    ex_tech = _first_two(
-        ex.filter((F.size("tech") > 0) & F.col("type").isin(*rules.TECH_CONFLICT_TYPES))
-        .select("project", "type", "ord", F.col("id").alias("eid"), F.col("tech").alias("sig")),
-        ["project", "type", "sig"])
-
-    by_rule = (nw.select("nid", "project", "type", F.explode("sides").alias("rs"))
-               .select("nid", "project", "type", F.col("rs.rule").alias("rule"),
+    own = rows.columns
+    # the patterns run once per row: without the cut, predicates on what they find would be pushed
+    # below them and repeat every pattern many times over
+    nw = with_signals(rows, text_col, when=when).checkpoint()
+    named = F.concat_ws("|", F.array_join(F.transform("sides", lambda x: F.concat(x["rule"].cast("string"), x["side"])), ","),
+                        F.array_join("tech", ","))
+    blank = (F.size("sides") == 0) & (F.size("tech") == 0)
+    scattered = F.concat(F.lit("#"), F.pmod(F.xxhash64(text_col), F.lit(1 << 20)).cast("string"))
+    nw = nw.withColumn("_sig", F.when(blank, scattered).otherwise(named))
+    sigs = nw.where(~blank).select("project", "type", "_sig", "sides", "tech").distinct()
+
+    first = _first_records(snapshot)
+    by_rule = (sigs.select("project", "type", "_sig", F.explode("sides").alias("rs"))
+               .select("project", "type", "_sig", F.col("rs.rule").alias("rule"),
                        F.when(F.col("rs.side") == "a", "b").otherwise("a").alias("side"))
-               .join(ex_rules, ["project", "type", "rule", "side"])
-               .select("nid", "ord", "rule", "eid"))
-    by_tech = (nw.filter((F.size("ntech") > 0) & F.col("type").isin(*rules.TECH_CONFLICT_TYPES))
-               .select("nid", "project", "type", "ntech")
-               .join(ex_tech, ["project", "type"])
-               .filter(~F.arrays_overlap("ntech", "sig"))
-               .select("nid", "ord", F.lit(TECH_RULE).alias("rule"), "eid"))
-
-    cands = by_rule.unionByName(by_tech)
-    if exclude_self:
-        cands = cands.filter(F.col("nid") != F.col("eid"))
-    winners = (cands.groupBy("nid")
-               .agg(F.min(F.struct("ord", "rule", "eid")).alias("w"))
-               .select("nid", F.col("w.eid").alias("conflict_with"),
-                       F.col("w.rule").alias("conflict_rule")))
-
-    detail = (winners.join(ex.select(F.col("id").alias("conflict_with"), "_esum",
-                                     F.col("tech").alias("_etech")), "conflict_with")
-              .join(nw.select("nid", "type", "_t100", "ntech"), "nid"))
+               .join(first.drop("tech"), ["project", "type", "rule", "side"]).select("project", "type", "_sig", "rule", "e"))
+    by_tech = (sigs.where(F.size("tech") > 0).withColumnRenamed("tech", "ntech")
+               .join(first.where(F.col("rule") == TECH_RULE).drop("side"), ["project", "type"])
+               .where(~F.arrays_overlap("ntech", "tech")).select("project", "type", "_sig", "rule", "e"))
+    won = (by_rule.unionByName(by_tech).groupBy("project", "type", "_sig")
+           .agg(F.min(F.struct(F.col("e.ord").alias("ord"), "rule", "e")).alias("_w")))
+
+    out = nw.join(won, ["project", "type", "_sig"], "left")
+    rule, e = F.col("_w.rule"), F.col("_w.e")
     desc = F.when(
-        F.col("conflict_rule") == TECH_RULE,
+        rule == TECH_RULE,
         F.concat(F.lit("Possible technology conflict in '"), F.col("type"),
-                 F.lit("' memories.\n  Existing ["), F.col("conflict_with").cast("string"),
-                 F.lit("] mentions: "), F.array_join("_etech", ", "),
-                 F.lit("\n  New memory mentions: "), F.array_join("ntech", ", "),
+                 F.lit("' memories.\n  Existing ["), e["eid"].cast("string"),
+                 F.lit("] mentions: "), F.array_join(e["etech"], ", "),
+                 F.lit("\n  New memory mentions: "), F.array_join("tech", ", "),
                  F.lit("\n  Please confirm which is correct.")),
     ).otherwise(
-        F.concat(F.lit("Possible "), rule_label(F.col("conflict_rule")),
-                 F.lit(" conflict detected.\n  Existing ["), F.col("conflict_with").cast("string"),
-                 F.lit("]: "), F.col("_esum"),
-                 F.lit("\n  New memory: "), F.col("_t100")))
-    return detail.select(F.col("nid").alias("id"), "conflict_with", "conflict_rule",
-                         desc.alias("conflict_description"))
+        F.concat(F.lit("Possible "), rule_label(rule),
+                 F.lit(" conflict detected.\n  Existing ["), e["eid"].cast("string"),
+                 F.lit("]: "), e["esum"], F.lit("\n  New memory: "), F.substring(text_col, 1, 100)))
+    return out.select(*own, e["eid"].alias("conflict_with"), rule.alias("conflict_rule"),
+                      F.when(rule.isNotNull(), desc).alias("conflict_description"))
+
+
+def detect_conflicts(new: DataFrame, snapshot: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``new`` that conflict: (id, conflict_with, conflict_rule, conflict_description)."""
+    return (with_conflicts(new, snapshot, text_col).where("conflict_with is not null")
+            .select("id", "conflict_with", "conflict_rule", "conflict_description"))
 
 
 def flag_conflicts(mem: DataFrame, gated: DataFrame):
     """Conflict rows to append, and the memory table with conflict_flag set.
 
-    Returns (conflicts_df, mem_with_flags).  Conflict ids are a 64-bit hash of
-    (memory id, description) so a rerun of the same batch is idempotent.
+    Returns (conflicts_df, mem_with_flags).  Conflict ids are a SHA-256 of both
+    ids and the description, so a rerun of the same batch is idempotent.
     """
     hits = gated.filter(F.col("status") == "conflict_detected")
     conflicts = hits.select(
-        F.xxhash64("id", "conflict_with", "conflict_description").alias("id"),
+        F.sha2(F.concat_ws("\n", F.col("id").cast("string"), F.col("conflict_with").cast("string"),
+                           "conflict_description"), 256).alias("id"),
         F.col("id").alias("new_id"),
         F.col("conflict_with").alias("memory_id_a"),
         F.col("conflict_description").alias("description"),

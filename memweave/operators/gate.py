@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.text import (confidence_from_source, invalid_type_reason, is_valid_type,
                               redact, scan_findings)
-from .conflicts import detect_conflicts, with_signals
+from .conflicts import with_conflicts
 
 
 def screen(records: DataFrame, text_col: str = "text") -> DataFrame:
@@ -26,34 +26,22 @@ def screen(records: DataFrame, text_col: str = "text") -> DataFrame:
             .withColumn("confidence", confidence_from_source("source")))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Regex work is CPU-bound per row: when the input has fewer partitions than
-    the cluster has task slots (a few large files), spread it round-robin first.
-    With many input splits (the large-data case) this is a no-op."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
-
-
 def gate(records: DataFrame, snapshot: DataFrame, mode: str = "approval_required",
-         check_conflicts: bool = True, exclude_self: bool = True) -> DataFrame:
+         check_conflicts: bool = True) -> DataFrame:
     """records: (id, project, type, source, text, ...); snapshot: memories table
-    (approved rows are the candidates)."""
+    (approved rows are the candidates).  One row per record, also if ids repeat.
+
+    Every record is checked against the snapshot as it stands before the batch, in
+    every mode: with ``auto``, records of one batch do not see each other.
+    """
     if mode not in rules.APPROVAL_MODES:
         raise ValueError(f"unknown approval mode {mode!r}")
-    s = screen(spread(records))
+    s = screen(records).drop("text")             # the cleaned text stands for it from here on
     passed = F.col("valid_type") & (F.size("findings") == 0)
     if check_conflicts:
-        # one regex pass over the batch; the result feeds both the conflict
-        # branch and the final status, so it is checkpointed once
-        s = with_signals(s, "clean_text", when=passed).checkpoint()
-        approved = snapshot.filter(F.col("approved"))
-        hits = detect_conflicts(s.filter(passed).select("id", "project", "type", "clean_text", "sides", "tech"),
-                                approved, text_col="clean_text", exclude_self=exclude_self)
-        s = s.drop("sides", "tech").join(hits, "id", "left")
+        s = with_conflicts(s, snapshot.filter(F.col("approved")), "clean_text", when=passed)
     else:
-        s = (s.withColumn("conflict_with", F.lit(None).cast("bigint"))
+        s = (s.checkpoint().withColumn("conflict_with", F.lit(None).cast("bigint"))
              .withColumn("conflict_rule", F.lit(None).cast("int"))
              .withColumn("conflict_description", F.lit(None).cast("string")))
     final = "stored" if mode == "auto" else "pending"

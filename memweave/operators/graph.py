@@ -7,12 +7,9 @@ pairs are never listed; instead, per node u with tag set T(u) and group g(u):
 
 * U(u)  = |union of tag groups of u|         (u included)
 * Ug(u) = |union of tag groups of u within g(u)|
-* both by inclusion-exclusion over the non-empty subsets S of T(u), with
-  n_S = #nodes whose tag set contains S (partial aggregation on S, so a hot
-  tag costs one counter, not a quadratic pair list);
-* nodes with more than ``MAX_SUBSET_TAGS`` tags use an exact direct
-  enumeration of their tag groups instead, and are added to the counts n_S of
-  the subsets they contain.
+* both depend on the tag set alone, so nodes are first counted per (tag set, type);
+  tag sets that share a tag meet at the least tag that they share, once, and their counts are
+  summed.  Nodes never meet nodes: a tag set that a million nodes carry is one row.
 
 Then, with P = explicit pairs (materialised; they come from data links):
 
@@ -22,7 +19,9 @@ Then, with P = explicit pairs (materialised; they come from data links):
 * same_type edges  = sum C(n_g, 2) - sum (Ug-1)/2 - |P in one group not sharing a tag|
 * components: every group is a clique, so groups are super-nodes joined by a
   shared tag or an explicit link; min-label propagation runs on super-nodes
-  (at most #types per project) with a checkpoint per round.
+  with a checkpoint per round, until no label changes.
+
+The summary works on a narrow copy of the nodes without texts, written once.
 
 Self-loops (repeated tag, self link) are dropped.
 """
@@ -35,9 +34,6 @@ from pyspark.sql import functions as F
 from .. import rules
 from .conflicts import order_key
 
-MAX_SUBSET_TAGS = 12
-MAX_LABEL_ROUNDS = 64
-
 
 def nodes(mem: DataFrame) -> DataFrame:
     """Approved memories as nodes; tags de-duplicated keeping first occurrence."""
@@ -48,6 +44,11 @@ def nodes(mem: DataFrame) -> DataFrame:
             .withColumn("ord", order_key()))
 
 
+def narrow(nd: DataFrame) -> DataFrame:
+    """What the counts need of the nodes, written once: no texts."""
+    return nd.select("project", "id", "type", "tags", "related_to", "ord").checkpoint()
+
+
 def explicit_pairs(nd: DataFrame) -> DataFrame:
     """Distinct explicit pairs (project, src < dst) whose ends are both nodes of the project,
     with share (any common tag) and same (same type) flags."""
@@ -63,53 +64,27 @@ def explicit_pairs(nd: DataFrame) -> DataFrame:
                     (F.col("ts") == F.col("td")).alias("same"), F.col("ts"), F.col("td")))
 
 
-def _subsets(tags_col: str):
-    return F.expr(f"transform(sequence(1, shiftleft(1, size({tags_col})) - 1), "
-                  f"m -> filter({tags_col}, (t, i) -> (shiftright(m, i) & 1) = 1))")
-
-
 def tag_union_sizes(nd: DataFrame) -> DataFrame:
     """(project, id, U, Ug) for every node (1, 1 when it has no tags)."""
-    tagged = nd.filter(F.size("tags") > 0).select("project", "id", "type",
-                                                  F.array_sort("tags").alias("tags"))
-    light = tagged.filter(F.size("tags") <= MAX_SUBSET_TAGS)
-    heavy = tagged.filter(F.size("tags") > MAX_SUBSET_TAGS)
-
-    subs = (light.select("project", "id", "type", F.explode(_subsets("tags")).alias("S"))
-            .withColumn("sign", F.when(F.size("S") % 2 == 1, 1).otherwise(-1)))
-    cnt = subs.groupBy("project", "type", "S").agg(F.count(F.lit(1)).alias("n"))
-
-    # heavy nodes add to the counts of the light subsets they contain
-    hs = heavy.select("project", F.col("type").alias("htype"), F.col("id").alias("hid"),
-                      F.explode("tags").alias("t"))
-    sd = cnt.select("project", "S").distinct().select("project", "S", F.explode("S").alias("t"))
-    contain = (sd.join(hs, ["project", "t"])
-               .groupBy("project", "S", "hid", "htype").agg(F.count(F.lit(1)).alias("m"))
-               .filter(F.col("m") == F.size("S"))
-               .groupBy("project", "S", F.col("htype").alias("type")).agg(F.count(F.lit(1)).alias("n")))
-    cnt_all = cnt.unionByName(contain).groupBy("project", "type", "S").agg(F.sum("n").alias("n"))
-    cnt_p = cnt_all.groupBy("project", "S").agg(F.sum("n").alias("n_p"))
-    light_sizes = (subs.join(cnt_all, ["project", "type", "S"]).join(cnt_p, ["project", "S"])
-                   .groupBy("project", "id")
-                   .agg(F.sum(F.col("sign") * F.col("n_p")).alias("U"),
-                        F.sum(F.col("sign") * F.col("n")).alias("Ug")))
-
-    members = nd.select("project", F.col("id").alias("vid"), F.col("type").alias("vtype"),
+    tagged = nd.select("project", "id", "type", F.array_sort("tags").alias("tags"))
+    sets = (tagged.filter(F.size("tags") > 0).groupBy("project", "tags", "type").agg(F.count(F.lit(1)).alias("n")))
+    left = sets.select("project", "tags").distinct().select("project", "tags", F.explode("tags").alias("t"))
+    right = sets.select("project", F.col("tags").alias("other"), F.col("type").alias("otype"), "n",
                         F.explode("tags").alias("t"))
-    heavy_sizes = (heavy.select("project", "id", "type", F.explode("tags").alias("t"))
-                   .join(members, ["project", "t"])
-                   .select("project", "id", "vid", (F.col("vtype") == F.col("type")).alias("same"))
-                   .distinct()
-                   .groupBy("project", "id")
-                   .agg(F.count(F.lit(1)).alias("U"), F.count_if("same").alias("Ug")))
-    sizes = light_sizes.unionByName(heavy_sizes)
-    return (nd.select("project", "id").join(sizes, ["project", "id"], "left")
+    met = (left.join(right, ["project", "t"])
+           .filter(F.col("t") == F.element_at(F.array_intersect("tags", "other"), 1))      # sorted: the least one
+           .groupBy("project", "tags", "otype").agg(F.sum("n").alias("m")))
+    whole = met.groupBy("project", "tags").agg(F.sum("m").alias("U"))
+    inner = met.select("project", "tags", F.col("otype").alias("type"), F.col("m").alias("Ug"))
+    sizes = sets.join(whole, ["project", "tags"]).join(inner, ["project", "tags", "type"]).select(
+        "project", "tags", "type", "U", "Ug")
+    return (tagged.join(sizes, ["project", "tags", "type"], "left")
             .select("project", "id", F.coalesce("U", F.lit(1)).cast("bigint").alias("U"),
                     F.coalesce("Ug", F.lit(1)).cast("bigint").alias("Ug")))
 
 
 def degrees(nd: DataFrame, pairs: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
-    """(project, id, degree, type, ord, summary) per node."""
+    """(project, id, degree, type, ord) per node."""
     pairs = explicit_pairs(nd) if pairs is None else pairs
     sizes = tag_union_sizes(nd) if sizes is None else sizes
     ends = pairs.select("project", F.col("src").alias("id"), "share", "same").unionByName(
@@ -118,12 +93,12 @@ def degrees(nd: DataFrame, pairs: DataFrame | None = None, sizes: DataFrame | No
         F.count(F.lit(1)).alias("ex"), F.count_if("share").alias("ex_tag"),
         F.count_if(F.col("same") & ~F.col("share")).alias("ex_grp"))
     ng = nd.groupBy("project", "type").agg(F.count(F.lit(1)).alias("n_g"))
-    d = (nd.select("project", "id", "type", "ord", "summary")
+    d = (nd.select("project", "id", "type", "ord")
          .join(ng, ["project", "type"]).join(sizes, ["project", "id"])
          .join(ex, ["project", "id"], "left").fillna(0, ["ex", "ex_tag", "ex_grp"]))
     deg = (F.col("ex") + (F.col("U") - 1) - F.col("ex_tag")
            + (F.col("n_g") - 1) - (F.col("Ug") - 1) - F.col("ex_grp"))
-    return d.select("project", "id", "type", "ord", "summary", deg.cast("bigint").alias("degree"))
+    return d.select("project", "id", "type", "ord", deg.cast("bigint").alias("degree"))
 
 
 def edge_counts(nd: DataFrame, pairs: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
@@ -157,44 +132,46 @@ def group_components(nd: DataFrame, pairs: DataFrame | None = None) -> DataFrame
     edges = e.unionByName(e.select("project", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = edges.checkpoint()
     labels = groups.select("project", "type", F.col("type").alias("label")).checkpoint()
-    for _ in range(MAX_LABEL_ROUNDS):
+    changed = True
+    while changed:
         pulled = (edges.join(labels.select("project", F.col("type").alias("b"), F.col("label").alias("lb")),
                              ["project", "b"])
                   .groupBy("project", F.col("a").alias("type")).agg(F.min("lb").alias("lb")))
         nxt = (labels.join(pulled, ["project", "type"], "left")
                .select("project", "type", F.least("label", F.coalesce("lb", "label")).alias("label"))
                .checkpoint())
-        changed = nxt.join(labels.withColumnRenamed("label", "old"), ["project", "type"]).filter(
-            F.col("label") != F.col("old")).limit(1).count()
+        changed = not nxt.join(labels.withColumnRenamed("label", "old"), ["project", "type"]).filter(
+            F.col("label") != F.col("old")).isEmpty()
         labels = nxt
-        if changed == 0:
-            break
     return labels.join(groups, ["project", "type"])
 
 
 def summary(mem: DataFrame) -> DataFrame:
     """G4 per project: nodes, edges, components, largest component, most connected
     (id, degree, summary[:120]) and edge counts by reason."""
-    nd = nodes(mem)
-    pairs = explicit_pairs(nd)
-    sizes = tag_union_sizes(nd)
-    deg = degrees(nd, pairs, sizes)
+    nd = narrow(nodes(mem))
+    pairs = explicit_pairs(nd).checkpoint()
+    sizes = tag_union_sizes(nd).checkpoint()
     counts = edge_counts(nd, pairs, sizes)
     comp = (group_components(nd, pairs).groupBy("project", "label").agg(F.sum("n_g").alias("size"))
             .groupBy("project").agg(F.count(F.lit(1)).alias("components"),
                                     F.max("size").alias("largest_component")))
-    top = (deg.groupBy("project")
-           .agg(F.count(F.lit(1)).alias("nodes"),
-                F.min(F.struct((-F.col("degree")).alias("nd"), F.col("ord"), F.col("id"),
-                               F.substring("summary", 1, rules.PREVIEW_CHARS).alias("summary"))).alias("top")))
-    return (top.join(counts, "project").join(comp, "project")
+    top = _top(degrees(nd, pairs, sizes))
+    text = mem.select(F.col("id").alias("most_connected_id"),
+                      F.substring("summary", 1, rules.PREVIEW_CHARS).alias("most_connected_summary"))
+    return (top.join(counts, "project").join(comp, "project").join(text, "most_connected_id")
             .select("project", "nodes",
                     (F.col("explicit") + F.col("shared_tag") + F.col("same_type")).alias("edges"),
-                    "components", "largest_component",
-                    F.col("top.id").alias("most_connected_id"),
-                    (-F.col("top.nd")).alias("most_connected_degree"),
-                    F.col("top.summary").alias("most_connected_summary"),
-                    "explicit", "shared_tag", "same_type"))
+                    "components", "largest_component", "most_connected_id", "most_connected_degree",
+                    "most_connected_summary", "explicit", "shared_tag", "same_type"))
+
+
+def _top(deg: DataFrame) -> DataFrame:
+    """Per project: number of nodes, and the node of highest degree (ties: the earliest listed)."""
+    return (deg.groupBy("project").agg(F.count(F.lit(1)).alias("nodes"),
+                                       F.min(F.struct((-F.col("degree")).alias("nd"), "ord", "id")).alias("t"))
+            .select("project", "nodes", F.col("t.id").alias("most_connected_id"),
+                    (-F.col("t.nd")).alias("most_connected_degree")))
 
 
 def tag_ranks(nd: DataFrame) -> DataFrame:
@@ -210,9 +187,6 @@ def neighbors(mem: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:
     Expansion goes through memberships (type groups, tag groups, explicit links),
     so each round costs the size of the reached set, never pairs.
     """
-    if depth < 1:
-        return (mem.sparkSession.createDataFrame(
-            [], "start bigint, id bigint, hop int, connection string, weight double"))
     nd = nodes(mem)
     pairs = explicit_pairs(nd)
     adj = pairs.select("project", F.col("src").alias("id"), F.col("dst").alias("nb")).unionByName(
@@ -223,6 +197,8 @@ def neighbors(mem: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:
         nd.select(F.col("id").alias("start"), "project"), "start")
     frontier = seeds.select("project", "start", F.col("start").alias("id"))
     visited = None
+    if depth < 1:                                       # nothing is reached
+        visited = frontier.withColumn("hop", F.lit(0)).limit(0)
     for hop in range(1, depth + 1):
         by_type = (frontier.join(types, ["project", "id"]).select("project", "start", "type").distinct()
                    .join(types, ["project", "type"]).select("project", "start", "id"))
@@ -239,7 +215,8 @@ def neighbors(mem: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:
 
     # direct-edge reason for hop 1
     ranks = tag_ranks(nd)
-    st = (tags.withColumnRenamed("id", "start")).join(ranks, ["project", "tag"])
+    st = (tags.withColumnRenamed("id", "start").join(seeds, ["project", "start"], "left_semi")
+          .join(ranks, ["project", "tag"]))
     shared = (visited.filter(F.col("hop") == 1).join(st, ["project", "start"])
               .join(tags, ["project", "id", "tag"])
               .groupBy("project", "start", "id").agg(F.min_by("tag", "trank").alias("first_tag")))
@@ -264,4 +241,4 @@ def neighbors(mem: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:
 
 def most_connected(mem: DataFrame) -> DataFrame:
     """(project, start) - highest degree, ties to the earliest listed."""
-    return summary(mem).select("project", F.col("most_connected_id").alias("start"))
+    return _top(degrees(narrow(nodes(mem)))).select("project", F.col("most_connected_id").alias("start"))

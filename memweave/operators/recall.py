@@ -1,19 +1,16 @@
 """Recall: cosine top-k (T1), recall with citations (T2, D1), pattern recall
-(T3), debug suggestions (T5, A7, U1) and the vector index (S9, S10, A6, P8).
-
-Plan: the metadata filter runs first (it reaches the Parquet scan); the query
-block is broadcast (its size is checked, larger query sets are cut into
-blocks); each index partition scores its rows against the block with numpy
-inside ``mapInPandas`` and emits only its local top-k per query (ties broken by
-id, so the union of local top-k sets holds the global top-k); one shuffle on
-the query key then keeps ``row_number() <= k``.  Work is O(queries x vectors)
-but the shuffle carries O(queries x k x partitions) rows.
+(T3), debug suggestions (T5, A7, U1), text recall and the vector index (S9, S10, A6, P8).
+
+Plan: the metadata filter runs first (it reaches the Parquet scan).  Queries
+are dealt to blocks and index rows to tiles by hashes, both of bounded sizes; each
+(tile, block) pair is one group, whose score matrix is computed a slice of rows at a
+time and pruned to the k best per query after each slice (ties broken by id, so the
+union of local top-k sets holds the global top-k).  One shuffle on the query key
+then keeps ``row_number() <= k``.  Nothing passes through the driver but two counts.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,7 +19,7 @@ from pyspark.sql import types as T
 
 from .. import rules
 
-MAX_QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+TILE_ROWS, BLOCK_QUERIES, SLICE_ROWS = 8192, 512, 1024
 
 
 def vector_index(mem: DataFrame, embeddings: DataFrame, id_col: str = "vec_id") -> DataFrame:
@@ -44,55 +41,41 @@ def label_centroids(embeddings: DataFrame) -> DataFrame:
             .select(F.col("label").cast("bigint").alias("query_id"), "qvec"))
 
 
-def _local_topk(ids: np.ndarray, groups: np.ndarray | None, scores: np.ndarray, k: int):
-    """Rows (query index j, row index) of the top k per query column, ties -> smaller id."""
-    out_q, out_r = [], []
-    n, nq = scores.shape
-    if n == 0:
-        return np.array([], dtype=int), np.array([], dtype=int)
-    for j in range(nq):
-        col = scores[:, j]
-        if n > k:
-            kth = np.partition(col, n - k)[n - k]
-            cand = np.nonzero(col >= kth)[0]
-        else:
-            cand = np.arange(n)
-        order = np.lexsort((ids[cand], -col[cand]))
-        sel = cand[order[:k]]
-        out_q.append(np.full(len(sel), j))
-        out_r.append(sel)
-    return np.concatenate(out_q), np.concatenate(out_r)
-
-
-def _scorer(qids, qmat, k, group_col):
-    qn = qmat / np.linalg.norm(qmat, axis=1, keepdims=True)
-
-    def run(batches):
-        keep = []
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            mat = mat / np.linalg.norm(mat, axis=1, keepdims=True)
-            sims = mat @ qn.T
-            ids = pdf["id"].to_numpy()
-            if group_col is None:
-                gsets = [(None, np.arange(len(pdf)))]
+def _best(found: pd.DataFrame, by: list[str], k: int) -> pd.DataFrame:
+    return found.sort_values([*by, "score", "id"], ascending=[True] * len(by) + [False, True]).groupby(
+        by, sort=False).head(k)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; a zero vector stays zero, so that its cosine with anything is 0."""
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def _scorer(k: int, group_col: str | None):
+    by = ["query_id"] + ([group_col] if group_col else [])
+    names = ["query_id", "id", "score"] + ([group_col] if group_col else [])
+
+    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        kept = pd.DataFrame({c: [] for c in names})
+        if len(rows) == 0 or len(queries) == 0:
+            return kept
+        qids = queries["query_id"].to_numpy()
+        q = _unit(np.stack(queries["qvec"].to_numpy()).astype(np.float64))
+        for lo in range(0, len(rows), SLICE_ROWS):
+            part = rows.iloc[lo: lo + SLICE_ROWS]
+            sims = _unit(np.stack(part["embedding"].to_numpy()).astype(np.float64)) @ q.T
+            n = len(part)
+            if group_col is None and n > k:            # only what reaches a query's k-th best of this slice
+                at, of = np.nonzero(sims >= np.partition(sims, n - k, axis=0)[n - k])
             else:
-                g = pdf[group_col].to_numpy()
-                gsets = [(v, np.nonzero(g == v)[0]) for v in pd.unique(g)]
-            for gv, rows in gsets:
-                qj, ri = _local_topk(ids[rows], None, sims[rows], k)
-                sel = rows[ri]
-                part = pd.DataFrame({"query_id": qids[qj], "id": ids[sel], "score": sims[sel, qj]})
-                if group_col is not None:
-                    part[group_col] = gv
-                keep.append(part)
-        if keep:
-            allp = pd.concat(keep, ignore_index=True)
-            allp = allp.sort_values(["query_id"] + ([group_col] if group_col else []) + ["score", "id"],
-                                    ascending=[True] + ([True] if group_col else []) + [False, True])
-            yield allp.groupby(["query_id"] + ([group_col] if group_col else []), sort=False).head(k)
+                at, of = (x.ravel() for x in np.indices(sims.shape))
+            found = {"query_id": qids[of], "id": part["id"].to_numpy()[at], "score": sims[at, of]}
+            if group_col:
+                found[group_col] = part[group_col].to_numpy()[at]
+            found = pd.DataFrame(found)
+            kept = _best(found if len(kept) == 0 else pd.concat([kept, found], ignore_index=True), by, k)
+        return kept[names]
     return run
 
 
@@ -113,36 +96,20 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = rules.RECALL_TOP_K,
         idx = idx.filter(F.col("type") == type_)
     if types:
         idx = idx.filter(F.col("type").isin(*types))
-    cols = ["id", "embedding"] + ([group_col] if group_col else [])
-    idx = idx.select(*cols)
-
-    fields = [T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()),
-              T.StructField("score", T.DoubleType())]
-    if group_col:
-        fields.append(T.StructField(group_col, idx.schema[group_col].dataType))
-    schema = T.StructType(fields)
-
-    n_queries = queries.count()
-    dim = len(queries.select("qvec").first()[0]) if n_queries else 0
-    per_block = max(1, MAX_QUERY_BLOCK_BYTES // max(1, dim * 8 + 16))
-    n_blocks = max(1, math.ceil(n_queries / per_block))
-    parts = []
-    for b in range(n_blocks):
-        block = queries if n_blocks == 1 else queries.filter(
-            F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        pdf = block.select("query_id", "qvec").toPandas()
-        if pdf.empty:
-            continue
-        qids = pdf["query_id"].to_numpy().astype(np.int64)
-        qmat = np.stack(pdf["qvec"].to_numpy()).astype(np.float64)
-        parts.append(idx.mapInPandas(_scorer(qids, qmat, k, group_col), schema))
-    if not parts:
-        return idx.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    keys = ["query_id"] + ([group_col] if group_col else [])
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("id"))
+    group = [group_col] if group_col else []
+    idx = idx.select("id", "embedding", *group).where("embedding is not null")
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()),
+                           T.StructField("score", T.DoubleType()),
+                           *[T.StructField(c, idx.schema[c].dataType) for c in group]])
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "qvec")
+    tiles, blocks = (max(1, -(-df.count() // size)) for df, size in ((idx, TILE_ROWS), (queries, BLOCK_QUERIES)))
+    rows = (idx.withColumn("_tile", F.pmod(F.xxhash64("id"), F.lit(tiles)))
+            .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    asked = (queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+             .withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))))
+    scored = (rows.groupBy("_tile", "_block").cogroup(asked.groupBy("_t", "_b"))
+              .applyInPandas(_scorer(k, group_col), schema))
+    w = Window.partitionBy("query_id", *group).orderBy(F.col("score").desc(), F.col("id"))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -152,14 +119,16 @@ def recall(mem: DataFrame, index: DataFrame, queries: DataFrame, k: int = rules.
     after the cut (so a query may return fewer than k)."""
     if type_ is not None and type_ not in rules.MEMORY_TYPES:
         raise ValueError(f"Invalid memory type '{type_}'")
-    hits = top_k(index, queries, k, project=project, type_=type_)
-    docs = index.select("id", "document")
-    cite = mem.select("id", "source", "project", "type", "created_at", "confidence",
-                      "related_files", "tags", "so_url")
-    return (hits.join(docs, "id").join(cite, "id")
-            .select("query_id", "rank", "id", F.col("document").alias("summary"),
-                    F.round("score", 4).alias("score"), "source", "project", "type",
-                    "created_at", "confidence", "related_files", "tags", "so_url"))
+    return cite(mem, top_k(index, queries, k, project=project, type_=type_))
+
+
+def cite(mem: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits with their memories' text and citation; hits without a memory are dropped."""
+    return (hits.select("query_id", "rank", "id", "score").join(
+        mem.select("id", F.col("summary"), "source", "project", "type", "created_at", "confidence", "related_files",
+                   "tags", "so_url"), "id")
+        .select("query_id", "rank", "id", "summary", F.round("score", 4).alias("score"), "source", "project", "type",
+                "created_at", "confidence", "related_files", "tags", "so_url"))
 
 
 def recall_patterns(mem: DataFrame, index: DataFrame, queries: DataFrame,
@@ -170,26 +139,66 @@ def recall_patterns(mem: DataFrame, index: DataFrame, queries: DataFrame,
                     F.date_format("created_at", "yyyy-MM-dd").alias("created_at"))
 
 
-DEBUG_TYPES = ("bug", "fix", "pattern")
-
-
 def debug_suggest(mem: DataFrame, index: DataFrame, queries: DataFrame,
                   k: int = rules.RECALL_TOP_K, project: str | None = None) -> DataFrame:
     """T5: top-k per type for bug/fix/pattern, cite (drop orphans), keep the best
-    hit per id, then the top k by score.  so_url only on patterns."""
+    hit per id, then the top k by the score as shown (4 places), ties in the
+    order bug, fix, pattern and within a type by rank.  so_url only on patterns."""
     if k < 1:
         raise ValueError("top_k must be at least 1.")
-    per_type = top_k(index, queries, k, group_col="type", project=project, types=DEBUG_TYPES)
-    docs = index.select("id", "document")
-    cite = mem.select("id", "source", "confidence", "created_at", "so_url")
-    hits = per_type.join(docs, "id").join(cite, "id")
-    best = (hits.groupBy("query_id", "id")
-            .agg(F.max_by(F.struct("type", "document", "score", "source", "confidence", "created_at",
-                                   "so_url"), F.col("score")).alias("b"))
-            .select("query_id", "id", "b.*"))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
-    top = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select("query_id", "rank", "id", "type", F.col("document").alias("summary"),
-                      F.round("score", 4).alias("score"), "source", "confidence",
+    per_type = top_k(index, queries, k, group_col="type", project=project, types=rules.DEBUG_TYPES)
+    hits = (per_type.withColumnRenamed("rank", "trank").join(
+        mem.select("id", "summary", "source", "confidence", "created_at", "so_url"), "id")
+        .withColumn("score", F.round("score", 4))
+        .withColumn("tpos", F.array_position(F.array(*map(F.lit, rules.DEBUG_TYPES)), F.col("type"))))
+    order = [F.col("score").desc(), F.col("tpos"), F.col("trank"), F.col("id")]
+    best = (hits.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "id").orderBy(*order)))
+            .filter("_n = 1"))
+    top = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(
+        F.col("rank") <= k)
+    return top.select("query_id", "rank", "id", "type", "summary", "score", "source", "confidence",
                       F.date_format("created_at", "yyyy-MM-dd").alias("created_at"),
                       F.when(F.col("type") == "pattern", F.col("so_url")).alias("so_url"))
+
+
+# ------------------------------------------------------------------ text recall
+WORDS = r"[\p{L}\p{N}_]+"
+
+
+def _counts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, tf): lower-case words of each text."""
+    words = F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORDS), 0))
+    return texts.select(key, words.alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def recall_text(mem: DataFrame, queries: DataFrame, k: int = rules.RECALL_TOP_K, project: str | None = None,
+                type_: str | None = None) -> DataFrame:
+    """T2 from query texts: (query_id, text) -> cited top k of the approved memories.
+
+    Score: cosine of TF-IDF vectors, weight (1 + ln tf) * (ln((N + 1) / (df + 1)) + 1) with N and df over the
+    approved memories searched.  A memory's tokens are summed to its length first; only tokens
+    that some query holds go on, with the memory's id, to the query tokens, and partial sums
+    are combined before the shuffle by (query, memory).  Memories sharing no token have score 0 and are no hits.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    searched = mem.filter(F.col("approved"))
+    if project:
+        searched = searched.filter(F.col("project") == project)
+    if type_:
+        searched = searched.filter(F.col("type") == type_)
+    tf = _counts(searched, "id", "summary")
+    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    total = searched.agg(F.count(F.lit(1)).alias("n"))
+    idf = df.join(F.broadcast(total)).select(          # total: one row
+        "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    weight = (1 + F.log("tf")) * F.col("idf")
+    docs = tf.join(idf, "token").select("id", "token", weight.alias("w"))
+    size = docs.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    q = _counts(queries, "query_id", "text").join(idf, "token").select("query_id", "token", weight.alias("qw"))
+    qsize = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qsize"))
+    dot = docs.join(q, "token").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    scored = (dot.join(size, "id").join(qsize, "query_id")
+              .select("query_id", "id", F.round(F.col("dot") / (F.col("size") * F.col("qsize")), 9).alias("score")))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return cite(mem, scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))

@@ -68,43 +68,71 @@ def _section(header: str, items):
                   ).otherwise(F.lit(""))
 
 
-PR_SECTIONS = (("decision", "**Key decisions:**", 3), ("fix", "**Fixes included:**", 3),
-               ("bug", "**Bugs addressed:**", 3), ("architecture", "**Architecture notes:**", 2))
+def relevant_memories(mem: DataFrame, hits: DataFrame, n: int = rules.PR_ITEMS) -> DataFrame:
+    """(project, rank, id, type, summary): the first n hits per project that still have a memory.
 
+    hits: (project, rank, id), e.g. ``recall.top_k`` of the context's vector with ``group_col="project"``."""
+    kept = hits.select("project", F.col("rank").alias("_r"), "id").join(mem.select("id", "type", "summary"), "id")
+    w = Window.partitionBy("project").orderBy("_r", "id")
+    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(
+        "project", "rank", "id", "type", "summary")
 
-def pr_drafts(mem: DataFrame, context: str = "") -> DataFrame:
-    """C4 for every project: markdown template, total and types referenced.
 
-    ``context`` is the free text shown under the summary heading; the
-    semantic "relevant" block needs query vectors and is produced by
-    ``recall.recall`` when the caller has them.
+def pr_drafts(mem: DataFrame, context: str = "", hits: DataFrame | None = None) -> DataFrame:
+    """C4 for every project, those without approved memories too: markdown template, total and types referenced.
+
+    ``context`` stands under the summary heading; with a context, ``hits`` (see
+    ``relevant_memories``) give the block of relevant memories.
     """
     approved = mem.filter(F.col("approved"))
-    totals = approved.groupBy("project").agg(F.count(F.lit(1)).alias("total_memories"))
-    top = newest_per_type(mem, 5, [t for t, _h, _k in PR_SECTIONS])
+    totals = mem.groupBy("project").agg(F.count_if("approved").alias("total_memories"))
+    sections = rules.PR_SECTIONS
+    top = newest_per_type(mem, rules.PR_ITEMS, [t for t, _h, _k in sections])
     per_project = top.groupBy("project").agg(
         F.sort_array(F.collect_list(F.struct("type", "rank", "summary", "id"))).alias("top"))
-    secs = [_section(h, _items(t, k, rules.PR_LINE_CHARS)) for t, h, k in PR_SECTIONS]
-    n_types = sum(F.when(F.exists(F.col("top"), _type_is(t)), 1).otherwise(0)
-                  for t, _h, _k in PR_SECTIONS)
+    secs = [_section(h, _items(t, k, rules.PR_LINE_CHARS)) for t, h, k in sections]
+    n_types = sum(F.when(F.exists(F.col("top"), _type_is(t)), 1).otherwise(0) for t, _h, _k in sections)
     ctx = context.strip()
     head = "## Summary\n\n" + (ctx + "\n\n" if ctx else "")
     df = totals.join(per_project, "project", "left").withColumn(
         "top", F.coalesce("top", F.array().cast(per_project.schema["top"].dataType)))
-    template = F.concat(F.lit(head), *secs, F.lit("## Test plan\n\n- [ ] ...\n\n_Generated from "),
+    block = F.lit("")
+    if ctx and hits is not None:
+        heading, n = rules.PR_RELEVANT
+        lines = relevant_memories(approved, hits, n).groupBy("project").agg(F.sort_array(F.collect_list(F.struct(
+            "rank", F.concat(F.lit("- ["), "type", F.lit("] "), F.substring("summary", 1, rules.PR_LINE_CHARS))
+            .alias("line")))).alias("_rel"))
+        df = df.join(lines, "project", "left")
+        block = F.when(F.col("_rel").isNotNull(), F.concat(
+            F.lit(heading + "\n"), F.array_join(F.transform("_rel", lambda x: x["line"]), "\n"), F.lit("\n\n"))).otherwise("")
+    template = F.concat(F.lit(head), block, *secs, F.lit("## Test plan\n\n- [ ] ...\n\n_Generated from "),
                         F.col("project"), F.lit(" memory — "), n_types.cast("string"),
                         F.lit(" memory types referenced._"))
     return df.select("project", template.alias("template"), "total_memories",
                      n_types.alias("types_referenced"))
 
 
-def portfolio_lines(mem: DataFrame) -> DataFrame:
-    """C5 markdown per project as ordered lines (project, section, ord, line).
+def pr_draft_items(mem: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """C4's lists as rows (project, section, rank, id, summary): the newest five of each type cut to
+    120 characters, and of ``hits`` the first five, whole."""
+    items = newest_per_type(mem, rules.PR_ITEMS, [t for t, _h, _k in rules.PR_SECTIONS]).select(
+        "project", F.col("type").alias("section"), "rank", "id",
+        F.substring("summary", 1, rules.PREVIEW_CHARS).alias("summary"))
+    if hits is None:
+        return items
+    return items.unionByName(relevant_memories(mem.filter(F.col("approved")), hits).select(
+        "project", F.lit("relevant").alias("section"), "rank", "id", "summary"))
+
+
+def portfolio_lines(mem: DataFrame, all_projects: bool = False) -> DataFrame:
+    """C5 markdown per project (or one for all projects, ``all``) as ordered lines (project, section, ord, line).
 
     Highlights and achievements are uncut; decisions and architecture keep the
     newest five, cut to 120 characters.  Projects with none of the four types
     get the empty-state text.
     """
+    if all_projects:
+        mem = mem.withColumn("project", F.lit("all"))
     m = mem.filter(F.col("approved"))
     date = F.date_format("created_at", "yyyy-MM-dd")
     full = (m.filter(F.col("type").isin("portfolio", "resume"))
@@ -119,22 +147,18 @@ def portfolio_lines(mem: DataFrame) -> DataFrame:
                    F.concat(F.lit("- "), F.substring("summary", 1, rules.PREVIEW_CHARS)).alias("line")))
     items = full.unionByName(cut)
     present = items.select("project", "section").distinct()
-    headers = {1: "## Highlights\n", 2: "## Achievements\n", 3: "## Key Technical Decisions\n",
-               4: "## Architecture Notes\n"}
-    hmap = F.create_map(*[x for k, v in headers.items() for x in (F.lit(k), F.lit(v))])
+    hmap = F.create_map(*[x for k, v in enumerate(rules.PORTFOLIO_HEADINGS, start=1) for x in (F.lit(k), F.lit(v + "\n"))])
     first = F.struct(F.lit(-(2 ** 62)).cast("bigint").alias("k_time"), F.lit(None).cast("bigint").alias("k_id"))
     last = F.struct(F.lit(2 ** 62).cast("bigint").alias("k_time"), F.lit(None).cast("bigint").alias("k_id"))
     head_rows = present.select("project", "section", first.alias("ord"), hmap[F.col("section")].alias("line"))
     blank_rows = present.select("project", "section", last.alias("ord"), F.lit("").alias("line"))
     projects = mem.select("project").distinct()
     title = projects.select("project", F.lit(0).alias("section"), first.alias("ord"),
-                            F.concat(F.lit("# Portfolio — "), F.col("project"), F.lit("\n")).alias("line"))
+                            (F.lit("# Portfolio\n") if all_projects else
+                             F.concat(F.lit("# Portfolio — "), F.col("project"), F.lit("\n"))).alias("line"))
     empty = projects.join(present.select("project").distinct(), "project", "left_anti")
-    empty_lines = ["_No portfolio, resume, decision, or architecture memories found._\n",
-                   "Store some with:\n", "```", "memweave remember \"...\" --type portfolio",
-                   "memweave remember \"...\" --type resume", "```"]
     empty_rows = empty.select("project", F.lit(5).alias("section"),
-                              F.posexplode(F.array(*[F.lit(x) for x in empty_lines])).alias("pos", "line")
+                              F.posexplode(F.array(*[F.lit(x) for x in rules.PORTFOLIO_EMPTY])).alias("pos", "line")
                               ).select("project", "section",
                                        F.struct(F.col("pos").cast("bigint").alias("k_time"),
                                                 F.lit(None).cast("bigint").alias("k_id")).alias("ord"),

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import iso_ts, parse_json_list, preview
+from ..functions.text import iso_ts, preview
 
 
 # P1 / P2 / P7 -----------------------------------------------------------------
@@ -149,20 +149,19 @@ def approve(mem: DataFrame, approvals: DataFrame):
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order_col: str) -> DataFrame:
-    """Latest-wins resolution of change rows (ties: larger order value, then row content)."""
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns]), F.col(order_col)).alias("_r"))
-    return best.select("_r.*")
+    """Latest-wins resolution of change rows (ties: larger row content)."""
+    rest = [c for c in df.columns if c not in keys and c != order_col]
+    best = df.groupBy(*keys).agg(F.max(F.struct(order_col, *rest)).alias("_r"))
+    return best.select(*keys, "_r.*").select(*df.columns)
 
 
 def upsert_vectors(index: DataFrame, updates: DataFrame, version_col: str = "version") -> DataFrame:
-    """Updates replace index rows with the same id (left-anti + union)."""
-    kept = index.join(updates.select("id").distinct(), "id", "left_anti")
-    return kept.unionByName(updates.select(*index.columns))
-
-
-def parse_tags_column(df: DataFrame, col: str = "tags_json") -> DataFrame:
-    """F10 applied to a JSON-in-text column."""
-    return df.withColumn("tags", parse_json_list(col))
+    """Updates replace index rows with the same id; of several updates of one id the one of
+    highest ``version_col`` wins (without that column: the larger row content)."""
+    versioned = updates if version_col in updates.columns else updates.withColumn(version_col, F.lit(0))
+    last = latest_per_key(versioned, ["id"], version_col)
+    kept = index.join(last.select("id"), "id", "left_anti")
+    return kept.unionByName(last.select(*index.columns))
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("F", "Window", "DataFrame", "rules")]

@@ -62,15 +62,13 @@ def sessions_from_turns(turns: DataFrame, session_col: str = "conv_id", order_co
                  F.count(F.lit(1)).alias("turns")))
 
 
-def summarize_sessions(sessions: DataFrame, text_col: str = "text") -> DataFrame:
-    return sessions.withColumn("summary", extractive_summary(text_col))
+def session_memories(sessions: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """C3 auto-store: each session's summary as a record for the gate (type general, source session).
 
-
-def session_memories(sessions: DataFrame, project_col: str = "project") -> DataFrame:
-    """C3 auto-store: the summary offered to the gate as type general, source session."""
-    return sessions.select(F.col("session_id").alias("id"), F.col(project_col).alias("project"),
-                           F.lit("general").alias("type"), F.lit("session").alias("source"),
-                           F.col("summary").alias("text"))
+    sessions: (id_col, project, text).  The gate leaves them pending (approval_required)."""
+    return (sessions.select(F.col(id_col).alias("id"), "project").join(
+        summarize_rows(sessions, id_col).select(F.col(id_col).alias("id"), F.col("summary").alias("text")), "id")
+        .select("id", "project", F.lit("general").alias("type"), F.lit("session").alias("source"), "text"))
 
 
 def archive_rows(sessions: DataFrame, captured_at=None) -> DataFrame:
@@ -99,9 +97,6 @@ def summarize_rows(df: DataFrame, id_col: str, text_col: str = "text",
     """
     from pyspark.sql import Window
 
-    from .gate import spread
-
-    df = spread(df)
     t = F.col(text_col)
     stripped = F.regexp_replace(t, F.lit(f"(?d)\\A[{WS}]+|[{WS}]+\\z"), F.lit(""))
     splitter = f"(?<=[.!?])[{WS}]+"

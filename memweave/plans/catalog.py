@@ -86,6 +86,14 @@ def q_redact_scan(spark, sf):
                       (F.size("f") == 0).alias("clean"))
 
 
+@register("scan_raw_frequency", S.with_mem(f"""
+SELECT finding, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest({S.findings('text')}) AS finding FROM inc) GROUP BY ALL""",
+                                           S.INCOMING))
+def q_scan_raw(spark, sf):
+    inc = incoming_from_memories(mem(spark, sf))
+    return inc.select(F.explode(scan_findings("text")).alias("finding")).groupBy("finding").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- C1 gate -----------------------------------------------------------------
 GATE_SQL_CTES = (S.INCOMING, f"""g AS (
   SELECT id, project, type, source, {S.valid_type('type')} AS valid_type,
@@ -101,7 +109,7 @@ GATE_SQL_CTES = (S.INCOMING, f"""g AS (
 ), cand AS (
   SELECT n.id AS nid, e.id AS eid, e.created_at, e.summary AS esum, e.tech AS etech,
          n.tech AS ntech, n.clean_text AS ntext, n.type AS ntype, {S.first_rule('n', 'e')} AS rule
-  FROM nw n JOIN ex e ON n.project = e.project AND n.type = e.type AND n.id <> e.id
+  FROM nw n JOIN ex e ON n.project = e.project AND n.type = e.type
 ), win AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY created_at DESC, eid) AS rn
                  FROM cand WHERE rule IS NOT NULL) WHERE rn = 1
@@ -127,9 +135,9 @@ GATE_SQL_CTES = (S.INCOMING, f"""g AS (
 )""")
 
 
-def gated(spark, sf, mode="approval_required"):
+def gated(spark, sf, mode="approval_required", check_conflicts=True):
     m = mem(spark, sf)
-    return gate_ops.gate(incoming_from_memories(m), m, mode=mode)
+    return gate_ops.gate(incoming_from_memories(m), m, mode=mode, check_conflicts=check_conflicts)
 
 
 @register("gate_detail", S.with_mem("""
@@ -151,7 +159,7 @@ def q_gate_counts(spark, sf):
 SELECT finding, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(findings) AS finding FROM final) GROUP BY ALL""",
                                            *GATE_SQL_CTES))
 def q_findings(spark, sf):
-    return gate_ops.findings_frequency(gated(spark, sf))
+    return gate_ops.findings_frequency(gated(spark, sf, check_conflicts=False))
 
 
 @register("ingest_tally", S.with_mem("""
@@ -204,6 +212,15 @@ def q_get_many(spark, sf):
                                                           preview("summary").alias("summary"))
 
 
+@register("by_so_url", S.with_mem("""
+SELECT id, project, approved, so_url FROM memc
+WHERE so_url IN (SELECT 'https://stackoverflow.com/a/' || CAST(doc_id AS VARCHAR) FROM labels)"""))
+def q_by_so_url(spark, sf):
+    urls = tables.read_table(spark, sf, "labels").select(
+        F.concat(F.lit("https://stackoverflow.com/a/"), F.col("doc_id").cast("string")).alias("url"))
+    return store_ops.by_so_url(mem(spark, sf), urls).select("id", "project", "approved", "so_url")
+
+
 @register("commit_groups", S.with_mem("""
 SELECT commit_sha, id, substr(summary, 1, 100) AS summary,
   CAST(count(*) OVER (PARTITION BY commit_sha) AS BIGINT) AS group_size
@@ -257,24 +274,19 @@ def q_approve(spark, sf):
         "newly_approved", F.coalesce("newly_approved", F.lit(0).cast("bigint")))
 
 
-def _event_links(spark, sf):
-    ev = tables.read_table(spark, sf, "events")
-    return ev.select(F.col("user_id").alias("memory_id"),
-                     F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 11, "0")).alias("commit_sha"),
-                     F.col("ts").alias("linked_at"), F.col("event_id"))
-
-
 @register("link_commits_from_events", S.with_mem("""
 SELECT m.id, coalesce(l.commit_sha, m.commit_sha) AS commit_sha
 FROM memc m LEFT JOIN (
-  SELECT memory_id, arg_max('e' || lpad(CAST(event_id AS VARCHAR), 11, '0'), (ts, event_id)) AS commit_sha
-  FROM (SELECT user_id AS memory_id, event_id, ts FROM events) GROUP BY memory_id) l ON m.id = l.memory_id"""))
+  SELECT memory_id, arg_max(commit_sha, (day, commit_sha)) AS commit_sha
+  FROM (SELECT user_id AS memory_id, 'e' || lpad(CAST(event_id AS VARCHAR), 11, '0') AS commit_sha,
+          date_trunc('month', ts) AS day FROM events) GROUP BY memory_id) l ON m.id = l.memory_id"""))
 def q_link_commits(spark, sf):
-    links = _event_links(spark, sf)
-    last = links.groupBy("memory_id").agg(
-        F.max_by("commit_sha", F.struct("linked_at", "event_id")).alias("commit_sha"),
-        F.max("linked_at").alias("linked_at"))
-    return store_ops.link_to_commit(mem(spark, sf), last).select("id", "commit_sha")
+    """Links carry their month only, so that many of one memory tie and the larger sha wins."""
+    ev = tables.read_table(spark, sf, "events")
+    links = ev.select(F.col("user_id").alias("memory_id"),
+                      F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 11, "0")).alias("commit_sha"),
+                      F.date_trunc("month", "ts").alias("linked_at"))
+    return store_ops.link_to_commit(mem(spark, sf), links).select("id", "commit_sha")
 
 
 @register("link_memories_from_sessions", S.with_mem("""
@@ -320,31 +332,35 @@ def q_project_context(spark, sf):
 @register("newest_per_type", S.with_mem("""
 SELECT project, type, id, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY project, type ORDER BY created_at DESC, id) AS rank
-  FROM memc WHERE approved) WHERE rank <= 5"""))
+  FROM memc WHERE approved) WHERE rank <= 3"""))
 def q_newest(spark, sf):
-    return report_ops.newest_per_type(mem(spark, sf), 5).select("project", "type", "id", "rank")
+    return report_ops.newest_per_type(mem(spark, sf), 3).select("project", "type", "id", "rank")
 
 
-def _pr_sql() -> str:
+PR_CTES = """top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, type ORDER BY created_at DESC, id) AS rank
+          FROM memc WHERE approved AND type IN ('decision', 'fix', 'bug', 'architecture')) WHERE rank <= 5),
+p AS (SELECT project, CAST(count(*) FILTER (WHERE approved) AS BIGINT) AS total_memories FROM memc GROUP BY project)"""
+REL_CTE = """rel AS (SELECT project, type, id, document, CAST(r AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY project ORDER BY s DESC, id) AS r FROM scored WHERE query_id = 0) WHERE r <= 8)"""
+
+
+def _pr_sql(head: str, relevant: str, *ctes: str) -> str:
     secs = []
-    for t, h, k in report_ops.PR_SECTIONS:
+    for t, h, k in S.rules.PR_SECTIONS:
         items = (f"(SELECT string_agg('- ' || substr(summary, 1, 100), chr(10) ORDER BY rank) FROM top t2 "
                  f"WHERE t2.project = p.project AND t2.type = '{t}' AND t2.rank <= {k})")
         secs.append(f"coalesce('{h}' || chr(10) || {items} || chr(10) || chr(10), '')")
     ntypes = " + ".join(f"(CASE WHEN EXISTS (SELECT 1 FROM top t3 WHERE t3.project = p.project AND t3.type = '{t}') "
-                        f"THEN 1 ELSE 0 END)" for t, _h, _k in report_ops.PR_SECTIONS)
+                        f"THEN 1 ELSE 0 END)" for t, _h, _k in S.rules.PR_SECTIONS)
     return S.with_mem(f"""
-, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, type ORDER BY created_at DESC, id) AS rank
-          FROM memc WHERE approved AND type IN ('decision', 'fix', 'bug', 'architecture')) WHERE rank <= 5),
-p AS (SELECT project, CAST(count(*) AS BIGINT) AS total_memories FROM memc WHERE approved GROUP BY project)
-SELECT project, '## Summary' || chr(10) || chr(10) || {' || '.join(secs)} || '## Test plan' || chr(10) || chr(10)
-  || '- [ ] ...' || chr(10) || chr(10) || '_Generated from ' || project || ' memory — '
+SELECT project, '## Summary' || chr(10) || chr(10) || {head} || {relevant} || {' || '.join(secs)} || '## Test plan'
+  || chr(10) || chr(10) || '- [ ] ...' || chr(10) || chr(10) || '_Generated from ' || project || ' memory — '
   || CAST({ntypes} AS VARCHAR) || ' memory types referenced._' AS template,
   total_memories, CAST({ntypes} AS INTEGER) AS types_referenced
-FROM p""")
+FROM p""", *ctes, PR_CTES)
 
 
-@register("pr_drafts", _pr_sql())
+@register("pr_drafts", _pr_sql("''", "''"))
 def q_pr(spark, sf):
     return report_ops.pr_drafts(mem(spark, sf))
 
@@ -383,6 +399,27 @@ def q_portfolio_lines(spark, sf):
                       F.col("ord.k_id").alias("k_id"), "line")
 
 
+@register("portfolio_all", S.with_mem(f"""
+, items AS (
+  SELECT CASE WHEN type = 'portfolio' THEN 1 ELSE 2 END AS section, -epoch_us(created_at) AS k_time, id AS k_id,
+    '- ' || summary || '  _' || {S.date('created_at')} || '_' AS line
+  FROM memc WHERE approved AND type IN ('portfolio', 'resume')
+  UNION ALL
+  SELECT CASE WHEN type = 'decision' THEN 3 ELSE 4 END, -epoch_us(created_at), id, '- ' || substr(summary, 1, 120)
+  FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY created_at DESC, id) AS rk
+        FROM memc WHERE approved AND type IN ('decision', 'architecture')) WHERE rk <= 5
+), present AS (SELECT DISTINCT section FROM items)
+SELECT 0 AS section, -{2 ** 62} AS k_time, CAST(NULL AS BIGINT) AS k_id, '# Portfolio' || chr(10) AS line
+UNION ALL
+SELECT section, -{2 ** 62}, NULL, CASE section WHEN 1 THEN '## Highlights' WHEN 2 THEN '## Achievements'
+    WHEN 3 THEN '## Key Technical Decisions' ELSE '## Architecture Notes' END || chr(10) FROM present
+UNION ALL SELECT * FROM items
+UNION ALL SELECT section, {2 ** 62}, NULL, '' FROM present"""))
+def q_portfolio_all(spark, sf):
+    return report_ops.portfolio_lines(mem(spark, sf), all_projects=True).select(
+        "section", F.col("ord.k_time").alias("k_time"), F.col("ord.k_id").alias("k_id"), "line")
+
+
 @register("portfolio_summary", S.with_mem("""
 SELECT project, CAST(count(*) AS BIGINT) AS total_memories,
   CAST(count(*) FILTER (WHERE type IN ('portfolio', 'resume')) AS BIGINT) AS highlight_count
@@ -422,6 +459,18 @@ def q_session_summaries(spark, sf):
     return ss.select("conv_id", "project", "turns").join(summ.summarize_rows(ss, "conv_id"), "conv_id")
 
 
+@register("session_auto_store", S.with_mem(f"""
+, given AS (SELECT conv_id AS id, project, {S.redact(S.summary('text'))} AS summary FROM sessions)
+SELECT id, project, 'general' AS type, 'session' AS source, summary, CAST(0.7 AS DOUBLE) AS confidence,
+  CASE WHEN len({S.findings('summary')}) > 0 THEN 'blocked' ELSE 'pending' END AS status FROM given""", SESSIONS_SQL))
+def q_session_auto_store(spark, sf):
+    """Summaries through the gate, against an empty snapshot of general memories: pending or blocked."""
+    offered = summ.session_memories(sessions(spark, sf))
+    snapshot = mem(spark, sf).where("type <> 'general'")
+    return gate_ops.gate(offered, snapshot).select(
+        "id", "project", "type", "source", F.col("clean_text").alias("summary"), "confidence", "status")
+
+
 @register("session_archive_rows", S.with_mem("""
 SELECT project, '2024-06-01' AS date, '2024-06-01T00:00:00.000000Z' AS captured_at, text FROM sessions""",
                                              SESSIONS_SQL))
@@ -479,7 +528,8 @@ def q_recall_patterns(spark, sf):
 @register("debug_suggest", S.with_mem(f"""
 SELECT query_id, CAST(rank AS INTEGER) AS rank, id, type, document AS summary, round(s, 4) AS score, source, confidence,
   {S.date('created_at')} AS created_at, CASE WHEN type = 'pattern' THEN so_url END AS so_url
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 4) DESC,
+          CASE type WHEN 'bug' THEN 1 WHEN 'fix' THEN 2 ELSE 3 END, trank) AS rank FROM (
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, type ORDER BY s DESC, id) AS trank
                        FROM scored WHERE type IN ('bug', 'fix', 'pattern')) WHERE trank <= 5))
 WHERE rank <= 5""", *RECALL_CTES))
@@ -488,6 +538,91 @@ def q_debug(spark, sf):
     return recall_ops.debug_suggest(m, idx, queries, 5)
 
 
+def _context_hits(spark, sf):
+    """The context of the drafts: label 0's mean vector, the best eight memories of each project."""
+    m, idx, queries = _recall_inputs(spark, sf)
+    return m, recall_ops.top_k(idx, queries.where("query_id = 0"), 8, group_col="project")
+
+
+@register("pr_drafts_context", _pr_sql(
+    "'Label 0' || chr(10) || chr(10)",
+    """coalesce('**Relevant context from memory:**' || chr(10) || (
+      SELECT string_agg('- [' || type || '] ' || substr(document, 1, 100), chr(10) ORDER BY rank) FROM rel
+      WHERE rel.project = p.project AND rel.rank <= 3) || chr(10) || chr(10), '')""", *RECALL_CTES, REL_CTE))
+def q_pr_context(spark, sf):
+    m, hits = _context_hits(spark, sf)
+    return report_ops.pr_drafts(m, context=" Label 0 ", hits=hits)
+
+
+@register("pr_draft_items", S.with_mem("""
+SELECT project, type AS section, CAST(rank AS INTEGER) AS rank, id, substr(summary, 1, 120) AS summary FROM top
+UNION ALL SELECT project, 'relevant', rank, id, document FROM rel WHERE rank <= 5""", *RECALL_CTES, REL_CTE, PR_CTES))
+def q_pr_items(spark, sf):
+    m, hits = _context_hits(spark, sf)
+    return report_ops.pr_draft_items(m, hits)
+
+
+@register("recall_project", S.with_mem("""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, project, type, round(s, 4) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM scored
+      WHERE project = 'src3') WHERE rank <= 5""", *RECALL_CTES))
+def q_recall_project(spark, sf):
+    m, idx, queries = _recall_inputs(spark, sf)
+    return recall_ops.recall(m, idx, queries, 5, project="src3").select("query_id", "rank", "id", "project", "type", "score")
+
+
+@register("recall_patterns_project", S.with_mem(f"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, document AS summary, round(s, 4) AS score, so_url, confidence,
+  project, {S.date('created_at')} AS created_at
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM scored
+      WHERE type = 'pattern' AND project = 'src7') WHERE rank <= 5""", *RECALL_CTES))
+def q_recall_patterns_project(spark, sf):
+    m, idx, queries = _recall_inputs(spark, sf)
+    return recall_ops.recall_patterns(m, idx, queries, 5, project="src7")
+
+
+@register("debug_suggest_project", S.with_mem("""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, type, round(s, 4) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 4) DESC,
+          CASE type WHEN 'bug' THEN 1 WHEN 'fix' THEN 2 ELSE 3 END, trank) AS rank FROM (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, type ORDER BY s DESC, id) AS trank
+                       FROM scored WHERE type IN ('bug', 'fix', 'pattern') AND project = 'src5') WHERE trank <= 3))
+WHERE rank <= 3""", *RECALL_CTES))
+def q_debug_project(spark, sf):
+    m, idx, queries = _recall_inputs(spark, sf)
+    return recall_ops.debug_suggest(m, idx, queries, 3, project="src5").select("query_id", "rank", "id", "type", "score")
+
+
+TEXT_CTES = (r"""tok AS (
+  SELECT id, token, count(*) AS tf FROM (
+    SELECT id, unnest(regexp_extract_all(lower(summary), '[\p{L}\p{N}_]+')) AS token FROM memc WHERE approved) GROUP BY ALL)""",
+             """idf AS (
+  SELECT token, ln(((SELECT count(*) FROM memc WHERE approved) + 1) / (count(*) + 1)) + 1 AS idf FROM tok GROUP BY token)""",
+             """dw AS (SELECT id, token, (1 + ln(tf)) * idf AS w FROM tok JOIN idf USING (token))""",
+             r"""qw AS (
+  SELECT item_id AS query_id, token, (1 + ln(tf)) * idf AS w FROM (
+    SELECT item_id, token, count(*) AS tf FROM (
+      SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM benchmark) GROUP BY ALL)
+  JOIN idf USING (token))""",
+             """sim AS (
+  SELECT query_id, id, round(sum(d.w * q.w) / (any_value(dl) * any_value(ql)), 9) AS s
+  FROM dw d JOIN qw q USING (token)
+  JOIN (SELECT id, sqrt(sum(w * w)) AS dl FROM dw GROUP BY id) USING (id)
+  JOIN (SELECT query_id, sqrt(sum(w * w)) AS ql FROM qw GROUP BY query_id) USING (query_id) GROUP BY query_id, id)""")
+
+
+@register("recall_text", S.with_mem(f"""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, r.id, m.summary, round(s, 4) AS score, m.source, m.project, m.type,
+  {S.ts('m.created_at')} AS created_at, m.confidence
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM sim) r JOIN memc m ON m.id = r.id
+WHERE rank <= 5""", *TEXT_CTES))
+def q_recall_text(spark, sf):
+    queries = tables.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return recall_ops.recall_text(mem(spark, sf), queries, 5).select(
+        "query_id", "rank", "id", "summary", "score", "source", "project", "type",
+        iso_ts("created_at").alias("created_at"), "confidence")
+
+
 @register("vector_index_counts", S.with_mem("""
 SELECT project, type, CAST(count(*) AS BIGINT) AS entries FROM idx GROUP BY ALL""", RECALL_CTES[0]))
 def q_index_counts(spark, sf):
@@ -512,6 +647,23 @@ def q_upsert(spark, sf):
             .agg(F.count(F.lit(1)).alias("entries")))
 
 
+@register("vector_upsert_latest", S.with_mem("""
+, up AS (SELECT e.vec_id AS id, v.version, m.project || '/' || CAST(v.version AS VARCHAR) AS project
+  FROM embeddings e JOIN memc m ON m.id = e.vec_id CROSS JOIN (VALUES (1), (2), (3)) v(version) WHERE e.vec_id % 3 = 0 AND v.version <= 1 + e.vec_id % 3 + e.vec_id % 2 * 2),
+ix AS (SELECT m.id, m.project FROM memc m JOIN embeddings e ON e.vec_id = m.id WHERE m.approved),
+last AS (SELECT id, arg_max(project, version) AS project FROM up GROUP BY id)
+SELECT id, project FROM last UNION ALL SELECT id, project FROM ix WHERE id NOT IN (SELECT id FROM last)""", ))
+def q_upsert_latest(spark, sf):
+    """Several updates of one id in one batch: the one of highest version stays."""
+    m = mem(spark, sf)
+    emb = tables.read_table(spark, sf, "embeddings")
+    d = F.col("id")
+    updates = (recall_ops.vector_index(m.withColumn("approved", F.lit(True)), emb).where(d % 3 == 0)
+               .withColumn("version", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(3), 1 + d % 3 + d % 2 * 2))))
+               .withColumn("project", F.concat_ws("/", "project", F.col("version").cast("string"))))
+    return store_ops.upsert_vectors(recall_ops.vector_index(m, emb), updates).select("id", "project")
+
+
 # =============================================================================
 # Graph (G1-G5, T8) - the oracle enumerates pairs (fine at sf0.01), Spark never does
 # =============================================================================
@@ -595,7 +747,7 @@ def _exports(spark, sf):
     orders = tables.read_table(spark, sf, "orders")
     commits = commit_raw = ex.parse_json_column(ex.commits_json_from_orders(orders), "json", ex.COMMIT_SCHEMA)
     prs = ex.parse_json_column(ex.prs_json_from_orders(orders), "json", ex.PR_SCHEMA)
-    issues = ex.parse_json_column(ex.issues_json_from_orders(orders), "json", ex.ISSUE_SCHEMA)
+    issues = ex.parse_issues(ex.issues_json_from_orders(orders), "json")
     return ex.commit_rows(commit_raw), prs, issues
 
 
@@ -604,9 +756,9 @@ GH_CTES = (f"""gh AS (
   SELECT {SQL_PROJECT} AS project, 'fix' AS type, 'github_commit' AS source, sha AS commit_sha, sha AS key,
     '[' || sha || '] ' || msg || ' — by ' || author || ' on ' || strftime(o_orderdate, '%Y-%m-%d') AS text
   FROM (SELECT *, substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 12) AS sha,
-          CASE WHEN o_orderkey % 50 = 0 THEN '  ' ELSE 'Fix ' || lower(o_orderpriority) || ' order ' || CAST(o_orderkey AS VARCHAR) END AS msg,
+          CASE WHEN o_orderkey % 50 = 0 THEN '  ' WHEN o_orderkey % 50 = 25 THEN chr(9) ELSE 'Fix ' || lower(o_orderpriority) || ' order ' || CAST(o_orderkey AS VARCHAR) END AS msg,
           CASE WHEN o_custkey % 5 <> 0 THEN 'cust' || CAST(o_custkey AS VARCHAR) ELSE 'unknown' END AS author
-        FROM orders) WHERE trim(msg) <> ''
+        FROM orders) WHERE regexp_matches(msg, '[^ \t]')
   UNION ALL
   SELECT {SQL_PROJECT}, 'fix', 'github_pr', NULL, CAST(o_orderkey AS VARCHAR),
     'PR #' || CAST(o_orderkey AS VARCHAR) || ': Merge ' || lower(o_orderpriority)
@@ -615,18 +767,17 @@ GH_CTES = (f"""gh AS (
         FROM orders WHERE o_orderstatus = 'F')
   UNION ALL
   SELECT {SQL_PROJECT}, 'bug', 'github_issue', NULL, CAST(o_orderkey AS VARCHAR),
-    'Issue #' || CAST(o_orderkey AS VARCHAR) || ' (' || CASE WHEN o_orderkey % 2 = 0 THEN 'closed' ELSE 'open' END
-      || '): Problem with ' || lower(o_orderpriority) || CASE WHEN length(b) > 0 THEN chr(10) || b ELSE '' END
+    'Issue #' || CAST(o_orderkey AS VARCHAR) || ' (closed): Problem with ' || lower(o_orderpriority) || CASE WHEN length(b) > 0 THEN chr(10) || b ELSE '' END
   FROM (SELECT *, substr(coalesce(CASE WHEN o_orderkey % 4 <> 1 THEN 'token = ' || repeat('9', CAST(o_orderkey % 9 AS INTEGER)) END, ''), 1, 500) AS b
-        FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 4 <> 0)
+        FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 4 = 2)
 )""", f"""ghs AS (
   SELECT *, CASE WHEN len({S.findings('clean_text')}) > 0 THEN 'skipped' ELSE 'stored' END AS status
   FROM (SELECT *, {S.redact('text')} AS clean_text FROM gh))""")
 
 
-def _ingest(spark, sf):
+def _ingest(spark, sf, mem=None):
     commits, prs, issues = _exports(spark, sf)
-    return ex.repo_ingest(commits, prs, issues)
+    return ex.repo_ingest(commits, prs, issues, mem)
 
 
 @register("github_ingest", S.with_mem("""
@@ -643,8 +794,18 @@ def q_github_tally(spark, sf):
     return _ingest(spark, sf).groupBy("project", "source", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("github_reingest", S.with_mem("""
+SELECT project, source, CASE WHEN status = 'stored' THEN 'duplicate' ELSE status END AS status,
+  CAST(count(*) AS BIGINT) AS n FROM ghs GROUP BY ALL""", *GH_CTES))
+def q_github_reingest(spark, sf):
+    """A second ingest of the same exports, with the memory table that the first one left."""
+    stored = ex.ingested_memories(_ingest(spark, sf), now=F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    return (_ingest(spark, sf, stored).groupBy("project", "source", "status").agg(F.count(F.lit(1)).alias("n")))
+
+
+ANSWER_KEY = "((l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey * 1000 + l_partkey % 1000)"
 QA_CTES = (f"""ans AS (
-  SELECT l_orderkey * 8 + l_linenumber AS answer_id, l_partkey AS question_id,
+  SELECT {ANSWER_KEY} AS answer_id, l_partkey AS question_id,
     {S.strip_html("'<div><p>Ship with flag ' || l_returnflag || ' and status ' || l_linestatus || '.</p>' || chr(10) || '<p>Quantity ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ' &amp; discount ' || CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) || '%</p></div>'")} AS answer_body,
     CAST(l_quantity AS BIGINT) AS score, (l_returnflag = 'A' AND l_linestatus = 'F') AS is_accepted
   FROM lineitem)""", f"""qs AS (
@@ -652,7 +813,7 @@ QA_CTES = (f"""ans AS (
     substr({S.strip_html("'<p>Type <b>' || p_type || '</b> from ' || p_brand || ' &quot;size&quot; ' || CAST(p_size AS VARCHAR) || '</p>'")}, 1, 500) AS qbody
   FROM part)""", """top5 AS (
   SELECT * REPLACE (substr(answer_body, 1, 1000) AS answer_body) FROM (
-    SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, answer_id) AS vote_rank FROM ans)
+    SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, answer_id, answer_body) AS vote_rank FROM ans)
   WHERE vote_rank <= 5)""", """best AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY (NOT is_accepted), vote_rank) AS br
                  FROM top5) WHERE br = 1)""")
@@ -675,39 +836,52 @@ def q_pages_text(spark, sf):
     return tables.read_table(spark, sf, "pages").select("page_id", strip_html("html").alias("text"))
 
 
-REQ_CTE = """req AS (
+REQ_CTE = f"""req AS (
   SELECT 'https://stackoverflow.com/questions/' || CAST(p_partkey AS VARCHAR) || '/how-to' AS url,
     'src' || CAST(p_partkey % 20 AS VARCHAR) AS project FROM part
   UNION ALL
-  SELECT 'https://stackoverflow.com/a/' || CAST(l_orderkey * 8 + 1 AS VARCHAR), 'src' || CAST(l_orderkey % 20 AS VARCHAR)
+  SELECT 'https://stackoverflow.com/a/' || CAST({ANSWER_KEY} AS VARCHAR), 'src' || CAST(l_orderkey % 20 AS VARCHAR)
   FROM lineitem WHERE l_linenumber = 1
   UNION ALL
+  SELECT 'https://stackoverflow.com/questions/' || CAST(l_partkey AS VARCHAR) || '/a b#' || CAST({ANSWER_KEY} AS VARCHAR),
+    'src' || CAST(l_orderkey % 20 AS VARCHAR)
+  FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0
+  UNION ALL
+  SELECT 'https://stackoverflow.com/a/' || CAST(page_id AS VARCHAR) || '?noredirect=1', 'src1' FROM pages
+  UNION ALL
   SELECT url, 'src' || CAST(page_id % 20 AS VARCHAR) FROM pages)"""
 URL_SQL = r"""canon AS (
-  SELECT url, project,
-    CASE WHEN a <> '' OR anchor <> '' THEN 'answer' WHEN qn <> '' THEN 'question' END AS kind,
-    CAST(CASE WHEN a <> '' THEN a WHEN anchor <> '' THEN anchor WHEN qn <> '' THEN qn END AS BIGINT) AS num,
+  SELECT url, project, kind, num,
     CASE WHEN lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))
-              IN ('stackoverflow.com', 'www.stackoverflow.com') THEN
-      CASE WHEN a <> '' OR anchor <> '' THEN 'https://stackoverflow.com/a/' || CASE WHEN a <> '' THEN a ELSE anchor END
-           WHEN qn <> '' THEN 'https://stackoverflow.com/questions/' || qn END END AS canonical
-  FROM (SELECT url, project, regexp_extract(url, 'stackoverflow\.com/a/(\d+)', 1) AS a,
-          regexp_extract(url, 'stackoverflow\.com/questions/\d+[^#]*#(\d+)', 1) AS anchor,
-          regexp_extract(url, 'stackoverflow\.com/questions/(\d+)', 1) AS qn FROM req))"""
+              IN ('stackoverflow.com', 'www.stackoverflow.com')
+      THEN 'https://stackoverflow.com/' || CASE kind WHEN 'answer' THEN 'a/' WHEN 'question' THEN 'questions/' END || num
+    END AS canonical
+  FROM (
+    SELECT url, project, CASE WHEN a <> '' OR anchor <> '' THEN 'answer' WHEN qn <> '' THEN 'question' END AS kind,
+      regexp_replace(CASE WHEN a <> '' THEN a WHEN anchor <> '' THEN anchor WHEN qn <> '' THEN qn END, '^0+([0-9])', '\1') AS num
+    FROM (SELECT url, project, regexp_extract(url, 'stackoverflow\.com/a/(\d+)', 1) AS a,
+            regexp_extract(url, 'stackoverflow\.com/questions/\d+[^#]*#(\d+)', 1) AS anchor,
+            regexp_extract(url, 'stackoverflow\.com/questions/(\d+)', 1) AS qn FROM req)))"""
 
 
 def _requests(spark, sf):
     part = tables.read_table(spark, sf, "part")
-    li = tables.read_table(spark, sf, "lineitem")
+    li = tables.read_table(spark, sf, "lineitem").filter(F.col("l_linenumber") == 1)
     pages = tables.read_table(spark, sf, "pages")
-    return (part.select(F.concat(F.lit("https://stackoverflow.com/questions/"), F.col("p_partkey").cast("string"),
-                                 F.lit("/how-to")).alias("url"),
-                        F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("project"))
-            .unionByName(li.filter(F.col("l_linenumber") == 1).select(
-                F.concat(F.lit("https://stackoverflow.com/a/"), (F.col("l_orderkey") * 8 + 1).cast("string")).alias("url"),
-                F.concat(F.lit("src"), (F.col("l_orderkey") % 20).cast("string")).alias("project")))
-            .unionByName(pages.select("url", F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string"))
-                                      .alias("project"))))
+
+    def project(c):
+        return F.concat(F.lit("src"), (F.col(c) % 20).cast("string")).alias("project")
+
+    so, key = F.lit("https://stackoverflow.com/"), ex.answer_key().cast("string")
+    return (part.select(F.concat(so, F.lit("questions/"), F.col("p_partkey").cast("string"), F.lit("/how-to")).alias("url"),
+                        project("p_partkey"))
+            .unionByName(li.select(F.concat(so, F.lit("a/"), key).alias("url"), project("l_orderkey")))
+            .unionByName(li.filter(F.col("l_orderkey") % 3 == 0).select(
+                F.concat(so, F.lit("questions/"), F.col("l_partkey").cast("string"), F.lit("/a b#"), key).alias("url"),
+                project("l_orderkey")))
+            .unionByName(pages.select(F.concat(so, F.lit("a/"), F.col("page_id").cast("string"),
+                                               F.lit("?noredirect=1")).alias("url"), F.lit("src1").alias("project")))
+            .unionByName(pages.select("url", project("page_id"))))
 
 
 @register("url_canonical", S.with_mem("SELECT url, project, kind, num, canonical FROM canon", REQ_CTE, URL_SQL))
@@ -718,31 +892,29 @@ def q_url_canonical(spark, sf):
                     so_canonical_url("url").alias("canonical"))
 
 
-PATTERN_SQL = f"""ok AS (
-  SELECT canonical, arg_min(url, url) AS url, arg_min(project, url) AS project, arg_min(kind, url) AS kind,
-    arg_min(num, url) AS num FROM canon WHERE canonical IS NOT NULL GROUP BY canonical),
-stored AS (SELECT DISTINCT so_url AS canonical FROM memc WHERE so_url IS NOT NULL),
-fresh AS (SELECT * FROM ok WHERE canonical NOT IN (SELECT canonical FROM stored)),
-found AS (
-  SELECT f.url, f.project, f.canonical,
+PATTERN_SQL = f"""hit AS (
+  SELECT 'answer' AS kind, CAST(a.answer_id AS VARCHAR) AS num,
     'Q: ' || coalesce(q.title, '') || chr(10) || 'A (score=' || CAST(a.score AS VARCHAR) || ', accepted='
       || CASE WHEN a.is_accepted THEN 'True' ELSE 'False' END || '):' || chr(10) || substr(a.answer_body, 1, 600) AS summary
-  FROM fresh f JOIN ans a ON f.kind = 'answer' AND a.answer_id = f.num LEFT JOIN qs q ON q.question_id = a.question_id
+  FROM ans a LEFT JOIN qs q ON q.question_id = a.question_id
   UNION ALL
-  SELECT f.url, f.project, f.canonical,
+  SELECT 'question', CAST(q.question_id AS VARCHAR),
     CASE WHEN b.answer_body IS NOT NULL THEN
       'Q: ' || q.title || chr(10) || 'A (score=' || CAST(b.score AS VARCHAR) || ', accepted='
       || CASE WHEN b.is_accepted THEN 'True' ELSE 'False' END || '):' || chr(10) || substr(b.answer_body, 1, 600)
     ELSE 'Q: ' || q.title || chr(10) || substr(q.qbody, 1, 600) END
-  FROM fresh f JOIN qs q ON f.kind = 'question' AND q.question_id = f.num LEFT JOIN best b ON b.question_id = q.question_id),
-foundc AS (SELECT *, {S.redact('summary')} AS clean_text FROM found),
+  FROM qs q LEFT JOIN best b ON b.question_id = q.question_id),
+asked AS (SELECT *, row_number() OVER (ORDER BY url, project) AS turn FROM canon),
+outcome AS (
+  SELECT a.*, {S.redact('h.summary')} AS clean_text, h.summary, h.num IS NOT NULL AS found,
+    a.canonical IN (SELECT so_url FROM memc WHERE so_url IS NOT NULL) AS before,
+    EXISTS (SELECT 1 FROM asked e WHERE e.canonical = a.canonical AND e.turn < a.turn) AS again
+  FROM asked a LEFT JOIN hit h ON h.kind = a.kind AND h.num = a.num),
 allr AS (
-  SELECT url, project, canonical, summary, clean_text,
-    CASE WHEN len({S.findings('clean_text')}) > 0 THEN 'blocked' ELSE 'stored' END AS status FROM foundc
-  UNION ALL SELECT url, project, canonical, NULL, NULL, 'not_found' FROM fresh
-    WHERE canonical NOT IN (SELECT canonical FROM found)
-  UNION ALL SELECT url, project, canonical, NULL, NULL, 'duplicate' FROM ok WHERE canonical IN (SELECT canonical FROM stored)
-  UNION ALL SELECT url, project, canonical, NULL, NULL, 'error' FROM canon WHERE canonical IS NULL)"""
+  SELECT url, project, canonical, CASE WHEN status IN ('stored', 'blocked') THEN summary END AS summary,
+    CASE WHEN status IN ('stored', 'blocked') THEN clean_text END AS clean_text, status
+  FROM (SELECT *, CASE WHEN canonical IS NULL THEN 'error' WHEN before THEN 'duplicate' WHEN NOT found THEN 'not_found'
+      WHEN len({S.findings('clean_text')}) > 0 THEN 'blocked' WHEN again THEN 'duplicate' ELSE 'stored' END AS status FROM outcome))"""
 
 
 @register("pattern_store", S.with_mem("""

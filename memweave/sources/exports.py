@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import rules
+from ..functions.regex import WS
 from ..functions.text import redact, scan_findings, so_canonical_url, so_url_kind_id, strip_html
 
 COMMIT_SCHEMA = T.StructType([
@@ -29,8 +30,7 @@ PR_SCHEMA = T.StructType([
 ISSUE_SCHEMA = T.StructType([
     T.StructField("number", T.LongType()), T.StructField("title", T.StringType()),
     T.StructField("body", T.StringType()), T.StructField("state", T.StringType()),
-    T.StructField("html_url", T.StringType()),
-    T.StructField("pull_request", T.StructType([T.StructField("url", T.StringType())]))])
+    T.StructField("html_url", T.StringType())])
 ANSWER_SCHEMA = T.StructType([
     T.StructField("answer_id", T.LongType()), T.StructField("question_id", T.LongType()),
     T.StructField("body", T.StringType()), T.StructField("score", T.LongType()),
@@ -41,14 +41,27 @@ QUESTION_SCHEMA = T.StructType([
     T.StructField("answer_count", T.LongType())])
 
 
-def read_export(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def read_export(spark: SparkSession, path: str, schema: T.StructType, project: str) -> DataFrame:
+    """One export of a project: JSON lines with the given schema."""
+    return spark.read.schema(schema).json(path).withColumn("project", F.lit(project))
 
 
 def parse_json_column(df: DataFrame, col: str, schema: T.StructType, keep=("project",)) -> DataFrame:
     return df.select(*keep, F.from_json(col, schema).alias("_r")).select(*keep, "_r.*")
 
 
+def parse_issues(df: DataFrame, col: str, keep=("project",)) -> DataFrame:
+    """Issue records; ``has_pull_request`` tells whether the key is there, whatever its value."""
+    return df.select(*keep, F.from_json(col, ISSUE_SCHEMA).alias("_r"),
+                     F.coalesce(F.array_contains(F.json_object_keys(col), "pull_request"), F.lit(False))
+                     .alias("has_pull_request")).select(*keep, "_r.*", "has_pull_request")
+
+
+def read_issues(spark: SparkSession, path: str, project: str) -> DataFrame:
+    lines = spark.read.text(path).select(F.lit(project).alias("project"), F.col("value").alias("json"))
+    return parse_issues(lines, "json")
+
+
 # S4 / F11 ----------------------------------------------------------------------
 def commit_rows(raw: DataFrame) -> DataFrame:
     """(project, sha[:12], first message line, author ('unknown' if absent), date)."""
@@ -60,8 +73,8 @@ def commit_rows(raw: DataFrame) -> DataFrame:
 
 
 def commit_text(c: DataFrame) -> DataFrame:
-    """Blank messages dropped; text ``[sha] msg — by author on yyyy-mm-dd``."""
-    return (c.filter(F.length(F.trim("message")) > 0)
+    """Blank messages (white space of any kind) dropped; text ``[sha] msg — by author on yyyy-mm-dd``."""
+    return (c.filter(F.col("message").rlike(f"[^{WS}]"))
             .select("project", F.lit("fix").alias("type"), F.lit("github_commit").alias("source"),
                     F.col("sha").alias("commit_sha"), F.col("sha").alias("key"),
                     F.concat(F.lit("["), F.col("sha"), F.lit("] "), F.col("message"), F.lit(" — by "),
@@ -73,7 +86,15 @@ def _body(col="body"):
     return F.substring(F.coalesce(F.col(col), F.lit("")), 1, rules.COMMIT_BODY_CHARS)
 
 
-def pr_text(raw: DataFrame) -> DataFrame:
+def _in_state(raw: DataFrame, state: str) -> DataFrame:
+    if state not in ("open", "closed", "all"):
+        raise ValueError(f"unknown state {state!r}")
+    return raw if state == "all" else raw.filter(F.col("state") == state)
+
+
+def pr_text(raw: DataFrame, state: str = "closed") -> DataFrame:
+    """Pull requests of one ``state`` (closed by default; ``all`` for every one)."""
+    raw = _in_state(raw, state)
     body = _body()
     head = F.concat(F.lit("PR #"), F.col("number").cast("string"), F.lit(": "), F.coalesce("title", F.lit("")))
     text = F.when(F.length(body) > 0, F.concat(head, F.lit("\n"), body)).otherwise(head)
@@ -82,63 +103,87 @@ def pr_text(raw: DataFrame) -> DataFrame:
                       F.col("number").cast("string").alias("key"), text.alias("text"))
 
 
-def issue_text(raw: DataFrame) -> DataFrame:
-    """Entries carrying ``pull_request`` are pull requests and are dropped."""
+def issue_text(raw: DataFrame, state: str = "closed") -> DataFrame:
+    """Issues of one ``state``; entries that have a ``pull_request`` key are pull requests and are dropped."""
+    raw = _in_state(raw, state)
     body = _body()
     head = F.concat(F.lit("Issue #"), F.col("number").cast("string"), F.lit(" ("),
                     F.coalesce("state", F.lit("")), F.lit("): "), F.coalesce("title", F.lit("")))
     text = F.when(F.length(body) > 0, F.concat(head, F.lit("\n"), body)).otherwise(head)
-    return (raw.filter(F.col("pull_request").isNull())
+    return (raw.filter(~F.col("has_pull_request"))
             .select("project", F.lit("bug").alias("type"), F.lit("github_issue").alias("source"),
                     F.lit(None).cast("string").alias("commit_sha"),
                     F.col("number").cast("string").alias("key"), text.alias("text")))
 
 
 # U3 ---------------------------------------------------------------------------
-def repo_ingest(commits: DataFrame, prs: DataFrame, issues: DataFrame,
-                existing: DataFrame | None = None) -> DataFrame:
+def stored_key(source, commit_sha, summary):
+    """The export key of a stored memory: the commit's sha, or the number that its text names."""
+    number = F.regexp_extract(summary, r"^(?:PR|Issue) #(\d+)[: ]", 1)
+    return F.when(source == "github_commit", commit_sha).otherwise(F.nullif(number, F.lit("")))
+
+
+def repo_ingest(commits: DataFrame, prs: DataFrame, issues: DataFrame, mem: DataFrame | None = None,
+                state: str = "closed") -> DataFrame:
     """Union of the three exports -> redact -> scan; status stored / skipped.
 
-    Re-runs are idempotent: rows whose (project, source, key) is already stored
-    are marked ``duplicate`` (the original re-inserted them).
+    With the memory table ``mem``, records that it already holds (same project, source and
+    key) are ``duplicate``, so that a second ingest stores nothing.
     """
-    rows = commit_text(commits).unionByName(pr_text(prs)).unionByName(issue_text(issues))
+    rows = commit_text(commits).unionByName(pr_text(prs, state)).unionByName(issue_text(issues, state))
     rows = (rows.withColumn("clean_text", redact("text"))
             .withColumn("findings", scan_findings("clean_text"))
             .withColumn("confidence", F.lit(0.8)))
-    if existing is not None:
-        seen = existing.select("project", "source", "key").distinct().withColumn("_dup", F.lit(True))
+    known = F.lit(False)
+    if mem is not None:
+        seen = (mem.filter(F.col("source").isin("github_commit", "github_pr", "github_issue"))
+                .select("project", "source", stored_key(F.col("source"), F.col("commit_sha"), F.col("summary")).alias("key"))
+                .distinct().withColumn("_dup", F.lit(True)))
         rows = rows.join(seen, ["project", "source", "key"], "left")
-    else:
-        rows = rows.withColumn("_dup", F.lit(None).cast("boolean"))
-    status = (F.when(F.col("_dup"), F.lit("duplicate"))
+        known = F.coalesce("_dup", F.lit(False))
+    status = (F.when(known, F.lit("duplicate"))
               .when(F.size("findings") > 0, F.lit("skipped")).otherwise(F.lit("stored")))
     return rows.withColumn("status", status).drop("_dup")
 
 
+def ingested_memories(ingested: DataFrame, now=None) -> DataFrame:
+    """The rows that a repository ingest adds to the memory table (approved, as the ingest stores them)."""
+    from .memories import new_memories
+    rows = ingested.checkpoint().filter(F.col("status") == "stored").select(
+        "project", "type", F.col("clean_text").alias("summary"), "source", "confidence", "commit_sha",
+        F.lit(True).alias("approved"))
+    return new_memories(rows, now=now)
+
+
 # S7 / T6 / F13 -------------------------------------------------------------------
-def answers_clean(answers: DataFrame) -> DataFrame:
-    return answers.select("answer_id", "question_id", strip_html("body").alias("answer_body"),
-                          F.coalesce("score", F.lit(0)).alias("score"),
+def _answers(answers: DataFrame) -> DataFrame:
+    return answers.select("answer_id", "question_id", "body", F.coalesce("score", F.lit(0)).alias("score"),
                           F.coalesce("is_accepted", F.lit(False)).alias("is_accepted"))
 
 
+def _cleaned(answers: DataFrame) -> DataFrame:
+    return answers.withColumn("answer_body", strip_html("body")).drop("body")
+
+
 def top_answers(answers: DataFrame, n: int = rules.TOP_ANSWERS) -> DataFrame:
-    """Votes order (score desc, then answer id), first n per question, bodies cut to 1000."""
-    w = Window.partitionBy("question_id").orderBy(F.col("score").desc(), F.col("answer_id"))
-    return (answers_clean(answers).withColumn("vote_rank", F.row_number().over(w))
-            .filter(F.col("vote_rank") <= n)
-            .withColumn("answer_body", F.substring("answer_body", 1, rules.ANSWER_BODY_CHARS)))
+    """Votes order (score desc, answer id, body), first n per question, bodies cleaned after the cut."""
+    w = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "answer_id", "body")
+    top = _answers(answers).withColumn("vote_rank", F.row_number().over(w)).filter(F.col("vote_rank") <= n)
+    return _cleaned(top).withColumn("answer_body", F.substring("answer_body", 1, rules.ANSWER_BODY_CHARS))
 
 
 def best_answers(answers: DataFrame) -> DataFrame:
     """Among the top five by votes, the first accepted one, else the first."""
-    top = top_answers(answers)
-    return (top.groupBy("question_id")
-            .agg(F.min(F.struct((~F.col("is_accepted")).alias("na"), F.col("vote_rank"),
-                                F.col("answer_id"), F.col("answer_body"), F.col("score"),
-                                F.col("is_accepted"))).alias("b"))
-            .select("question_id", "b.answer_id", "b.answer_body", "b.score", "b.is_accepted"))
+    w = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "answer_id", "body")
+    top = _answers(answers).withColumn("vote_rank", F.row_number().over(w)).filter(
+        F.col("vote_rank") <= rules.TOP_ANSWERS)
+    best = (top.groupBy("question_id")
+            .agg(F.min(F.struct((~F.col("is_accepted")).alias("na"), "vote_rank", "answer_id", "body", "score",
+                                "is_accepted")).alias("b"))
+            .select("question_id", "b.answer_id", "b.body", "b.score", "b.is_accepted"))
+    return _cleaned(best).select("question_id", "answer_id",
+                                 F.substring("answer_body", 1, rules.ANSWER_BODY_CHARS).alias("answer_body"), "score",
+                                 "is_accepted")
 
 
 def _accepted_word(c):
@@ -156,58 +201,63 @@ def pattern_text(title, score, accepted, body, fallback_body):
 
 def pattern_store(requests: DataFrame, questions: DataFrame, answers: DataFrame,
                   mem: DataFrame) -> DataFrame:
-    """C2 for a batch of URLs: (url, project) ->
-    status error / duplicate / not_found / blocked / stored with the pattern text.
+    """C2 for a batch of (url, project): one outcome row per request.
 
-    Canonicalise (F9), skip URLs already stored (D4 left-anti on so_url), fetch
-    from the export (join), build the summary (F13), redact (F3), scan (F4).
+    status: error (no such URL) / duplicate (stored before, or asked for by an earlier
+    request of the batch) / not_found / blocked / stored, with the pattern text.  Of several
+    requests with one canonical URL the least (url, project) is the first; were its pattern not
+    found or blocked, the others would fare the same and share its status.
     """
+    parsed = so_url_kind_id("url")
     req = requests.select("url", "project", so_canonical_url("url").alias("canonical"),
-                          so_url_kind_id("url").alias("k"))
-    ok = (req.filter(F.col("canonical").isNotNull()).groupBy("canonical")
-          .agg(F.min(F.struct("url", "project", "k")).alias("r")).select("canonical", "r.*"))
-    stored = mem.filter(F.col("so_url").isNotNull()).select(F.col("so_url").alias("canonical")).distinct()
-    fresh = ok.join(stored, "canonical", "left_anti")
-    dup = ok.join(stored, "canonical", "left_semi")
-
-    q = questions.select("question_id", strip_html("title").alias("title"),
-                         F.substring(strip_html("body"), 1, rules.QUESTION_BODY_CHARS).alias("qbody"))
-    ans_all = answers_clean(answers)
-    best = best_answers(answers)
-    as_answer = (fresh.filter(F.col("k.kind") == "answer")
-                 .join(ans_all, F.col("k.id") == F.col("answer_id"))
-                 .join(q.select("question_id", "title"), "question_id", "left")
-                 .select("url", "project", "canonical",
-                         pattern_text(F.coalesce("title", F.lit("")), F.col("score"), F.col("is_accepted"),
-                                      F.col("answer_body"), F.lit("")).alias("summary")))
-    as_question = (fresh.filter(F.col("k.kind") == "question")
-                   .join(q, F.col("k.id") == F.col("question_id"))
+                          parsed["kind"].alias("kind"), parsed["id"].alias("ref"))
+    order = Window.partitionBy("canonical").orderBy("url", "project")
+    req = req.withColumn("nth", F.when(F.col("canonical").isNotNull(), F.row_number().over(order)))
+    first = req.filter(F.col("nth") == 1)
+    known = mem.filter(F.col("so_url").isNotNull()).select(F.col("so_url").alias("canonical")).distinct()
+    fresh = first.join(known, "canonical", "left_anti")
+
+    asked = fresh.select("kind", "ref").distinct()
+    plain = _answers(answers)
+    by_id = (plain.join(asked.filter("kind = 'answer'").select(F.col("ref").alias("_r")),
+                        F.col("answer_id").cast("string") == F.col("_r"))
+             .groupBy("answer_id").agg(F.min(F.struct("question_id", "body", "score", "is_accepted")).alias("a"))
+             .select(F.lit("answer").alias("kind"), F.col("answer_id").cast("string").alias("ref"), "a.*"))
+    wanted = asked.filter("kind = 'question'").select(F.col("ref").alias("_r"))
+    best = best_answers(plain.join(wanted, F.col("question_id").cast("string") == F.col("_r"), "left_semi"))
+    q = questions.select("question_id", "title", F.col("body").alias("qbody")).groupBy("question_id").agg(
+        F.min(F.struct("title", "qbody")).alias("q")).select("question_id", "q.*")
+    as_answer = (_cleaned(by_id).join(q.drop("qbody"), "question_id", "left")
+                 .select("kind", "ref", F.coalesce(strip_html("title"), F.lit("")).alias("title"), "score", "is_accepted",
+                         "answer_body", F.lit("").alias("qbody")))
+    as_question = (q.join(wanted, F.col("question_id").cast("string") == F.col("_r"), "left_semi")
                    .join(best, "question_id", "left")
-                   .select("url", "project", "canonical",
-                           pattern_text(F.col("title"), F.col("score"), F.col("is_accepted"),
-                                        F.col("answer_body"), F.col("qbody")).alias("summary")))
-    found = as_answer.unionByName(as_question)
-    found = (found.withColumn("clean_text", redact("summary"))
-             .withColumn("status", F.when(F.size(scan_findings("clean_text")) > 0, "blocked")
-                         .otherwise("stored")))
-    missing = fresh.join(found.select("canonical"), "canonical", "left_anti").select(
-        "url", "project", "canonical", F.lit(None).cast("string").alias("summary"),
-        F.lit(None).cast("string").alias("clean_text"), F.lit("not_found").alias("status"))
-    dups = dup.select("url", "project", "canonical", F.lit(None).cast("string").alias("summary"),
-                      F.lit(None).cast("string").alias("clean_text"), F.lit("duplicate").alias("status"))
-    errors = req.filter(F.col("canonical").isNull()).select(
-        "url", "project", "canonical", F.lit(None).cast("string").alias("summary"),
-        F.lit(None).cast("string").alias("clean_text"), F.lit("error").alias("status"))
-    return (found.select("url", "project", "canonical", "summary", "clean_text", "status")
-            .unionByName(missing).unionByName(dups).unionByName(errors)
-            .withColumn("type", F.lit("pattern")).withColumn("source", F.lit("stackoverflow"))
-            .withColumn("confidence", F.lit(0.6)))
+                   .select(F.lit("question").alias("kind"), F.col("question_id").cast("string").alias("ref"),
+                           strip_html("title").alias("title"), "score", "is_accepted", "answer_body",
+                           F.substring(strip_html("qbody"), 1, rules.QUESTION_BODY_CHARS).alias("qbody")))
+    found = as_answer.unionByName(as_question).select(
+        "kind", "ref", pattern_text(F.col("title"), F.col("score"), F.col("is_accepted"), F.col("answer_body"),
+                                    F.col("qbody")).alias("summary"))
+    found = found.withColumn("clean_text", redact("summary")).withColumn(
+        "clean", F.size(scan_findings("clean_text")) == 0)
+
+    out = (req.join(known.withColumn("_known", F.lit(True)), "canonical", "left")
+           .join(found, ["kind", "ref"], "left"))
+    status = (F.when(F.col("canonical").isNull(), "error")
+              .when(F.col("_known"), "duplicate")
+              .when(F.col("clean").isNull(), "not_found")
+              .when(~F.col("clean"), "blocked")
+              .when(F.col("nth") > 1, "duplicate").otherwise("stored"))
+    shown = status.isin("stored", "blocked")
+    return out.select("url", "project", "canonical", F.when(shown, F.col("summary")).alias("summary"),
+                      F.when(shown, F.col("clean_text")).alias("clean_text"), status.alias("status"),
+                      F.lit("pattern").alias("type"), F.lit("stackoverflow").alias("source"), F.lit(0.6).alias("confidence"))
 
 
 # stand-in exports built from the driver tables --------------------------------------
 def commits_json_from_orders(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
-    message = F.when(k % 50 == 0, F.lit("  ")).otherwise(
+    message = F.when(k % 50 == 0, F.lit("  ")).when(k % 50 == 25, F.lit("\t")).otherwise(
         F.concat(F.lit("Fix "), F.lower("o_orderpriority"), F.lit(" order "), k.cast("string"),
                  F.lit("\n\nDetails: status "), F.col("o_orderstatus")))
     author = F.struct(F.when(F.col("o_custkey") % 5 != 0,
@@ -252,9 +302,14 @@ def questions_from_part(part: DataFrame) -> DataFrame:
                        F.col("p_size").cast("bigint").alias("score"), F.lit(0).cast("bigint").alias("answer_count"))
 
 
+def answer_key():
+    """A unique answer id of a line item: order, line and supplier (orders repeat line numbers)."""
+    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_suppkey") * 1000 + F.col("l_partkey") % 1000
+
+
 def answers_from_lineitem(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("answer_id"),
+        answer_key().alias("answer_id"),
         F.col("l_partkey").alias("question_id"),
         F.concat(F.lit("<div><p>Ship with flag "), F.col("l_returnflag"), F.lit(" and status "),
                  F.col("l_linestatus"), F.lit(".</p>\n<p>Quantity "), F.col("l_quantity").cast("bigint").cast("string"),

@@ -98,7 +98,7 @@ def memories_from_documents(documents: DataFrame) -> DataFrame:
         (d % 7 != 0).alias("approved"),
         F.lit(None).cast("string").alias("raw_text"),
         F.when(d % 3 == 0, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("c"), F.lpad((d % 53).cast("string"), 11, "0"))).alias("commit_sha"),
+        .otherwise(F.concat(F.lit("c"), F.lpad(F.floor(d / 10).cast("string"), 11, "0"))).alias("commit_sha"),
         F.when(type_ == "pattern", F.concat(F.lit("https://stackoverflow.com/a/"), d.cast("string")))
         .alias("so_url"),
         related_to.alias("related_to"),
@@ -120,6 +120,11 @@ def secret_seed(d):
         F.concat(F.lit("https://user:"), F.repeat(F.lit("p"), 8), F.lit("@db.local ")),
         F.concat(F.lit("-----BEGIN PRIVATE "), F.lit("KEY-----"), nl),
         F.concat(F.lit("xoxb-"), F.repeat(F.lit("1"), 12), F.lit(" ")),
+        F.concat(F.lit("sk-"), F.lit("ant-"), F.repeat(F.lit("c"), 40), F.lit(" ")),
+        F.concat(F.lit("github_"), F.lit("pat_"), F.repeat(F.lit("d"), 82), F.lit(" ")),
+        F.concat(F.lit("hf_"), F.repeat(F.lit("e"), 34), F.lit(" ")),
+        F.concat(F.lit("sk_"), F.lit("live_"), F.repeat(F.lit("f"), 24), F.lit(" ")),
+        F.concat(F.lit("AI"), F.lit("za"), F.repeat(F.lit("g"), 35), F.lit(" ")),
     ]
     expr = None
     for i, c in enumerate(cases):
@@ -150,16 +155,18 @@ def align_schema(df: DataFrame) -> DataFrame:
     return out.select(*MEMORY_SCHEMA.names)
 
 
-def new_memories(records: DataFrame, approved_col="approved", now=None) -> DataFrame:
-    """Fill id (64-bit hash of the natural key) and creation time."""
+def new_memories(records: DataFrame, now=None, next_id: int = 0) -> DataFrame:
+    """Fill id, creation time, confidence and all defaults.
+
+    Ids count up from ``next_id`` (the table's largest id + 1), so that equal records of one
+    batch are told apart and no two ids collide."""
     ts = now if now is not None else F.current_timestamp()
-    with_ts = records.withColumn("created_at", ts) if "created_at" not in records.columns else records
-    if "id" not in with_ts.columns:
-        with_ts = with_ts.withColumn(
-            "id", F.xxhash64("project", "type", "summary", "created_at"))
-    if "confidence" not in with_ts.columns:
-        with_ts = with_ts.withColumn("confidence", confidence_from_source("source"))
-    return align_schema(with_ts)
+    rows = records if "created_at" in records.columns else records.withColumn("created_at", ts)
+    if "id" not in rows.columns:
+        rows = rows.withColumn("id", F.lit(next_id) + F.monotonically_increasing_id())
+    if "confidence" not in rows.columns:
+        rows = rows.withColumn("confidence", confidence_from_source("source"))
+    return align_schema(rows)
 
 
 def append(mem: DataFrame, path: str) -> None:

@@ -11,8 +11,8 @@ become candidates, so the streamed result equals the batch gate.
 R2: session texts are appended as JSON lines partitioned by project and date
 by the file sink, whose commit log makes the output exactly-once.
 
-Paths default to folders under the session's ``spark.checkpoint.dir`` (a
-shared folder on a cluster), never a machine-local temporary folder.
+Paths default to folders under the session's ``spark.checkpoint.dir``, which a
+cluster must set to a shared folder (``memweave.session`` raises where it is unset).
 """
 
 from __future__ import annotations
@@ -71,7 +71,14 @@ def start_archive_stream(sessions: DataFrame, out_dir: str, checkpoint_dir: str,
     return writer.start()
 
 
-def streamed_gate(spark: SparkSession, sf_dir: str, timeout_s: int = 1800) -> DataFrame:
+def finished(query: StreamingQuery) -> None:
+    """Wait until the query has read all that there is; raises what it failed with."""
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
+def streamed_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run R1 over the documents folder (as a stream) and return what the sinks hold."""
     from ..sources.memories import incoming_from_memories, memories_from_documents
     from ..sources.tables import read_table
@@ -80,14 +87,11 @@ def streamed_gate(spark: SparkSession, sf_dir: str, timeout_s: int = 1800) -> Da
     stream = incoming_from_memories(memories_from_documents(
         read_table_stream(spark, sf_dir, "documents.parquet")))
     out, ck = scratch_dir(spark, "gate-out"), scratch_dir(spark, "gate-ck")
-    q = start_gate_stream(stream, snapshot, out, ck)
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    finished(start_gate_stream(stream, snapshot, out, ck))
     return spark.read.parquet(out).drop("batch_id")
 
 
-def streamed_archive(spark: SparkSession, sf_dir: str, captured_at=None, timeout_s: int = 1800) -> DataFrame:
+def streamed_archive(spark: SparkSession, sf_dir: str, captured_at=None) -> DataFrame:
     """Run R2 over whole conversations: turns are assembled per session in a batch
     step (a session needs all its turns), then appended through the file sink."""
     from ..operators.summarize import sessions_from_turns
@@ -99,8 +103,5 @@ def streamed_archive(spark: SparkSession, sf_dir: str, captured_at=None, timeout
     sessions.write.mode("overwrite").parquet(staged)
     stream = spark.readStream.schema(spark.read.parquet(staged).schema).parquet(staged)
     out, ck = scratch_dir(spark, "archive-out"), scratch_dir(spark, "archive-ck")
-    q = start_archive_stream(stream, out, ck, captured_at=captured_at)
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    finished(start_archive_stream(stream, out, ck, captured_at=captured_at))
     return spark.read.schema("text string, captured_at string, project string, date string").json(out)
