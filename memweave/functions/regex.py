@@ -83,11 +83,3 @@ def to_re2(p: str) -> str:
     if r"\b" in p:
         raise ValueError(f"no RE2 form for pattern {p!r}")
     return _replace_ws(p)
-
-
-def re2_flags(p: str) -> tuple[str, str]:
-    """Split leading inline flags for DuckDB (``(?im)x`` -> (x, 'im'))."""
-    m = re.match(r"\(\?([a-z]+)\)", p)
-    if m:
-        return p[m.end():], m.group(1)
-    return p, ""

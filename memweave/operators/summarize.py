@@ -1,7 +1,5 @@
 """Extractive summary (T4), session assembly and summary (C3), session archive (S3).
 
-The summary is one per-row expression made of higher-order functions
-(split -> transform -> filter -> sort -> slice -> join): no shuffle, no Python.
 Semantics matched: strip; split after ``.``/``!``/``?`` on whitespace runs;
 score = number of keywords contained as substrings of the lower-cased sentence
 plus ``max(0, 5 - i div 10)`` with i over all sentences; keep sentences of at
@@ -23,32 +21,6 @@ def _keyword_score(low_sentence):
     return sum(F.when(F.instr(low_sentence, kw) > 0, 1).otherwise(0) for kw in rules.SUMMARY_KEYWORDS)
 
 
-def extractive_summary(text, max_sentences: int = rules.SUMMARY_MAX_SENTENCES):
-    t = F.col(text) if isinstance(text, str) else text
-    stripped = F.regexp_replace(t, F.lit(f"(?d)\\A[{WS}]+|[{WS}]+\\z"), F.lit(""))
-    splitter = f"(?<=[.!?])[{WS}]+"
-    sentences = F.split(stripped, splitter, -1)
-    # lower-case once per text: lambdas get no common-subexpression elimination,
-    # and lower() keeps the split points ([.!?] and whitespace are unchanged)
-    lowered = F.split(F.lower(stripped), splitter, -1)
-
-    # ">= 5 whitespace-separated words" as one cached pattern (a split inside
-    # the lambda would compile its regex for every sentence)
-    five_words = f"^[{WS}]*[^{WS}]+(?:[{WS}]+[^{WS}]+){{4}}"
-
-    pairs = F.zip_with(sentences, lowered, lambda s, low: F.struct(s.alias("s"), low.alias("low")))
-
-    def score(p, i):
-        pos = F.greatest(F.lit(0), F.lit(5) - F.floor(i / 10).cast("int"))
-        return F.struct((-(_keyword_score(p["low"]) + pos)).alias("neg"), i.alias("i"),
-                        p["s"].alias("s"), p["s"].rlike(five_words).alias("long"))
-
-    kept = F.filter(F.transform(pairs, score), lambda x: x["long"])
-    top = F.slice(F.array_sort(kept), 1, max_sentences)
-    joined = F.array_join(F.transform(top, lambda x: x["s"]), " ")
-    return F.when(F.size(top) > 0, joined).otherwise(F.substring(t, 1, rules.SUMMARY_FALLBACK_CHARS))
-
-
 def sessions_from_turns(turns: DataFrame, session_col: str = "conv_id", order_col: str = "turn",
                         text_col: str = "text") -> DataFrame:
     """Concatenate the turns of each session in turn order (newline separated).
@@ -86,7 +58,7 @@ def write_archive(rows: DataFrame, path: str) -> None:
 
 def summarize_rows(df: DataFrame, id_col: str, text_col: str = "text",
                    max_sentences: int = rules.SUMMARY_MAX_SENTENCES) -> DataFrame:
-    """T4 for a table of texts: (id_col, summary), same result as ``extractive_summary``.
+    """T4 for a table of texts with unique ids: (id_col, summary).
 
     Sentences become rows so scoring runs in whole-stage codegen; the top
     ``max_sentences`` per text are cut with ``row_number()``, planned as a

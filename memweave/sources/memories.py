@@ -146,13 +146,19 @@ def incoming_from_memories(mem: DataFrame) -> DataFrame:
 # Store operations
 # ---------------------------------------------------------------------------
 def align_schema(df: DataFrame) -> DataFrame:
-    """Add columns of later schema versions with their defaults."""
-    out = df
+    """Columns of later schema versions get their defaults, where they are missing or (in the
+    rows of an earlier version) null."""
+    defaults = _column_defaults()
+    cols = []
     for field in MEMORY_SCHEMA.fields:
-        if field.name not in out.columns:
-            default = _column_defaults().get(field.name, F.lit(None))
-            out = out.withColumn(field.name, default.cast(field.dataType))
-    return out.select(*MEMORY_SCHEMA.names)
+        default = defaults.get(field.name, F.lit(None)).cast(field.dataType)
+        if field.name not in df.columns:
+            cols.append(default.alias(field.name))
+        elif field.name in defaults:
+            cols.append(F.coalesce(F.col(field.name), default).alias(field.name))
+        else:
+            cols.append(F.col(field.name))
+    return df.select(*cols)
 
 
 def new_memories(records: DataFrame, now=None, next_id: int = 0) -> DataFrame:

@@ -55,3 +55,27 @@ def test_using_is_not_use_and_accents(spark):
     assert check(spark, "we use django", ex, type_="general") is None
     ex2 = [{"id": 1, "summary": "éuse flask", "type": "general"}]
     assert check(spark, "we use django", ex2, type_="general") is None
+
+
+def test_repeated_ids_and_an_id_of_the_snapshot(spark):
+    from memweave.operators.gate import gate
+    snap = mem_rows(spark, [{"id": 1, "summary": "we use flask", "type": "decision"}])
+    rows = [(1, "p", "decision", "user", "we use django")] * 2 + [(1, "p", "decision", "user", "plain"), (None, "p", "bad", "user", "x"),
+                                                                  (2, "p", "bug", None, None)]
+    recs = spark.createDataFrame(rows, "id bigint, project string, type string, source string, text string")
+    got = sorted((str(r["id"]), r["status"]) for r in gate(recs, snap).collect())
+    assert got == [("1", "conflict_detected"), ("1", "conflict_detected"), ("1", "pending"), ("2", "pending"), ("None", "error")]
+    assert {r["status"] for r in gate(recs, snap, mode="auto", check_conflicts=False).collect()} == {"stored", "error"}
+
+
+def test_flag_and_resolve(spark):
+    from memweave.operators import conflicts as c
+    from memweave.operators.gate import gate
+    snap = mem_rows(spark, [{"id": 1, "summary": "we use flask", "type": "decision"}, {"id": 2, "summary": "x", "type": "bug"}])
+    recs = spark.createDataFrame([(7, "p", "decision", "user", "we use django")],
+                                 "id bigint, project string, type string, source string, text string")
+    found, flagged = c.flag_conflicts(snap, gate(recs, snap))
+    assert {r["id"]: r["conflict_flag"] for r in flagged.collect()} == {1: True, 2: False}
+    row = found.first()
+    after, log, gone = c.resolve_conflicts(flagged, found, spark.createDataFrame([(row["id"], 7)], "conflict_id string, keep bigint"))
+    assert [r["id"] for r in after.collect()] == [2] and [r["id"] for r in gone.collect()] == [1] and log.first()["resolved"]
