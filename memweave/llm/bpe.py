@@ -2,7 +2,7 @@
 
 Method: pre-tokens are exploded with their positions, each distinct word of the
 corpus is encoded once, its ids go back to where the word stands, and the text's
-ids are put together by position.  Positions are kept per *block* (some 16 MB of
+ids are put together by position.  Positions are kept per *block* (some 8 MB of
 texts): a block holds its distinct words and, for every position, the number
 of the word there.  A block sends its distinct words to the shards of their hashes, packed; a
 shard encodes each word that it gets once, whatever the number of blocks that sent it, and
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 MISSED = re.compile(r" (?=\s|\Z)")   # a space that does not open a token: such texts are matched whole
 
 
