@@ -37,7 +37,8 @@ EPS = 1e-9
 def quantized(vectors: DataFrame) -> DataFrame:
     """vec_id, v array<long>, dim, bucket (of the length; -1 for zero): the vectors that take part."""
     x = F.col("embedding")
-    good = x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    good = x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double"))
+                                     | (F.abs(c.cast("double")) == float("inf")))
     whole = F.transform(x, lambda c: F.floor(F.least(F.greatest(256 * c.cast("double"), F.lit(-LIMIT)), F.lit(LIMIT))))
     v = (vectors.where(good & F.col("vec_id").isNotNull())
          .select(F.col("vec_id").cast("long").alias("vec_id"), whole.cast("array<bigint>").alias("v")))
