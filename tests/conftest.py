@@ -9,8 +9,9 @@ from memweave.session import get_spark  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = get_spark("local[2]", app="memweave-tests", shuffle_partitions=4)
+def spark(tmp_path_factory):
+    s = get_spark("local[2]", app="memweave-tests", shuffle_partitions=4,
+                  extra={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     yield s
     s.stop()
 
