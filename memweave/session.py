@@ -57,9 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+ARROW_ROWS = "1000"      # rows are whole texts: 10,000 of them, Spark's default, take tens of MB per task and buffer
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the checkpoint folder and let Python workers import this package from where the driver has it."""
+    """Set the checkpoint folder, bound Arrow batches, and let Python workers import this package from
+    where the driver has it."""
     ensure_checkpoint_dir(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
