@@ -123,7 +123,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     longest = {}
     for d in dims:      # as a rule one
         rows = held.where(F.col("dim") == d).orderBy(F.desc("square"), "vec_id").limit(SEEDS).collect()
-        longest[d] = (np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.int64).reshape(-1, d))
+        longest[d] = (np.array([r["vec_id"] for r in rows], np.int64),
+                      np.array([r["v"] for r in rows], np.int64).reshape(len(rows), d))
     seeds = spark.sparkContext.broadcast(longest)       # at most SEEDS vectors a dimension
 
     def bounds(batches):
