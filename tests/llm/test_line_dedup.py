@@ -71,3 +71,34 @@ def test_odd_texts_clashing_columns_and_repeated_rows(spark):
     assert [r["text"] for r in got if r["doc_id"] == 0] == [None]
     assert {r["text"] for r in got if r["doc_id"] == 11} == {"x " * 3000}
     assert ld.clean(docs(spark, [])).collect() == [] and CLASHES
+
+
+def test_passages_inside_lines_go_to_their_last_word(spark):
+    rng = random.Random(8)
+    passages = [sentence(rng, 51) for _ in range(40)]
+    rows = [(i, f"a{i} {sentence(rng, 20)} b{i} {p} c{i} {sentence(rng, 30)}") for i, p in enumerate(passages)]
+    rows += [(100 + i, f"d{i} {p} e{i} {sentence(rng, 25)}") for i, p in enumerate(passages)]
+    for blocks in ({}, {"block_bytes": 900}):
+        got = rows_of(spark, rows, **blocks)
+        assert all(got[i]["text"] == t for i, t in rows[:40])
+        for i in range(40):
+            assert words(got[100 + i]["text"]) == words(rows[40 + i][1].replace(passages[i], ""))
+
+
+def test_passages_of_few_distinct_words(spark):
+    rng = random.Random(9)
+    passages = [" ".join(f"v{i}x{rng.randrange(12)}" for _ in range(60)) for i in range(40)]
+    rows = [(i, f"a{i} {sentence(rng, 20)} {p} c{i} {sentence(rng, 30)}") for i, p in enumerate(passages)]
+    rows += [(100 + i, f"{sentence(rng, 9)} d{i} {p} e{i} {sentence(rng, 25)}") for i, p in enumerate(passages)]
+    got = rows_of(spark, rows)
+    assert all(got[i]["text"] == t for i, t in rows[:40])
+    assert all(words(got[100 + i]["text"]) == words(rows[40 + i][1].replace(p, "")) for i, p in enumerate(passages))
+
+
+def test_short_lines_inside_a_repeated_passage_go_with_it(spark):
+    rng = random.Random(10)
+    passage = f"{sentence(rng, 12)}\nof.\nand ornd.\n{sentence(rng, 14)}\nend it"
+    rows = [(1, f"first own\n{passage}\n{sentence(rng, 20)}"), (2, f"second other\n{passage}\n{sentence(rng, 9)}")]
+    got = rows_of(spark, rows)
+    assert got[1]["text"] == rows[0][1]
+    assert words(got[2]["text"]) == words(rows[1][1].replace(passage, ""))
