@@ -464,10 +464,9 @@ def q_session_summaries(spark, sf):
 SELECT id, project, 'general' AS type, 'session' AS source, summary, CAST(0.7 AS DOUBLE) AS confidence,
   CASE WHEN len({S.findings('summary')}) > 0 THEN 'blocked' ELSE 'pending' END AS status FROM given""", SESSIONS_SQL))
 def q_session_auto_store(spark, sf):
-    """Summaries through the gate, against an empty snapshot of general memories: pending or blocked."""
+    """Summaries through the gate, against all approved memories of their project and type."""
     offered = summ.session_memories(sessions(spark, sf))
-    snapshot = mem(spark, sf).where("type <> 'general'")
-    return gate_ops.gate(offered, snapshot).select(
+    return gate_ops.gate(offered, mem(spark, sf)).select(
         "id", "project", "type", "source", F.col("clean_text").alias("summary"), "confidence", "status")
 
 
