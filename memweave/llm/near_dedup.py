@@ -16,10 +16,11 @@ that remain in one bucket are then compared, by their signatures, tile by tile,
 and what may reach the threshold is verified exactly.
 
 Defined results: a null or empty text (or one without words) has no shingles,
-is its own component and is kept.  A null ``doc_id`` has a null component, links
-nothing and is kept.  Rows that repeat a ``doc_id`` are one document: it is linked
-through its row of least (set size, set hash) and all its rows get that result, with their
-own ``n_shingles``.  Other columns play no part and may have any name.
+is its own component and is kept.  Links are between classes of equal sets, so that rows that repeat a
+``doc_id`` are judged each by its own text: ``component_id`` is the least doc_id of the row's group of linked
+classes (two groups have the same one if that doc_id has a text in each).  One row of a group is kept: that of
+least doc_id, then text hash, then any.  Rows of a null ``doc_id`` link like all others, rank last, and show a null
+component and as kept here; ``survivors`` drops them like all others.  Other columns play no part and may have any name.
 """
 
 from __future__ import annotations
@@ -103,11 +104,12 @@ def _signer(k: int, lower: bool, bands: int, rows: int):
         offsets = np.arange(0, (len(sets) + 1) * bands, bands, dtype=np.int32)
         none = sizes == 0
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(ids)), pa.array(sizes), pa.array(hi), pa.array(lo),
+            [batch.column("doc_id").take(pa.array(ids)), batch.column("text_hash").take(pa.array(ids)),
+             pa.array(sizes), pa.array(hi), pa.array(lo),
              pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
              pa.array([None if z else r.tobytes() for z, r in zip(none, (sig & np.uint64(255)).astype(np.uint8))],
                       pa.binary())],
-            names=["doc_id", "n_shingles", "hi", "lo", "bands", "sketch"])
+            names=["doc_id", "text_hash", "n_shingles", "hi", "lo", "bands", "sketch"])
 
     def run(batches):
         hashes = WordHashes()
@@ -125,31 +127,36 @@ def _signer(k: int, lower: bool, bands: int, rows: int):
     return run
 
 
+def _key():
+    return F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")
+
+
+def _same(x: DataFrame, y: DataFrame):
+    return x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_hash"] == y["text_hash"])
+
+
 def signatures(docs: DataFrame, k: int = 5, lower: bool = True, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, 128-bit set hash (hi, lo), band keys and an 8-bit sketch of the signature."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    """doc_id, text hash, n_shingles, 128-bit set hash (hi, lo), band keys and an 8-bit sketch of the signature."""
+    return docs.select(*_key(), "text").mapInArrow(
         _signer(k, lower, bands, rows),
-        "doc_id long, n_shingles long, hi long, lo long, bands array<long>, sketch binary")
+        "doc_id long, text_hash long, n_shingles long, hi long, lo long, bands array<long>, sketch binary")
 
 
 def _full_sets(docs: DataFrame, k: int, lower: bool) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            ids, sets, held = [], [], 0
+            sets, held = [], 0
             for i, s in _sets(batch, hashes, k, lower):
-                ids.append(i)
                 sets.append(s)
                 held += len(s)
                 if held >= 1_000_000 or i == batch.num_rows - 1:
                     hi, lo = _set_hash(sets)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(ids)), pa.array(hi), pa.array(lo),
-                         pa.array([x.tobytes() for x in sets], pa.binary())],
-                        names=["doc_id", "hi", "lo", "full"])
-                    ids, sets, held = [], [], 0
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, hi long, lo long, full binary")
+                        [pa.array(hi), pa.array(lo), pa.array([x.tobytes() for x in sets], pa.binary())],
+                        names=["hi", "lo", "full"])
+                    sets, held = [], 0
+    return docs.select("text").mapInArrow(run, "hi long, lo long, full binary")
 
 
 # ---------------------------------------------------------------- union-find
@@ -223,8 +230,8 @@ def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    wide = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("full").alias("fa")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("full").alias("fb")), "b"))
+    wide = (pairs.join(sets.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a")
+            .join(sets.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b"))
 
     def run(batches):
         for batch in batches:
@@ -293,11 +300,11 @@ def _verify_lists(lists: DataFrame, sets: DataFrame, percent: int, partitions: i
                                         pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs[1]))])})
 
     both = cut(dealt.repartition(partitions, "g").groupBy("g").applyInArrow(merged, "g long, id long, others array<long>"))
-    needed = both.where("others is null").select(F.col("g").alias("of"), F.col("id").alias("doc_id"))
+    needed = both.where("others is null").select(F.col("g").alias("of"), F.col("id").alias("id"))
 
     def links(lists_, sets_):
         full = {i: np.frombuffer(b.as_buffer(), np.uint64) for i, b in
-                zip(sets_.column("doc_id").to_pylist(), sets_.column("full"))}
+                zip(sets_.column("id").to_pylist(), sets_.column("full"))}
         a, b = [], []
         for x, ys in zip(lists_.column("id").to_pylist(), lists_.column("others").to_pylist()):
             for y in ys:
@@ -306,33 +313,32 @@ def _verify_lists(lists: DataFrame, sets: DataFrame, percent: int, partitions: i
                     b.append(y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return (both.where("others is not null").groupBy("g")
-            .cogroup(needed.join(sets, "doc_id").select("of", "doc_id", "full").groupBy("of"))
+            .cogroup(needed.join(sets, "id").select("of", "id", "full").groupBy("of"))
             .applyInArrow(links, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def _judged(docs: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
+    """One row per input row: doc_id, text_hash, n_shingles, component_id, and whether it is its group's one row.
 
-    Links are 100 * intersection >= percent * union of the distinct k-word
-    shingle sets of the whole texts.
+    A class of equal sets is known by ``at``, the number of its first row (doc_id, text hash, any).
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sig = cut(signatures(docs, k, lower))
-    one = (sig.where("doc_id is not null and n_shingles > 0").groupBy("doc_id")
-           .agg(F.min(F.struct("n_shingles", "hi", "lo")).alias("s")).select("doc_id", "s.*"))
-    classes = one.groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("rep"))
-    member = cut(one.join(classes, ["n_shingles", "hi", "lo"]).select("doc_id", "n_shingles", "hi", "lo", "rep"))
-    reps = member.where("doc_id = rep").select("doc_id", "n_shingles", "hi", "lo")
-    rep_sig = sig.join(reps, ["doc_id", "n_shingles", "hi", "lo"], "left_semi")
-    bands = rep_sig.select(F.explode("bands").alias("band"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    sig = cut(signatures(docs, k, lower).withColumn("at", F.monotonically_increasing_id()))
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "at")).alias("best")
+    classes = cut(sig.where("n_shingles > 0").groupBy("n_shingles", "hi", "lo").agg(first_row, F.count("*").alias("c")))
+    reps = classes.select(F.col("best.at").alias("id"), "n_shingles", "hi", "lo")
+    rep_sig = sig.join(reps.select(F.col("id").alias("at")), "at", "left_semi")
+    bands = rep_sig.select(F.explode("bands").alias("band"), F.col("at").alias("id"), F.col("n_shingles").alias("n"))
     shared = bands.groupBy("band").agg(F.count("*").alias("c"), F.min("id").alias("centre")).where("c > 1")
     inside = cut(bands.join(shared.select("band", "centre"), "band").select("band", "id", "n", "centre").distinct())
-    needed = inside.select(F.col("id").alias("doc_id")).distinct()
-    # the texts of candidates only; for a repeated doc_id the set of the row that stands for it
-    near_docs = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
-    sets = cut(_full_sets(near_docs, k, lower).join(reps, ["doc_id", "hi", "lo"], "left_semi")
-               .dropDuplicates(["doc_id"]))
-    size = reps.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("nb"))
+    # the texts of candidates only
+    needed = classes.select(F.col("best.at").alias("id"), "best.doc_id", "best.text_hash").join(
+        inside.select("id").distinct(), "id", "left_semi")
+    texts = docs.select(*_key(), "text")
+    sets = cut(_full_sets(texts.join(needed, _same(texts, needed), "left_semi"), k, lower)
+               .join(reps, ["hi", "lo"]).where("n_shingles * 8 = octet_length(full)").select("id", "full")
+               .dropDuplicates(["id"]))
+    size = reps.select(F.col("id").alias("centre"), F.col("n_shingles").alias("nb"))
     first = (inside.where("id <> centre").groupBy("id", "centre").agg(F.first("n").alias("na"), F.count("*").alias("c"))
              .groupBy("id", "na").agg(F.max(F.struct("c", -F.col("centre"))).alias("best"))
              .select("id", "na", (-F.col("best.col2")).alias("centre")))
@@ -354,17 +360,50 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
                      .where("comp <> cb").withColumnRenamed("n", "na").where(_size_ok(percent))
                      .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
         else:
-            sketch = rep_sig.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
+            sketch = rep_sig.select(F.col("at").alias("id"), "sketch")
             lists = _left_over(buckets.join(sketch, "id"), percent, partitions)
         grouped = comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
         found = _verify(pairs, sets, percent) if step < STAR_ROUNDS else _verify_lists(lists, sets, percent, partitions)
         comp = connected(cut(found).union(grouped))      # cut: one Python worker a task at a time
         buckets = buckets.select("band", "id", "n")
-    to = member.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left").select(
-        "doc_id", F.coalesce("comp", "rep").alias("of"))
-    return sig.select("doc_id", "n_shingles").join(to, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("of", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("of", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    linked = classes.join(comp.select(F.col("id").alias("cid"), "comp"), F.col("best.at") == F.col("cid"), "left")
+    group = linked.where("comp is not null").groupBy("comp").agg(F.min("best").alias("least"))
+    # classes of one row without a link need no verdict
+    verdict = (linked.where("c > 1 or comp is not null").join(group, "comp", "left")
+               .select("n_shingles", "hi", "lo", F.coalesce("least", "best").alias("least")))
+    return sig.select("doc_id", "text_hash", "n_shingles", "hi", "lo", "at").join(
+        verdict, ["n_shingles", "hi", "lo"], "left").select(
+        "doc_id", "text_hash", "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id")).alias("component_id"),
+        F.coalesce(F.col("least.at") == F.col("at"), F.lit(True)).alias("one"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Links are 100 * intersection >= percent * union of the distinct k-word
+    shingle sets of the whole texts.
+    """
+    return _judged(docs, k, percent, lower).select(
+        "doc_id", "n_shingles", "component_id", (F.col("one") | F.col("doc_id").isNull()).alias("kept"))
+
+
+def survivors(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of near copies, and all without shingles.
+
+    Rows are told apart by doc_id and text hash; of rows that repeat both, one is taken.
+    """
+    keys = cut(_judged(docs, k, percent, lower).groupBy("doc_id", "text_hash").agg(
+        F.max("one").alias("one"), F.min("one").alias("all")).where("not all"))
+    own = docs.select(F.struct(*docs.columns).alias("own_row"), *_key())
+
+    def rows(of: DataFrame, how: str) -> DataFrame:
+        return own.join(of, _same(own, of), how)
+    out = rows(keys.select("doc_id", "text_hash"), "left_anti").select("own_row.*")
+    twice = keys.where("one").select("doc_id", "text_hash")
+    if twice.isEmpty():
+        return out
+    return out.union(rows(twice, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("own_row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

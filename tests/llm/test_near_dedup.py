@@ -89,3 +89,25 @@ def test_bucket_left_overs_are_compared_across_tiles(spark, monkeypatch):
     rows = variants(11, 3, 25, 14)
     got = {r[0]: tuple(r[1:]) for r in nd.near_duplicates(docs(spark, rows), k=2).collect()}
     assert got == brute(rows, 2)
+
+
+REPEATED = [(5, "a b c d e f g"), (5, "a b c d e f g"), (5, "own words of another text"), (7, "Own words of another text"),
+            (4, "p q r s t u v"), (4, "p q r s t u v"), (None, "P q r s t u v"), (None, "only here and not elsewhere"),
+            (None, "only here and not elsewhere"), (2, "A b c d e f g"), (5, "unique to this one row"), (8, None), (8, None)]
+
+
+def test_each_text_of_a_repeated_id_is_judged_by_itself(spark):
+    got = sorted(map(tuple, nd.near_duplicates(docs(spark, REPEATED)).collect()), key=str)
+    assert got == sorted([(5, 3, 2, False), (5, 3, 2, False), (5, 1, 5, True), (7, 1, 5, False), (4, 3, 4, True),
+                          (4, 3, 4, False), (None, 3, None, True), (None, 1, None, True), (None, 1, None, True),
+                          (2, 3, 2, True), (5, 1, 5, True), (8, 0, 8, True), (8, 0, 8, True)], key=str)
+
+
+def test_the_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+    df = docs(spark, REPEATED)
+    out = corpus_pipeline.near_dedup_stage(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(
+        [(2, "A b c d e f g"), (5, "own words of another text"), (4, "p q r s t u v"),
+         (None, "only here and not elsewhere"), (5, "unique to this one row"), (8, None), (8, None)], key=str)
