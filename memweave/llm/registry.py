@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (bpe, host_rules, line_dedup, near_dedup, norm_buckets, perspectives, rff_classifier, source_mix,
+from . import (bpe, host_rules, line_dedup, near_dedup, norm_buckets, perspectives, repair, rff_classifier, source_mix,
                token_files, xent_difference)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_source_mix": source_mix.query,
     "op9_rff_quality": rff_classifier.query,
     "op10_plane_token_files": token_files.query,
+    "op12_integer_repair": repair.query,
 }
 
 ORACLE: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLE: dict[str, str] = {
     "op2_norm_bucketed_topk": norm_buckets.ORACLE,
     "op5_perspective_rotation": perspectives.ORACLE,
     "op7_host_rules": host_rules.ORACLE,
+    "op12_integer_repair": repair.ORACLE,
 }
