@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (bpe, host_rules, line_dedup, near_dedup, norm_buckets, perspectives, repair, rff_classifier, source_mix,
-               token_files, xent_difference)
+               token_files, trie_bpe, xent_difference)
 
 QUERIES = {
     "op1_xent_difference": xent_difference.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_rff_quality": rff_classifier.query,
     "op10_plane_token_files": token_files.query,
     "op12_integer_repair": repair.query,
+    "op13_trie_bpe": trie_bpe.query,
 }
 
 ORACLE: dict[str, str] = {
