@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (bpe, host_rules, line_dedup, near_dedup, norm_buckets, perspectives, repair, rff_classifier, source_mix,
-               token_files, trie_bpe, xent_difference)
+from . import (bpe, host_rules, line_dedup, near_dedup, norm_buckets, perspectives, prefix_trie, repair, rff_classifier,
+               source_mix, token_files, trie_bpe, xent_difference)
 
 QUERIES = {
     "op1_xent_difference": xent_difference.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_source_mix": source_mix.query,
     "op9_rff_quality": rff_classifier.query,
     "op10_plane_token_files": token_files.query,
+    "op11_prefix_trie": prefix_trie.query,
     "op12_integer_repair": repair.query,
     "op13_trie_bpe": trie_bpe.query,
 }
@@ -25,5 +26,6 @@ ORACLE: dict[str, str] = {
     "op2_norm_bucketed_topk": norm_buckets.ORACLE,
     "op5_perspective_rotation": perspectives.ORACLE,
     "op7_host_rules": host_rules.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op12_integer_repair": repair.ORACLE,
 }
