@@ -301,9 +301,9 @@ kid AS (
 kids AS (SELECT pk, depth - 1 AS depth, count(*) AS n FROM kid WHERE depth > 0 GROUP BY ALL),
 whole AS (SELECT kid.*, coalesce(kids.n, 0) AS n_children FROM kid LEFT JOIN kids ON kids.pk = kid.k AND kids.depth = kid.depth),
 below AS (      -- the ancestors of a node stand on its least member's path
-  SELECT a.k, a.depth, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes) AS saved
+  SELECT a.k, a.depth, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * w.bytes) AS saved
   FROM whole w JOIN pre a ON a.conv_id = w.conv_id AND a.depth <= w.depth GROUP BY a.k, a.depth)
-SELECT conv_id, CAST(w.depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves,
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves,
   CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
 FROM whole w JOIN below b ON b.k = w.k AND b.depth = w.depth
 """
