@@ -25,21 +25,25 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .bpe import _pack, _planes, _unpack, _unplane, _words_of, _words_packed
 
 BLOCK_BYTES = 8 << 20
 ADDED = b"\xff"                       # marks an added token among the words: no UTF-8 text holds this byte
+# fixed value: the split pattern of byte-level tokenizer files
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 ODD_SPACE = re.compile(r" (?=\s|\Z)")  # a space that does not open a word
 
 
@@ -52,7 +56,7 @@ class Vocabulary:
         model, pre = told["model"], told.get("pre_tokenizer") or {}
         added = told.get("added_tokens") or []
         if (model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or told.get("normalizer")
-                or model.get("ignore_merges") or (told.get("decoder") or {}).get("type") != "ByteLevel"
+                or model.get("ignore_merges") or not pre.get("use_regex", True) or (told.get("decoder") or {}).get("type") != "ByteLevel"
                 or any(a[k] for a in added for k in ("single_word", "lstrip", "rstrip"))):
             raise ValueError("not a plain byte-level BPE file")
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -70,7 +74,8 @@ class Vocabulary:
             if whole in self.birth:
                 raise ValueError("a token that two merges make")
             self.rank[a, b], self.parts[whole], self.birth[whole] = r, (a, b), r
-        self.ends = {t[k:] for t in self.id_of for k in range(len(t))}          # what a token may end with
+        # what a token may end with, and the token that this is
+        self.ends = {t[k:]: -1 for t in self.id_of for k in range(len(t))} | self.id_of
         self.added = {a["content"]: a["id"] for a in added}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         self.fit: dict[tuple[int, int], bool] = {}
@@ -115,7 +120,7 @@ def encode_words(words: list[bytes], vocab: Vocabulary) -> dict[bytes, list[int]
     node at hand: the last token of every prefix, set when the node is first visited.
     """
     out: dict[bytes, list[int]] = {}
-    id_of, bytes_of, ends, fits = vocab.id_of, vocab.bytes_of, vocab.ends, vocab.fits
+    bytes_of, end, fits = vocab.bytes_of, vocab.ends.get, vocab.fits
     last: list[int] = [-1]                        # last[d]: last token of the path's first d bytes; the root has none
     before = b""
     for word in sorted(words):
@@ -123,9 +128,11 @@ def encode_words(words: list[bytes], vocab: Vocabulary) -> dict[bytes, list[int]
         del last[d + 1:]
         for d in range(d + 1, len(word) + 1):
             found, k = [], d - 1
-            while k >= 0 and word[k:d] in ends:   # every end of the path that a token may have; the longest is tried first
-                t = id_of.get(word[k:d])
-                if t is not None:
+            while k >= 0:                         # every end of the path that a token may have; the longest is tried first
+                t = end(word[k:d])
+                if t is None:
+                    break
+                if t >= 0:
                     found.append((k, t))
                 k -= 1
             for k, t in reversed(found):
@@ -153,27 +160,31 @@ class _Stretches(dict):
 
     def __missing__(self, stretch: str) -> bytes:
         numbers = self.numbers
-        got = self[stretch] = np.array([numbers.setdefault(w, len(numbers)) for w in self.split(self.opening + stretch)],
-                                       np.uint32).tobytes()
+        got = self[stretch] = array("I", [numbers.setdefault(w, len(numbers)) for w in self.split(self.opening + stretch)]).tobytes()
         return got
 
 
 class _Block:
-    def __init__(self, vocab: Vocabulary, pre):
-        self.pre, self.vocab = pre, vocab
+    pre = ByteLevel(add_prefix_space=False, use_regex=True)
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
         self.numbers: dict = {}
         self.heads, self.tails = _Stretches(self.split, self.numbers, ""), _Stretches(self.split, self.numbers, " ")
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(vocab.added, key=len, reverse=True))) + ")") if vocab.added else None
         self.ids, self.parts, self.held = [], [], 0
 
     def split(self, text: str) -> list[str]:
-        """The library's own split, in its byte characters."""
-        return [w for w, _ in self.pre.pre_tokenize_str(text)] if text else []
+        """The library's own split.  Below U+0370 its character classes are those of all Unicode versions since 5.0, and
+        its pattern can be matched here; other texts go through the library."""
+        if text.isascii() or max(text) < "\u0370":
+            return WORDS(text)
+        return [self.vocab.to_bytes(w).decode() for w, _ in self.pre.pre_tokenize_str(text)]
 
     def plain(self, text: str) -> bytes:
         if ODD_SPACE.search(text):
             numbers = self.numbers
-            return np.array([numbers.setdefault(w, len(numbers)) for w in self.split(text)], np.uint32).tobytes()
+            return array("I", [numbers.setdefault(w, len(numbers)) for w in self.split(text)]).tobytes()
         head, *rest = text.split(" ")
         return self.heads[head] + b"".join(map(self.tails.__getitem__, rest))
 
@@ -192,7 +203,7 @@ class _Block:
         order = np.argsort(-np.bincount(at, minlength=len(self.numbers)), kind="stable")
         new = np.empty(len(order), np.uint32)
         new[order] = np.arange(len(order), dtype=np.uint32)           # frequent words get small numbers, which pack well
-        words = [ADDED + w[0].encode() if isinstance(w, tuple) else self.vocab.to_bytes(w) for w in self.numbers]
+        words = [ADDED + w[0].encode() if isinstance(w, tuple) else w.encode() for w in self.numbers]
         sizes = np.fromiter((len(p) // 4 for p in self.parts), np.uint32, len(self.parts))
         known = np.array([d is not None for d in self.ids], np.uint8).tobytes()
         ids = np.array([d or 0 for d in self.ids], "<i8").tobytes()
@@ -229,14 +240,14 @@ def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def make(batches):
-        vocab, pre = _vocabulary(spec.value), Tokenizer.from_str(spec.value).pre_tokenizer
-        number, held = TaskContext.get().partitionId() << 32, _Block(vocab, pre)
+        vocab = _vocabulary(spec.value)
+        number, held = TaskContext.get().partitionId() << 32, _Block(vocab)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 held.add(doc_id, text.as_py() or "")
                 if held.held >= block_bytes:
                     yield held.row(number)
-                    number, held = number + 1, _Block(vocab, pre)
+                    number, held = number + 1, _Block(vocab)
         if held.ids:
             yield held.row(number)
     blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(

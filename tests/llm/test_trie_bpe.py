@@ -82,3 +82,11 @@ def test_broken_bytes_decode_as_the_library_does(spark, library):
 
 def test_empty_table(spark):
     assert trie_bpe.digests(docs(spark, []), PATH).collect() == []
+
+
+def test_split_below_u0370_is_the_librarys(vocab):
+    block = trie_bpe._Block(vocab)
+    rng = random.Random(8)
+    chars = [chr(c) for c in range(1, 0x370)]
+    for text in [f"a{c}b 1{c}2 .{c}. {c}{c}  {c}" for c in chars] + ["".join(rng.choices(chars + [" ", "'", "s"] * 60, k=40)) for _ in range(2000)]:
+        assert block.split(text) == [vocab.to_bytes(w).decode() for w, _ in block.pre.pre_tokenize_str(text)], repr(text)
