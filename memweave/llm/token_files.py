@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -118,6 +119,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if piece == " ":
+            self[piece] = NO_ID_BYTES
             return NO_ID_BYTES
         mapped = piece.encode().decode("latin-1").translate(self.byte_chars)
         got = self[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
@@ -156,7 +158,7 @@ class _WordEncoder:
     def _learn(self, new: list[bytes]) -> None:
         if len(self.pieces) > self.bound:
             self.pieces.clear()
-        plain = b" ".join(new).decode()
+        plain = b" ".join(new).decode()                    # distinct words without blanks
         if self.split is None or self.odd.search(plain.replace(" ", "")):
             odd = [w for w in new if self.split is None or self.odd.search(w.decode())]
             self.words.update((w, self._whole(w.decode())) for w in odd)
@@ -177,15 +179,29 @@ class _WordEncoder:
             self.words[w] = ids[lo:hi]
             lo = hi + 4
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]
-        new = set().union(*split).difference(self.words)
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text.  Arrow splits and numbers the words; Python sees each distinct one."""
+        split = pc.ascii_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        distinct = numbered.dictionary.cast(pa.large_binary()).to_pylist()
+        new = [w for w in distinct if w not in self.words]
         if len(self.words) + len(new) > self.bound:
             self.words.clear()
-            new = set().union(*split)
+            new = distinct
+        self.words[b""] = b""                              # what stands before a leading blank
+        new = [w for w in new if w]
         if new:
-            self._learn(list(new))
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, s)), "<u4") for s in split]
+            self._learn(new)
+        got = [self.words[w] for w in distinct]
+        flat = np.frombuffer(b"".join(got), "<u4")
+        width = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        start = np.cumsum(width) - width
+        at = numbered.indices.to_numpy()
+        here = width[at]
+        stop = np.cumsum(here)
+        ids = flat[np.repeat(start[at] - (stop - here), here) + np.arange(stop[-1] if len(stop) else 0)]
+        words = split.value_lengths().to_numpy()
+        return np.split(ids, np.append(0, stop)[np.cumsum(words)][:-1])
 
 
 # ----------------------------------------------------------------- write, read
@@ -205,15 +221,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, bits
                  pa.array([len(ids)], pa.int64()), pa.array([pack_segment(doc_ids, ids, bits)], pa.binary())],
                 names=["part", "seq", "n_ids", "n_docs", "segment"])
         for batch in batches:
-            keys, col = batch.column("doc_id").to_pylist(), batch.column("text")
-            lo = 0
+            keys, col = batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "")
+            lengths, lo = pc.binary_length(col).to_numpy(), 0
             while lo < len(keys):
-                hi, chars, texts = lo, 0, []
-                while hi < len(keys) and chars < 1 << 20:
-                    texts.append(col[hi].as_py() or "")
-                    chars += len(texts[-1]) + 64
+                hi, size = lo, 0
+                while hi < len(keys) and size < 1 << 22:
+                    size += lengths[hi] + 64
                     hi += 1
-                for key, got in zip(keys[lo:hi], enc.batch(texts)):
+                for key, got in zip(keys[lo:hi], enc.batch(col[lo:hi])):
                     doc_ids.append(key)
                     ids.append(np.concatenate([got, end]))
                     held += len(got) + 1
