@@ -11,9 +11,10 @@ partition, then by contracting whole partitions' results against each other.
 
 Nothing lists all pairs of a bucket.  Texts with equal sets are one class from
 the start.  Rounds of stars (each member against one centre of its bucket, a
-new centre per round and band) link most of a bucket; only members of *different* groups
-that remain in one bucket are then compared, by their signatures, tile by tile,
-and what may reach the threshold is verified exactly.
+new centre per round and band) link most of a bucket.  Only members of *different* groups
+that remain in one bucket are then compared, by their signatures, tile by tile; what may reach the threshold is joined to
+*families*, and a family's members outside its largest group meet all of its members in exact matrix products of their full sets,
+again tile by tile.  Both steps put out forests of links and no pairs, so rows stay fewer than members times tiles.
 
 Defined results: a null or empty text (or one without words) has no shingles,
 is its own component and is kept.  Links are between classes of equal sets, so that rows that repeat a
@@ -37,7 +38,9 @@ BANDS, ROWS = 40, 6            # a pair at 0.8 shares no band with probability (
 STAR_ROUNDS = 2
 ROUNDS_BY_ID = 3
 TILE = 1024                    # members of one tile when what is left of a bucket is compared
-SLACK = 0.12                   # 4.6 standard deviations of a 240-value estimate at 0.8
+SLACK = 0.12                   # 4.6 standard deviations of a 240-value estimate at 0.8: passes over 2e-6 of such pairs
+TILE_ELEMENTS = 300_000        # shingles of the sets of one tile when a family is verified
+COLUMNS = 4096                 # elements of one matrix product
 CHUNK_ELEMENTS = 120_000       # shingles whose permutations are held at a time
 
 
@@ -247,12 +250,27 @@ def _size_ok(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _left_over(members: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """(a, others): members of one bucket but of different groups whose signatures may reach the threshold.
+def _joined(labels: np.ndarray, i: int, others: np.ndarray, ids: np.ndarray, ids_of_others: np.ndarray) -> list:
+    """Put i and others into one local group; the links that this took (one for each group that joined)."""
+    mine, found = labels[i], []
+    groups, first = np.unique(labels[others], return_index=True)
+    for g, at in zip(groups.tolist(), first.tolist()):
+        if g != mine:
+            found.append((ids[i], ids_of_others[at]))
+            labels[labels == g] = mine
+    return found
 
-    A bucket is dealt to tiles of about TILE members by a hash of the id, and
-    every pair of its tiles is one task-sized group, so no group grows with the bucket.
-    Within it, only members outside its largest group look for others.
+
+def _pairs_table(found: list) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _families(members: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """(id, fam): members of different groups whose signatures may reach the threshold, in families closed under that.
+
+    A bucket is dealt to tiles of about TILE members by a hash of the id, and every pair of its tiles is one task-sized
+    group, so no group grows with the bucket.  Within it, only members outside its largest group look for
+    others.  What a group of tiles finds comes out as a forest: fewer rows than members, however many pairs there are.
     """
     counts = members.groupBy("band").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
     tiled = members.join(counts, "band").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles"))
@@ -266,7 +284,7 @@ def _left_over(members: DataFrame, percent: int, partitions: int) -> DataFrame:
         groups, sizes = np.unique(comp, return_counts=True)
         large = groups[np.argmax(sizes)]
         across = key[1].as_py() != key[2].as_py()
-        a, others = [], []
+        labels, found = np.arange(len(ids)), []
         for i in np.flatnonzero(comp != large):
             ok = (comp != comp[i]) & ((comp == large) | (ids > ids[i]))
             ok &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
@@ -275,46 +293,78 @@ def _left_over(members: DataFrame, percent: int, partitions: int) -> DataFrame:
             at = np.flatnonzero(ok)
             at = at[(sketch[at] == sketch[i]).mean(axis=1) >= percent / 100 - SLACK]
             if len(at):
-                a.append(ids[i])
-                others.append(ids[at])
-        return pa.table({"a": pa.array(a, pa.int64()), "others": pa.array(others, pa.list_(pa.int64()))})
-    return (grid.repartition(partitions, "band", "t1", "t2").groupBy("band", "t1", "t2")
-            .applyInArrow(run, "a long, others array<long>"))
-
-
-def _verify_lists(lists: DataFrame, sets: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Links (a, b) among (a, others) lists: some members at a time meet each set that they need once."""
-    dealt = lists.withColumn("g", F.pmod(F.xxhash64("a"), F.lit(max(1, partitions * 4))))
-
-    def merged(key, table):
-        a, others = table.column("a").to_numpy(), table.column("others").combine_chunks()
-        others = pa.concat_arrays(others.chunks) if isinstance(others, pa.ChunkedArray) else others
-        width = others.value_lengths().to_numpy(zero_copy_only=False)
-        pairs = np.unique(np.stack([np.repeat(a, width), others.flatten().to_numpy()]), axis=1)
-        first, cuts = np.unique(pairs[0], return_index=True)
-        ends = np.append(cuts, pairs.shape[1]).astype(np.int32)
-        need, g = np.unique(pairs), key[0].as_py()
-        return pa.table({
-            "g": np.full(len(need) + len(first), g, np.int64), "id": np.concatenate([need, first]),
-            "others": pa.concat_arrays([pa.nulls(len(need), pa.list_(pa.int64())),
-                                        pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs[1]))])})
-
-    both = cut(dealt.repartition(partitions, "g").groupBy("g").applyInArrow(merged, "g long, id long, others array<long>"))
-    needed = both.where("others is null").select(F.col("g").alias("of"), F.col("id").alias("id"))
-
-    def links(lists_, sets_):
-        full = {i: np.frombuffer(b.as_buffer(), np.uint64) for i, b in
-                zip(sets_.column("id").to_pylist(), sets_.column("full"))}
-        a, b = [], []
-        for x, ys in zip(lists_.column("id").to_pylist(), lists_.column("others").to_pylist()):
-            for y in ys:
-                if _reaches(full[x], full[y], percent):
-                    a.append(x)
-                    b.append(y)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-    return (both.where("others is not null").groupBy("g")
-            .cogroup(needed.join(sets, "id").select("of", "id", "full").groupBy("of"))
-            .applyInArrow(links, "a long, b long"))
+                found += _joined(labels, i, at, ids, ids[at])
+        return _pairs_table(found)
+    near = (grid.repartition(partitions, "band", "t1", "t2").groupBy("band", "t1", "t2")
+            .applyInArrow(run, "a long, b long"))
+    return connected(cut(near)).withColumnRenamed("comp", "fam")
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b: products of 0/1 matrices over the elements that
+    two or more sets hold, some thousand elements at a time."""
+    both = [*a, *b]
+    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    _, element, count = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    shared = np.where(count > 1, np.cumsum(count > 1) - 1, -1)
+    element = shared[element]
+    owner, element = owner[element >= 0], element[element >= 0]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    out = np.zeros((len(a), len(b)), np.float32)               # exact: sizes are below 2 ** 24
+    for lo in range(0, int(element[-1]) + 1 if len(element) else 0, COLUMNS):
+        i, j = np.searchsorted(element, [lo, lo + COLUMNS])
+        held = np.zeros((len(both), COLUMNS), np.float32)
+        held[owner[i:j], element[i:j] - lo] = 1
+        out += held[:len(a)] @ held[len(a):].T
+    return out.astype(np.int64)
+
+
+def _family_links(families: DataFrame, sets: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """Links (a, b) between groups of one family, by exact intersections, as a forest of each pair of tiles.
+
+    families: id, fam, n, comp.  Members outside the family's largest group meet all members; tiles hold a bounded
+    number of elements and members, and every set is sent once to each tile of the others.
+    """
+    group = families.groupBy("fam", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("elements"))
+    large = group.groupBy("fam").agg(F.max(F.struct("c", "comp")).alias("m")).select("fam", F.col("m.comp").alias("large"))
+    n_tiles = F.greatest(F.ceil(F.sum("elements") / TILE_ELEMENTS), F.ceil(F.sum("c") / TILE))
+    side = (F.col("comp") == F.col("large")).alias("rest")
+    tiles = group.join(large, "fam").groupBy("fam", side).agg(n_tiles.alias("tiles"))
+    tiles = tiles.groupBy("fam").agg(F.coalesce(F.max(F.when(~F.col("rest"), F.col("tiles"))), F.lit(0)).alias("few"),
+                                     F.coalesce(F.max(F.when(F.col("rest"), F.col("tiles"))), F.lit(0)).alias("rest_tiles"))
+    own = families.join(large, "fam").join(tiles, "fam").withColumn("rest", side).withColumn(
+        "tile", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("rest_tiles")).otherwise(F.col("few"))))
+    nothing = F.array().cast("array<long>")
+
+    def upto(n):
+        return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(nothing)
+    # pair of tiles (i, rest, j): tile i of the few with tile j of the few (j >= i) or of the rest
+    small = F.concat(
+        F.transform(upto(F.col("few")), lambda x: F.struct(F.least(x, "tile").alias("i"), F.lit(False).alias("r"), F.greatest(x, "tile").alias("j"))),
+        F.transform(upto(F.col("rest_tiles")), lambda x: F.struct(F.col("tile").alias("i"), F.lit(True).alias("r"), x.alias("j"))))
+    big = F.transform(upto(F.col("few")), lambda x: F.struct(x.alias("i"), F.lit(True).alias("r"), F.col("tile").alias("j")))
+    dealt = own.withColumn("g", F.explode(F.when(F.col("rest"), big).otherwise(small))).join(sets, "id").select(
+        "fam", "g.i", "g.r", "g.j", "id", "comp", "tile", "rest", "full")
+
+    def run(key, table):
+        i, r, j = (x.as_py() for x in key[1:])
+        ids, comp, tile = (table.column(c).to_numpy() for c in ("id", "comp", "tile"))
+        rest = table.column("rest").to_numpy(zero_copy_only=False)
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("full")]
+        at_a = np.flatnonzero(~rest & (tile == i))
+        at_b = np.flatnonzero(rest) if r else np.flatnonzero(tile == j)
+        a, b = [full[x] for x in at_a], [full[x] for x in at_b]
+        common = _common(a, b)
+        union = np.array([len(x) for x in a], np.int64)[:, None] + np.array([len(x) for x in b], np.int64)[None, :] - common
+        linked = (100 * common >= percent * union) & (comp[at_a][:, None] != comp[at_b][None, :])
+        labels, found = np.arange(len(ids)), []
+        for x in np.flatnonzero(linked.any(axis=1)):
+            others = at_b[linked[x]]
+            found += _joined(labels, at_a[x], others, ids, ids[others])
+        return _pairs_table(found)
+    return (dealt.repartition(partitions, "fam", "i", "r", "j").groupBy("fam", "i", "r", "j")
+            .applyInArrow(run, "a long, b long"))
 
 
 def _judged(docs: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
@@ -353,17 +403,22 @@ def _judged(docs: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
         if buckets.isEmpty():
             break
         if step < STAR_ROUNDS:
-            centre = buckets.groupBy("band").agg(
-                F.min(F.struct(F.xxhash64("id", "band", F.lit(step)), F.col("id"), F.col("n").alias("nb"),
-                               F.col("comp").alias("cb"))).alias("s")).select("band", "s.id", "s.nb", "s.cb")
+            # first the member with the most company in all of its buckets: of copies of one text, the least changed one
+            size_of = buckets.groupBy("band").agg(F.count("*").alias("c"))
+            company = buckets.join(size_of, "band").groupBy("id").agg(F.sum("c").alias("company"))
+            first_of = F.struct(-F.col("company") if step == 0 else F.xxhash64("id", "band"), F.col("id"),
+                                F.col("n").alias("nb"), F.col("comp").alias("cb"))
+            centre = (buckets.join(company, "id") if step == 0 else buckets).groupBy("band").agg(
+                F.min(first_of).alias("s")).select("band", "s.id", "s.nb", "s.cb")
             pairs = (buckets.join(centre.withColumnRenamed("id", "centre"), "band")
                      .where("comp <> cb").withColumnRenamed("n", "na").where(_size_ok(percent))
                      .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
         else:
             sketch = rep_sig.select(F.col("at").alias("id"), "sketch")
-            lists = _left_over(buckets.join(sketch, "id"), percent, partitions)
+            families = _families(buckets.join(sketch, "id"), percent, partitions)
+            families = cut(families.join(buckets.select("id", "n", "comp").distinct(), "id"))
         grouped = comp.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b"))
-        found = _verify(pairs, sets, percent) if step < STAR_ROUNDS else _verify_lists(lists, sets, percent, partitions)
+        found = _verify(pairs, sets, percent) if step < STAR_ROUNDS else _family_links(families, sets, percent, partitions)
         comp = connected(cut(found).union(grouped))      # cut: one Python worker a task at a time
         buckets = buckets.select("band", "id", "n")
     linked = classes.join(comp.select(F.col("id").alias("cid"), "comp"), F.col("best.at") == F.col("cid"), "left")

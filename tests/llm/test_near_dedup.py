@@ -111,3 +111,60 @@ def test_the_stage_keeps_one_row_of_each_group(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(
         [(2, "A b c d e f g"), (5, "own words of another text"), (4, "p q r s t u v"),
          (None, "only here and not elsewhere"), (5, "unique to this one row"), (8, None), (8, None)], key=str)
+
+
+def near_copies(n, seed=4, size=60, changes=3):
+    """n copies of one base text, each with some words replaced: most reach 0.8 to the base and not to each other."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(size)]
+    out = [(0, " ".join(base))]
+    for i in range(1, n):
+        own = list(base)
+        for at in rng.sample(range(size), rng.choice([changes, changes, changes + 2])):
+            own[at] = rng.choice([f"x{rng.random()}", f"y{rng.randint(0, 3)}"])
+        out.append((i, " ".join(own)))
+    return out
+
+
+def by_definition(rows, k, percent=80):
+    sets = {i: {tuple(w[j:j + k]) for j in range(len(w) - k + 1)} for i, w in ((i, t.split()) for i, t in rows)}
+    holders = {}
+    for i, s in sets.items():
+        for e in s:
+            holders.setdefault(e, []).append(i)
+    parent = {i: i for i in sets}
+    for i, s in sets.items():
+        common = {}
+        for e in s:
+            for j in holders[e]:
+                if j > i:
+                    common[j] = common.get(j, 0) + 1
+        for j, c in common.items():
+            if 100 * c >= percent * (len(s) + len(sets[j]) - c):
+                a, b = nd._find(parent, i), nd._find(parent, j)
+                parent[max(a, b)] = min(a, b)
+    return {i: nd._find(parent, i) for i in sets}
+
+
+def test_one_large_group_of_near_copies(spark, monkeypatch):
+    """With and without its base: equal to a brute force, and the rows of the last step grow with the group and not its square."""
+    sent = []
+    real = nd._family_links
+
+    def counted(families, sets, percent, partitions):
+        sent.append(families.count())
+        return real(families, sets, percent, partitions)
+    monkeypatch.setattr(nd, "_family_links", counted)
+    for n in (300, 600):
+        for drop in (0, 1):
+            rows = near_copies(n)[drop:]
+            got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(docs(spark, rows), k=2).collect()}
+            assert got == by_definition(rows, 2)
+    assert all(s <= 600 for s in sent)
+
+
+def test_common_sizes_are_exact():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 400))).astype(np.uint64) for _ in range(40)]
+    got = nd._common(sets[:15], sets[15:])
+    assert (got == [[len(np.intersect1d(x, y)) for y in sets[15:]] for x in sets[:15]]).all()
