@@ -110,8 +110,10 @@ def _ordered(table: pa.Table) -> pa.Table:
     return table.take(pa.array(order, pa.int64()))
 
 
-def clean(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cleaned, and ``removed``: (begin, end) offsets in the original text."""
+def clean(docs: DataFrame, block_bytes: int = BLOCK_BYTES, removed: str = "removed") -> DataFrame:
+    """All columns of ``docs`` with ``text`` cleaned, and a column ``removed``: (begin, end) offsets in the original text.
+
+    ``docs`` must not have a column of that column's name (give another one)."""
     other = [c for c in docs.columns if c != "text"]
     dealt = with_block(docs.select(F.struct(*other).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"),
                        block_bytes, "doc_id", "text")
@@ -219,7 +221,8 @@ def clean(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         lambda key, left, right: around(key, left, right),
         "block int, row int, lo int, hi int, left long, right long, before array<long>, after array<long>")
     out = blocks.cogroup(known.groupBy("block")).applyInArrow(lambda left, right: remove(left, right), kind)
-    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], "removed")
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns],
+                      F.col("removed").alias(removed))
 
 
 _MESSAGE = {"to": "int", "src": "int", "row": "int", "lo": "int", "hi": "int", "left": "long", "right": "long"}

@@ -10,13 +10,13 @@ by length alone.  What is left is verified with exact integer products, and the
 
 The stated query set meets all tiles in blocks; a block and a tile have bounded sizes.
 
-Components are floor(256 * x) as integers, held within +-2**27, so that products of up to
-512 components fit 64 bits.
+Components are floor(256 * x) as integers, held within +-2**62.  Products are taken in doubles where these are exact, in
+64-bit integers where these can't overflow, and else in integers of any size; scores are held within 64 bits.
 
 Defined results: vectors that are null, or hold null or non-finite components, or have no
 vec_id, take no part.  Only vectors of one dimension are compared.  A query's own vec_id is no
 candidate.  Candidate rows that repeat (vec_id and vector) count as often as they occur; a query id
-that occurs with several vectors stands for the least of them.  Fewer than k candidates: all of them.
+that occurs with several vectors asks with each of them once, and gets the best of all.  Fewer than k candidates: all of them.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .common import cut
 
 SEEDS, TILE, QUERY_BLOCK, STEP = 1024, 8192, 2048, 1024
 FOCUS, COORDINATES_FROM = 6, 0.3
-LIMIT = float(1 << 27)
+LIMIT = float(1 << 62)
 EPS = 1e-9
 
 
@@ -72,7 +72,7 @@ class _Tile:
         size = float(np.sqrt((q.astype(np.float64) ** 2).sum()))
         unit = q / size if size else np.zeros(len(q))
         focus = np.argsort(-np.abs(unit))[:FOCUS]
-        exact = self.fast * float(np.abs(q).max(initial=0)) < 2.0 ** 53
+        most = self.fast * float(np.abs(q).max(initial=0))
         real = q.astype(np.float64)
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for lo in range(0, len(self.ids), STEP):
@@ -88,7 +88,13 @@ class _Tile:
                 else:
                     at = slice(lo, lo + int(np.searchsorted(-self.length[lo:hi], -(bound / size) * (1 - EPS),
                                                             side="right")))
-            got = (self.real[at] @ real).astype(np.int64) if exact else self.v[at] @ q
+            if most < 2.0 ** 53:
+                got = (self.real[at] @ real).astype(np.int64)
+            elif most < 2.0 ** 62:
+                got = self.v[at] @ q
+            else:
+                whole = self.v[at].astype(object) @ q.astype(object)
+                got = np.array([min(max(x, -1 << 63), (1 << 63) - 1) for x in whole], np.int64)
             mine = self.ids[at]
             keep = mine != qid
             if bound is not None:
@@ -118,7 +124,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     spark = vectors.sparkSession
     # equal rows once, with how often they occur; more than k + 1 of them can't matter
     held = cut(quantized(vectors).groupBy("vec_id", "v", "dim", "square", "bucket").agg(F.count("*").alias("times")))
-    asked = quantized(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    asked = quantized(queries).select("vec_id", "v", "dim").distinct()
     dims = [r["dim"] for r in held.select("dim").distinct().limit(1000).collect()]
     longest = {}
     for d in dims:      # as a rule one
@@ -185,7 +191,7 @@ WITH v AS (
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) a JOIN v b ON a.vec_id <> b.vec_id)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """

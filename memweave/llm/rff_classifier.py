@@ -78,6 +78,7 @@ class Model:
         self.weights = np.zeros(1 + d + FEATURES)
         self.weights[0] = 0.5
         self.xs, self.ys = np.array([0.0]), np.array([0.5])
+        self.learnt = True
 
     def features(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.std, -8, 8)
@@ -123,7 +124,9 @@ def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         .repartition(FIT_PARTITIONS))
     got = rows.agg(F.count("*"), *[f(F.col("x")[i]) for i in range(d) for f in (F.avg, F.stddev_pop)]).first()
     if not got[0]:
-        return Model(np.zeros(d), np.ones(d), d)
+        unlearnt = Model(np.zeros(d), np.ones(d), d)
+        unlearnt.learnt = False
+        return unlearnt
     model = Model(np.array(got[1::2], float), np.array(got[2::2], float), d)
     p = len(model.weights)
 
@@ -175,8 +178,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose predicted label is 1."""
+    """The rows of ``docs`` (all columns) whose predicted label is 1; all rows, if there was no label to learn from."""
     model = fit(cut(document_statistics(docs)), labels)
+    if not model.learnt:
+        return docs
 
     def run(batches):
         for b in batches:

@@ -65,6 +65,16 @@ def test_fewer_candidates_than_k_and_empty(spark):
     assert run(spark, [], {1}) == []
 
 
-def test_huge_components_are_held(spark):
+def test_large_components_are_exact(spark):
+    rows = [(1, [1.0, 2.0]), (2, [900000.0, 0.0]), (3, [600000.0, 1.0]), (4, [-7e6, 3.0]), (5, [0.25, 7e6]), (6, [5e6, -2e6])]
+    assert run(spark, rows, {1, 2, 5, 6}) == brute(rows, {1, 2, 5, 6})
+
+
+def test_scores_beyond_64_bits_are_held(spark):
     got = run(spark, [(1, [3e38, 1.0]), (2, [3e38, 1.0]), (3, [-3e38, 1.0])], {1})
-    assert [r[2] for r in got] == [2, 3] and got[0][3] == (1 << 54) + 256 * 256
+    assert [r[2:] for r in got] == [(2, (1 << 63) - 1), (3, -1 << 63)]
+
+
+def test_all_vectors_of_an_asked_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 5.0]), (3, [1.0, 1.0])]
+    assert run(spark, rows, {0}) == [(0, n + 1, i, s * 65536) for n, (i, s) in enumerate([(2, 5), (1, 3), (1, 1), (2, 1), (3, 1)])]
