@@ -16,7 +16,7 @@ from memweave.sources.tables import read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose predicted quality label is 1."""
+    """Documents whose predicted quality label is 1 (all, if there is no label to learn from)."""
     prepare(spark)
     return rff_classifier.accepted(docs, read_table(spark, sf_dir, "labels"))
 
@@ -30,8 +30,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go but for their earliest occurrence; every document stays, n_chars follows its text."""
     prepare(spark)
-    cleaned = line_dedup.clean(docs)
-    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    spans = "_".join(["spans", *docs.columns])              # a name that no column has
+    cleaned = line_dedup.clean(docs, removed=spans)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +44,12 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and ids of every text of the mix."""
+    """doc_id, ids of every text of the mix, and the text that the ids decode to."""
     import public_tokenizers
     prepare(spark)
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select("doc_id", "ids", F.col("decoded").cast("string").alias("text"))
 
 
 STAGES = [
