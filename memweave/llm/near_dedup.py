@@ -37,6 +37,7 @@ from .common import WordHashes, cut, mix64, words_of
 BANDS, ROWS = 40, 6            # a pair at 0.8 shares no band with probability (1 - 0.8**6)**40 = 5e-6
 STAR_ROUNDS = 2
 ROUNDS_BY_ID = 3
+ONE_TASK_LINKS = 250_000       # links that one task may hold: some 60 MB of union-find
 TILE = 1024                    # members of one tile when what is left of a bucket is compared
 SLACK = 0.12                   # 4.6 standard deviations of a 240-value estimate at 0.8: passes over 2e-6 of such pairs
 TILE_ELEMENTS = 300_000        # shingles of the sets of one tile when a family is verified
@@ -193,17 +194,36 @@ def _links(parent: dict) -> pd.DataFrame:
     return pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"], dtype="int64")
 
 
+def _rooted(batches):
+    """All nodes of one partition's links with their roots, for as many links as one task may hold."""
+    parent: dict[int, int] = {}
+    for pdf in batches:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            ra, rb = (_find(parent, parent.setdefault(x, x)) for x in (a, b))
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+    yield pd.DataFrame([(x, _find(parent, x)) for x in parent], columns=["id", "comp"], dtype="int64")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(id, comp): every linked id with the smallest id that it reaches.
 
     Each round merges every node into its least neighbour, until no link is left
     between different groups; ``least`` is by id at first, which ends stars at once,
-    then by a hash that changes each round, so that chains shrink by a constant share too.
+    then by a hash that changes each round, so that chains shrink by a constant share too.  Once
+    ``ONE_TASK_LINKS`` links or fewer are left, one task's union-find ends it.
     """
-    links = cut(links.select("a", "b").mapInPandas(_forest, "a long, b long").distinct())
+    links = cut(links.select("a", "b").mapInPandas(_forest, "a long, b long"))
+    if links.count() <= ONE_TASK_LINKS:
+        tree = cut(links.repartition(1).mapInPandas(_rooted, "id long, comp long"))
+        return tree
     root = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().withColumn("root", F.col("id"))
     level = 0
-    while not links.isEmpty():
+    while (left := links.count()):
+        if left <= ONE_TASK_LINKS:
+            to = cut(links.repartition(1).mapInPandas(_rooted, "id long, comp long")).toDF("root", "to")
+            root = root.join(to, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+            break
         level += 1
         both = links.union(links.select("b", "a"))
         if level <= ROUNDS_BY_ID:

@@ -75,7 +75,9 @@ def test_every_position_is_filled_even_for_one_element():
     assert sorted((sig[0] >> np.uint64(32)).tolist()) == list(range(240))
 
 
-def test_chains_are_one_component(spark):
+@pytest.mark.parametrize("one_task", [0, 10, 250_000])
+def test_chains_are_one_component(spark, monkeypatch, one_task):
+    monkeypatch.setattr(nd, "ONE_TASK_LINKS", one_task)
     n = 60
     links = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(
         spark.createDataFrame([(101, 100), (102, 101)], "a long, b long")).repartition(8)
