@@ -15,11 +15,14 @@ sides and technologies that its text names.  So
   side's few keys; the theta part (disjoint technologies) compares signatures only;
 * the outcome joins back to the rows on the signature, so that rows need no unique id.
   Rows without any signature get scattered keys that match nothing.
+
+Where records are stored one after another (mode ``auto``), a record also meets those of its batch that were stored before it:
+``with_batch_conflicts`` decides signatures first come, first served.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -70,14 +73,8 @@ def _first_records(snapshot: DataFrame) -> DataFrame:
             .agg(F.min(F.struct("ord", "eid", "esum", "etech")).alias("e")))
 
 
-def with_conflicts(rows: DataFrame, snapshot: DataFrame, text_col: str = "text", when=None) -> DataFrame:
-    """Every row of ``rows`` (project, type, <text_col>, ...) with conflict_with, conflict_rule and
-    conflict_description (null without a conflict).
-
-    snapshot: approved records (id, project, type, summary, created_at).  ``when`` limits the check to
-    some rows.  Repeated or null ids do no harm: rows are never joined by id.
-    """
-    own = rows.columns
+def _signed(rows: DataFrame, text_col: str, when) -> DataFrame:
+    """``rows`` with ``sides``, ``tech`` and ``_sig``; rows without a signal get scattered signatures that begin with #."""
     # the patterns run once per row: without the cut, predicates on what they find would be pushed
     # below them and repeat every pattern many times over
     nw = with_signals(rows, text_col, when=when).checkpoint()
@@ -85,9 +82,15 @@ def with_conflicts(rows: DataFrame, snapshot: DataFrame, text_col: str = "text",
                         F.array_join("tech", ","))
     blank = (F.size("sides") == 0) & (F.size("tech") == 0)
     scattered = F.concat(F.lit("#"), F.pmod(F.xxhash64(text_col), F.lit(1 << 20)).cast("string"))
-    nw = nw.withColumn("_sig", F.when(blank, scattered).otherwise(named))
-    sigs = nw.where(~blank).select("project", "type", "_sig", "sides", "tech").distinct()
+    return nw.withColumn("_sig", F.when(blank, scattered).otherwise(named))
+
+
+def _told(df: DataFrame) -> DataFrame:
+    return df.where((F.size("sides") > 0) | (F.size("tech") > 0))
+
 
+def _winners(sigs: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(project, type, _sig, _w): the first snapshot record that conflicts with a signature, and by which rule."""
     first = _first_records(snapshot)
     by_rule = (sigs.select("project", "type", "_sig", F.explode("sides").alias("rs"))
                .select("project", "type", "_sig", F.col("rs.rule").alias("rule"),
@@ -96,10 +99,12 @@ def with_conflicts(rows: DataFrame, snapshot: DataFrame, text_col: str = "text",
     by_tech = (sigs.where(F.size("tech") > 0).withColumnRenamed("tech", "ntech")
                .join(first.where(F.col("rule") == TECH_RULE).drop("side"), ["project", "type"])
                .where(~F.arrays_overlap("ntech", "tech")).select("project", "type", "_sig", "rule", "e"))
-    won = (by_rule.unionByName(by_tech).groupBy("project", "type", "_sig")
-           .agg(F.min(F.struct(F.col("e.ord").alias("ord"), "rule", "e")).alias("_w")))
+    return (by_rule.unionByName(by_tech).groupBy("project", "type", "_sig")
+            .agg(F.min(F.struct(F.col("e.ord").alias("ord"), "rule", "e")).alias("_w")))
 
-    out = nw.join(won, ["project", "type", "_sig"], "left")
+
+def _described(out: DataFrame, own: list[str], text_col: str) -> DataFrame:
+    """The rows' own columns and the conflict that ``_w`` (rule, e) holds."""
     rule, e = F.col("_w.rule"), F.col("_w.e")
     desc = F.when(
         rule == TECH_RULE,
@@ -116,6 +121,90 @@ def with_conflicts(rows: DataFrame, snapshot: DataFrame, text_col: str = "text",
                       F.when(rule.isNotNull(), desc).alias("conflict_description"))
 
 
+def with_conflicts(rows: DataFrame, snapshot: DataFrame, text_col: str = "text", when=None) -> DataFrame:
+    """Every row of ``rows`` (project, type, <text_col>, ...) with conflict_with, conflict_rule and
+    conflict_description (null without a conflict).
+
+    snapshot: approved records (id, project, type, summary, created_at).  ``when`` limits the check to
+    some rows.  Repeated or null ids do no harm: rows are never joined by id.
+    """
+    nw = _signed(rows, text_col, when)
+    sigs = _told(nw).select("project", "type", "_sig", "sides", "tech").distinct()
+    return _described(nw.join(_winners(sigs, snapshot), ["project", "type", "_sig"], "left"), rows.columns, text_col)
+
+
+def _conflicting(sigs: DataFrame) -> DataFrame:
+    """(n, m, rule): signatures of one project and type that conflict (each pair both ways, a signature that names
+    both sides of a rule also with itself), with the least rule by which they do."""
+    sides = sigs.select("n", "project", "type", F.explode("sides").alias("s")).select("n", "project", "type", "s.rule", "s.side")
+    other = sides.select(F.col("n").alias("m"), "project", "type", "rule", F.when(F.col("side") == "a", "b").otherwise("a").alias("side"))
+    by_rule = sides.join(other, ["project", "type", "rule", "side"]).select("n", "m", "rule")
+    tech = sigs.where(F.size("tech") > 0).select("n", "project", "type", "tech")
+    by_tech = (tech.join(tech.select(F.col("n").alias("m"), "project", "type", F.col("tech").alias("t2")), ["project", "type"])
+               .where(~F.arrays_overlap("tech", "t2")).select("n", "m", F.lit(TECH_RULE).alias("rule")))
+    return by_rule.unionByName(by_tech).groupBy("n", "m").agg(F.min("rule").alias("rule"))
+
+
+def _first_come(sigs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(n, stored): whether a signature's first record is stored, decided in rounds.
+
+    sigs: n, first (order of its first record), barred (conflicts with the snapshot).  A signature is refused if one that
+    conflicts with it and comes earlier is stored, and stored once all such ones are refused.  There are as many rounds as
+    the longest chain of such decisions; each reads signatures and pairs only, never records.
+    """
+    order = sigs.select(F.col("n").alias("m"), F.col("first").alias("m_first"))
+    before = (pairs.where("n <> m").join(sigs.select("n", "first"), "n").join(order, "m").where("m_first < first")
+              .select("n", "m").checkpoint())
+    state = sigs.select("n", F.when(F.col("barred"), F.lit(False)).alias("stored")).checkpoint()
+    while not state.where("stored is null").isEmpty():
+        seen = (before.join(state.select(F.col("n").alias("m"), F.col("stored").alias("s")), "m").groupBy("n")
+                .agg(F.max("s").alias("any_stored"), F.count_if(F.col("s").isNull()).alias("open")))
+        decided = F.when(F.col("any_stored"), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
+        state = state.join(seen, "n", "left").select("n", F.coalesce("stored", decided).alias("stored")).checkpoint()
+    return state
+
+
+def with_batch_conflicts(rows: DataFrame, snapshot: DataFrame, text_col: str = "text", when=None,
+                         order: list[str] = ("id",)) -> DataFrame:
+    """As ``with_conflicts``, for records that are stored one after another: each is also compared with the
+    records of the batch before it that were stored.  ``order``: columns of the batch's order (ties: any order, but the
+    same one for all steps, as the rows are checkpointed first).
+
+    Whether a record is stored depends on its signature: if the signature's first record is stored, nothing that conflicts
+    with it can be stored later, so its later records are stored as well (unless the signature conflicts with itself);
+    if it is not, what it conflicts with stays, and neither are its later ones.  So only first records are decided, on the
+    graph of signatures.  A refused record names the newest stored record before it that conflicts, by a running
+    window over the records of the signatures that conflict with its own.
+    """
+    nw = _signed(rows, text_col, when).withColumn("_at", F.struct(*order, F.monotonically_increasing_id().alias("_tie")))
+    keys = ["project", "type", "_sig"]
+    won = _winners(_told(nw).select(*keys, "sides", "tech").distinct(), snapshot).checkpoint()
+    sigs = (_told(nw).groupBy(*keys, "sides", "tech").agg(F.min("_at").alias("first"))
+            .join(won, keys, "left").withColumn("barred", F.col("_w").isNotNull()).drop("_w")
+            .withColumn("n", F.monotonically_increasing_id()).checkpoint())
+    pairs = _conflicting(sigs).checkpoint()
+    state = _first_come(sigs, pairs)
+    # stored records: all of a stored signature, the first only if it conflicts with itself
+    own = pairs.where("n = m").select("n", F.lit(True).alias("own"))
+    known = sigs.join(state, "n").join(own, "n", "left").select(*keys, "n", "first", "stored", F.coalesce("own", F.lit(False)).alias("own"))
+    nw = nw.join(known, keys, "left").checkpoint()
+    e = F.struct(F.col("id").alias("eid"), F.substring(text_col, 1, 100).alias("esum"), F.col("tech").alias("etech"))
+    kept = nw.where(F.col("stored") & (~F.col("own") | (F.col("_at") == F.col("first")))).select(
+        F.col("n").alias("m"), "_at", e.alias("e"))
+    # what asks: records that the batch may refuse; what answers: stored records, once for each signature that asks
+    refused = pairs.join(state.where("not stored").select("n"), "n", "left_semi").unionByName(pairs.where("n = m"))
+    answers = kept.join(refused.distinct(), "m").select("n", "_at", F.struct("rule", "e").alias("b"), F.lit(None).cast("boolean").alias("ask"))
+    asks = nw.where(F.col("stored").isNotNull() & (~F.col("stored") | F.col("own"))).withColumn(
+        "b", F.lit(None).cast(answers.schema["b"].dataType)).withColumn("ask", F.lit(True))
+    both = asks.unionByName(answers, allowMissingColumns=True)
+    before = Window.partitionBy("n").orderBy("_at", F.col("ask").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    told = both.withColumn("b", F.last("b", ignorenulls=True).over(before)).where("ask").drop("ask")
+    rest = nw.where(F.col("stored").isNull() | (F.col("stored") & ~F.col("own"))).withColumn("b", F.lit(None).cast(answers.schema["b"].dataType))
+    w = won.withColumn("_w", F.struct("_w.rule", F.struct("_w.e.eid", "_w.e.esum", "_w.e.etech").alias("e")))
+    out = told.unionByName(rest).join(w, keys, "left").withColumn("_w", F.coalesce("b", "_w"))
+    return _described(out, rows.columns, text_col)
+
+
 def detect_conflicts(new: DataFrame, snapshot: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows of ``new`` that conflict: (id, conflict_with, conflict_rule, conflict_description)."""
     return (with_conflicts(new, snapshot, text_col).where("conflict_with is not null")

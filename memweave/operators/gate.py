@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.text import (confidence_from_source, invalid_type_reason, is_valid_type,
                               redact, scan_findings)
-from .conflicts import with_conflicts
+from .conflicts import with_batch_conflicts, with_conflicts
 
 
 def screen(records: DataFrame, text_col: str = "text") -> DataFrame:
@@ -27,19 +27,23 @@ def screen(records: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def gate(records: DataFrame, snapshot: DataFrame, mode: str = "approval_required",
-         check_conflicts: bool = True) -> DataFrame:
+         check_conflicts: bool = True, order: list[str] = ("id",)) -> DataFrame:
     """records: (id, project, type, source, text, ...); snapshot: memories table
     (approved rows are the candidates).  One row per record, also if ids repeat.
 
-    Every record is checked against the snapshot as it stands before the batch, in
-    every mode: with ``auto``, records of one batch do not see each other.
+    Every record is checked against the snapshot as it stands before the batch.  With ``auto``, records are stored
+    in the order of the columns ``order``, and each also against those of the batch that were stored before it.
     """
     if mode not in rules.APPROVAL_MODES:
         raise ValueError(f"unknown approval mode {mode!r}")
     s = screen(records).drop("text")             # the cleaned text stands for it from here on
     passed = F.col("valid_type") & (F.size("findings") == 0)
     if check_conflicts:
-        s = with_conflicts(s, snapshot.filter(F.col("approved")), "clean_text", when=passed)
+        approved = snapshot.filter(F.col("approved"))
+        if mode == "auto":
+            s = with_batch_conflicts(s, approved, "clean_text", when=passed, order=order)
+        else:
+            s = with_conflicts(s, approved, "clean_text", when=passed)
     else:
         s = (s.checkpoint().withColumn("conflict_with", F.lit(None).cast("bigint"))
              .withColumn("conflict_rule", F.lit(None).cast("int"))
