@@ -1031,3 +1031,45 @@ SELECT project, '2024-06-01' AS date, '2024-06-01T00:00:00.000000Z' AS captured_
 def q_stream_archive(spark, sf):
     fixed = F.lit("2024-06-01 00:00:00").cast("timestamp")
     return stream_ops.streamed_archive(spark, sf, captured_at=fixed).select("project", "date", "captured_at", "text")
+
+
+# --- T1 approximate: an index of lists, measured against exact search ------------
+def _lists(spark, sf, k):
+    """(index, queries, found, share of rows read): rows of vec_id divisible by 20 against all others."""
+    from ..operators import approx_recall as A
+    from ..session import ensure_checkpoint_dir
+    index = tables.read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = index.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").cast("array<double>").alias("qvec"))
+    path = f"{ensure_checkpoint_dir(spark)}/lists-{spark.range(1).select(F.uuid()).first()[0]}"
+    centres = A.build(index, path)
+    probes = A.calibrate(index, centres, k)
+    found = A.search(spark, path, centres, asked, k + 1, probes).where("query_id <> id")      # itself is no answer
+    return index, asked, found, A.share_read(spark, path, centres, asked, probes)
+
+
+@register("recall_approximate")
+def q_recall_approximate(spark, sf):
+    from pyspark.sql import Window
+    _, _, found, _ = _lists(spark, sf, 5)
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return (found.withColumn("rank", F.row_number().over(best)).where("rank <= 5")
+            .select("query_id", "rank", "id", F.round("score", 4).alias("score")))
+
+
+@register("recall_approximate_quality", """
+SELECT CAST(count(*) AS BIGINT) AS queries, true AS recall_reached, true AS rows_pruned FROM embeddings WHERE vec_id % 20 = 0""")
+def q_recall_quality(spark, sf):
+    """The measured recall reaches 0.9, and fewer rows are read than there are."""
+    from ..operators import approx_recall as A
+    index, asked, found, share = _lists(spark, sf, 5)
+    itself = asked.select("query_id", F.col("query_id").alias("id"), F.lit(2.0).alias("score"))
+    got = A.quality(found.select("query_id", "id", "score").unionByName(itself), index, asked, 6)
+    # of the six exact best one is the query's own row
+    return got.select("queries", ((F.col("recall") * 6 - 1) / 5 >= 0.9).alias("recall_reached"), F.lit(share < 1).alias("rows_pruned"))
+
+
+@register("gate_auto")
+def q_gate_auto(spark, sf):
+    """C1 in mode auto: every record is also checked against those of the batch stored before it."""
+    g = gated(spark, sf, mode="auto")
+    return g.select("id", "project", "type", "status", "conflict_with", "conflict_rule")
