@@ -27,7 +27,6 @@ component and as kept here; ``survivors`` drops them like all others.  Other col
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +39,9 @@ ROUNDS_BY_ID = 3
 ONE_TASK_LINKS = 250_000       # links that one task may hold: some 60 MB of union-find
 TILE = 1024                    # members of one tile when what is left of a bucket is compared
 SLACK = 0.12                   # 4.6 standard deviations of a 240-value estimate at 0.8: passes over 2e-6 of such pairs
-TILE_ELEMENTS = 300_000        # shingles of the sets of one tile when a family is verified
+TILE_ELEMENTS = 150_000        # shingles of the sets of one tile when a family is verified
 COLUMNS = 4096                 # elements of one matrix product
-CHUNK_ELEMENTS = 120_000       # shingles whose permutations are held at a time
+CHUNK_ELEMENTS = 60_000        # shingles whose permutations are held at a time
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -176,8 +175,8 @@ def _find(parent: dict, x):
 def _forest(batches):
     """Union-find over one partition's links: what they connect, as links to the smallest id."""
     parent: dict[int, int] = {}
-    for pdf in batches:
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for x in (a, b):
                 parent.setdefault(x, x)
             ra, rb = _find(parent, a), _find(parent, b)
@@ -189,20 +188,21 @@ def _forest(batches):
     yield _links(parent)
 
 
-def _links(parent: dict) -> pd.DataFrame:
-    pairs = [(x, _find(parent, x)) for x in parent]
-    return pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"], dtype="int64")
+def _links(parent: dict) -> pa.RecordBatch:
+    pairs = [(x, root) for x in parent if (root := _find(parent, x)) != x]
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def _rooted(batches):
     """All nodes of one partition's links with their roots, for as many links as one task may hold."""
     parent: dict[int, int] = {}
-    for pdf in batches:
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ra, rb = (_find(parent, parent.setdefault(x, x)) for x in (a, b))
             if ra != rb:
                 parent[max(ra, rb)] = min(ra, rb)
-    yield pd.DataFrame([(x, _find(parent, x)) for x in parent], columns=["id", "comp"], dtype="int64")
+    yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([_find(parent, x) for x in parent], pa.int64())],
+                                     names=["id", "comp"])
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -213,15 +213,15 @@ def connected(links: DataFrame) -> DataFrame:
     then by a hash that changes each round, so that chains shrink by a constant share too.  Once
     ``ONE_TASK_LINKS`` links or fewer are left, one task's union-find ends it.
     """
-    links = cut(links.select("a", "b").mapInPandas(_forest, "a long, b long"))
+    links = cut(links.select("a", "b").mapInArrow(_forest, "a long, b long"))
     if links.count() <= ONE_TASK_LINKS:
-        tree = cut(links.repartition(1).mapInPandas(_rooted, "id long, comp long"))
+        tree = cut(links.repartition(1).mapInArrow(_rooted, "id long, comp long"))
         return tree
     root = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().withColumn("root", F.col("id"))
     level = 0
     while (left := links.count()):
         if left <= ONE_TASK_LINKS:
-            to = cut(links.repartition(1).mapInPandas(_rooted, "id long, comp long")).toDF("root", "to")
+            to = cut(links.repartition(1).mapInArrow(_rooted, "id long, comp long")).toDF("root", "to")
             root = root.join(to, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
             break
         level += 1
@@ -235,7 +235,7 @@ def connected(links: DataFrame) -> DataFrame:
         to = cut(to)
         links = cut(links.join(to, "a").select(F.col("to").alias("x"), "b")
                     .join(to.withColumnRenamed("a", "b"), "b").select(F.col("x").alias("a"), F.col("to").alias("b"))
-                    .where("a <> b").mapInPandas(_forest, "a long, b long"))
+                    .where("a <> b").mapInArrow(_forest, "a long, b long"))
         root = (root.join(to.withColumnRenamed("a", "root"), "root", "left")
                 .select("id", F.coalesce("to", "root").alias("root")))
     root = cut(root)
