@@ -57,16 +57,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+# Python workers are kept and reused: without these, each keeps the largest buffers that it ever had
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576",
+                 "OPENBLAS_NUM_THREADS": "1"}
 ARROW_ROWS = "1000"      # rows are whole texts: 10,000 of them, Spark's default, take tens of MB per task and buffer
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the checkpoint folder, bound Arrow batches, and let Python workers import this package from
-    where the driver has it."""
+    """Set the checkpoint folder, bound Arrow batches, let Python workers import this package from
+    where the driver has it, and have them give freed memory back."""
     ensure_checkpoint_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
     return spark
