@@ -58,8 +58,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 # Python workers are kept and reused: without these, each keeps the largest buffers that it ever had
-WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576",
-                 "OPENBLAS_NUM_THREADS": "1"}
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "OPENBLAS_NUM_THREADS": "1"}
 ARROW_ROWS = "1000"      # rows are whole texts: 10,000 of them, Spark's default, take tens of MB per task and buffer
 
 
