@@ -48,7 +48,21 @@ ODD_SPACE = re.compile(r" (?=\s|\Z)")  # a space that does not open a word
 
 
 # ------------------------------------------------------------- vocabulary
-class Vocabulary:
+class Added:
+    """The added tokens of a byte-level file, and the bytes that its characters stand for."""
+
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    byte_of = {**{b: b for b in shown}, **{256 + k: b for k, b in enumerate(hidden)}}
+
+    def __init__(self, added: dict[str, int]):
+        self.added = added
+
+    def to_bytes(self, mapped: str) -> bytes:
+        return mapped.translate(self.byte_of).encode("latin-1")
+
+
+class Vocabulary(Added):
     """The tables of a byte-level BPE file: token bytes, merge ranks, and the two parts of every merged token."""
 
     def __init__(self, spec: str):
@@ -59,9 +73,7 @@ class Vocabulary:
                 or model.get("ignore_merges") or not pre.get("use_regex", True) or (told.get("decoder") or {}).get("type") != "ByteLevel"
                 or any(a[k] for a in added for k in ("single_word", "lstrip", "rstrip"))):
             raise ValueError("not a plain byte-level BPE file")
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.byte_of = {**{b: b for b in shown}, **{256 + k: b for k, b in enumerate(hidden)}}
+        super().__init__({a["content"]: a["id"] for a in added})
         self.id_of = {self.to_bytes(t): i for t, i in model["vocab"].items()}
         self.bytes_of = {i: t for t, i in self.id_of.items()}
         self.rank: dict[tuple[int, int], int] = {}
@@ -76,17 +88,13 @@ class Vocabulary:
             self.rank[a, b], self.parts[whole], self.birth[whole] = r, (a, b), r
         # what a token may end with, and the token that this is
         self.ends = {t[k:]: -1 for t in self.id_of for k in range(len(t))} | self.id_of
-        self.added = {a["content"]: a["id"] for a in added}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         self.fit: dict[tuple[int, int], bool] = {}
 
-    def to_bytes(self, mapped: str) -> bytes:
-        return mapped.translate(self.byte_of).encode("latin-1")
-
     def fits(self, a: int, b: int) -> bool:
         got = self.fit.get((a, b))
         if got is None:
-            if len(self.fit) > 2_000_000:
+            if len(self.fit) > 200_000:
                 self.fit.clear()
             got = self.fit[a, b] = self._fits(a, b)
         return got
@@ -167,7 +175,7 @@ class _Stretches(dict):
 class _Block:
     pre = ByteLevel(add_prefix_space=False, use_regex=True)
 
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab: Added):
         self.vocab = vocab
         self.numbers: dict = {}
         self.heads, self.tails = _Stretches(self.split, self.numbers, ""), _Stretches(self.split, self.numbers, " ")
@@ -238,9 +246,9 @@ def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())               # the vocabulary: a file of fixed size
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vocab = Added(Vocabulary(spec.value).added)            # splitting needs no tables
 
     def make(batches):
-        vocab = _vocabulary(spec.value)
         number, held = TaskContext.get().partitionId() << 32, _Block(vocab)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
