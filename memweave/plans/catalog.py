@@ -802,6 +802,41 @@ def q_github_reingest(spark, sf):
     return (_ingest(spark, sf, stored).groupBy("project", "source", "status").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _damaged(exports):
+    """Every 97th order's line is cut off, every 97th after it is no object, and one after that has a text for a number."""
+    k = F.col("k")
+    return exports.select("project", F.when(k % 97 == 0, F.expr("substr(json, 1, length(json) - 3)"))
+                          .when(k % 97 == 1, F.lit("[1, 2]"))
+                          .when(k % 97 == 2, F.lit('{"number": "x", "commit": "y"}')).otherwise(F.col("json")).alias("json"))
+
+
+@register("github_ingest_errors", S.with_mem(f"""
+, lines AS (
+  SELECT *, CASE WHEN o_orderkey % 97 = 1 THEN 'not a JSON object' WHEN o_orderkey % 97 IN (0, 2) THEN 'unreadable record' END AS error,
+    {SQL_PROJECT} AS project, source FROM orders, (VALUES ('github_commit'), ('github_pr'), ('github_issue')) v(source)
+  WHERE source = 'github_commit' OR (source = 'github_pr' AND o_orderstatus = 'F') OR (source = 'github_issue' AND o_orderstatus = 'O')),
+ranked AS (
+  SELECT project, source, o_orderkey, CASE source WHEN 'github_commit' THEN substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 12)
+           ELSE CAST(o_orderkey AS VARCHAR) END AS key,
+    row_number() OVER (PARTITION BY project, source ORDER BY CASE WHEN source = 'github_commit' THEN o_orderdate END DESC,
+      CASE WHEN source = 'github_commit' THEN substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 12) END, o_orderkey DESC) AS nth
+  FROM lines WHERE error IS NULL AND (source <> 'github_issue' OR o_orderkey % 2 = 0))
+SELECT ghs.project, ghs.source, status, NULL AS error, CAST(count(*) AS BIGINT) AS n FROM ghs JOIN ranked r
+  ON r.project = ghs.project AND r.source = ghs.source AND r.key = ghs.key
+WHERE nth <= CASE ghs.source WHEN 'github_commit' THEN 200 ELSE 100 END GROUP BY ALL
+UNION ALL
+SELECT project, source, 'error', error, CAST(count(*) AS BIGINT) FROM lines WHERE error IS NOT NULL GROUP BY ALL""", *GH_CTES))
+def q_github_errors(spark, sf):
+    """Ingest of exports with broken lines, the 200 newest commits, 100 newest PRs and issues of each project."""
+    orders = tables.read_table(spark, sf, "orders")
+    commits, prs, issues = (_damaged(export(orders, keep=("k",))) for export in (
+        ex.commits_json_from_orders, ex.prs_json_from_orders, ex.issues_json_from_orders))
+    rows = ex.repo_ingest(ex.commit_rows(ex.parse_json_column(commits, "json", ex.COMMIT_SCHEMA)),
+                          ex.parse_json_column(prs, "json", ex.PR_SCHEMA), ex.parse_issues(issues, "json"),
+                          commit_limit=200, pr_limit=100, issue_limit=100)
+    return rows.groupBy("project", "source", "status", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
 ANSWER_KEY = "((l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey * 1000 + l_partkey % 1000)"
 QA_CTES = (f"""ans AS (
   SELECT {ANSWER_KEY} AS answer_id, l_partkey AS question_id,

@@ -9,6 +9,7 @@ DataFrame for tests and for the stand-in queries.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,44 +42,112 @@ QUESTION_SCHEMA = T.StructType([
     T.StructField("answer_count", T.LongType())])
 
 
-def read_export(spark: SparkSession, path: str, schema: T.StructType, project: str) -> DataFrame:
-    """One export of a project: JSON lines with the given schema."""
-    return spark.read.schema(schema).json(path).withColumn("project", F.lit(project))
+ERROR = "_error"        # why a line of an export could not be read; null for records
+_CORRUPT = "_corrupt_record"
+
+
+def _parsed(col: str, schema: T.StructType):
+    with_corrupt = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    return F.from_json(col, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+
+
+def _error(col: str):
+    """Lines that are no JSON object, and objects that are broken or whose fields have other types."""
+    return (F.when(~F.coalesce(F.col(col).rlike(r"^\s*\{"), F.lit(False)), "not a JSON object")
+            .when(F.col("_r").isNull() | F.col(f"_r.{_CORRUPT}").isNotNull(), "unreadable record"))
 
 
 def parse_json_column(df: DataFrame, col: str, schema: T.StructType, keep=("project",)) -> DataFrame:
-    return df.select(*keep, F.from_json(col, schema).alias("_r")).select(*keep, "_r.*")
+    """The records of a column of JSON lines, with the reason in ``_error`` of lines that cannot be read."""
+    return (df.select(*keep, col, _parsed(col, schema).alias("_r"))
+            .select(*keep, *(f"_r.{n}" for n in schema.names), _error(col).alias(ERROR)))
 
 
 def parse_issues(df: DataFrame, col: str, keep=("project",)) -> DataFrame:
     """Issue records; ``has_pull_request`` tells whether the key is there, whatever its value."""
-    return df.select(*keep, F.from_json(col, ISSUE_SCHEMA).alias("_r"),
-                     F.coalesce(F.array_contains(F.json_object_keys(col), "pull_request"), F.lit(False))
-                     .alias("has_pull_request")).select(*keep, "_r.*", "has_pull_request")
+    return (df.select(*keep, col, _parsed(col, ISSUE_SCHEMA).alias("_r"),
+                      F.coalesce(F.array_contains(F.json_object_keys(col), "pull_request"), F.lit(False))
+                      .alias("has_pull_request"))
+            .select(*keep, *(f"_r.{n}" for n in ISSUE_SCHEMA.names), "has_pull_request", _error(col).alias(ERROR)))
+
+
+def _lines(spark: SparkSession, path: str, project: str) -> DataFrame:
+    """The lines of an export that are not blank; of an export that is not there, one row without a line."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.createDataFrame([(None,)], "value string")
+    return (lines.filter(F.col("value").isNull() | F.col("value").rlike(r"\S"))
+            .select(F.lit(project).alias("project"), F.col("value").alias("json")))
+
+
+def _or_missing(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(ERROR, F.when(F.col("json").isNull(), "no export").otherwise(F.col(ERROR))).drop("json")
+
+
+def read_export(spark: SparkSession, path: str, schema: T.StructType, project: str) -> DataFrame:
+    """One export of a project: JSON lines with the given schema.
+
+    Lines that cannot be read, and an export that is not there, come as rows with the reason in
+    ``_error``, so that one bad source leaves the others of an ingest as they are."""
+    return _or_missing(parse_json_column(_lines(spark, path, project), "json", schema, keep=("project", "json")))
 
 
 def read_issues(spark: SparkSession, path: str, project: str) -> DataFrame:
-    lines = spark.read.text(path).select(F.lit(project).alias("project"), F.col("value").alias("json"))
-    return parse_issues(lines, "json")
+    """The export of issues, read as ``read_export`` reads the others."""
+    return _or_missing(parse_issues(_lines(spark, path, project), "json", keep=("project", "json")))
+
+
+def _readable(raw: DataFrame):
+    """Condition: the row is a record (inputs of other origin have no ``_error``)."""
+    return F.col(ERROR).isNull() if ERROR in raw.columns else F.lit(True)
+
+
+def _reason(raw: DataFrame):
+    return (F.col(ERROR) if ERROR in raw.columns else F.lit(None).cast("string")).alias("error")
+
+
+def newest(raw: DataFrame, limit: int | None, by: str) -> DataFrame:
+    """The ``limit`` newest records of each project by ``by`` (None: all); unreadable lines stay besides.
+
+    Ties go by the other columns.  The cut is a ``row_number()`` limit, which Spark takes per
+    partition before the shuffle."""
+    if limit is None:
+        return raw
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    others = [F.to_json(c) if isinstance(raw.schema[c].dataType, T.StructType) else F.col(c)
+              for c in raw.columns if c not in ("project", by)]
+    w = Window.partitionBy("project").orderBy(F.col(by).desc_nulls_last(), *others)
+    cut = (raw.filter(_readable(raw)).withColumn("_nth", F.row_number().over(w))
+           .filter(F.col("_nth") <= limit).drop("_nth"))
+    return cut.unionByName(raw.filter(~_readable(raw)))
 
 
 # S4 / F11 ----------------------------------------------------------------------
 def commit_rows(raw: DataFrame) -> DataFrame:
-    """(project, sha[:12], first message line, author ('unknown' if absent), date)."""
+    """(project, sha[:12], first message line, author ('unknown' if absent), date); ``_error`` stays, if there."""
     return raw.select(
-        "project", F.substring("sha", 1, 12).alias("sha"),
+        "project", *([ERROR] if ERROR in raw.columns else []),
+        F.coalesce(F.substring("sha", 1, 12), F.lit("")).alias("sha"),
         F.split(F.coalesce(F.col("commit.message"), F.lit("")), "\n", 2)[0].alias("message"),
         F.coalesce(F.col("commit.author.name"), F.lit("unknown")).alias("author"),
         F.coalesce(F.col("commit.author.date"), F.lit("")).alias("date"))
 
 
 def commit_text(c: DataFrame) -> DataFrame:
-    """Blank messages (white space of any kind) dropped; text ``[sha] msg — by author on yyyy-mm-dd``."""
-    return (c.filter(F.col("message").rlike(f"[^{WS}]"))
+    """Blank messages (white space of any kind) dropped; text ``[sha] msg — by author on yyyy-mm-dd``.
+
+    Lines that could not be read stay, without a text and with the reason in ``error``."""
+    ok = _readable(c)
+    text = F.concat(F.lit("["), F.col("sha"), F.lit("] "), F.col("message"), F.lit(" — by "),
+                    F.col("author"), F.lit(" on "), F.substring("date", 1, 10))
+    return (c.filter(~ok | F.col("message").rlike(f"[^{WS}]"))
             .select("project", F.lit("fix").alias("type"), F.lit("github_commit").alias("source"),
-                    F.col("sha").alias("commit_sha"), F.col("sha").alias("key"),
-                    F.concat(F.lit("["), F.col("sha"), F.lit("] "), F.col("message"), F.lit(" — by "),
-                             F.col("author"), F.lit(" on "), F.substring("date", 1, 10)).alias("text")))
+                    F.when(ok, F.col("sha")).alias("commit_sha"), F.when(ok, F.col("sha")).alias("key"),
+                    F.when(ok, text).alias("text"), _reason(c)))
 
 
 # S5 / S6 / F12 -------------------------------------------------------------------
@@ -89,31 +158,40 @@ def _body(col="body"):
 def _in_state(raw: DataFrame, state: str) -> DataFrame:
     if state not in ("open", "closed", "all"):
         raise ValueError(f"unknown state {state!r}")
-    return raw if state == "all" else raw.filter(F.col("state") == state)
+    return raw if state == "all" else raw.filter(~_readable(raw) | (F.col("state") == state))
 
 
-def pr_text(raw: DataFrame, state: str = "closed") -> DataFrame:
-    """Pull requests of one ``state`` (closed by default; ``all`` for every one)."""
-    raw = _in_state(raw, state)
+def _number():
+    return F.coalesce(F.col("number"), F.lit(0)).cast("string")
+
+
+def pr_text(raw: DataFrame, state: str = "closed", limit: int | None = None) -> DataFrame:
+    """Pull requests of one ``state`` (closed by default; ``all`` for every one), the ``limit`` newest by number.
+
+    A missing number counts as 0; lines that could not be read stay, with the reason in ``error``."""
+    raw = newest(_in_state(raw, state), limit, "number")
+    ok = _readable(raw)
     body = _body()
-    head = F.concat(F.lit("PR #"), F.col("number").cast("string"), F.lit(": "), F.coalesce("title", F.lit("")))
+    head = F.concat(F.lit("PR #"), _number(), F.lit(": "), F.coalesce("title", F.lit("")))
     text = F.when(F.length(body) > 0, F.concat(head, F.lit("\n"), body)).otherwise(head)
     return raw.select("project", F.lit("fix").alias("type"), F.lit("github_pr").alias("source"),
                       F.lit(None).cast("string").alias("commit_sha"),
-                      F.col("number").cast("string").alias("key"), text.alias("text"))
+                      F.when(ok, _number()).alias("key"), F.when(ok, text).alias("text"), _reason(raw))
 
 
-def issue_text(raw: DataFrame, state: str = "closed") -> DataFrame:
-    """Issues of one ``state``; entries that have a ``pull_request`` key are pull requests and are dropped."""
-    raw = _in_state(raw, state)
+def issue_text(raw: DataFrame, state: str = "closed", limit: int | None = None) -> DataFrame:
+    """Issues of one ``state``; entries that have a ``pull_request`` key are pull requests and are dropped,
+    after the cut to the ``limit`` newest by number.  Else as ``pr_text``."""
+    raw = newest(_in_state(raw, state), limit, "number")
+    ok = _readable(raw)
     body = _body()
-    head = F.concat(F.lit("Issue #"), F.col("number").cast("string"), F.lit(" ("),
+    head = F.concat(F.lit("Issue #"), _number(), F.lit(" ("),
                     F.coalesce("state", F.lit("")), F.lit("): "), F.coalesce("title", F.lit("")))
     text = F.when(F.length(body) > 0, F.concat(head, F.lit("\n"), body)).otherwise(head)
     return (raw.filter(~F.col("has_pull_request"))
             .select("project", F.lit("bug").alias("type"), F.lit("github_issue").alias("source"),
                     F.lit(None).cast("string").alias("commit_sha"),
-                    F.col("number").cast("string").alias("key"), text.alias("text")))
+                    F.when(ok, _number()).alias("key"), F.when(ok, text).alias("text"), _reason(raw)))
 
 
 # U3 ---------------------------------------------------------------------------
@@ -124,14 +202,20 @@ def stored_key(source, commit_sha, summary):
 
 
 def repo_ingest(commits: DataFrame, prs: DataFrame, issues: DataFrame, mem: DataFrame | None = None,
-                state: str = "closed") -> DataFrame:
-    """Union of the three exports -> redact -> scan; status stored / skipped.
+                state: str = "closed", commit_limit: int | None = None, pr_limit: int | None = None,
+                issue_limit: int | None = None) -> DataFrame:
+    """Union of the three exports -> redact -> scan; status stored / skipped / error.
 
+    ``error`` holds the reason of lines that could not be read: they have no text and are never
+    stored, and the records of their source and of the others are not touched.  With a limit, the
+    newest records of each project and export are taken (commits by date, the others by number).
     With the memory table ``mem``, records that it already holds (same project, source and
     key) are ``duplicate``, so that a second ingest stores nothing.
     """
-    rows = commit_text(commits).unionByName(pr_text(prs, state)).unionByName(issue_text(issues, state))
-    rows = (rows.withColumn("clean_text", redact("text"))
+    rows = (commit_text(newest(commits, commit_limit, "date")).unionByName(pr_text(prs, state, pr_limit))
+            .unionByName(issue_text(issues, state, issue_limit)))
+    rows = (rows.withColumn("error", F.when(F.col("text").isNull(), F.coalesce("error", F.lit("no text"))))
+            .withColumn("clean_text", redact("text"))
             .withColumn("findings", scan_findings("clean_text"))
             .withColumn("confidence", F.lit(0.8)))
     known = F.lit(False)
@@ -141,11 +225,17 @@ def repo_ingest(commits: DataFrame, prs: DataFrame, issues: DataFrame, mem: Data
                 .distinct().withColumn("_dup", F.lit(True)))
         rows = rows.join(seen, ["project", "source", "key"], "left")
         known = F.coalesce("_dup", F.lit(False))
-    status = (F.when(known, F.lit("duplicate"))
+    status = (F.when(F.col("error").isNotNull(), F.lit("error")).when(known, F.lit("duplicate"))
               .when(F.size("findings") > 0, F.lit("skipped")).otherwise(F.lit("stored")))
     return rows.withColumn("status", status).drop("_dup")
 
 
+def ingest_errors(ingested: DataFrame) -> DataFrame:
+    """(project, source, error, n): what an ingest could not read, one row per source and reason."""
+    return (ingested.filter(F.col("status") == "error").groupBy("project", "source", "error")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def ingested_memories(ingested: DataFrame, now=None) -> DataFrame:
     """The rows that a repository ingest adds to the memory table (approved, as the ingest stores them)."""
     from .memories import new_memories
@@ -209,11 +299,14 @@ def pattern_store(requests: DataFrame, questions: DataFrame, answers: DataFrame,
     found or blocked, the others would fare the same and share its status.
     """
     parsed = so_url_kind_id("url")
-    req = requests.select("url", "project", so_canonical_url("url").alias("canonical"),
-                          parsed["kind"].alias("kind"), parsed["id"].alias("ref"))
-    order = Window.partitionBy("canonical").orderBy("url", "project")
-    req = req.withColumn("nth", F.when(F.col("canonical").isNotNull(), F.row_number().over(order)))
-    first = req.filter(F.col("nth") == 1)
+    # equal requests are one row per input partition with their number, so that no URL, and no lack of one, gathers rows
+    req = (requests.select("url", "project", F.spark_partition_id().alias("_part"))
+           .groupBy("url", "project", "_part").agg(F.count(F.lit(1)).alias("_n"))
+           .select("url", "project", "_part", "_n", so_canonical_url("url").alias("canonical"),
+                   parsed["kind"].alias("kind"), parsed["id"].alias("ref")).checkpoint())
+    first = (req.filter(F.col("canonical").isNotNull()).groupBy("canonical")
+             .agg(F.min(F.struct("url", "project", "_part", "kind", "ref")).alias("_f")))
+    first = first.select("canonical", "_f", "_f.kind", "_f.ref")
     known = mem.filter(F.col("so_url").isNotNull()).select(F.col("so_url").alias("canonical")).distinct()
     fresh = first.join(known, "canonical", "left_anti")
 
@@ -241,13 +334,19 @@ def pattern_store(requests: DataFrame, questions: DataFrame, answers: DataFrame,
     found = found.withColumn("clean_text", redact("summary")).withColumn(
         "clean", F.size(scan_findings("clean_text")) == 0)
 
-    out = (req.join(known.withColumn("_known", F.lit(True)), "canonical", "left")
-           .join(found, ["kind", "ref"], "left"))
+    verdicts = (first.join(known.withColumn("_known", F.lit(True)), "canonical", "left")
+                .join(found, ["kind", "ref"], "left")
+                .select("canonical", "_f", "_known", "clean", "summary", "clean_text"))
+    asked_for = req.filter(F.col("canonical").isNotNull()).join(verdicts, "canonical")
+    nothing = [F.lit(None).cast(verdicts.schema[c].dataType).alias(c) for c in verdicts.columns if c != "canonical"]
+    out = (asked_for.unionByName(req.filter(F.col("canonical").isNull()).select("*", *nothing))
+           .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))))
+    is_first = (F.struct("url", "project", "_part", "kind", "ref").eqNullSafe(F.col("_f"))) & (F.col("_copy") == 1)
     status = (F.when(F.col("canonical").isNull(), "error")
               .when(F.col("_known"), "duplicate")
               .when(F.col("clean").isNull(), "not_found")
               .when(~F.col("clean"), "blocked")
-              .when(F.col("nth") > 1, "duplicate").otherwise("stored"))
+              .when(~is_first, "duplicate").otherwise("stored"))
     shown = status.isin("stored", "blocked")
     return out.select("url", "project", "canonical", F.when(shown, F.col("summary")).alias("summary"),
                       F.when(shown, F.col("clean_text")).alias("clean_text"), status.alias("status"),
@@ -255,7 +354,12 @@ def pattern_store(requests: DataFrame, questions: DataFrame, answers: DataFrame,
 
 
 # stand-in exports built from the driver tables --------------------------------------
-def commits_json_from_orders(orders: DataFrame) -> DataFrame:
+def _order_key(keep):
+    """``keep``: the name under which the order's key goes with its line, if any."""
+    return [F.col("o_orderkey").alias(name) for name in keep]
+
+
+def commits_json_from_orders(orders: DataFrame, keep=()) -> DataFrame:
     k = F.col("o_orderkey")
     message = F.when(k % 50 == 0, F.lit("  ")).when(k % 50 == 25, F.lit("\t")).otherwise(
         F.concat(F.lit("Fix "), F.lower("o_orderpriority"), F.lit(" order "), k.cast("string"),
@@ -266,10 +370,10 @@ def commits_json_from_orders(orders: DataFrame) -> DataFrame:
     rec = F.struct(F.sha2(k.cast("string"), 256).alias("sha"),
                    F.struct(message.alias("message"), author.alias("author")).alias("commit"))
     return orders.select(F.concat(F.lit("src"), (F.col("o_custkey") % 20).cast("string")).alias("project"),
-                         F.to_json(rec).alias("json"))
+                         F.to_json(rec).alias("json"), *_order_key(keep))
 
 
-def prs_json_from_orders(orders: DataFrame) -> DataFrame:
+def prs_json_from_orders(orders: DataFrame, keep=()) -> DataFrame:
     k = F.col("o_orderkey")
     rec = F.struct(k.alias("number"), F.concat(F.lit("Merge "), F.lower("o_orderpriority")).alias("title"),
                    F.when(k % 3 != 0, F.repeat(F.lit("body "), (k % 150).cast("int"))).alias("body"),
@@ -278,10 +382,10 @@ def prs_json_from_orders(orders: DataFrame) -> DataFrame:
                    F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("merged_at"))
     return (orders.filter(F.col("o_orderstatus") == "F")
             .select(F.concat(F.lit("src"), (F.col("o_custkey") % 20).cast("string")).alias("project"),
-                    F.to_json(rec).alias("json")))
+                    F.to_json(rec).alias("json"), *_order_key(keep)))
 
 
-def issues_json_from_orders(orders: DataFrame) -> DataFrame:
+def issues_json_from_orders(orders: DataFrame, keep=()) -> DataFrame:
     k = F.col("o_orderkey")
     rec = F.struct(k.alias("number"), F.concat(F.lit("Problem with "), F.lower("o_orderpriority")).alias("title"),
                    F.when(k % 4 != 1, F.concat(F.lit("token = "), F.repeat(F.lit("9"), (k % 9).cast("int"))))
@@ -291,7 +395,7 @@ def issues_json_from_orders(orders: DataFrame) -> DataFrame:
                    F.when(k % 4 == 0, F.struct(F.lit("https://code.example/pr").alias("url"))).alias("pull_request"))
     return (orders.filter(F.col("o_orderstatus") == "O")
             .select(F.concat(F.lit("src"), (F.col("o_custkey") % 20).cast("string")).alias("project"),
-                    F.to_json(rec).alias("json")))
+                    F.to_json(rec).alias("json"), *_order_key(keep)))
 
 
 def questions_from_part(part: DataFrame) -> DataFrame:

@@ -123,3 +123,43 @@ def test_best_answer_and_pattern_text(spark):
                                 "t string, s bigint, a boolean, b string, q string")
     assert df2.select(ex.pattern_text(F.col("t"), F.col("s"), F.col("a"), F.col("b"), F.col("q"))).first()[0] == \
         "Q: T\nquestion body"
+
+
+def test_broken_lines_missing_exports_and_limits(spark, tmp_path):
+    def lines(name, rows):
+        (tmp_path / name).write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows))
+        return str(tmp_path / name)
+    commits = ex.commit_rows(ex.read_export(spark, lines("c", [
+        {"sha": f"{k:014d}", "commit": {"message": f"m{k}", "author": {"name": "A", "date": f"2024-03-0{k}T10:00:00Z"}}}
+        for k in (1, 3, 2)] + ["{broken", "", "  ", {"sha": "x", "commit": "text"}]), ex.COMMIT_SCHEMA, "p"))
+    issues = ex.read_issues(spark, lines("i", [
+        {"number": 9, "title": "pr", "state": "closed", "pull_request": {}}, {"number": 8, "title": "b", "state": "closed"},
+        {"number": 7, "title": "c", "state": "closed"}, {"title": "no number", "state": "closed"}, "[1]", "12"]), "p")
+    prs = ex.read_export(spark, str(tmp_path / "none"), ex.PR_SCHEMA, "p")
+    for state in ("closed", "all"):
+        got = ex.repo_ingest(commits, prs, issues, state=state)
+        assert got.filter("status = 'stored' and (text is null or clean_text is null or error is not null)").isEmpty()
+        assert sorted(r["text"] for r in got.filter("status = 'stored'").collect()) == [
+            "Issue #0 (closed): no number", "Issue #7 (closed): c", "Issue #8 (closed): b",
+            "[000000000000] m1 — by A on 2024-03-01", "[000000000000] m2 — by A on 2024-03-02",
+            "[000000000000] m3 — by A on 2024-03-03"]
+        assert sorted(tuple(r) for r in ex.ingest_errors(got).collect()) == [
+            ("p", "github_commit", "unreadable record", 2), ("p", "github_issue", "not a JSON object", 2),
+            ("p", "github_pr", "no export", 1)]
+    mem = ex.ingested_memories(got)
+    assert mem.count() == 6 and mem.filter("summary is null").isEmpty()
+    cut = ex.repo_ingest(commits, prs, issues, commit_limit=2, pr_limit=0, issue_limit=2)
+    assert sorted(r["text"] for r in cut.filter("status <> 'error'").collect()) == [   # the cut comes before the drop
+        "Issue #8 (closed): b", "[000000000000] m2 — by A on 2024-03-02", "[000000000000] m3 — by A on 2024-03-03"]
+    assert ex.ingest_errors(cut).count() == 3
+
+
+def test_repeated_requests_each_get_an_outcome(spark):
+    urls = ["https://stackoverflow.com/a/42"] * 5 + [None, "no url", "no url"]
+    req = spark.createDataFrame([(u, "p") for u in urls], "url string, project string").repartition(3)
+    questions = spark.createDataFrame([(10, "Q", "b", 1, 0)],
+                                      "question_id bigint, title string, body string, score bigint, answer_count bigint")
+    answers = spark.createDataFrame([(42, 10, "use it", 5, True)],
+                                    "answer_id bigint, question_id bigint, body string, score bigint, is_accepted boolean")
+    got = sorted(r["status"] for r in ex.pattern_store(req, questions, answers, mem_rows(spark, [dict(id=1)])).collect())
+    assert got == ["duplicate"] * 4 + ["error"] * 3 + ["stored"]
