@@ -129,21 +129,36 @@ def group_components(nd: DataFrame, pairs: DataFrame | None = None) -> DataFrame
                                                           F.col("hub").alias("b"))
     e_ex = pairs.select("project", F.col("ts").alias("a"), F.col("td").alias("b"))
     e = e_tag.unionByName(e_ex).filter(F.col("a") != F.col("b")).distinct()
-    edges = e.unionByName(e.select("project", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = edges.checkpoint()
-    labels = groups.select("project", "type", F.col("type").alias("label")).checkpoint()
-    changed = True
-    while changed:
-        pulled = (edges.join(labels.select("project", F.col("type").alias("b"), F.col("label").alias("lb")),
-                             ["project", "b"])
-                  .groupBy("project", F.col("a").alias("type")).agg(F.min("lb").alias("lb")))
-        nxt = (labels.join(pulled, ["project", "type"], "left")
-               .select("project", "type", F.least("label", F.coalesce("lb", "label")).alias("label"))
-               .checkpoint())
-        changed = not nxt.join(labels.withColumnRenamed("label", "old"), ["project", "type"]).filter(
-            F.col("label") != F.col("old")).isEmpty()
-        labels = nxt
-    return labels.join(groups, ["project", "type"])
+    roots = stars(e)
+    return (groups.join(roots.select("project", F.col("a").alias("type"), F.col("b").alias("_root")),
+                        ["project", "type"], "left")
+            .select("project", "type", F.coalesce("_root", "type").alias("label"), "n_g"))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Edges (project, a, b) contracted to stars: (project, a, b), each a linked to b, its component's least node.
+
+    Rounds of two star steps: every node hands its larger neighbours to the least node around it,
+    then its smaller ones.  Paths halve in each round, so that rounds grow with the logarithm of
+    the longest one.  A round is one checkpoint and two small checks; least neighbours are partial
+    minima, and the rows of a hub meet its one minimum by a join that can be split."""
+    def least(e, of, others):
+        return e.groupBy("project", of).agg(F.min(others).alias("m"))
+
+    low = (edges.select("project", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+           .filter(F.col("a") != F.col("b")).distinct().checkpoint())
+    while True:
+        both = low.unionByName(low.select("project", F.col("b").alias("a"), F.col("a").alias("b")))
+        around = least(both, "a", "b").select("project", "a", F.least("a", "m").alias("m"))
+        large = (both.filter(F.col("b") > F.col("a")).join(around, ["project", "a"])
+                 .select("project", F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        below = least(large, "a", "b")
+        small = large.join(below, ["project", "a"])
+        nxt = (small.filter(F.col("b") != F.col("m")).select("project", F.col("b").alias("a"), F.col("m").alias("b"))
+               .unionByName(below.select("project", "a", F.col("m").alias("b"))).distinct().checkpoint())
+        if nxt.count() == low.count() and nxt.join(low, ["project", "a", "b"], "left_anti").isEmpty():
+            return nxt
+        low = nxt
 
 
 def summary(mem: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ original text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -64,29 +64,26 @@ def summarize_rows(df: DataFrame, id_col: str, text_col: str = "text",
     ``max_sentences`` per text are cut with ``row_number()``, planned as a
     partial per-partition limit before the shuffle (all sentences of a text sit
     in its input partition), so the shuffle moves at most n + 1 rows per text.
-    A fallback row per text (ordered last) carries the 500-character prefix for
+    One more piece per text (ordered last) carries the 500-character prefix for
     texts with no sentence of five words.
     """
-    from pyspark.sql import Window
-
     t = F.col(text_col)
     stripped = F.regexp_replace(t, F.lit(f"(?d)\\A[{WS}]+|[{WS}]+\\z"), F.lit(""))
     splitter = f"(?<=[.!?])[{WS}]+"
     five_words = f"^[{WS}]*[^{WS}]+(?:[{WS}]+[^{WS}]+){{4}}"
     pairs = F.arrays_zip(F.split(stripped, splitter, -1).alias("s"),
                          F.split(F.lower(stripped), splitter, -1).alias("low"))
-    sents = (df.select(F.col(id_col).alias("_id"), F.posexplode(pairs).alias("i", "p"))
-             .select("_id", "i", F.col("p.s").alias("s"), F.col("p.low").alias("low"))
-             .filter(F.col("s").rlike(five_words))
-             .select("_id", F.lit(False).alias("fb"),
-                     (-(_keyword_score(F.col("low"))
-                        + F.greatest(F.lit(0), F.lit(5) - F.floor(F.col("i") / 10).cast("int")))).alias("neg"),
-                     "i", "s"))
-    fallback = df.select(F.col(id_col).alias("_id"), F.lit(True).alias("fb"), F.lit(0).alias("neg"),
-                         F.lit(0).alias("i"), F.substring(t, 1, rules.SUMMARY_FALLBACK_CHARS).alias("s"))
+    prefix = F.struct(F.substring(t, 1, rules.SUMMARY_FALLBACK_CHARS).alias("s"), F.lit(None).cast("string").alias("low"))
+    pieces = F.concat(F.coalesce(pairs, F.array().cast("array<struct<s:string,low:string>>")), F.array(prefix))
+    fb = F.col("low").isNull()
+    top = (df.select(F.col(id_col).alias("_id"), F.posexplode(pieces).alias("i", "p"))
+           .select("_id", "i", F.col("p.s").alias("s"), F.col("p.low").alias("low"))
+           .filter(fb | F.col("s").rlike(five_words))
+           .select("_id", fb.alias("fb"),
+                   F.when(fb, 0).otherwise(-(_keyword_score(F.col("low")) + F.greatest(
+                       F.lit(0), F.lit(5) - F.floor(F.col("i") / 10).cast("int")))).alias("neg"), "i", "s"))
     w = Window.partitionBy("_id").orderBy("fb", "neg", "i")
-    top = (sents.unionByName(fallback).withColumn("_rn", F.row_number().over(w))
-           .filter(F.col("_rn") <= max_sentences))
+    top = top.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_sentences)
     agg = top.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("fb", "neg", "i", "s"))).alias("top"))
     real = F.filter("top", lambda x: ~x["fb"])
     summary = F.when(F.size(real) > 0, F.array_join(F.transform(real, lambda x: x["s"]), " ")).otherwise(

@@ -300,7 +300,7 @@ SELECT m.id, array_to_string(list_transform(
     lambda x: CAST(x AS VARCHAR)), '|') AS related_to
 FROM memc m LEFT JOIN adds ON m.id = adds.id"""))
 def q_link_memories(spark, sf):
-    conv = tables.read_table(spark, sf, "conversations")
+    conv = tables.texts(spark, sf, "conversations")
     pairs = conv.select(F.col("conv_id").alias("a"), (F.col("conv_id") * 7 + 1).alias("b")).distinct()
     after, _outcome = store_ops.link_memories(mem(spark, sf), pairs)
     return after.select("id", joined("related_to").alias("related_to"))
@@ -436,7 +436,7 @@ from ..operators import summarize as summ  # noqa: E402
 
 @register("document_summaries", f"SELECT doc_id, {S.summary('text')} AS summary FROM documents")
 def q_doc_summaries(spark, sf):
-    docs = tables.read_table(spark, sf, "documents")
+    docs = tables.texts(spark, sf)
     return summ.summarize_rows(docs, "doc_id")
 
 
@@ -447,7 +447,7 @@ SESSIONS_SQL = """sessions AS (
 
 
 def sessions(spark, sf):
-    conv = tables.read_table(spark, sf, "conversations")
+    conv = tables.texts(spark, sf, "conversations")
     return (summ.sessions_from_turns(conv)
             .withColumn("project", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))))
 
@@ -867,7 +867,7 @@ def q_best_answers(spark, sf):
 
 @register("pages_text", f"SELECT page_id, {S.strip_html('html')} AS text FROM pages")
 def q_pages_text(spark, sf):
-    return tables.read_table(spark, sf, "pages").select("page_id", strip_html("html").alias("text"))
+    return tables.texts(spark, sf, "pages").select("page_id", strip_html("html").alias("text"))
 
 
 REQ_CTE = f"""req AS (
@@ -901,7 +901,7 @@ URL_SQL = r"""canon AS (
 def _requests(spark, sf):
     part = tables.read_table(spark, sf, "part")
     li = tables.read_table(spark, sf, "lineitem").filter(F.col("l_linenumber") == 1)
-    pages = tables.read_table(spark, sf, "pages")
+    pages = tables.texts(spark, sf, "pages")
 
     def project(c):
         return F.concat(F.lit("src"), (F.col(c) % 20).cast("string")).alias("project")
@@ -976,7 +976,7 @@ def q_tags_json(spark, sf):
     v = (F.when(d % 6 == 0, F.lit("not json")).when(d % 6 == 1, F.lit('{"a": 1}'))
          .when(d % 6 == 2, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit('["t'), (d % 37).cast("string"), F.lit('", "'), F.col("lang"), F.lit('"]'))))
-    docs = tables.read_table(spark, sf, "documents")
+    docs = tables.texts(spark, sf)
     return docs.select("doc_id", F.array_join(parse_json_list(v), "|").alias("tags"))
 
 

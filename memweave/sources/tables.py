@@ -14,10 +14,29 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+SPREAD = "spark.memweave.source.spread"     # session setting: tasks that rows of few row groups are dealt to (off if unset)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: int | None = None) -> DataFrame:
+    """A table; with ``spread``, its rows are dealt to that many tasks.
+
+    One row group is one task, whatever its size: a table written as a few large ones keeps all
+    expensive expressions on few cores.  Tables of many row groups need no spread."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return df if spread is None else df.repartition(spread)
+
+
+def spread_of(spark: SparkSession) -> int | None:
+    """The session's spread for texts (``spark.memweave.source.spread``), None where it is unset."""
+    value = spark.conf.get(SPREAD, None)
+    return int(value) if value else None
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, dealt as the session sets it."""
+    return read_table(spark, sf_dir, name, spread_of(spark))
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .memories import memories_from_documents
-    return memories_from_documents(read_table(spark, sf_dir, "documents"))
+    return memories_from_documents(texts(spark, sf_dir))
