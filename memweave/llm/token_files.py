@@ -121,7 +121,9 @@ class _Pieces(dict):
         if piece == " ":
             self[piece] = NO_ID_BYTES
             return NO_ID_BYTES
-        mapped = piece.encode().decode("latin-1").translate(self.byte_chars)
+        mapped = piece                                     # printable ASCII stands for its own bytes
+        if not (piece.isascii() and piece.isprintable()):
+            mapped = piece.encode().decode("latin-1").translate(self.byte_chars)
         got = self[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return got
 
