@@ -207,6 +207,19 @@ class _WordEncoder:
 
 
 # ----------------------------------------------------------------- write, read
+def _joined(batches, size: int = 1 << 21):
+    """Batches joined until their texts hold ``size`` bytes: fewer words are new to a larger batch."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, bits: int = 8) -> None:
     """Encode all documents in ascending doc_id order and write their ids as segments under ``path``."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -222,7 +235,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, bits
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()),
                  pa.array([len(ids)], pa.int64()), pa.array([pack_segment(doc_ids, ids, bits)], pa.binary())],
                 names=["part", "seq", "n_ids", "n_docs", "segment"])
-        for batch in batches:
+        for batch in _joined(batches):
             keys, col = batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "")
             lengths, lo = pc.binary_length(col).to_numpy(), 0
             while lo < len(keys):
