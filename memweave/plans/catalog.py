@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions.text import confidence_from_source, is_valid_type, iso_ts, redact, scan_findings
 from ..operators import gate as gate_ops
 from ..sources import tables
@@ -1108,3 +1109,67 @@ def q_gate_auto(spark, sf):
     """C1 in mode auto: every record is also checked against those of the batch stored before it."""
     g = gated(spark, sf, mode="auto")
     return g.select("id", "project", "type", "status", "conflict_with", "conflict_rule")
+
+
+# =============================================================================
+# The store: write, change, read back, export
+# =============================================================================
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import memories as mem_src  # noqa: E402
+
+
+def _fresh_path(spark, name):
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{spark.range(1).select(F.uuid()).first()[0]}"
+
+
+def _lifecycle(spark, sf):
+    """A store of two schema versions, after approvals and forgotten ids; returns its path."""
+    m = mem(spark, sf)
+    labels = tables.read_table(spark, sf, "labels")
+    path = _fresh_path(spark, "store")
+    mem_src.write_buckets(m.filter(F.col("id") % 5 == 0).drop("related_files", "confidence", "conflict_flag"), path)
+    mem_src.write_buckets(m.filter(F.col("id") % 5 != 0), path)
+    ids = labels.filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select(F.col("doc_id").alias("id"))
+    _after, newly = store_ops.approve(mem_src.read_buckets(spark, path), ids)
+    mem_src.change_buckets(spark, path, newly.withColumn("approved", F.lit(True)),
+                           labels.filter("toxic = 1").select(F.col("doc_id").alias("id")))
+    return path
+
+
+LIFECYCLE_CTE = f"""life AS (
+  SELECT id, project, type, summary, approved OR id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AS approved,
+    CASE WHEN id % 5 = 0 THEN CAST({rules.DEFAULT_CONFIDENCE} AS DOUBLE) ELSE confidence END AS confidence,
+    CASE WHEN id % 5 = 0 THEN '' ELSE {sql_joined('related_files')} END AS related_files, {sql_joined('tags')} AS tags
+  FROM memc WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL))"""
+
+
+@register("store_lifecycle", S.with_mem("SELECT id, project, type, approved, confidence, related_files, tags FROM life",
+                                        LIFECYCLE_CTE))
+def q_store_lifecycle(spark, sf):
+    back = mem_src.read_buckets(spark, _lifecycle(spark, sf))
+    return back.select("id", "project", "type", "approved", "confidence", joined("related_files").alias("related_files"),
+                       joined("tags").alias("tags"))
+
+
+@register("store_export", S.with_mem("SELECT id, project, type, summary, approved, confidence, tags FROM life", LIFECYCLE_CTE))
+def q_store_export(spark, sf):
+    """The whole store as JSON lines, pending rows included, and read from there again."""
+    out = _fresh_path(spark, "export")
+    mem_src.export_json(mem_src.read_buckets(spark, _lifecycle(spark, sf)), out)
+    return spark.read.schema(mem_src.MEMORY_SCHEMA).json(out).select(
+        "id", "project", "type", "summary", "approved", "confidence", joined("tags").alias("tags"))
+
+
+@register("recall_by_project", S.with_mem("""
+, asked AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0),
+sc AS (SELECT query_id, i.project, i.id, list_cosine_similarity(i.emb, qv) AS s FROM asked, ix i)
+SELECT query_id, project, CAST(rank AS INTEGER) AS rank, id, round(s, 4) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, project ORDER BY s DESC, id) AS rank FROM sc) WHERE rank <= 3""",
+                                          RECALL_CTES[0].replace("idx AS", "ix AS", 1)))
+def q_recall_by_project(spark, sf):
+    """Vectors whose id is divisible by 20 against every project's memories, all projects in one job."""
+    _m, idx, _q = _recall_inputs(spark, sf)
+    asked = (tables.read_table(spark, sf, "embeddings").filter(F.col("vec_id") % 20 == 0)
+             .select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("qvec")))
+    return recall_ops.top_k(idx, asked, 3, group_col="project").select(
+        "query_id", "project", F.col("rank").cast("int").alias("rank"), "id", F.round("score", 4).alias("score"))

@@ -185,6 +185,57 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return align_schema(spark.read.option("mergeSchema", "true").parquet(path))
 
 
+# A store in folders by id bucket: an update rewrites the buckets of its ids only.
+BUCKETS = 64
+
+
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+
+
+def write_buckets(mem: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Append memories to a bucketed store (made by the first call); every call on a store names the same ``buckets``.
+
+    Rows may lack columns of later schema versions: ``read_buckets`` fills them."""
+    _bucketed(mem, buckets).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a bucketed store, whatever the schema version they were written with."""
+    return align_schema(_stored(spark, path).filter(F.col("id").isNotNull()))
+
+
+def change_buckets(spark: SparkSession, path: str, upserts: DataFrame | None = None, forget: DataFrame | None = None,
+                   buckets: int = BUCKETS) -> list[int]:
+    """Put ``upserts`` (whole memories, by unique id) in place of stored rows, and drop the ids of ``forget`` (id).
+
+    Only buckets that hold such ids are read and rewritten, in today's schema; the files of the others are
+    not touched.  Returns the rewritten buckets (at most ``buckets`` numbers).  An id in both is
+    forgotten.  New rows are complete in the checkpoint folder before a file is replaced, so a run that
+    breaks off is repeated with the same arguments.  A rewritten bucket holds one row without an id,
+    so that a bucket whose rows are all gone is replaced, too."""
+    new = align_schema(upserts) if upserts is not None else spark.createDataFrame([], MEMORY_SCHEMA)
+    gone = forget.select("id") if forget is not None else spark.createDataFrame([], "id bigint")
+    gone = gone.filter(F.col("id").isNotNull()).distinct()
+    new = new.join(gone, "id", "left_anti").checkpoint()
+    gone = gone.unionByName(new.select("id")).distinct().checkpoint()
+    touched = sorted(r[0] for r in _bucketed(gone, buckets).select("bucket").distinct().collect())
+    if not touched:
+        return touched
+    old = _stored(spark, path).filter(F.col("bucket").isin(touched) & F.col("id").isNotNull())
+    kept = align_schema(old).join(gone, "id", "left_anti").unionByName(new.select(*MEMORY_SCHEMA.names))
+    marks = spark.createDataFrame([(b,) for b in touched], "bucket int").select(
+        *(F.lit(None).cast(f.dataType).alias(f.name) for f in MEMORY_SCHEMA.fields), "bucket")
+    rows = _bucketed(kept, buckets).unionByName(marks).checkpoint()
+    (rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(path))
+    return touched
+
+
 def export_json(mem: DataFrame, path: str, project: str | None = None) -> None:
     """Full export (pending included) as JSON lines."""
     out = mem if not project else mem.filter(F.col("project") == project)
