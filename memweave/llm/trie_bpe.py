@@ -121,6 +121,14 @@ def _vocabulary(spec: str) -> Vocabulary:
     return Vocabulary(spec)
 
 
+@lru_cache(maxsize=2)
+def _token_bytes(spec: str) -> dict[int, bytes]:
+    """Token id -> its bytes: all that decoding needs of a vocabulary file."""
+    told, to_bytes = json.loads(spec), Added({}).to_bytes
+    return ({i: to_bytes(t) for t, i in told["model"]["vocab"].items()}
+            | {a["id"]: a["content"].encode() for a in told.get("added_tokens") or []})
+
+
 def encode_words(words: list[bytes], vocab: Vocabulary) -> dict[bytes, list[int]]:
     """Ids of distinct words through their trie.
 
@@ -207,6 +215,8 @@ class _Block:
         self.parts.append(b"".join(got))
 
     def row(self, block: int) -> pa.RecordBatch:
+        self.heads.clear()                                            # a finished block needs its words' numbers only
+        self.tails.clear()
         at = np.frombuffer(b"".join(self.parts), np.uint32)
         order = np.argsort(-np.bincount(at, minlength=len(self.numbers)), kind="stable")
         new = np.empty(len(order), np.uint32)
@@ -320,7 +330,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
         spec = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        token = _vocabulary(spec.value).bytes_of.__getitem__
+        token = _token_bytes(spec.value).__getitem__
         for batch in batches:
             got = [b"".join(map(token, x.values.to_numpy(zero_copy_only=False).tolist())).decode("utf-8", "replace")
                    for x in batch.column("ids")]
