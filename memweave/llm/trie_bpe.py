@@ -41,6 +41,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 from .bpe import _pack, _planes, _unpack, _unplane, _words_of, _words_packed
 
 BLOCK_BYTES = 8 << 20
+SLICE_DOCS = 500                      # texts of a block whose ids are put together at a time
 ADDED = b"\xff"                       # marks an added token among the words: no UTF-8 text holds this byte
 # fixed value: the split pattern of byte-level tokenizer files
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
@@ -315,11 +316,18 @@ def encode(docs: DataFrame, tokenizer_path: str, block_bytes: int = BLOCK_BYTES)
         if len(flat) != len(np.unique(of)):
             raise ValueError("a reply is missing")
         flat = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
-        stop = np.cumsum(width[at])
-        take = np.repeat(start[at] - (stop - width[at]), width[at]) + np.arange(stop[-1] if len(stop) else 0)
-        ends = np.append(0, stop)[np.append(0, np.cumsum(sizes))]
-        return pa.table({"doc_id": pa.array(np.frombuffer(keys, "<i8", offset=len(sizes)), mask=~known),
-                         "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[take]))})
+        cuts, out = np.append(0, np.cumsum(sizes)), []
+        for lo in range(0, len(sizes), SLICE_DOCS):            # what stands beside the ids grows with a slice, not with the block
+            hi = min(lo + SLICE_DOCS, len(sizes))
+            word = at[cuts[lo]: cuts[hi]]
+            here = width[word]
+            stop = np.append(0, np.cumsum(here))
+            take = np.repeat(start[word] - stop[:-1], here) + np.arange(stop[-1])
+            ends = stop[cuts[lo: hi + 1] - cuts[lo]]
+            out.append(pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(keys, "<i8", hi - lo, len(sizes) + 8 * lo), mask=~known[lo:hi]),
+                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[take]))], names=["doc_id", "ids"]))
+        return pa.Table.from_batches(out)
     coded = coded.select(F.col("block").alias("of"), "shard", "packed")
     return blocks.groupBy("block").cogroup(coded.groupBy("of")).applyInArrow(put_together, "doc_id long, ids array<int>")
 
