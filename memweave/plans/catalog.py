@@ -453,11 +453,15 @@ def sessions(spark, sf):
             .withColumn("project", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))))
 
 
+def summarized_sessions(spark, sf):
+    return (summ.summarize_sessions(tables.read_table(spark, sf, "conversations"))
+            .withColumn("project", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))))
+
+
 @register("session_summaries", S.with_mem(
     f"SELECT conv_id, project, turns, {S.summary('text')} AS summary FROM sessions", SESSIONS_SQL))
 def q_session_summaries(spark, sf):
-    ss = sessions(spark, sf)
-    return ss.select("conv_id", "project", "turns").join(summ.summarize_rows(ss, "conv_id"), "conv_id")
+    return summarized_sessions(spark, sf).select("conv_id", "project", "turns", "summary")
 
 
 @register("session_auto_store", S.with_mem(f"""
@@ -466,7 +470,7 @@ SELECT id, project, 'general' AS type, 'session' AS source, summary, CAST(0.7 AS
   CASE WHEN len({S.findings('summary')}) > 0 THEN 'blocked' ELSE 'pending' END AS status FROM given""", SESSIONS_SQL))
 def q_session_auto_store(spark, sf):
     """Summaries through the gate, against all approved memories of their project and type."""
-    offered = summ.session_memories(sessions(spark, sf))
+    offered = summ.session_memories(summarized_sessions(spark, sf))
     return gate_ops.gate(offered, mem(spark, sf)).select(
         "id", "project", "type", "source", F.col("clean_text").alias("summary"), "confidence", "status")
 
