@@ -171,14 +171,117 @@ def _counts(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, words.alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+BLOCK_POSTINGS, CHAMPIONS = 4096, 4
+
+
+def _weights(searched: DataFrame, queries: DataFrame):
+    """TF-IDF of both sides: postings (id, token, w, nw, df) of tokens that some query holds, where nw is w over the memory's
+    length, and asked (query_id, token, qw, qsize)."""
+    tf = _counts(searched, "id", "summary")
+    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    total = searched.agg(F.count(F.lit(1)).alias("n"))
+    idf = df.join(F.broadcast(total)).select(          # total: one row
+        "token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    weight = (1 + F.log("tf")) * F.col("idf")
+    docs = tf.join(idf, "token").select("id", "token", "df", weight.alias("w"))
+    size = docs.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    q = _counts(queries, "query_id", "text").join(idf, "token").select("query_id", "token", weight.alias("qw")).checkpoint()
+    qsize = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qsize"))
+    postings = (docs.join(q.select("token").distinct(), "token", "left_semi").join(size, "id")
+                .select("id", "token", "w", "size", (F.col("w") / F.col("size")).alias("nw"), "df"))
+    return postings.checkpoint(), q.join(qsize, "query_id")
+
+
+def _dots(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, id, score): whole cosines of the pairs (query_id, id), by (memory, token), so that no hot token is a key."""
+    wanted = pairs.join(asked, "query_id")
+    dot = (wanted.join(postings.select("id", "token", "w", "size"), ["id", "token"]).groupBy("query_id", "id")
+           .agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.first("size").alias("size"), F.first("qsize").alias("qsize")))
+    return dot.select("query_id", "id", (F.col("dot") / (F.col("size") * F.col("qsize"))).alias("score"))
+
+
+def _blocks(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The impact-ordered index: postings with (long, class, tile), and blocks (token, long, class, tiles, bound).
+
+    ``long`` is the class of the memory's length and ``class`` that of the posting's weight, each within one factor of sqrt(2);
+    a large block is dealt to tiles of about ``BLOCK_POSTINGS`` rows by the memory's id."""
+    steps = [F.least(F.greatest(F.floor(2 * F.log2(x)), F.lit(0)), F.lit(63)).cast("int") for x in (F.col("size"), 1 / F.col("nw"))]
+    classed = postings.withColumn("long", steps[0]).withColumn("class", steps[1])
+    key = ["token", "long", "class"]
+    blocks = (classed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("nw").alias("bound"), F.max("df").alias("df"))
+              .withColumn("tiles", F.ceil(F.col("n") / BLOCK_POSTINGS)).drop("n").checkpoint())
+    tiled = (classed.select("id", *key, "nw").join(blocks.select(*key, "tiles"), key)
+             .withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).drop("tiles"))
+    return tiled, blocks
+
+
+def _reached(pairs: DataFrame, by: str, n: int, asked: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """(query_id, least): a score that k memories reach: the k-th best whole cosine of a query's ``n`` best pairs by
+    the column ``by``; no row for queries with fewer than k pairs."""
+    best = Window.partitionBy("query_id").orderBy(F.col(by).desc(), "id")
+    seeds = pairs.select("query_id", "id", by).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= n)
+    kth = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    return (_dots(seeds.select("query_id", "id"), asked, postings).withColumn("_n", F.row_number().over(kth))
+            .where(F.col("_n") == k).select("query_id", F.col("score").alias("least")))
+
+
+def _thresholds(postings: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, least): a first threshold from each token's heaviest memories."""
+    by_weight = Window.partitionBy("token").orderBy(F.col("nw").desc(), "id")
+    heavy = (postings.select("id", "token", "nw").withColumn("_n", F.row_number().over(by_weight))
+             .where(F.col("_n") <= CHAMPIONS * k).drop("_n"))
+    part = heavy.join(asked, "token").groupBy("query_id", "id").agg(F.sum(F.col("nw") * F.col("qw")).alias("part"))
+    return _reached(part, "part", 2 * k, asked, postings, k)
+
+
+def _matches(tiled: DataFrame, blocks: DataFrame, asked: DataFrame, least: DataFrame) -> DataFrame:
+    """(query_id, id, gives, unread, rest, least): the postings that a query reads.
+
+    Memories of one class of lengths have bounds of their own.  A query's tokens are taken from the most frequent to the
+    rarest.  A memory that reaches ``least`` has a last token of this order; all before it give at most the sum of
+    their bounds, so that this posting alone has to give the difference.  So a query reads of each token only the
+    blocks that hold such weights: few of frequent tokens, all of rare ones.  ``unread`` is the most that an unread posting of
+    the token could give, ``rest`` the sum over the query's tokens.
+    """
+    tops = blocks.groupBy("token", "long").agg(F.max("bound").alias("top"), F.max("df").alias("df"))
+    group = Window.partitionBy("query_id", "long")
+    before = group.orderBy(F.col("df").desc(), "token").rowsBetween(Window.unboundedPreceding, -1)
+    q = F.col("qw") / F.col("qsize")
+    most = q * F.col("top")                                                # the most that a token can give
+    slack = 1e-8                                                           # scores are rounded to 9 places
+    need = (asked.join(tops, "token").join(least, "query_id", "left")
+            .withColumn("least", F.coalesce(F.col("least") - slack, F.lit(0.0)))
+            .withColumn("need", F.col("least") - F.coalesce(F.sum(most).over(before), F.lit(0.0)))
+            .withColumn("unread", F.greatest(F.least(most, F.col("need")), F.lit(0.0)))
+            .withColumn("rest", F.sum("unread").over(group)))
+    asks = (need.join(blocks.select("token", "long", "class", "tiles", "bound"), ["token", "long"])
+            .where(q * F.col("bound") >= F.col("need"))
+            .withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+            .select("query_id", "token", "long", "class", "tile", "need", "unread", "rest", "least", q.alias("q")))
+    gives = F.col("q") * F.col("nw")
+    return (tiled.join(asks, ["token", "long", "class", "tile"]).where(gives >= F.col("need"))
+            .select("query_id", "id", gives.alias("gives"), "unread", "rest", "least"))
+
+
+def _hopeful(read: DataFrame, asked: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """(query_id, id): what may still be among the k best: read weights and all that unread ones could add reach the threshold,
+    also the closer one of the memories whose read weights alone are best."""
+    sums = (read.groupBy("query_id", "id")
+            .agg(F.sum("gives").alias("sure"), (F.sum(F.col("gives") - F.col("unread")) + F.first("rest")).alias("most"),
+                 F.first("least").alias("least")).where("most >= least").drop("least").checkpoint())
+    closer = _reached(sums, "sure", CHAMPIONS * k, asked, postings, k)
+    return (sums.join(closer, "query_id", "left").where("least is null or most >= least - 1e-8").select("query_id", "id"))
+
+
 def recall_text(mem: DataFrame, queries: DataFrame, k: int = rules.RECALL_TOP_K, project: str | None = None,
                 type_: str | None = None) -> DataFrame:
     """T2 from query texts: (query_id, text) -> cited top k of the approved memories.
 
     Score: cosine of TF-IDF vectors, weight (1 + ln tf) * (ln((N + 1) / (df + 1)) + 1) with N and df over the
-    approved memories searched.  A memory's tokens are summed to its length first; only tokens
-    that some query holds go on, with the memory's id, to the query tokens, and partial sums
-    are combined before the shuffle by (query, memory).  Memories sharing no token have score 0 and are no hits.
+    approved memories searched.  Exact, by max-score pruning over an impact-ordered index: k scores that are reached for
+    certain bound what a query has to read (``_thresholds``, ``_matches``) and which memories' whole cosines
+    are taken (``_hopeful``).  Memories sharing no token have
+    score 0 and are no hits.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -187,18 +290,9 @@ def recall_text(mem: DataFrame, queries: DataFrame, k: int = rules.RECALL_TOP_K,
         searched = searched.filter(F.col("project") == project)
     if type_:
         searched = searched.filter(F.col("type") == type_)
-    tf = _counts(searched, "id", "summary")
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    total = searched.agg(F.count(F.lit(1)).alias("n"))
-    idf = df.join(F.broadcast(total)).select(          # total: one row
-        "token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weight = (1 + F.log("tf")) * F.col("idf")
-    docs = tf.join(idf, "token").select("id", "token", weight.alias("w"))
-    size = docs.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    q = _counts(queries, "query_id", "text").join(idf, "token").select("query_id", "token", weight.alias("qw"))
-    qsize = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qsize"))
-    dot = docs.join(q, "token").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = (dot.join(size, "id").join(qsize, "query_id")
-              .select("query_id", "id", F.round(F.col("dot") / (F.col("size") * F.col("qsize")), 9).alias("score")))
+    postings, asked = _weights(searched, queries)
+    tiled, blocks = _blocks(postings)
+    read = _matches(tiled, blocks, asked, _thresholds(postings, asked, k))
+    scored = _dots(_hopeful(read, asked, postings, k), asked, postings).withColumn("score", F.round("score", 9))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return cite(mem, scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))

@@ -87,3 +87,59 @@ def test_text_recall(spark):
     for r in rc.recall_text(mem, q, 2).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["id"])
     assert got == {1: [1, 5], 2: [2]}
+
+
+def _texts(rnd, n, words):
+    return [" ".join(rnd.choice(words) if rnd.random() < 0.5 else "the" for _ in range(rnd.randint(1, 25))) for _ in range(n)]
+
+
+def test_text_recall_equals_scoring_every_pair(spark, monkeypatch):
+    import math
+    import random
+    import re
+    monkeypatch.setattr(rc, "BLOCK_POSTINGS", 16)          # hot classes are dealt to tiles
+    rnd = random.Random(5)
+    words = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(400)]
+    docs = dict(enumerate(_texts(rnd, 300, words)))
+    docs[300], docs[301], docs[302] = docs[7], "", "the the the the"
+    asks = dict(enumerate(_texts(rnd, 25, words))) | {90: docs[11], 91: "the", 92: "nothing known"}
+    mem = mem_rows(spark, [dict(id=i, summary=t) for i, t in docs.items()])
+    q = spark.createDataFrame(list(asks.items()), "query_id bigint, text string")
+    tf = {i: {t: (c := re.findall(r"\w+", x.lower())).count(t) for t in set(re.findall(r"\w+", x.lower()))} for i, x in docs.items()}
+    df = {}
+    for counts in tf.values():
+        for t in counts:
+            df[t] = df.get(t, 0) + 1
+    idf = {t: math.log((len(docs) + 1) / (n + 1)) + 1 for t, n in df.items()}
+
+    def vector(counts):
+        v = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items() if t in idf}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+    vectors = {i: vector(c) for i, c in tf.items()}
+    for k in (1, 5, 400):
+        got = {}
+        for r in rc.recall_text(mem, q, k).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+        for i, text in asks.items():
+            words_ = re.findall(r"\w+", text.lower())
+            v = vector({t: words_.count(t) for t in set(words_)})
+            scores = {j: round(sum(x * d.get(t, 0) for t, x in v.items()), 9) for j, d in vectors.items() if v.keys() & d.keys()}
+            want = sorted(scores, key=lambda j: (-scores[j], j))[:k]
+            mine = sorted(got.get(i, []))
+            assert [round(s, 4) for _, _, s in mine] == [round(scores[j], 4) for j in want], (k, i)
+            assert [j for _, j, _ in mine] == want or any(
+                abs(scores[a] - scores[b]) < 1e-8 for a, (_, b, _) in zip(want, mine) if a != b), (k, i)
+
+
+def test_text_recall_reads_few_postings_of_a_word_in_every_memory(spark):
+    mem = mem_rows(spark, [dict(id=i, summary=f"the note number n{i} of group g{i % 40} with the same few words") for i in range(2000)])
+    q = spark.createDataFrame([(i, f"the words of note n{i * 17} with g{i * 17 % 40}") for i in range(50)], "query_id bigint, text string")
+    postings, asked = rc._weights(mem, q)
+    tiled, blocks = rc._blocks(postings)
+    least = rc._thresholds(postings, asked, 5)
+    read = rc._matches(tiled, blocks, asked, least).count()
+    assert least.count() == 50 and read < 50 * 2000 / 10
+    assert rc._hopeful(rc._matches(tiled, blocks, asked, least), asked, postings, 5).count() < 50 * 2000 / 10
+    best = {r["query_id"]: r["id"] for r in rc.recall_text(mem, q, 5).where("rank = 1").collect()}
+    assert best == {i: i * 17 for i in range(50)}
