@@ -17,7 +17,8 @@ sides and technologies that its text names.  So
   Rows without any signature get scattered keys that match nothing.
 
 Where records are stored one after another (mode ``auto``), a record also meets those of its batch that were stored before it:
-``with_batch_conflicts`` decides signatures first come, first served.
+``with_batch_conflicts`` decides signatures first come, first served.  A stream keeps the first records of what it stored
+(``stored_records``, ``merged_records``) and never reads a snapshot's texts again.
 """
 
 from __future__ import annotations
@@ -58,9 +59,33 @@ def sides_type() -> str:
 _KEYS = ["project", "type", "rule", "side", "tech"]
 
 
-def _first_records(snapshot: DataFrame) -> DataFrame:
-    """The first record (order key, id, preview) per rule side and per technology set."""
-    ex = with_signals(snapshot.select("project", "type", "id", "summary", order_key().alias("ord")), "summary")
+def first_records(snapshot: DataFrame) -> DataFrame:
+    """The first record (order key, id, preview) per (project, type) and rule side or technology set: all that the
+    conflict check needs of a snapshot, far fewer rows than it has.  snapshot: approved records."""
+    return _firsts(snapshot.select("project", "type", "id", "summary", _ordered(0, order_key())))
+
+
+def stored_records(stored: DataFrame, batch: int) -> DataFrame:
+    """``first_records`` of the records that batch ``batch`` (from 0) of a stream has stored (id, project, type, clean_text):
+    later batches come first, and in a batch the greater id."""
+    newest = F.struct((-F.col("id")).alias("k_time"), F.col("id").alias("k_id"))
+    return _firsts(stored.select("project", "type", "id", F.col("clean_text").alias("summary"), _ordered(-1 - batch, newest)))
+
+
+def _ordered(batch: int, key):
+    return F.struct(F.lit(batch).cast("long").alias("k_batch"), key.alias("k_record")).alias("ord")
+
+
+def merged_records(*firsts: DataFrame) -> DataFrame:
+    """The first of the records of several ``first_records`` tables for each of their keys."""
+    both = firsts[0]
+    for f in firsts[1:]:
+        both = both.unionByName(f)
+    return both.groupBy("project", "type", "rule", "side", "tech").agg(F.min("e").alias("e"))
+
+
+def _firsts(records: DataFrame) -> DataFrame:
+    ex = with_signals(records, "summary")
     keys = F.concat(
         F.transform("sides", lambda x: F.struct(x["rule"].alias("rule"), x["side"].alias("side"),
                                                 F.lit(None).cast("array<string>").alias("tech"))),
@@ -73,6 +98,10 @@ def _first_records(snapshot: DataFrame) -> DataFrame:
             .agg(F.min(F.struct("ord", "eid", "esum", "etech")).alias("e")))
 
 
+def _given(snapshot: DataFrame | None, first: DataFrame | None) -> DataFrame:
+    return first_records(snapshot) if first is None else first
+
+
 def _signed(rows: DataFrame, text_col: str, when) -> DataFrame:
     """``rows`` with ``sides``, ``tech`` and ``_sig``; rows without a signal get scattered signatures that begin with #."""
     # the patterns run once per row: without the cut, predicates on what they find would be pushed
@@ -89,9 +118,9 @@ def _told(df: DataFrame) -> DataFrame:
     return df.where((F.size("sides") > 0) | (F.size("tech") > 0))
 
 
-def _winners(sigs: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """(project, type, _sig, _w): the first snapshot record that conflicts with a signature, and by which rule."""
-    first = _first_records(snapshot)
+def _winners(sigs: DataFrame, first: DataFrame) -> DataFrame:
+    """(project, type, _sig, _w): the first of the records ``first`` (see ``first_records``) that conflicts with a
+    signature, and by which rule."""
     by_rule = (sigs.select("project", "type", "_sig", F.explode("sides").alias("rs"))
                .select("project", "type", "_sig", F.col("rs.rule").alias("rule"),
                        F.when(F.col("rs.side") == "a", "b").otherwise("a").alias("side"))
@@ -121,16 +150,17 @@ def _described(out: DataFrame, own: list[str], text_col: str) -> DataFrame:
                       F.when(rule.isNotNull(), desc).alias("conflict_description"))
 
 
-def with_conflicts(rows: DataFrame, snapshot: DataFrame, text_col: str = "text", when=None) -> DataFrame:
+def with_conflicts(rows: DataFrame, snapshot: DataFrame | None, text_col: str = "text", when=None,
+                   first: DataFrame | None = None) -> DataFrame:
     """Every row of ``rows`` (project, type, <text_col>, ...) with conflict_with, conflict_rule and
     conflict_description (null without a conflict).
 
-    snapshot: approved records (id, project, type, summary, created_at).  ``when`` limits the check to
-    some rows.  Repeated or null ids do no harm: rows are never joined by id.
+    snapshot: approved records (id, project, type, summary, created_at), for which their ``first_records`` may be given
+    instead.  ``when`` limits the check to some rows.  Repeated or null ids do no harm: rows are never joined by id.
     """
     nw = _signed(rows, text_col, when)
     sigs = _told(nw).select("project", "type", "_sig", "sides", "tech").distinct()
-    return _described(nw.join(_winners(sigs, snapshot), ["project", "type", "_sig"], "left"), rows.columns, text_col)
+    return _described(nw.join(_winners(sigs, _given(snapshot, first)), ["project", "type", "_sig"], "left"), rows.columns, text_col)
 
 
 def _conflicting(sigs: DataFrame) -> DataFrame:
@@ -164,8 +194,8 @@ def _first_come(sigs: DataFrame, pairs: DataFrame) -> DataFrame:
     return state
 
 
-def with_batch_conflicts(rows: DataFrame, snapshot: DataFrame, text_col: str = "text", when=None,
-                         order: list[str] = ("id",)) -> DataFrame:
+def with_batch_conflicts(rows: DataFrame, snapshot: DataFrame | None, text_col: str = "text", when=None,
+                         order: list[str] = ("id",), first: DataFrame | None = None) -> DataFrame:
     """As ``with_conflicts``, for records that are stored one after another: each is also compared with the
     records of the batch before it that were stored.  ``order``: columns of the batch's order (ties: any order, but the
     same one for all steps, as the rows are checkpointed first).
@@ -178,7 +208,7 @@ def with_batch_conflicts(rows: DataFrame, snapshot: DataFrame, text_col: str = "
     """
     nw = _signed(rows, text_col, when).withColumn("_at", F.struct(*order, F.monotonically_increasing_id().alias("_tie")))
     keys = ["project", "type", "_sig"]
-    won = _winners(_told(nw).select(*keys, "sides", "tech").distinct(), snapshot).checkpoint()
+    won = _winners(_told(nw).select(*keys, "sides", "tech").distinct(), _given(snapshot, first)).checkpoint()
     sigs = (_told(nw).groupBy(*keys, "sides", "tech").agg(F.min("_at").alias("first"))
             .join(won, keys, "left").withColumn("barred", F.col("_w").isNotNull()).drop("_w")
             .withColumn("n", F.monotonically_increasing_id()).checkpoint())

@@ -26,10 +26,11 @@ def screen(records: DataFrame, text_col: str = "text") -> DataFrame:
             .withColumn("confidence", confidence_from_source("source")))
 
 
-def gate(records: DataFrame, snapshot: DataFrame, mode: str = "approval_required",
-         check_conflicts: bool = True, order: list[str] = ("id",)) -> DataFrame:
+def gate(records: DataFrame, snapshot: DataFrame | None, mode: str = "approval_required",
+         check_conflicts: bool = True, order: list[str] = ("id",), first: DataFrame | None = None) -> DataFrame:
     """records: (id, project, type, source, text, ...); snapshot: memories table
     (approved rows are the candidates).  One row per record, also if ids repeat.
+    ``first`` stands for the snapshot where its ``first_records`` are at hand already.
 
     Every record is checked against the snapshot as it stands before the batch.  With ``auto``, records are stored
     in the order of the columns ``order``, and each also against those of the batch that were stored before it.
@@ -39,11 +40,11 @@ def gate(records: DataFrame, snapshot: DataFrame, mode: str = "approval_required
     s = screen(records).drop("text")             # the cleaned text stands for it from here on
     passed = F.col("valid_type") & (F.size("findings") == 0)
     if check_conflicts:
-        approved = snapshot.filter(F.col("approved"))
+        approved = snapshot.filter(F.col("approved")) if first is None else None
         if mode == "auto":
-            s = with_batch_conflicts(s, approved, "clean_text", when=passed, order=order)
+            s = with_batch_conflicts(s, approved, "clean_text", when=passed, order=order, first=first)
         else:
-            s = with_conflicts(s, approved, "clean_text", when=passed)
+            s = with_conflicts(s, approved, "clean_text", when=passed, first=first)
     else:
         s = (s.checkpoint().withColumn("conflict_with", F.lit(None).cast("bigint"))
              .withColumn("conflict_rule", F.lit(None).cast("int"))

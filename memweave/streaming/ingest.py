@@ -2,11 +2,14 @@
 
 R1: records arrive as files; the stateless part of the gate (type check,
 redact, scan, confidence) is a plain projection, and each micro-batch runs the
-conflict check against the approved snapshot inside ``foreachBatch``.  Each
-batch writes its result to ``<out>/batch_id=<n>`` with overwrite, so a batch
-replayed after a failure replaces its own output (exactly-once effect with the
-checkpointed source offsets).  In the default approval mode pending rows never
-become candidates, so the streamed result equals the batch gate.
+conflict check inside ``foreachBatch``.  The approved snapshot is reduced once, to the first record
+per (project, type) and rule side or technology set; a batch reads this small table, never the
+snapshot's texts.  In mode ``auto`` the records that a batch stores are candidates of later ones:
+batch n reads version n - 1 of their reduced table and writes version n, the minimum of both per key.
+Each batch writes its result to ``<out>/batch_id=<n>`` and its version with overwrite, so a batch
+replayed after a failure replaces its own output and reads what it read before (exactly-once effect
+with the checkpointed source offsets).  The streamed result equals the batch gate (in ``auto``: of
+records that arrive in id order).
 
 R2: session texts are appended as JSON lines partitioned by project and date
 by the file sink, whose commit log makes the output exactly-once.
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.conflicts import first_records, merged_records, stored_records
 from ..operators.gate import gate
 from ..operators.summarize import archive_rows
 from ..session import ensure_checkpoint_dir
@@ -47,14 +51,47 @@ GATE_COLUMNS = ("id", "project", "type", "source", "status", "reason", "confiden
                 "conflict_with", "conflict_rule")
 
 
-def start_gate_stream(records: DataFrame, snapshot: DataFrame, out_dir: str, checkpoint_dir: str,
-                      mode: str = "approval_required", available_now: bool = True) -> StreamingQuery:
-    """Run the gate per micro-batch; results land in ``out_dir/batch_id=n``."""
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to ``path`` to its end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
+def gate_batches(snapshot: DataFrame, out_dir: str, state_dir: str, mode: str = "approval_required"):
+    """The function (batch, batch id) that runs the gate over one micro-batch.
+
+    The reduced snapshot lies in ``state_dir/snapshot``.  In ``auto`` it is written once per state folder, so that replayed
+    batches see what they saw; in the other modes at every start, so that a restart sees newly approved records.
+    ``state_dir/batch=<n>`` holds the first records of all that batches 0 to n have stored (``auto`` only; a few rows per project,
+    type and rule or technology set; versions older than the last two are not read again).
+    """
+    spark = snapshot.sparkSession
+    base = os.path.join(state_dir, "snapshot")
+    if mode != "auto" or not _complete(spark, base):
+        first_records(snapshot.filter(F.col("approved"))).write.mode("overwrite").parquet(base)
+    schema = spark.read.parquet(base).schema
+
+    def version(batch_id: int) -> str:
+        return os.path.join(state_dir, f"batch={batch_id}")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        result = gate(batch, snapshot, mode=mode).select(*GATE_COLUMNS)
-        result.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
+        read = batch.sparkSession.read.schema(schema)
+        before = [read.parquet(version(batch_id - 1))] if mode == "auto" and batch_id > 0 else []
+        first = merged_records(read.parquet(base), *before)
+        out = os.path.join(out_dir, f"batch_id={batch_id}")
+        gated = gate(batch, None, mode=mode, first=first).select(*GATE_COLUMNS)
+        gated.write.mode("overwrite").parquet(out)
+        if mode == "auto":
+            stored = batch.sparkSession.read.schema(gated.schema).parquet(out).where("status = 'stored'")
+            merged_records(stored_records(stored, batch_id), *before).write.mode("overwrite").parquet(version(batch_id))
+
+    return per_batch
+
 
+def start_gate_stream(records: DataFrame, snapshot: DataFrame, out_dir: str, checkpoint_dir: str,
+                      mode: str = "approval_required", available_now: bool = True) -> StreamingQuery:
+    """Run the gate per micro-batch; results land in ``out_dir/batch_id=n``, its state beside the checkpoint."""
+    per_batch = gate_batches(snapshot, out_dir, checkpoint_dir.rstrip("/") + ".candidates", mode)
     writer = records.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

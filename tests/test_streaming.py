@@ -1,6 +1,8 @@
 """The streamed result over several micro-batches equals the batch result."""
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import mem_rows
@@ -42,3 +44,39 @@ def test_archive_stream(spark):
     assert rows == [("p", "2024-06-01", "hello"), ("q", "2024-06-01", "world")]
     local = out[len("file:"):] if out.startswith("file:") else out
     assert sorted(os.listdir(local))[:2] == ["_spark_metadata", "project=p"]
+
+
+SAY = ["we use flask", "we use django", "use npm", "use yarn", "always test", "do not test", "always or do not", "redis and docker",
+       "kubernetes", "redis", "avoid x", "prefer y", "nothing", "password = hunter2hunter2"]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_auto_batches_with_replays_equal_one_batch(spark, seed):
+    rnd = random.Random(seed)
+    snap = mem_rows(spark, [dict(id=i, project=rnd.choice("pq"), type="decision", summary=rnd.choice(SAY[:4])) for i in range(2)])
+    schema = "id bigint, project string, type string, source string, text string"
+    rows = [(100 + i, rnd.choice("pq"), rnd.choice(["decision", "bug", "nonsense"]), "session", rnd.choice(SAY)) for i in range(60)]
+    out, state = ingest.scratch_dir(spark, "auto-out"), ingest.scratch_dir(spark, "auto-state")
+    run = ingest.gate_batches(snap, out, state, mode="auto")
+    parts = [rows[:20], rows[20:25], [], rows[25:]]
+    for n, part in enumerate(parts):
+        batch = spark.createDataFrame(part, schema)
+        run(batch, n)
+        if n % 2:                                        # replayed by a new process, which must not see a newer snapshot
+            run = ingest.gate_batches(snap.limit(0), out, state, mode="auto")
+            run(batch, n)
+    columns = ["id", "status", "conflict_with", "conflict_rule", "reason"]
+    got = sorted(map(tuple, spark.read.parquet(out).select(columns).collect()))
+    want = sorted(map(tuple, gate(spark.createDataFrame(rows, schema), snap, mode="auto").select(columns).collect()))
+    assert got == want and len(got) == 60
+    assert {"stored", "conflict_detected", "error"} <= {r[1] for r in got} and max(r[2] or 0 for r in got) > 100
+
+
+def test_a_batch_never_reads_the_snapshot_again(spark):
+    snap_dir = ingest.scratch_dir(spark, "snap")
+    mem_rows(spark, [dict(id=1, summary="use npm", type="bug")]).write.parquet(snap_dir)
+    out, state = ingest.scratch_dir(spark, "once-out"), ingest.scratch_dir(spark, "once-state")
+    run = ingest.gate_batches(spark.read.parquet(snap_dir), out, state)
+    mem_rows(spark, []).write.mode("overwrite").parquet(snap_dir)             # gone
+    run(spark.createDataFrame([(5, "p", "bug", "session", "use yarn")], "id bigint, project string, type string, source string, text string"), 0)
+    assert [(r["status"], r["conflict_with"]) for r in spark.read.parquet(out).collect()] == [("conflict_detected", 1)]
