@@ -186,15 +186,15 @@ class _WordEncoder:
         split = pc.ascii_split_whitespace(texts)
         numbered = split.flatten().dictionary_encode()
         distinct = numbered.dictionary.cast(pa.large_binary()).to_pylist()
-        new = [w for w in distinct if w not in self.words]
-        if len(self.words) + len(new) > self.bound:
-            self.words.clear()
-            new = distinct
         self.words[b""] = b""                              # what stands before a leading blank
-        new = [w for w in new if w]
+        got = list(map(self.words.get, distinct))
+        new = [k for k, ids in enumerate(got) if ids is None]
         if new:
-            self._learn(new)
-        got = [self.words[w] for w in distinct]
+            if len(self.words) + len(new) > self.bound:
+                self.words.clear()
+            self._learn([distinct[k] for k in new])
+            for k in new:
+                got[k] = self.words[distinct[k]]
         flat = np.frombuffer(b"".join(got), "<u4")
         width = np.fromiter(map(len, got), np.int64, len(got)) // 4
         start = np.cumsum(width) - width
@@ -207,19 +207,6 @@ class _WordEncoder:
 
 
 # ----------------------------------------------------------------- write, read
-def _joined(batches, size: int = 1 << 21):
-    """Batches joined until their texts hold ``size`` bytes: fewer words are new to a larger batch."""
-    held, total = [], 0
-    for batch in batches:
-        held.append(batch)
-        total += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
-        if total >= size:
-            yield pa.concat_batches(held)
-            held, total = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, bits: int = 8) -> None:
     """Encode all documents in ascending doc_id order and write their ids as segments under ``path``."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -235,7 +222,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, bits
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()),
                  pa.array([len(ids)], pa.int64()), pa.array([pack_segment(doc_ids, ids, bits)], pa.binary())],
                 names=["part", "seq", "n_ids", "n_docs", "segment"])
-        for batch in _joined(batches):
+        for batch in batches:
             keys, col = batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "")
             lengths, lo = pc.binary_length(col).to_numpy(), 0
             while lo < len(keys):
@@ -260,22 +247,29 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, bits
      .write.option("compression", "none").parquet(path))
 
 
+def _documents(batches):
+    """Of each segment read back: columns part, seq, doc_id and offset, where its documents end, and all of its ids."""
+    for batch in batches:
+        for part, seq, image in zip(*(batch.column(c) for c in ("part", "seq", "segment"))):
+            doc_ids, sizes, get = open_segment(image.as_py())
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            yield [pa.array(np.full(len(sizes), part.as_py(), np.int32)),
+                   pa.array(np.full(len(sizes), seq.as_py(), np.int32)), pa.array(doc_ids, pa.int64()),
+                   pa.array(ends[:-1])], ends, get(0, int(ends[-1]))
+
+
+def _segments(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("part", "seq", "segment")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """part, seq, doc_id, offset (within its segment), ids array<int> of every document."""
     def run(batches):
-        for batch in batches:
-            for part, seq, image in zip(*(batch.column(c) for c in ("part", "seq", "segment"))):
-                doc_ids, sizes, get = open_segment(image.as_py())
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                flat = get(0, int(ends[-1]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(sizes), part.as_py(), np.int32)),
-                     pa.array(np.full(len(sizes), seq.as_py(), np.int32)), pa.array(doc_ids, pa.int64()),
-                     pa.array(ends[:-1]),
-                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int32)))],
-                    names=["part", "seq", "doc_id", "offset", "ids"])
-    return spark.read.parquet(path).select("part", "seq", "segment").mapInArrow(
-        run, "part int, seq int, doc_id long, offset long, ids array<int>")
+        for columns, ends, flat in _documents(batches):
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int32)))],
+                names=["part", "seq", "doc_id", "offset", "ids"])
+    return _segments(spark, path).mapInArrow(run, "part int, seq int, doc_id long, offset long, ids array<int>")
 
 
 def starts(spark: SparkSession, path: str) -> DataFrame:
@@ -290,18 +284,19 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, tokenizer_path: str, end_id: int = 1, bits: int = 8) -> DataFrame:
-    """Write the ids, read the files back, and derive one row per document from them."""
+    """Write the ids, read the files back, and derive one row per document where its ids are read."""
     spark = docs.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/token-files-{spark.range(1).select(F.uuid()).first()[0]}"
     write(docs, path, tokenizer_path, end_id, bits)
 
     def crc(batches):
-        for batch in batches:
-            sums = [zlib.crc32(x.values.to_numpy().astype("<u4")) for x in batch.column("ids")]
-            yield batch.select(["part", "seq", "doc_id", "offset"]).append_column(
-                "n_tokens", pa.array([len(x) for x in batch.column("ids")], pa.int64())).append_column(
-                "ids_crc32", pa.array(sums, pa.int64()))
-    rows = read(spark, path).mapInArrow(
+        for columns, ends, flat in _documents(batches):
+            raw = memoryview(np.ascontiguousarray(flat, "<u4").view(np.uint8))
+            at = (4 * ends).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.diff(ends)), pa.array([zlib.crc32(raw[lo:hi]) for lo, hi in zip(at, at[1:])], pa.int64())],
+                names=["part", "seq", "doc_id", "offset", "n_tokens", "ids_crc32"])
+    rows = _segments(spark, path).mapInArrow(
         crc, "part int, seq int, doc_id long, offset long, n_tokens long, ids_crc32 long")
     return rows.join(starts(spark, path), ["part", "seq"]).select(
         "doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
