@@ -195,38 +195,58 @@ def tag_ranks(nd: DataFrame) -> DataFrame:
             .groupBy("project", "tag").agg(F.min(F.struct("ord", "pos")).alias("trank")))
 
 
+def memberships(nd: DataFrame) -> DataFrame:
+    """(project, id, group): the type group and the tag groups of each node (a null type is no group)."""
+    group = lambda kind, key: F.concat(F.lit(kind), key).alias("group")
+    return (nd.select("project", "id", group("type ", F.col("type"))).where("group is not null").unionByName(
+        nd.select("project", "id", F.explode("tags").alias("tag")).select("project", "id", group("tag ", F.col("tag")))))
+
+
+def reach(member: DataFrame, adj: DataFrame, seeds: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Breadth-first search over groups: (project, start, id, hop) of the nodes reached, and (project, start, group) of
+    the groups expanded on the way.
+
+    member: (project, id, group); adj: (project, id, nb) links both ways; seeds: (project, start).  Groups that a start
+    has expanded are taken out before a hop expands the others, so that a start reads each membership
+    at most twice: once to leave a node, once to enter it."""
+    frontier = seeds.select("project", "start", F.col("start").alias("id"))
+    visited = frontier.withColumn("hop", F.lit(0)).limit(0)
+    expanded = seeds.select("project", "start", F.lit("").alias("group")).limit(0)
+    if depth > 1:
+        member = member.checkpoint()
+    for hop in range(1, depth + 1):
+        groups = frontier.join(member, ["project", "id"]).select("project", "start", "group").distinct()
+        if hop > 1:
+            groups = groups.join(expanded, ["project", "start", "group"], "left_anti")
+        if depth > 1:
+            groups = groups.checkpoint()
+        nxt = (groups.join(member, ["project", "group"]).select("project", "start", "id")
+               .unionByName(frontier.join(adj, ["project", "id"]).select("project", "start", F.col("nb").alias("id")))
+               .distinct().filter(F.col("id") != F.col("start")))
+        if hop > 1:
+            nxt = nxt.join(visited, ["project", "start", "id"], "left_anti")
+        nxt = nxt.withColumn("hop", F.lit(hop)).checkpoint()
+        visited = nxt if hop == 1 else visited.unionByName(nxt)
+        expanded = groups if hop == 1 else expanded.unionByName(groups)
+        frontier = nxt.select("project", "start", "id")
+    return visited, expanded
+
+
 def neighbors(mem: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:
     """G3 for many starts at once: starts(start) ids.  Returns (start, id, hop,
     connection, weight, type, project, summary[:120], source, confidence, created_at).
 
-    Expansion goes through memberships (type groups, tag groups, explicit links),
-    so each round costs the size of the reached set, never pairs.
+    Expansion goes through memberships (type groups, tag groups, explicit links), never
+    pairs, and each group is expanded once per start (``reach``).
     """
     nd = nodes(mem)
     pairs = explicit_pairs(nd)
     adj = pairs.select("project", F.col("src").alias("id"), F.col("dst").alias("nb")).unionByName(
         pairs.select("project", F.col("dst").alias("id"), F.col("src").alias("nb")))
     tags = nd.select("project", "id", F.explode("tags").alias("tag"))
-    types = nd.select("project", "id", "type")
     seeds = starts.select(F.col("start")).distinct().join(
         nd.select(F.col("id").alias("start"), "project"), "start")
-    frontier = seeds.select("project", "start", F.col("start").alias("id"))
-    visited = None
-    if depth < 1:                                       # nothing is reached
-        visited = frontier.withColumn("hop", F.lit(0)).limit(0)
-    for hop in range(1, depth + 1):
-        by_type = (frontier.join(types, ["project", "id"]).select("project", "start", "type").distinct()
-                   .join(types, ["project", "type"]).select("project", "start", "id"))
-        by_tag = (frontier.join(tags, ["project", "id"]).select("project", "start", "tag").distinct()
-                  .join(tags, ["project", "tag"]).select("project", "start", "id"))
-        by_link = frontier.join(adj, ["project", "id"]).select("project", "start", F.col("nb").alias("id"))
-        nxt = (by_type.unionByName(by_tag).unionByName(by_link).distinct()
-               .filter(F.col("id") != F.col("start")))
-        if visited is not None:
-            nxt = nxt.join(visited.select("project", "start", "id"), ["project", "start", "id"], "left_anti")
-        nxt = nxt.withColumn("hop", F.lit(hop)).checkpoint()
-        visited = nxt if visited is None else visited.unionByName(nxt)
-        frontier = nxt.select("project", "start", "id")
+    visited, _ = reach(memberships(nd), adj, seeds, depth)
 
     # direct-edge reason for hop 1
     ranks = tag_ranks(nd)
