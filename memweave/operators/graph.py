@@ -8,7 +8,8 @@ pairs are never listed; instead, per node u with tag set T(u) and group g(u):
 * U(u)  = |union of tag groups of u|         (u included)
 * Ug(u) = |union of tag groups of u within g(u)|
 * both depend on the tag set alone, so nodes are first counted per (tag set, type);
-  tag sets that share a tag meet at the least tag that they share, once, and their counts are
+  a project's most frequent tags are bits of a mask, and sets that share one are counted over masks; sets
+  that share only other tags meet at the least of them, once, and their counts are
   summed.  Nodes never meet nodes: a tag set that a million nodes carry is one row.
 
 Then, with P = explicit pairs (materialised; they come from data links):
@@ -28,7 +29,7 @@ Self-loops (repeated tag, self link) are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -64,16 +65,51 @@ def explicit_pairs(nd: DataFrame) -> DataFrame:
                     (F.col("ts") == F.col("td")).alias("same"), F.col("ts"), F.col("td")))
 
 
+HEAVY_TAGS, HEAVY_SETS = 10, 32
+
+
+def _masked(sets: DataFrame) -> DataFrame:
+    """Tag sets (project, tags) with ``mask``, a bit for each heavy tag, and ``light``, the others in order.
+
+    Heavy are a project's ``HEAVY_TAGS`` most frequent tags, where more than ``HEAVY_SETS`` distinct sets hold them."""
+    each = sets.select("project", "tags", F.explode("tags").alias("t"))
+    by_sets = Window.partitionBy("project").orderBy(F.col("sets").desc(), "t")
+    heavy = (each.groupBy("project", "t").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > HEAVY_SETS)
+             .withColumn("bit", F.row_number().over(by_sets)).where(F.col("bit") <= HEAVY_TAGS)
+             .select("project", "t", F.expr("shiftleft(1, bit - 1)").alias("bit")))
+    masks = (each.join(heavy, ["project", "t"]).groupBy("project", "tags")
+             .agg(F.sum("bit").cast("int").alias("mask"), F.collect_set("t").alias("_h")))
+    return sets.join(masks, ["project", "tags"], "left").select(
+        "project", "tags", F.coalesce("mask", F.lit(0)).alias("mask"),
+        F.array_except("tags", F.coalesce("_h", F.array().cast("array<string>"))).alias("light"))
+
+
+def _light_meetings(masked: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of tag sets that share a light tag and no heavy one, once each way: (project, tags, otype, n)."""
+    left = masked.select("project", "tags", "mask", "light", F.explode("light").alias("t"))
+    right = sets.join(masked, ["project", "tags"]).select(
+        "project", F.col("mask").alias("omask"), F.col("light").alias("other"), F.col("type").alias("otype"), "n",
+        F.explode("light").alias("t"))
+    return (left.join(right, ["project", "t"]).where(F.col("mask").bitwiseAND(F.col("omask")) == 0)
+            .filter(F.col("t") == F.element_at(F.array_intersect("light", "other"), 1))     # sorted: the least one
+            .select("project", "tags", "otype", "n"))
+
+
 def tag_union_sizes(nd: DataFrame) -> DataFrame:
-    """(project, id, U, Ug) for every node (1, 1 when it has no tags)."""
+    """(project, id, U, Ug) for every node (1, 1 when it has no tags): the nodes, and those of its type, that share a tag.
+
+    Nodes that share a heavy tag are counted over masks, at most 2 ** ``HEAVY_TAGS`` of them in a project; only tag sets that
+    share nothing but light tags meet one another."""
     tagged = nd.select("project", "id", "type", F.array_sort("tags").alias("tags"))
-    sets = (tagged.filter(F.size("tags") > 0).groupBy("project", "tags", "type").agg(F.count(F.lit(1)).alias("n")))
-    left = sets.select("project", "tags").distinct().select("project", "tags", F.explode("tags").alias("t"))
-    right = sets.select("project", F.col("tags").alias("other"), F.col("type").alias("otype"), "n",
-                        F.explode("tags").alias("t"))
-    met = (left.join(right, ["project", "t"])
-           .filter(F.col("t") == F.element_at(F.array_intersect("tags", "other"), 1))      # sorted: the least one
-           .groupBy("project", "tags", "otype").agg(F.sum("n").alias("m")))
+    sets = (tagged.filter(F.size("tags") > 0).groupBy("project", "tags", "type").agg(F.count(F.lit(1)).alias("n")).checkpoint())
+    masked = _masked(sets.select("project", "tags").distinct()).checkpoint()
+    by_mask = (sets.join(masked, ["project", "tags"]).where("mask <> 0")
+               .groupBy("project", "mask", F.col("type").alias("otype")).agg(F.sum("n").alias("n")))
+    asked = by_mask.select("project", F.col("mask").alias("ask")).distinct()
+    over = (asked.join(by_mask, "project").where(F.col("ask").bitwiseAND(F.col("mask")) != 0)
+            .groupBy("project", F.col("ask").alias("mask"), "otype").agg(F.sum("n").alias("n")))
+    heavy = masked.join(over, ["project", "mask"]).select("project", "tags", "otype", "n")
+    met = _light_meetings(masked, sets).unionByName(heavy).groupBy("project", "tags", "otype").agg(F.sum("n").alias("m"))
     whole = met.groupBy("project", "tags").agg(F.sum("m").alias("U"))
     inner = met.select("project", "tags", F.col("otype").alias("type"), F.col("m").alias("Ug"))
     sizes = sets.join(whole, ["project", "tags"]).join(inner, ["project", "tags", "type"]).select(
