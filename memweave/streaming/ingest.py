@@ -31,6 +31,7 @@ from ..operators.conflicts import first_records, merged_records, stored_records
 from ..operators.gate import gate
 from ..operators.summarize import archive_rows
 from ..session import ensure_checkpoint_dir
+from ..sources.tables import read_table, table_path
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -38,13 +39,20 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def read_table_stream(spark: SparkSession, folder: str, file_glob: str, max_files: int | None = None) -> DataFrame:
-    """Stream the files of ``folder`` matching ``file_glob`` (schema taken from a batch read)."""
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
+def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """Stream the files of a table, which is a folder or one file (schema taken from a batch read)."""
+    path = table_path(sf_dir, name)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    if _is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", os.path.basename(path)).parquet(sf_dir)     # a stream reads folders only
 
 
 GATE_COLUMNS = ("id", "project", "type", "source", "status", "reason", "confidence", "clean_text",
@@ -118,11 +126,10 @@ def finished(query: StreamingQuery) -> None:
 def streamed_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run R1 over the documents folder (as a stream) and return what the sinks hold."""
     from ..sources.memories import incoming_from_memories, memories_from_documents
-    from ..sources.tables import read_table
 
     snapshot = memories_from_documents(read_table(spark, sf_dir, "documents"))
     stream = incoming_from_memories(memories_from_documents(
-        read_table_stream(spark, sf_dir, "documents.parquet")))
+        read_table_stream(spark, sf_dir, "documents")))
     out, ck = scratch_dir(spark, "gate-out"), scratch_dir(spark, "gate-ck")
     finished(start_gate_stream(stream, snapshot, out, ck))
     return spark.read.parquet(out).drop("batch_id")
@@ -132,7 +139,6 @@ def streamed_archive(spark: SparkSession, sf_dir: str, captured_at=None) -> Data
     """Run R2 over whole conversations: turns are assembled per session in a batch
     step (a session needs all its turns), then appended through the file sink."""
     from ..operators.summarize import sessions_from_turns
-    from ..sources.tables import read_table
 
     sessions = (sessions_from_turns(read_table(spark, sf_dir, "conversations"))
                 .withColumn("project", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))))

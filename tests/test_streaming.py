@@ -80,3 +80,14 @@ def test_a_batch_never_reads_the_snapshot_again(spark):
     mem_rows(spark, []).write.mode("overwrite").parquet(snap_dir)             # gone
     run(spark.createDataFrame([(5, "p", "bug", "session", "use yarn")], "id bigint, project string, type string, source string, text string"), 0)
     assert [(r["status"], r["conflict_with"]) for r in spark.read.parquet(out).collect()] == [("conflict_detected", 1)]
+
+
+def test_a_table_is_a_file_or_a_folder(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"We use flask {i}", "en", "src1") for i in range(6)], "doc_id long, text string, lang string, source string")
+    docs.repartition(3).write.parquet(str(tmp_path / "folder/documents.parquet"))
+    docs.repartition(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "part").glob("part-*.parquet")).rename(tmp_path / "file/documents.parquet")
+    for kind in ("folder", "file"):
+        got = ingest.streamed_gate(spark, str(tmp_path / kind)).collect()
+        assert sorted(r["id"] for r in got) == list(range(6)), kind
