@@ -85,15 +85,16 @@ def merged_records(*firsts: DataFrame) -> DataFrame:
 
 
 def _firsts(records: DataFrame) -> DataFrame:
-    ex = with_signals(records, "summary")
+    # the patterns run once per row: without the cut, each use of the result and each predicate on what they find repeats them
+    ex = with_signals(records, "summary").select("project", "type", "ord", F.col("id").alias("eid"),
+                                                 F.substring("summary", 1, 100).alias("esum"), "sides", "tech").checkpoint()
     keys = F.concat(
         F.transform("sides", lambda x: F.struct(x["rule"].alias("rule"), x["side"].alias("side"),
                                                 F.lit(None).cast("array<string>").alias("tech"))),
         F.when(F.size("tech") > 0, F.array(F.struct(F.lit(TECH_RULE).alias("rule"), F.lit("t").alias("side"),
                                                     F.col("tech").alias("tech"))))
         .otherwise(F.array().cast("array<struct<rule:int,side:string,tech:array<string>>>")))
-    return (ex.select("project", "type", "ord", F.col("id").alias("eid"), F.substring("summary", 1, 100).alias("esum"),
-                      F.col("tech").alias("etech"), F.explode(keys).alias("k"))
+    return (ex.select("project", "type", "ord", "eid", "esum", F.col("tech").alias("etech"), F.explode(keys).alias("k"))
             .groupBy("project", "type", "k.rule", "k.side", "k.tech")
             .agg(F.min(F.struct("ord", "eid", "esum", "etech")).alias("e")))
 
@@ -103,15 +104,17 @@ def _given(snapshot: DataFrame | None, first: DataFrame | None) -> DataFrame:
 
 
 def _signed(rows: DataFrame, text_col: str, when) -> DataFrame:
-    """``rows`` with ``sides``, ``tech`` and ``_sig``; rows without a signal get scattered signatures that begin with #."""
+    """``rows`` with ``sides``, ``tech``, ``_sig`` and ``_head`` (the text's beginning, all that a conflict shows of it); rows
+    without a signal get scattered signatures that begin with #."""
     # the patterns run once per row: without the cut, predicates on what they find would be pushed
     # below them and repeat every pattern many times over
-    nw = with_signals(rows, text_col, when=when).checkpoint()
+    scattered = F.concat(F.lit("#"), F.pmod(F.xxhash64(text_col), F.lit(1 << 20)).cast("string"))
+    nw = (with_signals(rows, text_col, when=when).withColumn("_head", F.substring(text_col, 1, 100))
+          .withColumn("_scattered", scattered).checkpoint())
     named = F.concat_ws("|", F.array_join(F.transform("sides", lambda x: F.concat(x["rule"].cast("string"), x["side"])), ","),
                         F.array_join("tech", ","))
     blank = (F.size("sides") == 0) & (F.size("tech") == 0)
-    scattered = F.concat(F.lit("#"), F.pmod(F.xxhash64(text_col), F.lit(1 << 20)).cast("string"))
-    return nw.withColumn("_sig", F.when(blank, scattered).otherwise(named))
+    return nw.withColumn("_sig", F.when(blank, F.col("_scattered")).otherwise(named)).drop("_scattered")
 
 
 def _told(df: DataFrame) -> DataFrame:
@@ -132,7 +135,7 @@ def _winners(sigs: DataFrame, first: DataFrame) -> DataFrame:
             .agg(F.min(F.struct(F.col("e.ord").alias("ord"), "rule", "e")).alias("_w")))
 
 
-def _described(out: DataFrame, own: list[str], text_col: str) -> DataFrame:
+def _described(out: DataFrame, own: list[str]) -> DataFrame:
     """The rows' own columns and the conflict that ``_w`` (rule, e) holds."""
     rule, e = F.col("_w.rule"), F.col("_w.e")
     desc = F.when(
@@ -145,7 +148,7 @@ def _described(out: DataFrame, own: list[str], text_col: str) -> DataFrame:
     ).otherwise(
         F.concat(F.lit("Possible "), rule_label(rule),
                  F.lit(" conflict detected.\n  Existing ["), e["eid"].cast("string"),
-                 F.lit("]: "), e["esum"], F.lit("\n  New memory: "), F.substring(text_col, 1, 100)))
+                 F.lit("]: "), e["esum"], F.lit("\n  New memory: "), F.col("_head")))
     return out.select(*own, e["eid"].alias("conflict_with"), rule.alias("conflict_rule"),
                       F.when(rule.isNotNull(), desc).alias("conflict_description"))
 
@@ -160,7 +163,7 @@ def with_conflicts(rows: DataFrame, snapshot: DataFrame | None, text_col: str =
     """
     nw = _signed(rows, text_col, when)
     sigs = _told(nw).select("project", "type", "_sig", "sides", "tech").distinct()
-    return _described(nw.join(_winners(sigs, _given(snapshot, first)), ["project", "type", "_sig"], "left"), rows.columns, text_col)
+    return _described(nw.join(_winners(sigs, _given(snapshot, first)), ["project", "type", "_sig"], "left"), rows.columns)
 
 
 def _conflicting(sigs: DataFrame) -> DataFrame:
@@ -218,7 +221,7 @@ def with_batch_conflicts(rows: DataFrame, snapshot: DataFrame | None, text_col:
     own = pairs.where("n = m").select("n", F.lit(True).alias("own"))
     known = sigs.join(state, "n").join(own, "n", "left").select(*keys, "n", "first", "stored", F.coalesce("own", F.lit(False)).alias("own"))
     nw = nw.join(known, keys, "left").checkpoint()
-    e = F.struct(F.col("id").alias("eid"), F.substring(text_col, 1, 100).alias("esum"), F.col("tech").alias("etech"))
+    e = F.struct(F.col("id").alias("eid"), F.col("_head").alias("esum"), F.col("tech").alias("etech"))
     kept = nw.where(F.col("stored") & (~F.col("own") | (F.col("_at") == F.col("first")))).select(
         F.col("n").alias("m"), "_at", e.alias("e"))
     # what asks: records that the batch may refuse; what answers: stored records, once for each signature that asks
@@ -232,7 +235,7 @@ def with_batch_conflicts(rows: DataFrame, snapshot: DataFrame | None, text_col:
     rest = nw.where(F.col("stored").isNull() | (F.col("stored") & ~F.col("own"))).withColumn("b", F.lit(None).cast(answers.schema["b"].dataType))
     w = won.withColumn("_w", F.struct("_w.rule", F.struct("_w.e.eid", "_w.e.esum", "_w.e.etech").alias("e")))
     out = told.unionByName(rest).join(w, keys, "left").withColumn("_w", F.coalesce("b", "_w"))
-    return _described(out, rows.columns, text_col)
+    return _described(out, rows.columns)
 
 
 def detect_conflicts(new: DataFrame, snapshot: DataFrame, *, text_col: str = "text") -> DataFrame:
