@@ -4,8 +4,9 @@ Fit: k-means over the unit vectors of a bounded sample (``SAMPLE_ROWS`` rows, ta
 centres of ``lists`` lists, about the square root of the row count and ``MAX_LISTS`` at most.  Build: every row goes to the list of
 its nearest centre, and the lists are written as Parquet partitions; a list with many rows spans many files and tasks.
 Search: a query asks the ``probes`` lists nearest to it.  Only asked lists are scanned (their numbers, at most
-``MAX_LISTS``, prune the partitions), each row once; lists meet their queries in (list, tile, block) groups of bounded sizes and are
-scored exactly.  What is lost are neighbours in lists that were not asked: ``quality`` measures that against exact search.
+``MAX_LISTS``, prune the partitions), each row once.  Neighbouring lists stand on one shelf, of about ``TILE_ROWS`` rows or one large
+list; a query is sent once to each shelf where it asks lists, with their numbers.  Shelves meet their queries in (shelf, tile, block)
+groups of bounded sizes, where each list is scored exactly for those who ask it.  What is lost are neighbours in lists that were not asked: ``quality`` measures that against exact search.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .recall import BLOCK_QUERIES, TILE_ROWS, _scorer, _unit, top_k
+from .recall import BLOCK_QUERIES, TILE_ROWS, _unit, best_pairs, top_k
 
 SAMPLE_ROWS, MAX_LISTS, ITERATIONS, SEED = 100_000, 4096, 12, 17
 
@@ -77,6 +78,40 @@ def build(index: DataFrame, path: str, lists: int | None = None, sample_rows: in
     return centres
 
 
+SENT_ROWS = 8192         # rows (a query and a shelf) that a task makes at a time
+
+
+def _shelves(spark: SparkSession, path: str, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each list's shelf and each shelf's number of tiles, from the lists' sizes (at most ``MAX_LISTS`` numbers)."""
+    sizes = np.zeros(lists, np.int64)
+    for r in spark.read.schema("list int").parquet(path).groupBy("list").agg(F.count("*").alias("n")).collect():
+        sizes[r["list"]] = r["n"]
+    shelf, rows = np.zeros(lists, np.int32), []
+    for i, n in enumerate(sizes):
+        if not rows or rows[-1] + n > TILE_ROWS:
+            rows.append(0)
+        shelf[i] = len(rows) - 1
+        rows[-1] += n
+    return shelf, np.array([max(1, -(-n // TILE_ROWS)) for n in rows])
+
+
+def _shelf_scorer(k: int):
+    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) == 0 or len(queries) == 0:
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        asks = queries["lists"].to_numpy()
+        asked, of = np.concatenate(asks), np.repeat(np.arange(len(queries)), [len(x) for x in asks])
+        by_list = np.argsort(asked, kind="stable")
+        asked, of = asked[by_list], of[by_list]
+        held = rows["list"].to_numpy()
+        order = np.lexsort((rows["id"].to_numpy(), held))
+        begins = np.flatnonzero(np.diff(held[order], prepend=-1))
+        parts = ((0, at, of[slice(*np.searchsorted(asked, (held[at[0]], held[at[0]] + 1)))]) for at in np.split(order, begins[1:]))
+        of, _, score, ids = best_pairs(rows, queries, parts, k)
+        return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[of], "id": ids, "score": score})
+    return run
+
+
 def search(spark: SparkSession, path: str, centres: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """(query_id, id, score, rank): the best k rows of the ``probes`` lists nearest to each query."""
     schema = "query_id long, id long, score double"
@@ -84,30 +119,36 @@ def search(spark: SparkSession, path: str, centres: np.ndarray, queries: DataFra
         raise ValueError("k and probes must be at least 1")
     if len(centres) == 0:
         return spark.createDataFrame([], schema + ", rank int")
-    held = spark.sparkContext.broadcast(centres)
     probes = min(probes, len(centres))
+    shelf_of, tiles_of = _shelves(spark, path, len(centres))
+    held = spark.sparkContext.broadcast((centres, shelf_of))
 
     def ask(batches):
-        of = _nearest(held.value, probes)
+        all_centres, shelves = held.value
+        of, step = _nearest(all_centres, probes), max(1, SENT_ROWS // (int(shelves.max()) + 1))
         for pdf in batches:
-            if len(pdf):
-                got = of(pdf["qvec"])
-                yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), probes), "of": got.ravel().astype(np.int32),
-                                    "qvec": [v for v in pdf["qvec"] for _ in range(probes)]})
+            for lo in range(0, len(pdf), step):
+                some = pdf.iloc[lo: lo + step]
+                got = np.sort(of(some["qvec"]), axis=1).astype(np.int32)           # a shelf's lists are neighbours
+                cuts = np.flatnonzero(np.diff(shelves[got], axis=1, prepend=-1).ravel())
+                whose = cuts // probes
+                yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[whose], "shelf": shelves[got].ravel()[cuts],
+                                    "lists": np.split(got.ravel(), cuts[1:]), "qvec": some["qvec"].to_numpy()[whose]})
     asked = queries.where("qvec is not null").select(F.col("query_id").cast("long").alias("query_id"), "qvec").mapInPandas(
-        ask, "query_id long, of int, qvec array<double>").checkpoint()
-    wanted = [r["of"] for r in asked.select("of").distinct().collect()]            # at most MAX_LISTS numbers
+        ask, "query_id long, shelf int, lists array<int>, qvec array<double>").checkpoint()
+    wanted = [r[0] for r in asked.select(F.explode("lists")).distinct().collect()]            # at most MAX_LISTS numbers
     rows = spark.read.schema("id long, embedding array<float>, list int").parquet(path).where(F.col("list").isin(wanted))
-    tiles = rows.groupBy("list").agg(F.ceil(F.count("*") / TILE_ROWS).alias("tiles"))
-    blocks = asked.groupBy(F.col("of").alias("list")).agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("blocks"))
-    grid = tiles.join(blocks, "list")                                              # one row a list
+    lists = spark.createDataFrame([(i, int(s), int(tiles_of[s])) for i, s in enumerate(shelf_of)], "list int, shelf int, tiles long")
+    blocks = asked.groupBy("shelf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("blocks"))
+    grid = lists.join(blocks, "shelf")                                             # one row a list
     left = (rows.join(F.broadcast(grid), "list").withColumn("_tile", F.pmod(F.xxhash64("id"), "tiles"))
             .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
-    right = (asked.join(F.broadcast(grid.withColumnRenamed("list", "of")), "of").withColumn("_b", F.pmod(F.xxhash64("query_id"), "blocks"))
+    right = (asked.join(F.broadcast(grid.select("shelf", "tiles", "blocks").distinct()), "shelf")
+             .withColumn("_b", F.pmod(F.xxhash64("query_id"), "blocks"))
              .withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))))
-    found = (left.select("list", "_tile", "_block", "id", "embedding").groupBy("list", "_tile", "_block")
-             .cogroup(right.select("of", "_t", "_b", "query_id", "qvec").groupBy("of", "_t", "_b"))
-             .applyInPandas(_scorer(k, None), schema))
+    found = (left.select("shelf", "_tile", "_block", "list", "id", "embedding").groupBy("shelf", "_tile", "_block")
+             .cogroup(right.select("shelf", "_t", "_b", "lists", "query_id", "qvec").groupBy("shelf", "_t", "_b"))
+             .applyInPandas(_shelf_scorer(k), schema))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -155,7 +196,9 @@ def calibrate(index: DataFrame, centres: np.ndarray, k: int, target: float = 0.9
     got = near.select("qvec", "embedding").collect()                               # 2 * sample * (k + 1) rows at most
     if not got:
         return len(centres)
-    order = _nearest(centres, len(centres))([r["qvec"] for r in got])
-    lists = _nearest(centres, 1)([r["embedding"] for r in got])
-    at = np.sort((order == lists).argmax(axis=1))
+    ranked, nearest, at = _nearest(centres, len(centres)), _nearest(centres, 1), []
+    for lo in range(0, len(got), 500):                                             # all ranks of some rows at a time
+        some = got[lo: lo + 500]
+        at.append((ranked([r["qvec"] for r in some]) == nearest([r["embedding"] for r in some])).argmax(axis=1))
+    at = np.sort(np.concatenate(at))
     return int(at[min(len(at) - 1, math.ceil(target * len(at)) - 1)]) + 1

@@ -58,3 +58,23 @@ def test_empty_index(spark, tmp_path):
     centres = ar.build(index, path)
     q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, qvec array<double>")
     assert ar.search(spark, path, centres, q, 5, 2).collect() == [] and ar.calibrate(index, centres, 5) == 1
+
+
+def test_a_query_is_sent_once_to_a_shelf_of_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ar, "TILE_ROWS", 100)
+    monkeypatch.setattr(ar, "SENT_ROWS", 16)
+    index, path = table(spark, 400, clusters=40, spread=1.0), str(tmp_path / "lists")
+    centres = ar.build(index, path)
+    shelf, tiles = ar._shelves(spark, path, len(centres))
+    assert len(centres) == 20 and 4 <= len(tiles) <= 8 and (np.diff(shelf) >= 0).all()
+    q = asked(index, 5)
+    for probes in (1, 7, 20):
+        found = ar.search(spark, path, centres, q, 4, probes).collect()
+        of = ar._nearest(centres, probes)
+        rows = {r["id"]: np.array(r["embedding"], float) for r in index.collect()}
+        lists = {r["id"]: r["list"] for r in spark.read.parquet(path).collect()}
+        for r in q.collect():
+            v, near = np.array(r["qvec"]), set(of([r["qvec"]])[0])
+            best = sorted((-x @ v / np.linalg.norm(x) / np.linalg.norm(v) for i, x in rows.items() if lists[i] in near))[:4]
+            got = sorted(-f["score"] for f in found if f["query_id"] == r["query_id"])
+            assert np.allclose(got, best), (probes, r["query_id"])

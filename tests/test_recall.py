@@ -143,3 +143,25 @@ def test_text_recall_reads_few_postings_of_a_word_in_every_memory(spark):
     assert rc._hopeful(rc._matches(tiled, blocks, asked, least), asked, postings, 5).count() < 50 * 2000 / 10
     best = {r["query_id"]: r["id"] for r in rc.recall_text(mem, q, 5).where("rank = 1").collect()}
     assert best == {i: i * 17 for i in range(50)}
+
+
+def test_group_scores_are_pruned_as_by_hand(monkeypatch):
+    import numpy as np
+    import pandas as pd
+    monkeypatch.setattr(rc, "SLICE_ROWS", 16)
+    monkeypatch.setattr(rc, "FOUND_ROWS", 200)
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"id": rng.permutation(300), "embedding": list(rng.integers(-2, 3, (300, 3)).astype(np.float32)),
+                         "project": rng.choice(["a", "b", "c", None], 300)})
+    asked = pd.DataFrame({"query_id": np.arange(9) + 70, "qvec": list(rng.integers(-2, 3, (9, 3)).astype(float))})
+    got = rc._scorer(4, "project")(rows, asked)
+    unit = rc._unit(np.stack(rows["embedding"]).astype(float)) @ rc._unit(np.stack(asked["qvec"])).T
+    for j, query in enumerate(asked["query_id"]):
+        for p in "abc":
+            mine = rows[rows["project"] == p].assign(score=unit[rows["project"] == p, j].round(9)).sort_values(
+                ["score", "id"], ascending=[False, True]).head(4)
+            seen = got[(got["query_id"] == query) & (got["project"] == p)]
+            assert sorted(seen["score"].round(9)) == sorted(mine["score"])
+            if mine["score"].nunique() == 4:
+                assert set(seen["id"]) >= set(mine["id"][:3])
+    assert len(got) == 9 * 3 * 4 and not got["project"].isna().any()
