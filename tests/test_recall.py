@@ -165,3 +165,18 @@ def test_group_scores_are_pruned_as_by_hand(monkeypatch):
             if mine["score"].nunique() == 4:
                 assert set(seen["id"]) >= set(mine["id"][:3])
     assert len(got) == 9 * 3 * 4 and not got["project"].isna().any()
+
+
+def test_words_are_read_once_and_pairs_are_summed_by_tiles(spark, monkeypatch):
+    counted, read = [], rc._counts
+    monkeypatch.setattr(rc, "TILE_POSTINGS", 40)
+    monkeypatch.setattr(rc, "ASKED_QUERIES", 3)
+    monkeypatch.setattr(rc, "_counts", lambda df, key, text: counted.append(key) or read(df, key, text))
+    mem = mem_rows(spark, [dict(id=2 ** 60 + i, summary=f"the note n{i} of g{i % 7} and w{i % 3} the") for i in range(60)])
+    q = spark.createDataFrame([(2 ** 59 + i, f"the g{i} of w{i % 3} {'n5' * i}") for i in range(8)], "query_id bigint, text string")
+    postings, asked = rc._weights(mem, q)
+    assert all(df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 0 for df in (postings, asked))
+    pairs = postings.select("id").distinct().crossJoin(asked.select("query_id").distinct())
+    few, many = ({(r["query_id"], r["id"]): r["score"] for r in f(pairs, asked, postings).collect()} for f in (rc._dots, rc._many_dots))
+    assert few.keys() == many.keys() and len(few) > 300 and all(abs(few[x] - many[x]) < 1e-12 for x in few)
+    assert counted == ["id", "query_id"]
