@@ -134,7 +134,8 @@ def search(spark: SparkSession, path: str, centres: np.ndarray, queries: DataFra
                 whose = cuts // probes
                 yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[whose], "shelf": shelves[got].ravel()[cuts],
                                     "lists": np.split(got.ravel(), cuts[1:]), "qvec": some["qvec"].to_numpy()[whose]})
-    asked = queries.where("qvec is not null").select(F.col("query_id").cast("long").alias("query_id"), "qvec").mapInPandas(
+    asked = queries.where("qvec is not null and query_id is not null").select(
+        F.col("query_id").cast("long").alias("query_id"), "qvec").mapInPandas(
         ask, "query_id long, shelf int, lists array<int>, qvec array<double>").checkpoint()
     wanted = [r[0] for r in asked.select(F.explode("lists")).distinct().collect()]            # at most MAX_LISTS numbers
     rows = spark.read.schema("id long, embedding array<float>, list int").parquet(path).where(F.col("list").isin(wanted))

@@ -180,3 +180,9 @@ def test_words_are_read_once_and_pairs_are_summed_by_tiles(spark, monkeypatch):
     few, many = ({(r["query_id"], r["id"]): r["score"] for r in f(pairs, asked, postings).collect()} for f in (rc._dots, rc._many_dots))
     assert few.keys() == many.keys() and len(few) > 300 and all(abs(few[x] - many[x]) < 1e-12 for x in few)
     assert counted == ["id", "query_id"]
+
+
+def test_queries_without_an_id_have_no_hits(spark):
+    index = spark.createDataFrame([(1, [1.0, 0.0], "p"), (2, [0.0, 1.0], "q")], "id bigint, embedding array<float>, project string")
+    asked = spark.createDataFrame([(None, [1.0, 0.0]), (7, [1.0, 0.1])], "query_id bigint, qvec array<double>")
+    assert [r["query_id"] for r in rc.top_k(index, asked, 1, group_col="project").collect()] == [7, 7]
