@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import rule_label, rule_sides, tech_set
+from ..session import written
 
 TECH_RULE = len(rules.OPPOSITE_RULES) + 1
 
@@ -86,8 +87,8 @@ def merged_records(*firsts: DataFrame) -> DataFrame:
 
 def _firsts(records: DataFrame) -> DataFrame:
     # the patterns run once per row: without the cut, each use of the result and each predicate on what they find repeats them
-    ex = with_signals(records, "summary").select("project", "type", "ord", F.col("id").alias("eid"),
-                                                 F.substring("summary", 1, 100).alias("esum"), "sides", "tech").checkpoint()
+    ex = written(with_signals(records, "summary").select("project", "type", "ord", F.col("id").alias("eid"),
+                                                         F.substring("summary", 1, 100).alias("esum"), "sides", "tech"))
     keys = F.concat(
         F.transform("sides", lambda x: F.struct(x["rule"].alias("rule"), x["side"].alias("side"),
                                                 F.lit(None).cast("array<string>").alias("tech"))),
@@ -104,13 +105,13 @@ def _given(snapshot: DataFrame | None, first: DataFrame | None) -> DataFrame:
 
 
 def _signed(rows: DataFrame, text_col: str, when) -> DataFrame:
-    """``rows`` with ``sides``, ``tech``, ``_sig`` and ``_head`` (the text's beginning, all that a conflict shows of it); rows
-    without a signal get scattered signatures that begin with #."""
+    """``rows`` with ``sides``, ``tech``, ``_sig``, ``_head`` (the text's beginning, all that a conflict shows of it) and ``_tie``
+    (a number); rows without a signal get scattered signatures that begin with #."""
     # the patterns run once per row: without the cut, predicates on what they find would be pushed
     # below them and repeat every pattern many times over
     scattered = F.concat(F.lit("#"), F.pmod(F.xxhash64(text_col), F.lit(1 << 20)).cast("string"))
-    nw = (with_signals(rows, text_col, when=when).withColumn("_head", F.substring(text_col, 1, 100))
-          .withColumn("_scattered", scattered).checkpoint())
+    nw = written(with_signals(rows, text_col, when=when).withColumn("_head", F.substring(text_col, 1, 100))
+                 .withColumn("_scattered", scattered).withColumn("_tie", F.monotonically_increasing_id()))
     named = F.concat_ws("|", F.array_join(F.transform("sides", lambda x: F.concat(x["rule"].cast("string"), x["side"])), ","),
                         F.array_join("tech", ","))
     blank = (F.size("sides") == 0) & (F.size("tech") == 0)
@@ -201,7 +202,7 @@ def with_batch_conflicts(rows: DataFrame, snapshot: DataFrame | None, text_col:
                          order: list[str] = ("id",), first: DataFrame | None = None) -> DataFrame:
     """As ``with_conflicts``, for records that are stored one after another: each is also compared with the
     records of the batch before it that were stored.  ``order``: columns of the batch's order (ties: any order, but the
-    same one for all steps, as the rows are checkpointed first).
+    same one for all steps, as the rows are written with their numbers first).
 
     Whether a record is stored depends on its signature: if the signature's first record is stored, nothing that conflicts
     with it can be stored later, so its later records are stored as well (unless the signature conflicts with itself);
@@ -209,7 +210,7 @@ def with_batch_conflicts(rows: DataFrame, snapshot: DataFrame | None, text_col:
     graph of signatures.  A refused record names the newest stored record before it that conflicts, by a running
     window over the records of the signatures that conflict with its own.
     """
-    nw = _signed(rows, text_col, when).withColumn("_at", F.struct(*order, F.monotonically_increasing_id().alias("_tie")))
+    nw = _signed(rows, text_col, when).withColumn("_at", F.struct(*order, "_tie"))
     keys = ["project", "type", "_sig"]
     won = _winners(_told(nw).select(*keys, "sides", "tech").distinct(), _given(snapshot, first)).checkpoint()
     sigs = (_told(nw).groupBy(*keys, "sides", "tech").agg(F.min("_at").alias("first"))
@@ -220,7 +221,7 @@ def with_batch_conflicts(rows: DataFrame, snapshot: DataFrame | None, text_col:
     # stored records: all of a stored signature, the first only if it conflicts with itself
     own = pairs.where("n = m").select("n", F.lit(True).alias("own"))
     known = sigs.join(state, "n").join(own, "n", "left").select(*keys, "n", "first", "stored", F.coalesce("own", F.lit(False)).alias("own"))
-    nw = nw.join(known, keys, "left").checkpoint()
+    nw = nw.join(known, keys, "left")             # not written again: each use reads its own columns of the rows
     e = F.struct(F.col("id").alias("eid"), F.col("_head").alias("esum"), F.col("tech").alias("etech"))
     kept = nw.where(F.col("stored") & (~F.col("own") | (F.col("_at") == F.col("first")))).select(
         F.col("n").alias("m"), "_at", e.alias("e"))

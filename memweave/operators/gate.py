@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import (confidence_from_source, invalid_type_reason, is_valid_type,
-                              redact, scan_findings)
+from ..functions.text import confidence_from_source, invalid_type_reason, is_valid_type, redact_and_scan
+from ..session import written
 from .conflicts import with_batch_conflicts, with_conflicts
 
 
@@ -21,9 +21,10 @@ def screen(records: DataFrame, text_col: str = "text") -> DataFrame:
     """Stateless part of the gate: type check, redact, scan, confidence."""
     return (records
             .withColumn("valid_type", is_valid_type("type"))
-            .withColumn("clean_text", redact(text_col))
-            .withColumn("findings", scan_findings("clean_text"))
-            .withColumn("confidence", confidence_from_source("source")))
+            .withColumn("_screened", redact_and_scan(text_col))
+            .withColumn("clean_text", F.col("_screened.clean_text"))
+            .withColumn("findings", F.col("_screened.findings"))
+            .withColumn("confidence", confidence_from_source("source")).drop("_screened"))
 
 
 def gate(records: DataFrame, snapshot: DataFrame | None, mode: str = "approval_required",
@@ -46,7 +47,7 @@ def gate(records: DataFrame, snapshot: DataFrame | None, mode: str = "approval_r
         else:
             s = with_conflicts(s, approved, "clean_text", when=passed, first=first)
     else:
-        s = (s.checkpoint().withColumn("conflict_with", F.lit(None).cast("bigint"))
+        s = (written(s).withColumn("conflict_with", F.lit(None).cast("bigint"))
              .withColumn("conflict_rule", F.lit(None).cast("int"))
              .withColumn("conflict_description", F.lit(None).cast("string")))
     final = "stored" if mode == "auto" else "pending"

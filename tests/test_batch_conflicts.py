@@ -1,12 +1,13 @@
 """Mode auto: records of a batch also meet those stored before them; equal to a loop over the records."""
 import random
+import re
 
 import pytest
 from conftest import mem_rows
 from pyspark.sql import functions as F
 
 from memweave.operators.conflicts import TECH_RULE, with_batch_conflicts, with_signals
-from memweave.operators.gate import gate
+from memweave.operators.gate import gate, status_counts
 
 SAY = ["we use flask", "we use django", "use npm", "use yarn", "use pnpm", "always test", "do not test", "always or do not",
        "redis and docker", "kubernetes", "redis", "avoid x, prefer y", "avoid x", "prefer y", "nothing", "", "use flask and use django"]
@@ -67,3 +68,13 @@ def test_a_chain_is_decided_in_order(spark):
 def test_empty_batch(spark):
     new = spark.createDataFrame([], "id bigint, project string, type string, source string, text string")
     assert gate(new, mem_rows(spark, [{"id": 1, "summary": "use npm"}]), mode="auto").collect() == []
+
+
+@pytest.mark.parametrize("mode", ["auto", "approval_required"])
+def test_counts_do_not_read_the_texts_again(spark, mode):
+    """The gated rows are kept in columns, so that a step that asks for no text reads none."""
+    mem = mem_rows(spark, [{"id": i, "summary": t, "type": "decision", "project": "p"} for i, t in enumerate(SAY)])
+    counts = status_counts(gate(mem.withColumn("text", F.col("summary")).withColumn("nothing", F.lit(None)), mem, mode=mode))
+    assert sum(r["n"] for r in counts.collect()) == len(SAY)
+    scans = re.findall(r"FileScan parquet \[(.*?)\]", counts._jdf.queryExecution().executedPlan().toString())
+    assert scans and not any("clean_text" in x for x in scans)

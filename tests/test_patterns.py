@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from memweave import rules
 from memweave.functions.regex import to_java, to_java_replacement
-from memweave.functions.text import redact, rule_sides, scan_findings, tech_set
+from memweave.functions.text import SIGNS, WORDS, redact, redact_and_scan, rule_sides, scan_findings, tech_set
 
 PIECES = ["use", "Use", "USE", "reuse", "use_", "usé", "éuse", "flask", "Django", "mysql", "sqlite3", "sqlite", "postgresql", "npm", "pnpm", "yarn",
           "node", "nodejs", "next.js", "nextjs", "nextXjs", "python", "do", "not", "do  not", "do not", "always", "always2", "avoid", "prefer",
@@ -36,3 +36,21 @@ def test_searches_equal_the_plain_patterns(spark):
         for c in ("sides", "redacted", "found", "tech"):
             assert r[c] == r[c + "0"], (c, r["t"])
     assert {s for r in rows for s in r["sides"]} >= {"1b", "3b", "7a", "10a", "10b", "11a", "11b"} and sum(len(r["tech"] or []) for r in rows) > 100
+
+
+def test_redaction_and_scan_in_one_go(spark):
+    """Marks of the raw text hold for the redacted one: what redaction puts in (``aws``) counts as well."""
+    more = ["AKIA" + "Q" * 16 + " secret '" + "z" * 40 + "'", "x sk_live_" + "f" * 24 + " Secret \"" + "Z" * 40 + "\""]
+    rnd = random.Random(5)
+    more += ["".join(rnd.choice(PIECES[34:] + more[:1] + ["secret", " '" + "z" * 40 + "'", "AIza" + "g" * 35, "xoxb-1"]) for _ in range(6)) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts(300) + more], "t string")
+    rows = df.select("t", redact_and_scan("t").alias("s"), redact("t").alias("clean")).withColumn("found", scan_findings("clean")).collect()
+    for r in rows:
+        assert (r["s"]["clean_text"], r["s"]["findings"]) == (r["clean"], r["found"]), r["t"]
+    assert "AWS secret key" in next(r for r in rows if r["t"] == more[0])["found"]
+
+
+def test_no_replacement_makes_a_mark():
+    for _p, r in rules.REDACTIONS:
+        put = r.replace("Bearer", "")                      # stands only where it stood
+        assert not any(x in put.replace("\\1", "").replace("\\2", "") for x in SIGNS) and not any(w in put.lower() for w in WORDS)
