@@ -23,6 +23,9 @@ Where records are stored one after another (mode ``auto``), a record also meets
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,10 +103,6 @@ def _firsts(records: DataFrame) -> DataFrame:
             .agg(F.min(F.struct("ord", "eid", "esum", "etech")).alias("e")))
 
 
-def _given(snapshot: DataFrame | None, first: DataFrame | None) -> DataFrame:
-    return first_records(snapshot) if first is None else first
-
-
 def _signed(rows: DataFrame, text_col: str, when) -> DataFrame:
     """``rows`` with ``sides``, ``tech``, ``_sig``, ``_head`` (the text's beginning, all that a conflict shows of it) and ``_tie``
     (a number); rows without a signal get scattered signatures that begin with #."""
@@ -118,6 +117,16 @@ def _signed(rows: DataFrame, text_col: str, when) -> DataFrame:
     return nw.withColumn("_sig", F.when(blank, F.col("_scattered")).otherwise(named)).drop("_scattered")
 
 
+def _prepared(rows: DataFrame, text_col: str, when, snapshot: DataFrame | None, first: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``_signed`` rows, and the snapshot's first records where none are given.  Both read all texts and do not need each other: they
+    are two jobs at once, so that the last tasks of one leave no core idle."""
+    if first is not None:
+        return _signed(rows, text_col, when), first
+    with ThreadPoolExecutor(1) as pool:
+        made = pool.submit(inheritable_thread_target(snapshot.sparkSession)(first_records), snapshot)
+        return _signed(rows, text_col, when), made.result()
+
+
 def _told(df: DataFrame) -> DataFrame:
     return df.where((F.size("sides") > 0) | (F.size("tech") > 0))
 
@@ -162,9 +171,9 @@ def with_conflicts(rows: DataFrame, snapshot: DataFrame | None, text_col: str =
     snapshot: approved records (id, project, type, summary, created_at), for which their ``first_records`` may be given
     instead.  ``when`` limits the check to some rows.  Repeated or null ids do no harm: rows are never joined by id.
     """
-    nw = _signed(rows, text_col, when)
+    nw, first = _prepared(rows, text_col, when, snapshot, first)
     sigs = _told(nw).select("project", "type", "_sig", "sides", "tech").distinct()
-    return _described(nw.join(_winners(sigs, _given(snapshot, first)), ["project", "type", "_sig"], "left"), rows.columns)
+    return _described(nw.join(_winners(sigs, first), ["project", "type", "_sig"], "left"), rows.columns)
 
 
 def _conflicting(sigs: DataFrame) -> DataFrame:
@@ -210,9 +219,10 @@ def with_batch_conflicts(rows: DataFrame, snapshot: DataFrame | None, text_col:
     graph of signatures.  A refused record names the newest stored record before it that conflicts, by a running
     window over the records of the signatures that conflict with its own.
     """
-    nw = _signed(rows, text_col, when).withColumn("_at", F.struct(*order, "_tie"))
+    nw, first = _prepared(rows, text_col, when, snapshot, first)
+    nw = nw.withColumn("_at", F.struct(*order, "_tie"))
     keys = ["project", "type", "_sig"]
-    won = _winners(_told(nw).select(*keys, "sides", "tech").distinct(), _given(snapshot, first)).checkpoint()
+    won = _winners(_told(nw).select(*keys, "sides", "tech").distinct(), first).checkpoint()
     sigs = (_told(nw).groupBy(*keys, "sides", "tech").agg(F.min("_at").alias("first"))
             .join(won, keys, "left").withColumn("barred", F.col("_w").isNotNull()).drop("_w")
             .withColumn("n", F.monotonically_increasing_id()).checkpoint())
