@@ -17,19 +17,19 @@ from memweave.sources.tables import read_table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted quality label is 1 (all, if there is no label to learn from)."""
-    prepare(spark)
+    prepare(spark, give_back=True)
     return rff_classifier.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: the one of smallest doc_id."""
-    prepare(spark)
+    prepare(spark, give_back=True)
     return near_dedup.survivors(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go but for their earliest occurrence; every document stays, n_chars follows its text."""
-    prepare(spark)
+    prepare(spark, give_back=True)
     spans = "_".join(["spans", *docs.columns])              # a name that no column has
     cleaned = line_dedup.clean(docs, removed=spans)
     if "n_chars" in docs.columns:
@@ -39,14 +39,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a document stands in it as often as it is taken (0, 1 or 2 times)."""
-    prepare(spark)
+    prepare(spark, give_back=True)
     return source_mix.mix(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids of every text of the mix, and the text that the ids decode to."""
     import public_tokenizers
-    prepare(spark)
+    prepare(spark, give_back=True)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
     return coded.select("doc_id", "ids", F.col("decoded").cast("string").alias("text"))

@@ -23,5 +23,5 @@ def test_workers_give_back_what_they_free(spark):
         del arrays
         yield pa.RecordBatch.from_arrays([pa.array([held() - before]), pa.array([pa.default_memory_pool().backend_name])],
                                          names=["mb", "pool"])
-    row = prepare(spark).range(1).repartition(1).mapInArrow(run, "mb long, pool string").first()
+    row = prepare(spark, give_back=True).range(1).repartition(1).mapInArrow(run, "mb long, pool string").first()
     assert row["mb"] < 40 and row["pool"] == "system"
