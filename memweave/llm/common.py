@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,15 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def byte_strings(words: pa.Array) -> list[bytes]:
+    """The values of a string array without nulls, cut from its buffer: several times faster than one Arrow scalar for each."""
+    words = words.cast(pa.large_binary())
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64, len(words) + 1, 8 * words.offset).tolist() if len(words) else [0]
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[lo:hi] for lo, hi in zip(at, at[1:])]
+
+
 def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     raw = (text or "").encode()
     return (raw.lower() if lower else raw).split()

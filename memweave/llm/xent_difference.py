@@ -29,37 +29,60 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64
+from .common import byte_strings, mix64
 
 BLOCK_BYTES = 16 << 20
+PIECE_ROWS, PIECE_TOKENS = 2000, 1 << 18     # texts split, and tokens scored, at a time
 WEIGHTS = (0.6, 0.3, 0.1)
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 ONE = np.uint64(1)
 
 
-def _tokens(texts: list[str | None], hashes: WordHashes):
-    """word hashes of all texts in turn, each closed by END; lengths (end mark included)."""
-    words = [(t or "").encode().lower().split() for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes)
-    out = np.full(int(ends[-1]) if len(ends) else 0, END, np.uint64)
-    inner = np.ones(len(out), bool)
-    inner[ends - 1] = False
-    out[inner] = hashes.of([w for x in words for w in x])
-    return out, sizes, ends
-
-
-def _grams(tokens: np.ndarray, ends: np.ndarray):
-    """Keys of each token's unigram (odd) and of the bigram that it ends (even), and histories."""
+def _ranked(a: np.ndarray):
+    """Distinct values in order, how often each occurs, and the order and place of every value among them."""
+    order = np.argsort(a)
+    a = a[order]
+    first = np.append(True, a[1:] != a[:-1])[: len(a)]
+    at = np.empty(len(a), np.int32)
+    at[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    lo = np.flatnonzero(first)
+    return a[lo], np.diff(np.append(lo, len(a))), order, at
+
+
+def _tokens(texts: pa.ChunkedArray):
+    """The distinct words' hashes, END last (a word may occur in more places than one), the place of every token among them, each text
+    closed by END, and lengths (end mark included).  Arrow splits and numbers the words of some texts at a time; Python sees distinct ones."""
+    known, at, sizes, n = [], [], [], 0
+    for batch in pa.table([texts], ["text"]).combine_chunks().to_batches(max_chunksize=PIECE_ROWS):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column(0), "")))
+        numbered = split.flatten().dictionary_encode()
+        distinct = byte_strings(numbered.dictionary)
+        known.append(np.array(list(map(xxhash.xxh3_64_intdigest, distinct)), np.uint64))
+        here, ends = numbered.indices.to_numpy(), np.cumsum(split.value_lengths().to_numpy(), dtype=np.int64)
+        if b"" in distinct:                                # stands where a text begins or ends with a blank
+            known[-1][distinct.index(b"")] = END           # no word of its own
+            word = here != distinct.index(b"")
+            ends, here = np.append(0, np.cumsum(word))[ends], here[word]
+        at.append(np.insert(here + np.int32(n), ends, -1))
+        sizes.append(np.diff(ends, prepend=0) + 1)
+        n += len(distinct)
+    out = np.concatenate([*at, np.zeros(0, np.int32)])
+    out[out < 0] = n
+    sizes = np.concatenate([*sizes, np.zeros(0, np.int64)])
+    return np.concatenate([*known, np.array([END])]), out, sizes
+
+
+def _grams(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Key of the bigram that each token ends (even)."""
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
-    before[np.append(0, ends[:-1])[: len(ends)]] = START
-    uni = mix64(tokens) | ONE
-    return uni, mix64(mix64(before) ^ tokens) & ~ONE, np.where(before == START, START, mix64(before) | ONE)
+    before[starts] = START
+    return mix64(mix64(before) ^ tokens) & ~ONE
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -85,14 +108,30 @@ def _keys_of(b: bytes) -> np.ndarray:
 ROW = "block int, shard int, keys binary, target binary, every binary"
 
 
-def _counted(table: pa.Table, targets: set, hashes: WordHashes):
-    texts, ids = table.column("text").to_pylist(), table.column("doc_id").to_pylist()
-    tokens, sizes, ends = _tokens(texts, hashes)
-    uni, bi, history = _grams(tokens, ends)
-    mark = np.repeat(np.array([i in targets for i in ids], bool), sizes)
-    keys, at, n = np.unique(np.concatenate([uni, bi]), return_inverse=True, return_counts=True)
-    hit = np.bincount(at[np.concatenate([mark, mark])], minlength=len(keys))
-    return ids, sizes, ends, history, keys, at[: len(uni)], at[len(uni):], hit, n
+def _counted(table: pa.Table, targets: set):
+    """Ids, lengths, keys in order (of unigrams odd, of bigrams even), the place of each token's unigram and bigram
+    among them, and counts in target and background."""
+    ids = table.column("doc_id").to_pylist()
+    words, at, sizes = _tokens(table.column("text"))
+    starts = np.cumsum(sizes) - sizes
+    marked = np.repeat(np.array([i in targets for i in ids], bool), sizes)
+    uni, _, _, place = _ranked(mix64(words) | ONE)
+    bi, every, order, b = _ranked(_grams(words[at], starts))
+    hit = np.add.reduceat(marked[order], np.cumsum(every) - every, dtype=np.int64) if len(bi) else every
+    u = place[at]
+    del at, order, words
+    # two ascending lists become one
+    at_uni = np.arange(len(uni)) + np.searchsorted(bi, uni)
+    at_bi = np.arange(len(bi)) + np.searchsorted(uni, bi)
+    keys = np.empty(len(uni) + len(bi), np.uint64)
+    keys[at_uni], keys[at_bi] = uni, bi
+    counts = []
+    for n_bi, weights in ((hit, marked), (every, None)):
+        n = np.empty(len(keys), np.int64)
+        n[at_bi] = n_bi
+        n[at_uni] = np.bincount(u, weights=weights, minlength=len(uni))
+        counts.append(n)
+    return ids, sizes, keys, at_uni.astype(np.int32)[u], at_bi.astype(np.int32)[b], *counts
 
 
 def score(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -109,7 +148,7 @@ def score(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES) ->
     def count(key, docs_, marks_):
         if docs_.num_rows == 0:
             return _rows([])
-        _, _, _, _, keys, _, _, hit, every = _counted(docs_, set(marks_.column("doc_id").to_pylist()), WordHashes())
+        _, _, keys, _, _, hit, every = _counted(docs_, set(marks_.column("doc_id").to_pylist()))
         # keys are sorted: a shard is a range of hashes, thus a slice
         shard = (keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
         cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(keys))
@@ -123,7 +162,8 @@ def score(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES) ->
         cols = {c: table.column(c).to_pylist() for c in ("block", "keys", "target", "every")}
         keys = [_keys_of(x) for x in cols["keys"]]
         sizes = [len(k) for k in keys]
-        flat, at, held = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        flat, held, _, at = _ranked(np.concatenate(keys))
+        del keys
         sums = [np.bincount(at, weights=np.concatenate([_unpacked(x) for x in cols[c]]).astype(float),
                             minlength=len(flat)).astype(np.uint64) for c in ("target", "every")]
         odd = (flat & ONE) == ONE
@@ -157,21 +197,25 @@ def score(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES) ->
         targets = set(sent.column("doc_id").drop_null().to_pylist())
         v, n_target, n_every = (pc.max(sent.column(c)).as_py() for c in ("v", "nt", "nb"))
         vocabulary = v + 1
-        ids, sizes, ends, history, keys, u, b, hit, every = _counted(docs_, targets, WordHashes())
-        rows = [(x, y, z) for x, y, z in zip(*(sent.column(c).to_pylist() for c in ("keys", "target", "every"))) if x]
-        if rows:
-            at = np.searchsorted(keys, np.concatenate([_keys_of(r[0]) for r in rows]))
-            hit, every = hit.astype(np.int64), every.astype(np.int64)
-            hit[at] = np.concatenate([_unpacked(r[1]) for r in rows])
-            every[at] = np.concatenate([_unpacked(r[2]) for r in rows])
-        end = np.searchsorted(keys, mix64(np.array([END])) | ONE)[0]      # a start mark for every end mark
-        past = np.where(history == START, end, np.minimum(np.searchsorted(keys, history), len(keys) - 1))
+        ids, sizes, keys, u, b, hit, every = _counted(docs_, targets)
+        for k, t, e in zip(*(sent.column(c) for c in ("keys", "target", "every"))):
+            if k.is_valid:
+                at = np.searchsorted(keys, _keys_of(k.as_py()))
+                hit[at], every[at] = _unpacked(t.as_py()), _unpacked(e.as_py())
+        starts = np.cumsum(sizes) - sizes
+        past = np.empty_like(u)
+        past[1:] = u[:-1]
+        past[starts] = u[-1]                               # a start mark for every end mark
         out = []
         for c, total in ((hit, n_target), (every, n_every)):
-            seen = c[past] > 0
-            w1 = np.where(seen, WEIGHTS[1], WEIGHTS[0] + WEIGHTS[1])
-            p = (WEIGHTS[0] * c[b] / np.maximum(c[past], 1) + w1 * c[u] / max(total, 1) + WEIGHTS[2] / vocabulary)
-            out.append(np.add.reduceat(-np.log(p), ends - sizes) / sizes)
+            loss = np.empty(len(u))
+            for lo in range(0, len(u), PIECE_TOKENS):
+                piece = slice(lo, lo + PIECE_TOKENS)
+                before = c[past[piece]]
+                w1 = np.where(before > 0, WEIGHTS[1], WEIGHTS[0] + WEIGHTS[1])
+                loss[piece] = -np.log(WEIGHTS[0] * c[b[piece]] / np.maximum(before, 1) + w1 * c[u[piece]] / max(total, 1)
+                                      + WEIGHTS[2] / vocabulary)
+            out.append(np.add.reduceat(loss, starts) / sizes)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": sizes, "target_loss": out[0],
                          "background_loss": out[1]})
 

@@ -1,6 +1,9 @@
 import math
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from memweave.llm import xent_difference as xd
@@ -61,3 +64,17 @@ def test_no_labels_and_empty_table(spark):
     want = {w[0]: w for w in brute(rows, set())}
     assert all(got[d]["target_loss"] == pytest.approx(want[d][2]) for d in want)
     assert xd.score(docs(spark, []), none).collect() == []
+
+
+def test_a_block_is_counted_in_little_memory():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 400) % 200_000) for _ in range(4000)]
+    table = pa.table({"doc_id": range(len(texts)), "text": texts})
+    n = sum(len(t.split()) + 1 for t in texts)
+    tracemalloc.start()
+    _, sizes, keys, u, b, hit, every = xd._counted(table, {1, 2})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes.sum() == len(u) == len(b) == n and peak < 70 * n      # bytes a token
+    odd = keys & np.uint64(1) == 1
+    assert every[odd].sum() == every[~odd].sum() == n and hit[odd].sum() == hit[~odd].sum() == sizes[1:3].sum()
