@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import ensure_checkpoint_dir
+from .common import byte_strings
 
 BLOCK_IDS = 16_384
 SEGMENT_IDS = 1 << 19
@@ -128,6 +129,14 @@ class _Pieces(dict):
         return got
 
 
+def _only_lowers_ascii(step: dict | None) -> bool:
+    """Whether a normaliser makes ASCII words with single spaces between them lower-case, and nothing else."""
+    steps = [x for x in (step or {}).get("normalizers", [step]) if x]
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    return ({"type": "Lowercase"} in steps
+            and all(x in ({"type": "Lowercase"}, {"type": "NFC"}, {"type": "NFKC"}, blanks) for x in steps))
+
+
 class _WordEncoder:
     """Encodes texts with a ``tokenizers`` file, each distinct word once while it is remembered.
 
@@ -148,6 +157,7 @@ class _WordEncoder:
                 and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
                 and self.tok.normalizer and "Regex" in steps[0]["pattern"]):
             self.split = regex.compile(steps[0]["pattern"]["Regex"] + "| ")
+        self.lowers = _only_lowers_ascii(told.get("normalizer"))
         added = [regex.escape(a["content"]) for a in told.get("added_tokens") or []]
         self.odd = regex.compile("|".join([r"\s", *added]))
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -165,10 +175,13 @@ class _WordEncoder:
             odd = [w for w in new if self.split is None or self.odd.search(w.decode())]
             self.words.update((w, self._whole(w.decode())) for w in odd)
             new = list(set(new).difference(odd))
-            plain = b" ".join(new).decode()
         if not new:
             return
-        normal = self.tok.normalizer.normalize_str(plain)
+        lowered = [w for w in new if w.isascii()] if self.lowers else []
+        rest = [w for w in new if not w.isascii()] if self.lowers else new
+        new = lowered + rest
+        normal = " ".join([b" ".join(lowered).decode().lower()] * bool(lowered)
+                          + [self.tok.normalizer.normalize_str(b" ".join(rest).decode())] * bool(rest))
         if normal.count(" ") != len(new) - 1:          # a normaliser that makes or drops spaces
             normal = " ".join(self.tok.normalizer.normalize_str(w.decode()) for w in new)
         # all pieces of all words at once; a space stands between two words and becomes the mark NO_ID
@@ -185,7 +198,7 @@ class _WordEncoder:
         """Ids of each text.  Arrow splits and numbers the words; Python sees each distinct one."""
         split = pc.ascii_split_whitespace(texts)
         numbered = split.flatten().dictionary_encode()
-        distinct = numbered.dictionary.cast(pa.large_binary()).to_pylist()
+        distinct = byte_strings(numbered.dictionary)
         self.words[b""] = b""                              # what stands before a leading blank
         got = list(map(self.words.get, distinct))
         new = [k for k, ids in enumerate(got) if ids is None]

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from memweave.llm import token_files as tf
+from memweave.llm.common import byte_strings
 
 from .helpers import ODD, docs
 
@@ -60,3 +61,36 @@ def test_null_repeated_and_empty(spark):
     got = sorted(map(tuple, tf.digests(docs(spark, rows), FILE).collect()), key=lambda r: r[1])
     assert [(r[0], r[1]) for r in got] == [(None, 0), (3, 2), (3, 4), (3, 6)]
     assert tf.digests(docs(spark, []), FILE).collect() == []
+
+
+def test_only_words_beyond_ascii_meet_the_normaliser():
+    with open(FILE, encoding="utf-8") as f:
+        enc = tf._WordEncoder(f.read())
+    met = []
+
+    class Tok:
+        normalizer = property(lambda self: self)
+
+        def normalize_str(self, text):
+            met.extend(text.split(" "))
+            return tok.normalizer.normalize_str(text)
+
+    tok, enc.tok = enc.tok, Tok()
+    got = enc.batch(pa.array(["The CAFÉ, the 3 Ünits", "PLAIN words"]))
+    assert sorted(met) == ["CAFÉ,", "Ünits"]
+    assert [x.tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in ("The CAFÉ, the 3 Ünits", "PLAIN words")]
+
+
+@pytest.mark.parametrize("normalizer, lowers", [
+    (None, False), ({"type": "Lowercase"}, True), ({"type": "NFC"}, False),
+    ({"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Lowercase"}]}, True),
+    ({"type": "Sequence", "normalizers": [{"type": "Lowercase"}, {"type": "Strip"}]}, False),
+    ({"type": "Sequence", "normalizers": [{"type": "Lowercase"}, {"type": "Replace", "pattern": {"String": "a"}, "content": ""}]}, False)])
+def test_which_normalisers_only_lower_ascii(normalizer, lowers):
+    assert tf._only_lowers_ascii(normalizer) is lowers
+
+
+def test_byte_strings_of_slices():
+    words = pa.array(["a", "", "äb", "c\0d", "e" * 40])
+    for got in (words, words[1:4], words[5:], words.cast(pa.large_string())[2:], words[:0]):
+        assert byte_strings(got) == [w.encode() for w in got.to_pylist()]
