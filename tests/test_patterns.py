@@ -54,3 +54,15 @@ def test_no_replacement_makes_a_mark():
     for _p, r in rules.REDACTIONS:
         put = r.replace("Bearer", "")                      # stands only where it stood
         assert not any(x in put.replace("\\1", "").replace("\\2", "") for x in SIGNS) and not any(w in put.lower() for w in WORDS)
+
+
+def test_a_text_is_read_once_for_the_rules_sides(spark):
+    """One pattern cuts the rules' words out of the text, which is neither lowered nor searched again; their places decide."""
+    df = spark.createDataFrame([(t,) for t in texts(2)], "t string")
+    plan = df.select(rule_sides("t").alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(t#") == 1 and "lower(t#" not in plan and "Contains(t#" not in plan
+    got = {t: [(x["rule"], x["side"]) for x in s or []] for t, s in spark.createDataFrame(
+        [("dlways",), ("uvoid",), ("do\n\nnot",), ("prefer flask",), ("use\nflask",), ("use a, USE npm",), ("reuse npm",), ("use",)],
+        "t string").select("t", rule_sides("t")).collect()}
+    assert got == {"dlways": [], "uvoid": [], "do\n\nnot": [(10, "a")], "prefer flask": [(11, "b")], "use\nflask": [],
+                   "use a, USE npm": [(8, "a"), (9, "a")], "reuse npm": [], "use": []}
