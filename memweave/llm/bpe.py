@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 BLOCK_BYTES = 8 << 20
+STEP_TOKENS = 1 << 18
 MISSED = re.compile(r" (?=\s|\Z)")   # a space that does not open a token: such texts are matched whole
 
 
@@ -202,7 +203,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BL
             raise ValueError("a block was lost: the input's rows came in another order when it was made again")
         doc_ids, n, at, words = _unpack(block.column("payload")[0].as_py(), 4)
         doc_ids = zstandard.decompress(doc_ids)
-        n, at = _unplane(n).astype(np.int64), _unplane(at).astype(np.int64)
+        n, at = _unplane(n).astype(np.int64), _unplane(at)
         valid = np.frombuffer(doc_ids, np.uint8, len(n)).astype(bool)
         doc_ids = pa.array(np.frombuffer(doc_ids, "<i8", offset=len(n)), mask=~valid)
         of = _shards(_words_of(words), shards)
@@ -219,11 +220,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = BL
         if len(of) and len(flat) != len(np.unique(of)):
             raise ValueError("a reply is missing")
         flat = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
-        width = sizes[at]
-        stop = np.cumsum(width)
-        take = np.repeat(place[at] - (stop - width), width) + np.arange(stop[-1] if len(stop) else 0)
+        stop, ids = np.cumsum(sizes[at]), [flat[:0]]
+        for k in range(0, len(at), STEP_TOKENS):           # a step's places are held at a time
+            some = at[k:k + STEP_TOKENS]
+            width = sizes[some]
+            first = np.cumsum(width) - width
+            ids.append(flat[np.repeat(place[some] - first, width) + np.arange(width.sum())])
         ends = np.append(0, stop)[np.append(0, np.cumsum(n))]
-        return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[take]))})
+        return pa.table({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(ids)))})
 
     coded = coded.select(F.col("block").alias("of"), "shard", "packed")
     return blocks.groupBy("block").cogroup(coded.groupBy("of")).applyInArrow(assemble, "doc_id long, ids array<int>")

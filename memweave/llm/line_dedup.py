@@ -38,6 +38,7 @@ from .common import WORD_CLASS, WordHashes, cut, mix64, with_block
 
 BLOCK_BYTES = 8 << 20
 NEIGHBOURS, MIN_UNIT, MIN_LINE = 3, 10, 4
+STEP_WORDS = 1 << 17
 AROUND, MARGIN = 3, 8          # units, and words beyond them, that are sent around an earliest occurrence
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(WORD_CLASS)
@@ -52,31 +53,43 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Block:
-    """The words of a block's texts, their lines, and (if asked for) the units of all lines."""
+    """The words of a block's texts, their lines, and (if asked for) the units of all lines.
+
+    Lines do not need each other, so that words and their intermediate values are held for ``STEP_WORDS`` words (and the rest of the
+    last one's line) at a time; numbers of words count through the block."""
 
     def __init__(self, texts: list[str | None], hashes: WordHashes, units: bool = True):
-        words, line_sizes, doc_lines = [], [], []
+        words, line_sizes, doc_start = [], [], [0]
+        self.n, parts = 0, []
         for text in texts:
-            lines = [x.split() for x in (text or "").encode().lower().split(b"\n")]
-            lines = [x for x in lines if x]
-            doc_lines.append(len(lines))
-            for x in lines:
-                words += x
-                line_sizes.append(len(x))
-        h = hashes.of(words)
-        n = len(h)
-        ends = np.cumsum(np.array(line_sizes, np.int64))
-        starts = ends - np.array(line_sizes, np.int64)
-        line_ends = np.append(0, np.cumsum(doc_lines))
-        self.doc_start = np.append(0, ends)[line_ends]        # words before each text
-        self.line_start = starts
-        self.word = h & ~np.uint64(1)                         # the last bit says whether a word opens its line
-        self.word[starts] |= np.uint64(1)
+            for x in (text or "").encode().lower().split(b"\n"):
+                if len(words) >= STEP_WORDS:
+                    parts.append(self._step(hashes.of(words), line_sizes, units))
+                    words, line_sizes = [], []
+                x = x.split()
+                if x:
+                    words += x
+                    line_sizes.append(len(x))
+            doc_start.append(self.n + len(words))
+        parts.append(self._step(hashes.of(words), line_sizes, units))
+        del words
+        self.doc_start = np.array(doc_start, np.int64)        # words before each text
+        self.line_start, self.word, *found = (np.concatenate(x) for x in zip(*parts))
         if units:
-            self._units(h, starts, ends, np.repeat(np.arange(len(line_sizes)), line_sizes))
-
-    def _units(self, h, starts, ends, line):
-        n = len(h)
+            self.begin, self.end, self.digest = found
+            self.row = np.searchsorted(self.doc_start, self.begin, side="right") - 1
+
+    def _step(self, h, line_sizes, units):
+        at, n = self.n, len(h)
+        self.n += n
+        sizes = np.array(line_sizes, np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        word = h & ~np.uint64(1)                              # the last bit says whether a word opens its line
+        word[starts] |= np.uint64(1)
+        if not units:
+            return starts + at, word
+        line = np.repeat(np.arange(len(sizes)), sizes)
         following = np.append(line[1:] == line[:-1], False) if n else np.zeros(0, bool)
         after = np.where(following, np.roll(h, -1), np.uint64(0))
         key = mix64(h ^ mix64(after ^ mix64(np.where(following, np.roll(after, -1), np.uint64(0)))))
@@ -96,11 +109,11 @@ class Block:
         end = np.minimum(bounds[np.minimum(np.searchsorted(bounds, begin + MIN_UNIT), len(bounds) - 1)], last)
         keep = end - begin >= MIN_LINE
         keep &= np.append(True, (begin[1:] != begin[:-1]) | (end[1:] != end[:-1])) if n else keep
-        self.begin, self.end = begin[keep], end[keep]
+        begin, end = begin[keep], end[keep]
         total = np.append(np.uint64(0), np.cumsum(h * _powers(BASE, n)[:n], dtype=np.uint64))
-        part = (total[self.end] - total[self.begin]) * _powers(_INVERSE, n)[self.begin]
-        self.digest = mix64(part ^ mix64((self.end - self.begin).astype(np.uint64))).view(np.int64)
-        self.row = np.searchsorted(self.doc_start, self.begin, side="right") - 1
+        part = (total[end] - total[begin]) * _powers(_INVERSE, n)[begin]
+        digest = mix64(part ^ mix64((end - begin).astype(np.uint64))).view(np.int64)
+        return starts + at, word, begin + at, end + at, digest
 
 
 def _ordered(table: pa.Table) -> pa.Table:

@@ -38,3 +38,10 @@ def test_several_blocks_repeated_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert bpe.digests(docs(spark, []), RANKS, P.PATTERN).collect() == []
+
+
+def test_a_text_of_more_tokens_than_are_placed_at_once(spark):
+    enc = library()
+    rows = [(1, "ab c"), (2, " ".join(f"w{i % 977}" for i in range(bpe.STEP_TOKENS // 2))), (3, "d e")]
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs(spark, rows), RANKS, P.PATTERN).collect()}
+    assert len(got[2]) > bpe.STEP_TOKENS and got == {d: enc.encode_ordinary(t) for d, t in rows}

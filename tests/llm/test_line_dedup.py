@@ -1,4 +1,7 @@
 import random
+import tracemalloc
+
+import numpy as np
 
 from memweave.llm import line_dedup as ld
 
@@ -102,3 +105,16 @@ def test_short_lines_inside_a_repeated_passage_go_with_it(spark):
     got = rows_of(spark, rows)
     assert got[1]["text"] == rows[0][1]
     assert words(got[2]["text"]) == words(rows[1][1].replace(passage, ""))
+
+
+def test_a_block_holds_a_step_of_words_at_a_time(monkeypatch):
+    rng = random.Random(8)
+    texts = ["\n".join(sentence(rng, rng.randint(0, 40)) for _ in range(60)) for _ in range(400)] + [None, "", "a b\n\nc d e f"]
+    whole = ld.Block(texts, ld.WordHashes())
+    monkeypatch.setattr(ld, "STEP_WORDS", 5000)
+    tracemalloc.start()
+    steps = ld.Block(texts, ld.WordHashes())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(getattr(whole, k), getattr(steps, k)) for k in "doc_start line_start word begin end digest row".split())
+    assert len(whole.word) > 400_000 and most < 40 * len(whole.word)      # 100 bytes a word and more, were all held at once
